@@ -67,7 +67,8 @@ def find_gaps(
 
     # steps across months and the leading gap: only first/last date of each month
     edges = x.filter(F.col("prev").isNull() | F.col("nxt").isNull()).select(*keys, "d", "prev")
-    across_w = Window.partitionBy(*keys).orderBy("d")
+    # a month's first row sorts before a duplicate of the same date
+    across_w = Window.partitionBy(*keys).orderBy(F.col("d"), F.col("prev").asc_nulls_first())
     firsts = (
         edges.withColumn("before", F.lag("d").over(across_w))
         .filter(F.col("prev").isNull())  # first date of its month

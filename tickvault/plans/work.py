@@ -93,7 +93,7 @@ def plan_stale(
 
     upd = F.col(FF_UPDATED)
     if not isinstance(free_float.schema[FF_UPDATED].dataType, T.TimestampNTZType):
-        upd = F.try_cast(upd.cast(T.StringType()), T.TimestampNTZType())
+        upd = upd.cast(T.StringType()).try_cast(T.TimestampNTZType())
     cols = [*keys, upd.alias("__ts"), F.lit(True).alias("__has_row")]
     if retry_failed and "Status" in free_float.columns:
         cols.append((F.col("Status") == STATUS_FAILED).alias("__failed"))
