@@ -58,7 +58,11 @@ def bars_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     Ticker = 'S'||l_suppkey; write order = (batch_id = l_orderkey % 3,
     seq = l_orderkey*8 + l_linenumber, seq_tie = l_partkey).
     """
-    li = table(spark, sf_dir, "lineitem")
+    return bars_log_from_lineitem(table(spark, sf_dir, "lineitem"))
+
+
+def bars_log_from_lineitem(li: DataFrame) -> DataFrame:
+    """The bars_log projection of any lineitem-shaped frame (batch or stream)."""
     return li.select(
         F.lit("suppliers").alias("Universe"),
         *_bar_columns(_tick("S", "l_suppkey")),

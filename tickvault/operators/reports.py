@@ -167,3 +167,16 @@ def timing(resolved: DataFrame, due: DataFrame) -> DataFrame:
         remaining.alias("remaining"),
         round_half_up(mean * remaining, 3).alias("eta_seconds"),
     )
+
+
+def table_stats(prices: DataFrame, keys: Sequence[str] = ("Universe",)) -> DataFrame:
+    """A1/A9 (+A2/A3): rows, distinct tickers, first and last date per universe."""
+    per = prices.groupBy(*keys, "Ticker").agg(
+        F.count(F.lit(1)).alias("n"), F.min("Date").alias("d0"), F.max("Date").alias("d1")
+    )
+    return per.groupBy(*keys).agg(
+        F.sum("n").cast(T.LongType()).alias("rows"),
+        F.count(F.lit(1)).alias("tickers"),
+        F.min("d0").alias("first_date"),
+        F.max("d1").alias("last_date"),
+    )

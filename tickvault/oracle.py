@@ -195,6 +195,9 @@ s AS (SELECT g.*, fr.ticker_rank, fr.gaps_of_ticker,
 SELECT ticker_rank, Universe, Ticker, gap_rank, gap_start, gap_end, date_diff('day', gap_start, gap_end) AS length_days,
   gaps_of_ticker, greatest(gaps_of_ticker - 3, 0) AS more_gaps
 FROM s WHERE gap_rank <= 3""",
+    "table_stats": f"""SELECT Universe, count(*) AS rows, count(DISTINCT Ticker) AS tickers, min(Date) AS first_date,
+  max(Date) AS last_date FROM ({_latest(BARS_S)}) GROUP BY Universe""",
+    "stream_keep_last": _latest(BARS_S),
     "first_last_dates": f"""SELECT Universe, Ticker, min(Date) AS first_date, max(Date) AS last_date, count(DISTINCT Date) AS n_bars
 FROM ({BARS_P}) GROUP BY Universe, Ticker""",
     "plan_fresh": f"""SELECT u.*, 'fresh' AS kind, DATE '2000-01-01' AS start_date, DATE '2001-08-01' AS end_date

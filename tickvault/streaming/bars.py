@@ -152,6 +152,7 @@ def stream_landed(
     table_schema: T.StructType | None = None,
     keys: Sequence[str] = ("Universe", "Ticker", "Date"),
     order: Sequence[str] = ("batch_id", "seq"),
+    path_glob: str | None = None,
 ):
     """Start the landing stream; returns the ``StreamingQuery``.
 
@@ -164,6 +165,8 @@ def stream_landed(
     reader = spark.readStream.schema(landed_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    if path_glob:
+        reader = reader.option("pathGlobFilter", path_glob)
     src = reader.parquet(landing_dir)
 
     def on_batch(df: DataFrame, batch_id: int) -> None:
