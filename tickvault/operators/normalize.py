@@ -15,6 +15,11 @@ from tickvault.functions.scalar import local_date, local_date_of_instant
 from tickvault.schemas import PRICE_COLUMNS, PRICES
 
 
+def _q(name: str) -> Column:
+    """Column by exact label (labels may hold dots, e.g. ``Close_BB.L``)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def strip_column_names(df: DataFrame) -> DataFrame:
     """Strip white space around every column label."""
     return df.toDF(*[str(c).strip() for c in df.columns])
@@ -40,7 +45,7 @@ def unstack_wide(df: DataFrame, id_cols: list[str], sep: str = "_", fields=tuple
     for t, m in sorted(tickers.items()):
         args.append(F.lit(t))
         for f in present:
-            args.append(F.col(m[f]).cast(T.DoubleType()) if f in m else F.lit(None).cast(T.DoubleType()))
+            args.append(_q(m[f]).cast(T.DoubleType()) if f in m else F.lit(None).cast(T.DoubleType()))
     gen = F.stack(F.lit(len(tickers)), *args).alias("Ticker", *present)
     return df.select(*id_cols, gen)
 
@@ -73,15 +78,15 @@ def normalize_quotes(
     df = strip_column_names(raw)
     date_col = date_col.strip()
     dtype = df.schema[date_col].dataType
-    sym = F.lit(ticker) if ticker is not None else F.col(ticker_col).cast(T.StringType())
+    sym = F.lit(ticker) if ticker is not None else _q(ticker_col).cast(T.StringType())
     out = []
     for f in PRICES.fields:
         if f.name == "Ticker":
             out.append(sym.alias("Ticker"))
         elif f.name == "Date":
-            out.append(_to_date(F.col(date_col), dtype, exchange_tz).alias("Date"))
+            out.append(_to_date(_q(date_col), dtype, exchange_tz).alias("Date"))
         elif f.name in df.columns:
-            out.append(F.col(f.name).cast(f.dataType).alias(f.name))
+            out.append(_q(f.name).cast(f.dataType).alias(f.name))
         else:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
     return df.select(*out)
