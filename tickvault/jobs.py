@@ -25,7 +25,7 @@ from tickvault.operators import freefloat as ffo
 from tickvault.operators import reports as rep
 from tickvault.operators.merge import resolve_latest
 from tickvault.plans import work
-from tickvault.plans.windows import apply_windows
+from tickvault.plans.windows import apply_windows, materialise
 from tickvault.schemas import (
     DEFAULT_LOOKBACK_DAYS,
     DEFAULT_MAX_RETRY,
@@ -39,6 +39,9 @@ from tickvault.sinks.publish import current_version, publish
 from tickvault.sources.store import read_current
 
 KEYS = ["Universe", "Ticker"]
+# A plan of at most this many (window, month) rows is broadcast to the landed
+# rows (about 60 bytes a row, so ~120 MB at most); beyond it the join shuffles.
+BROADCAST_PLAN_ROWS = 2_000_000
 BAR_KEYS = ["Universe", "Ticker", "Date"]
 
 
@@ -83,12 +86,13 @@ def maintain_prices(
     else:
         raise ValueError("mode must be 'fresh', 'update' or 'backfill'")
 
+    plan = materialise(plan)
     resolved = ffo.resolve_attempts(attempts, max_retry=max_retry) if attempts is not None else None
     take = plan
     if resolved is not None:
         failed = resolved.filter(F.col("Status") == "FAILED").select(*KEYS)
-        take = plan.join(failed, KEYS, "left_anti")
-    fetched = apply_windows(landed, take, keys=KEYS, plan_cols=["start_date"])
+        take = materialise(plan.join(failed, KEYS, "left_anti"))
+    fetched = apply_windows(landed, take, keys=KEYS, plan_cols=["start_date"], broadcast_max_rows=BROADCAST_PLAN_ROWS)
 
     v0 = current_version(spark, store_root)
     batch = (v0 or 0) + 1
@@ -129,7 +133,7 @@ def maintain_free_float(
 ) -> RunResult:
     """Stale plan -> resolve tries -> free-float rows -> upsert -> publish."""
     stored = read_current(spark, store_root, FREE_FLOAT)
-    plan = work.plan_stale(universe, stored, marks, as_of, days=days, force=force, retry_failed=retry_failed)
+    plan = materialise(work.plan_stale(universe, stored, marks, as_of, days=days, force=force, retry_failed=retry_failed))
     due_attempts = attempts.join(plan.select(*KEYS).distinct(), KEYS, "left_semi")
     resolved = ffo.resolve_attempts(due_attempts, max_retry=max_retry)
     rows = ffo.results_to_rows(resolved, as_of=as_of, success_rule=success_rule)

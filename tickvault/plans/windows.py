@@ -36,11 +36,16 @@ def apply_windows(
     keys: Sequence[str] = ("Ticker",),
     plan_cols: Sequence[str] = (),
     date_col: str = "Date",
+    broadcast_max_rows: int | None = None,
 ) -> DataFrame:
     """Rows of ``raw`` inside a plan window of the same key.
 
     ``plan_cols`` are plan columns to carry to the output (e.g. the window
-    bounds, to count rows per window).
+    bounds, to count rows per window). With ``broadcast_max_rows`` the
+    exploded plan is counted first (pass a materialised plan, see
+    :func:`materialise`) and broadcast only when it has at most that many
+    rows; a larger plan takes the shuffled join on ``(keys, month)``.
+    Without it the choice is Catalyst's and AQE's, by measured size.
     """
     keys = list(keys)
     p = explode_months(plan).select(
@@ -50,6 +55,8 @@ def apply_windows(
         F.col("end_date").alias("__e"),
         *[F.col(c) for c in plan_cols],
     )
+    if broadcast_max_rows is not None and p.count() <= int(broadcast_max_rows):
+        p = F.broadcast(p)
     r = raw.withColumn("__m", _month_index(F.col(date_col).cast(T.DateType())))
     d = F.col(date_col).cast(T.DateType())
     return (
@@ -57,3 +64,17 @@ def apply_windows(
         .filter((d >= F.col("__s")) & (d < F.col("__e")))
         .drop("__m", "__s", "__e")
     )
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a plan that is read more than once.
+
+    ``checkpoint()`` writes it to the cluster's shared
+    ``spark.checkpoint.dir`` (reliable: survives lost executors), so the
+    windows join, the report and any size check read it without recomputing
+    the gap scan or the stored-state aggregation.
+    """
+    from tickvault.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
