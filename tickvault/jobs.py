@@ -8,7 +8,7 @@ All clocks are the explicit ``as_of``.
 
 Scale notes: the plan is one join of the universe with per-ticker aggregates
 (never a scan per ticker); the landed rows meet the plan through the
-month-bucketed range join; the merge shuffles once on the bar key with a
+month-bucketed range join (broadcast only after a count); the merge shuffles once on the bar key with a
 partial group limit before the exchange; the publish writes a new version
 beside the old one, so a lost executor or driver never leaves a half table.
 """

@@ -44,8 +44,8 @@ def apply_windows(
     bounds, to count rows per window). With ``broadcast_max_rows`` the
     exploded plan is counted first (pass a materialised plan, see
     :func:`materialise`) and broadcast only when it has at most that many
-    rows; a larger plan takes the shuffled join on ``(keys, month)``.
-    Without it the choice is Catalyst's and AQE's, by measured size.
+    rows; a larger plan, or an unchecked one, takes the sort-merge join on
+    ``(keys, month)``.
     """
     keys = list(keys)
     p = explode_months(plan).select(
@@ -55,8 +55,13 @@ def apply_windows(
         F.col("end_date").alias("__e"),
         *[F.col(c) for c in plan_cols],
     )
+    # never broadcast on an estimate: Catalyst's static size of an exploded,
+    # filtered plan can be far below the real one (at sf0.1 it broadcast
+    # ~700k rows). Broadcast only after counting; else a sort-merge join.
     if broadcast_max_rows is not None and p.count() <= int(broadcast_max_rows):
         p = F.broadcast(p)
+    else:
+        p = p.hint("merge")
     r = raw.withColumn("__m", _month_index(F.col(date_col).cast(T.DateType())))
     d = F.col(date_col).cast(T.DateType())
     return (
