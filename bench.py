@@ -5,7 +5,7 @@ Runs at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``{"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}``.
 Each query is fully executed (a no-op write of every row), after one warm-up
 run of the whole set; the reported time per query is the best of
-``$BENCH_RUNS`` runs (default 2).
+``$BENCH_RUNS`` runs (default 3).
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(cores=cpus, shuffle_partitions=max(8, int(cpus) * 2) if cpus.isdigit() else 16)
     names = [n for n in HEADLINE if n in QUERIES]
     for n in names:  # warm-up: JIT, file listing, Python workers

@@ -77,12 +77,14 @@ def maintain_prices(
     failed after ``max_retry`` tries — their rows are not taken.
     """
     stored = read_current(spark, store_root, PRICES_STORED)
+    # planning reads only the universes of this run (partition filter)
+    mine = work.prune_to_universes(stored, universe)
     if mode == "fresh":
-        plan = work.plan_fresh(universe, stored, as_of, start=start)
+        plan = work.plan_fresh(universe, mine, as_of, start=start)
     elif mode == "update":
-        plan = work.plan_update(universe, stored, as_of, lookback_days=lookback_days, start=start)
+        plan = work.plan_update(universe, mine, as_of, lookback_days=lookback_days, start=start)
     elif mode == "backfill":
-        plan = work.plan_backfill(universe, stored, start=start, min_gap_days=min_gap_days)
+        plan = work.plan_backfill(universe, mine, start=start, min_gap_days=min_gap_days)
     else:
         raise ValueError("mode must be 'fresh', 'update' or 'backfill'")
 

@@ -33,10 +33,28 @@ from tickvault.schemas import (
 KEYS = ("Universe", "Ticker")
 
 
+# Most universe names a pruning filter is built from (one name per list file).
+MAX_PRUNE_NAMES = 10_000
+
+
 def _keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
+def prune_to_universes(stored: DataFrame, universe: DataFrame) -> DataFrame:
+    """Keep only the stored partitions of the universes being planned.
+
+    Stored tables are partitioned by ``Universe``; a literal ``IN`` filter
+    becomes a partition filter of the scan, so a run reads only its own
+    universes. The names are a short list (one per universe file) fetched
+    with a guard; past ``MAX_PRUNE_NAMES`` no filter is added (same result).
+    """
+    names = [r[0] for r in universe.select("Universe").distinct().limit(MAX_PRUNE_NAMES + 1).collect()]
+    if not names or len(names) > MAX_PRUNE_NAMES:
+        return stored
+    return stored.filter(F.col("Universe").isin(names))
+
+
 def plan_fresh(universe: DataFrame, stored: DataFrame, as_of, start=DEFAULT_START, keys: Sequence[str] = KEYS) -> DataFrame:
     """Universe tickers with no stored bar; window ``[start, as_of)``.
 
@@ -171,8 +189,10 @@ def plan_backfill(
     One plan row per gap, window ``[gap_start, gap_end + 1)``.
     """
     keys = list(keys)
-    in_universe = prices.join(_keys(universe, keys), keys, "left_semi")
-    gaps = find_gaps(in_universe, start=start, min_gap_days=min_gap_days, keys=keys, clip_to_start=clip_to_start)
+    # gaps first, then the semi join: the gap rows are far fewer than the bars,
+    # so the big side is shuffled once (by ticker-month), not twice
+    gaps = find_gaps(prices, start=start, min_gap_days=min_gap_days, keys=keys, clip_to_start=clip_to_start)
+    gaps = gaps.join(_keys(universe, keys), keys, "left_semi")
     return gaps.select(
         *keys,
         F.lit("backfill").alias("kind"),

@@ -16,9 +16,29 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # broadcast only sizes that were measured: no static (estimated) broadcast,
+    # AQE turns a join into a broadcast after the small side's shuffle stage
+    # has run and reported its real size
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16MB",
 }
 
 
+def recommended_conf(total_input_bytes: int | None = None) -> dict[str, str]:
+    """Settings for a cluster session (apply with ``SparkSession.builder.config``).
+
+    Shuffle partitions are sized for ~256 MB each at the given input size (AQE
+    coalesces small ones); files are split at 256 MB.
+    """
+    conf = dict(BASE_CONF)
+    conf.pop("spark.ui.enabled")
+    conf["spark.sql.files.maxPartitionBytes"] = str(256 << 20)
+    conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(256 << 20)
+    if total_input_bytes:
+        conf["spark.sql.shuffle.partitions"] = str(max(200, int(total_input_bytes // (256 << 20))))
+    return conf
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tickvault") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
