@@ -28,7 +28,7 @@ def test_publish_versions_and_crash(spark, tmp_root):
     df = resolve_latest(fx.bars_log(spark, SF), ["Universe", "Ticker", "Date"], fx.BARS_LOG_ORDER).select(*COLS)
     v1 = publish(df, root, partition_by=["Universe"], sort_within=["Ticker", "Date"])
     assert v1 == 1 and read_prices(spark, root).count() == df.count()
-    # a crashed publish: files of v=2 but no _SUCCESS -> readers keep v=1
+    # a crashed publish: files of v=2 but no manifest -> readers keep v=1
     os.makedirs(os.path.join(root, "v=2", "Universe=x"))
     with open(os.path.join(root, "v=2", "Universe=x", "part-0.parquet"), "wb") as f:
         f.write(b"garbage")
@@ -45,7 +45,8 @@ def test_corrupt_snapshot_raises(spark, tmp_root):
     os.makedirs(os.path.join(root, "v=1"))
     with open(os.path.join(root, "v=1", "part-0.parquet"), "wb") as f:
         f.write(b"not parquet")
-    open(os.path.join(root, "v=1", "_SUCCESS"), "w").close()
+    with open(os.path.join(root, "v=1", "_manifest.json"), "w") as f:
+        f.write('{"version": 1, "partition_by": null, "meta": {}}')
     with pytest.raises(Exception):
         read_prices(spark, root).count()
 
@@ -141,3 +142,19 @@ def test_maintain_free_float(spark, tmp_root):
     # eight days later every stored row is stale again
     r3 = maintain_free_float(spark, universe, attempts, root, as_of="2024-02-09 00:00:00")
     assert r3.plan.filter("reason = 'stale'").count() == n_users
+
+
+def test_publish_only_partitions(spark, tmp_root):
+    root = os.path.join(tmp_root, "t")
+    a = spark.createDataFrame([("A", "x", 1), ("B", "y", 2)], "Universe string, Ticker string, n int")
+    publish(a, root, partition_by=["Universe"])
+    b = spark.createDataFrame([("B", "z", 3)], "Universe string, Ticker string, n int")
+    v2 = publish(b, root, partition_by=["Universe"], only_partitions=True)
+    got = sorted(tuple(r) for r in read_current(spark, root, a.schema).collect())
+    assert got == [("A", "x", 1), ("B", "z", 3)]
+    # v=1 still holds universe A, so expiring keeps it
+    assert expire_snapshots(spark, root, keep=1) == []
+    v3 = publish(a, root, partition_by=["Universe"])
+    assert expire_snapshots(spark, root, keep=1) == [1, v2]
+    assert sorted(tuple(r) for r in read_current(spark, root, a.schema).collect()) == [("A", "x", 1), ("B", "y", 2)]
+    assert v3 == 3

@@ -9,8 +9,10 @@ All clocks are the explicit ``as_of``.
 Scale notes: the plan is one join of the universe with per-ticker aggregates
 (never a scan per ticker); the landed rows meet the plan through the
 month-bucketed range join (broadcast only after a count); the merge shuffles once on the bar key with a
-partial group limit before the exchange; the publish writes a new version
-beside the old one, so a lost executor or driver never leaves a half table.
+partial group limit before the exchange, and only the landed rows are
+shuffled (stored rows pass an anti join); the publish writes only the run's
+universes into a new version and commits it with a manifest, so a lost
+executor or driver never leaves a half table.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 
 from tickvault.operators import freefloat as ffo
 from tickvault.operators import reports as rep
-from tickvault.operators.merge import resolve_latest
+from tickvault.operators.merge import merge_latest
 from tickvault.plans import work
 from tickvault.plans.windows import apply_windows, materialise
 from tickvault.schemas import (
@@ -53,10 +55,6 @@ class RunResult:
     totals: DataFrame
 
 
-def _stored_with_order(stored: DataFrame) -> DataFrame:
-    return stored.withColumn("batch_id", F.lit(-1).cast(T.LongType())).withColumn("seq", F.lit(0).cast(T.LongType()))
-
-
 def maintain_prices(
     spark: SparkSession,
     universe: DataFrame,
@@ -102,9 +100,11 @@ def maintain_prices(
     if "seq" not in new_rows.columns:
         new_rows = new_rows.withColumn("seq", F.lit(0).cast(T.LongType()))
     cols = [f.name for f in PRICES_STORED.fields]
-    log = _stored_with_order(stored).unionByName(new_rows.select(*cols, "batch_id", "seq"))
-    merged = resolve_latest(log, BAR_KEYS, ("batch_id", "seq")).select(*cols)
-    version = publish(merged, store_root, partition_by=["Universe"], sort_within=["Ticker", "Date"])
+    # only the run's universes are rewritten; the others keep their files
+    merged = merge_latest(mine, new_rows.select(*cols, "batch_id", "seq"), BAR_KEYS, ("batch_id", "seq")).select(*cols)
+    version = publish(
+        merged, store_root, partition_by=["Universe"], sort_within=["Ticker", "Date"], only_partitions=True
+    )
 
     if mode == "backfill":
         report = rep.fill_outcome(plan, fetched)

@@ -49,10 +49,30 @@ def stamp_batch(df: DataFrame, batch_id: int, seq=None) -> DataFrame:
     return out
 
 
-def merge_bars(stored: DataFrame, landed: DataFrame, keys: Sequence[str] = ("Universe", "Ticker", "Date")) -> DataFrame:
-    """Stored table ∪ landed log -> resolved table.
+def merge_latest(
+    stored: DataFrame | None,
+    landed: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str] = DEFAULT_ORDER,
+) -> DataFrame:
+    """Published table (one row per key) + landed rows -> next table.
 
-    ``stored`` has no order columns and is placed before every landed batch.
+    Same result as :func:`resolve_latest` over ``stored ∪ landed`` with the
+    stored rows first, but only the landed rows are shuffled for the window;
+    stored rows pass through a (null-safe) anti join against the landed keys,
+    which AQE broadcasts when the landed key set is measured small — then the
+    stored table is read once and never shuffled.
     """
-    old = stamp_batch(stored, -1)
-    return resolve_latest(append(old, landed), keys)
+    keys = list(keys)
+    new = resolve_latest(landed, keys, order)
+    if stored is None:
+        return new
+    new_keys = new.select(*[F.col(k).alias("__k_" + k) for k in keys])
+    cond = [stored[k].eqNullSafe(new_keys["__k_" + k]) for k in keys]
+    kept = stored.join(new_keys, cond, "left_anti")
+    return kept.unionByName(new.select(*[c for c in new.columns if c in stored.columns]), allowMissingColumns=True)
+
+
+def merge_bars(stored: DataFrame, landed: DataFrame, keys: Sequence[str] = ("Universe", "Ticker", "Date")) -> DataFrame:
+    """Stored bar table (one row per key) + landed log -> resolved table."""
+    return merge_latest(stored, landed, keys)

@@ -1,13 +1,18 @@
-"""Atomic table publish (K1, K4-K6) on plain Parquet.
-
-A table is a folder of snapshots ``<root>/v=<N>``. A publish writes the next
-version with Spark's job committer (files appear with ``_SUCCESS`` only
-when the job commits) and readers take the highest version that has
-``_SUCCESS``. A crash leaves at most an uncommitted ``v=N+1`` that readers
-ignore; the previous version is never touched, so the reference's
-"write temp, rename over the target" becomes "write new version, move the
-pointer by existence of ``_SUCCESS``". Overwriting a path that is being read
-is never done (Spark would delete its own input).
+"""Atomic, incremental table publish (K1, K4-K6) on plain Parquet.
+
+A table is a folder of versions ``<root>/v=<N>``. A publish writes the rows
+of version N with one Spark job, then commits it by writing
+``v=N/_manifest.json`` (temp file + rename). Readers take the newest version
+that has a manifest, so a crash at any point leaves at most an uncommitted
+``v=N`` that nobody reads; the reference's "write temp, rename over the
+target" becomes "write a new version, then its manifest". No job overwrites
+a path it reads (Spark would delete its own input).
+
+For a table partitioned by ``Universe`` the manifest maps every partition to
+the version folder that holds its current files. ``only_partitions=True``
+writes just the partitions present in the DataFrame and inherits the others
+from the previous version, so a run over one universe rewrites that universe
+only (the reference also kept one file per universe).
 
 File system access goes through Hadoop's ``FileSystem`` of the session, so
 the root can be any shared store the cluster mounts.
@@ -15,11 +20,14 @@ the root can be any shared store the cluster mounts.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _V = re.compile(r"^v=(\d+)$")
+MANIFEST = "_manifest.json"
 
 
 def _fs(spark: SparkSession, root: str):
@@ -29,44 +37,103 @@ def _fs(spark: SparkSession, root: str):
     return path.getFileSystem(conf), path, jvm
 
 
+def _path(jvm, p: str):
+    return jvm.org.apache.hadoop.fs.Path(p)
+
+
 def version_path(root: str, v: int) -> str:
     return f"{root.rstrip('/')}/v={int(v)}"
 
 
-def list_versions(spark: SparkSession, root: str, committed_only: bool = True) -> list[int]:
-    fs, path, jvm = _fs(spark, root)
+def _all_versions(spark: SparkSession, root: str) -> list[int]:
+    fs, path, _ = _fs(spark, root)
     if not fs.exists(path):
         return []
     out = []
     for st in fs.listStatus(path):
         m = _V.match(st.getPath().getName())
-        if not m or not st.isDirectory():
-            continue
-        if committed_only and not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            continue
-        out.append(int(m.group(1)))
+        if m and st.isDirectory():
+            out.append(int(m.group(1)))
     return sorted(out)
 
 
+def list_versions(spark: SparkSession, root: str, committed_only: bool = True) -> list[int]:
+    vs = _all_versions(spark, root)
+    if not committed_only:
+        return vs
+    fs, _, jvm = _fs(spark, root)
+    return [v for v in vs if fs.exists(_path(jvm, version_path(root, v) + "/" + MANIFEST))]
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
     vs = list_versions(spark, root)
     return vs[-1] if vs else None
 
 
+def read_manifest(spark: SparkSession, root: str, v: int | None = None) -> dict | None:
+    """Manifest of version ``v`` (default: the current one), or None."""
+    if v is None:
+        v = current_version(spark, root)
+        if v is None:
+            return None
+    fs, _, jvm = _fs(spark, root)
+    p = _path(jvm, version_path(root, v) + "/" + MANIFEST)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    lines = []
+    line = reader.readLine()
+    while line is not None:
+        lines.append(line)
+        line = reader.readLine()
+    reader.close()
+    return json.loads("\n".join(lines))
+
+
+def _write_manifest(spark: SparkSession, root: str, v: int, manifest: dict) -> None:
+    fs, _, jvm = _fs(spark, root)
+    final = _path(jvm, version_path(root, v) + "/" + MANIFEST)
+    tmp = _path(jvm, version_path(root, v) + "/_manifest.json.tmp")
+    out = fs.create(tmp, True)
+    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode("utf-8")))
+    out.close()
+    if not fs.rename(tmp, final):
+        raise OSError(f"could not commit {final}")
+
+
+def _written_partitions(spark: SparkSession, root: str, v: int, col: str) -> list[str]:
+    fs, _, jvm = _fs(spark, root)
+    p = _path(jvm, version_path(root, v))
+    return sorted(
+        st.getPath().getName()
+        for st in fs.listStatus(p)
+        if st.isDirectory() and st.getPath().getName().startswith(col + "=")
+    )
+
+
 def publish(
     df: DataFrame,
     root: str,
     partition_by: list[str] | None = None,
     sort_within: list[str] | None = None,
+    only_partitions: bool = False,
+    meta: dict | None = None,
 ) -> int:
-    """K1: write ``df`` as the next version; returns the version number.
+    """K1: write ``df`` as the next version and commit it; returns the version.
 
-    ``sort_within`` orders rows inside each file (O1: Ticker, Date) without a
-    global sort; ``partition_by`` (e.g. Universe) lets readers prune.
+    ``partition_by`` takes at most one column (``Universe``). With
+    ``only_partitions`` the partitions absent from ``df`` keep their current
+    files. ``sort_within`` orders rows inside each file (O1: Ticker, Date)
+    without a global sort. ``meta`` is stored in the manifest.
     """
+    if partition_by and len(partition_by) != 1:
+        raise ValueError("publish partitions by one column at most")
     spark = df.sparkSession
-    all_versions = list_versions(spark, root, committed_only=False)
-    v = (all_versions[-1] + 1) if all_versions else 1
+    prev_v = current_version(spark, root)
+    prev = read_manifest(spark, root, prev_v) if prev_v is not None else None
+    existing = _all_versions(spark, root)
+    v = (existing[-1] + 1) if existing else 1
     out = df
     if sort_within:
         out = out.sortWithinPartitions(*sort_within)
@@ -74,48 +141,81 @@ def publish(
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(version_path(root, v))
+
+    manifest = {"version": v, "partition_by": partition_by[0] if partition_by else None, "meta": meta or {}}
+    if partition_by:
+        parts = {}
+        if only_partitions and prev and prev.get("partition_by") == partition_by[0]:
+            parts.update(prev["parts"])
+        for name in _written_partitions(spark, root, v, partition_by[0]):
+            parts[name] = v
+        manifest["parts"] = parts
+    _write_manifest(spark, root, v, manifest)
     return v
 
 
+def read_version(spark: SparkSession, root: str, schema, v: int | None = None) -> DataFrame | None:
+    """Rows of version ``v`` (default current) with an explicit schema; None if no version."""
+    m = read_manifest(spark, root, v)
+    if m is None:
+        return None
+    v = m["version"]
+    col = m.get("partition_by")
+    if not col:
+        return spark.read.schema(schema).parquet(version_path(root, v))
+    parts = m.get("parts", {})
+    if not parts:
+        return spark.createDataFrame([], schema)
+    paths = [f"{version_path(root, pv)}/{name}" for name, pv in sorted(parts.items())]
+    data_fields = [f for f in schema.fields if f.name != col]
+    part_field = [f for f in schema.fields if f.name == col]
+    from pyspark.sql import types as T
+
+    read_schema = T.StructType([*data_fields, T.StructField("v", T.IntegerType()), *part_field])
+    df = spark.read.option("basePath", root.rstrip("/")).schema(read_schema).parquet(*paths)
+    return df.select(*[F.col(f.name) for f in schema.fields])
+
+
 def expire_snapshots(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
-    """K6: drop all but the newest ``keep`` committed versions and any
-    uncommitted version older than the newest committed one."""
-    fs, path, jvm = _fs(spark, root)
+    """K6: drop versions no longer needed.
+
+    Kept: the newest ``keep`` committed versions and every version their
+    manifests still point to, plus anything newer than the newest commit
+    (a publish may be running). Dropped: everything else.
+    """
+    fs, _, jvm = _fs(spark, root)
     committed = list_versions(spark, root)
     if not committed:
         return []
     keep_set = set(committed[-keep:])
+    for v in committed[-keep:]:
+        m = read_manifest(spark, root, v) or {}
+        keep_set.update(int(x) for x in (m.get("parts") or {}).values())
     newest = committed[-1]
     dropped = []
-    for v in list_versions(spark, root, committed_only=False):
+    for v in _all_versions(spark, root):
         if v in keep_set or v > newest:
             continue
-        fs.delete(jvm.org.apache.hadoop.fs.Path(version_path(root, v)), True)
+        fs.delete(_path(jvm, version_path(root, v)), True)
         dropped.append(v)
     return dropped
 
 
 def write_marks(marks: DataFrame, root: str, run_id: str) -> None:
     """K4: marks of a run as one partition ``run_id=<id>`` (replaced whole)."""
-    spark = marks.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    from pyspark.sql import functions as F
-
-    marks.select("Universe", "Ticker").withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy(
-        "run_id"
-    ).parquet(root)
+    marks.select("Universe", "Ticker").withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run_id").parquet(root)
 
 
 def clear_marks(spark: SparkSession, root: str, run_id: str) -> None:
     """K4: the run completed (or nothing was due): drop its marks."""
-    fs, path, jvm = _fs(spark, root)
-    p = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/run_id={run_id}")
+    fs, _, jvm = _fs(spark, root)
+    p = _path(jvm, f"{root.rstrip('/')}/run_id={run_id}")
     if fs.exists(p):
         fs.delete(p, True)
 
 
 def cache_universe(universe: DataFrame, root: str) -> None:
     """K5: cache universe lists, one partition per universe (dynamic overwrite)."""
-    spark = universe.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    universe.write.mode("overwrite").partitionBy("Universe").parquet(root)
+    universe.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Universe").parquet(root)

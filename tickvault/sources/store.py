@@ -13,15 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickvault.schemas import FREE_FLOAT, FREE_FLOAT_V1_COLUMNS, PRICES_STORED
-from tickvault.sinks.publish import current_version, version_path
+from tickvault.sinks.publish import read_version
 
 
 def read_current(spark: SparkSession, root: str, schema) -> DataFrame:
     """Newest committed snapshot under ``root`` with an explicit schema."""
-    v = current_version(spark, root)
-    if v is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(version_path(root, v))
+    df = read_version(spark, root, schema)
+    return df if df is not None else spark.createDataFrame([], schema)
 
 
 def read_prices(spark: SparkSession, root: str) -> DataFrame:

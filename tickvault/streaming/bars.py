@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickvault.operators.merge import resolve_latest
+from tickvault.operators.merge import merge_latest
 from tickvault.session import shared_dir
-from tickvault.sinks.publish import _fs, current_version, publish, version_path
+from tickvault.sinks.publish import _fs, publish, read_manifest, read_version
 
 _B = re.compile(r"^batch_id=(-?\d+)$")
-META = "_tickvault.json"
 
 
 def append_log(batch: DataFrame, batch_id: int, log_root: str) -> None:
@@ -54,25 +53,10 @@ def log_batches(spark: SparkSession, log_root: str) -> list[int]:
     return sorted(out)
 
 
-def _write_meta(spark: SparkSession, root: str, v: int, meta: dict) -> None:
-    fs, _, jvm = _fs(spark, root)
-    out = fs.create(jvm.org.apache.hadoop.fs.Path(version_path(root, v) + "/" + META), True)
-    out.write(bytearray(json.dumps(meta).encode()))
-    out.close()
-
-
-def read_meta(spark: SparkSession, root: str, v: int | None) -> dict:
-    if v is None:
-        return {}
-    fs, _, jvm = _fs(spark, root)
-    p = jvm.org.apache.hadoop.fs.Path(version_path(root, v) + "/" + META)
-    if not fs.exists(p):
-        return {}
-    stream = fs.open(p)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-    text = reader.readLine()
-    reader.close()
-    return json.loads(text) if text else {}
+def read_meta(spark: SparkSession, root: str) -> dict:
+    """Meta of the current table version (``last_batch`` compacted)."""
+    m = read_manifest(spark, root)
+    return (m or {}).get("meta", {})
 
 
 def compact(
@@ -89,25 +73,25 @@ def compact(
 
     Returns the new version, or the current one when there is nothing new.
     """
-    v = current_version(spark, table_root)
-    seen = read_meta(spark, table_root, v).get("last_batch", -1)
+    m = read_manifest(spark, table_root)
+    v = m["version"] if m else None
+    seen = (m or {}).get("meta", {}).get("last_batch", -1)
     new_batches = [b for b in log_batches(spark, log_root) if b > seen]
     if not new_batches:
         return v
     data_cols = [f.name for f in schema.fields]
     landed = spark.read.parquet(log_root).filter(F.col("batch_id").isin(new_batches))
     landed = landed.select(*data_cols, *[c for c in order if c not in data_cols])
-    if v is None:
-        log = landed
-    else:
-        stored = spark.read.schema(schema).parquet(version_path(table_root, v))
-        for c in order:
-            stored = stored.withColumn(c, F.lit(-1).cast(T.LongType()))
-        log = stored.unionByName(landed)
-    merged = resolve_latest(log, keys, order).select(*data_cols)
-    nv = publish(merged, table_root, partition_by=list(partition_by), sort_within=list(sort_within))
-    _write_meta(spark, table_root, nv, {"last_batch": max(new_batches)})
-    return nv
+    stored = read_version(spark, table_root, schema)
+    merged = merge_latest(stored, landed, keys, order).select(*data_cols)
+    return publish(
+        merged,
+        table_root,
+        partition_by=list(partition_by),
+        sort_within=list(sort_within),
+        only_partitions=True,
+        meta={"last_batch": max(new_batches)},
+    )
 
 
 def read_live(
@@ -119,22 +103,18 @@ def read_live(
     order: Sequence[str] = ("batch_id", "seq"),
 ) -> DataFrame:
     """Merge on read: the table as if compacted now (nothing is written)."""
-    v = current_version(spark, table_root)
-    seen = read_meta(spark, table_root, v).get("last_batch", -1)
+    m = read_manifest(spark, table_root)
+    seen = (m or {}).get("meta", {}).get("last_batch", -1)
     new_batches = [b for b in log_batches(spark, log_root) if b > seen]
     data_cols = [f.name for f in schema.fields]
-    stored = (
-        spark.read.schema(schema).parquet(version_path(table_root, v))
-        if v is not None
-        else spark.createDataFrame([], schema)
-    )
+    stored = read_version(spark, table_root, schema)
+    if stored is None:
+        stored = spark.createDataFrame([], schema)
     if not new_batches:
         return stored
-    for c in order:
-        stored = stored.withColumn(c, F.lit(-1).cast(T.LongType()))
     landed = spark.read.parquet(log_root).filter(F.col("batch_id").isin(new_batches))
     landed = landed.select(*data_cols, *[c for c in order if c not in data_cols])
-    return resolve_latest(stored.unionByName(landed), keys, order).select(*data_cols)
+    return merge_latest(stored, landed, keys, order).select(*data_cols)
 
 
 def stream_landed(
