@@ -92,3 +92,18 @@ def test_resolve_latest_matches_keep_last(spark, rows):
     df = spark.createDataFrame([(t, d, b, i, v) for i, (t, d, b, v) in enumerate(rows)], "Ticker string, d int, batch_id long, seq long, v int")
     got = {(r.Ticker, r.d): r.v for r in resolve_latest(df, ["Ticker", "d"]).collect()}
     assert got == seen
+
+
+def test_plan_invariants(spark):
+    """SURVEY §5: windows of a ticker never overlap; fresh plan ∩ stored = ∅."""
+    from tickvault import fixtures as fx
+    from tickvault.plans import work
+
+    sf = "/root/testdata/sf0.001"
+    plan = work.plan_backfill(fx.parts_universe(spark, sf), fx.gappy_stored_log(spark, sf), start="1995-01-01", min_gap_days=7)
+    w = Window.partitionBy("Universe", "Ticker").orderBy("start_date")
+    overlaps = plan.withColumn("prev_end", F.lag("end_date").over(w)).filter(F.col("prev_end") > F.col("start_date"))
+    assert plan.count() > 0 and overlaps.count() == 0
+    stored = fx.pending_order_keys(spark, sf)
+    fresh = work.plan_fresh(fx.customer_universe(spark, sf), stored, as_of="2001-08-01")
+    assert fresh.count() > 0 and fresh.join(stored, ["Universe", "Ticker"], "inner").count() == 0

@@ -136,6 +136,16 @@ def plan_fresh(spark: SparkSession, sf: str) -> DataFrame:
     return work.plan_fresh(fx.customer_universe(spark, sf), fx.pending_order_keys(spark, sf), as_of=fx.UPDATE_AS_OF)
 
 
+def resume_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """W6 after a resume: fresh-plan positions counted on from the stored keys."""
+    universe = fx.customer_universe(spark, sf)
+    stored = fx.pending_order_keys(spark, sf)
+    plan = work.plan_fresh(universe, stored, as_of=fx.UPDATE_AS_OF)
+    return rep.resume_progress(plan, universe, stored).select(
+        *KEYS, "position", "run_position", "universe_total", "pct_done"
+    )
+
+
 def plan_resume(spark: SparkSession, sf: str) -> DataFrame:
     """Universe minus (stored ∪ marks)."""
     return work.plan_resume(
@@ -386,6 +396,7 @@ QUERIES = {
     "stream_keep_last": stream_keep_last,
     "plan_fresh": plan_fresh,
     "plan_resume": plan_resume,
+    "resume_progress": resume_progress,
     "plan_stale": plan_stale,
     "plan_stale_ignore_marks": plan_stale_ignore_marks,
     "plan_stale_retry_failed": plan_stale_retry_failed,

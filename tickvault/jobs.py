@@ -103,7 +103,11 @@ def maintain_prices(
     # only the run's universes are rewritten; the others keep their files
     merged = merge_latest(mine, new_rows.select(*cols, "batch_id", "seq"), BAR_KEYS, ("batch_id", "seq")).select(*cols)
     version = publish(
-        merged, store_root, partition_by=["Universe"], sort_within=["Ticker", "Date"], only_partitions=True
+        merged,
+        store_root,
+        partition_by=["Universe"],
+        sort_within=[F.col("Ticker"), F.asc_nulls_last("Date")],  # O1: missing dates last
+        only_partitions=True,
     )
 
     if mode == "backfill":

@@ -134,6 +134,32 @@ def progress(plan: DataFrame, order_key: str, batch_size: int = 10, partition_co
     ).withColumn("batch", F.floor((F.col("position") - 1) / F.lit(int(batch_size))).cast(T.LongType()))
 
 
+def resume_progress(
+    plan: DataFrame,
+    universe: DataFrame,
+    done: DataFrame,
+    order_key: str = "pos",
+    partition_cols: Sequence[str] = ("Universe",),
+) -> DataFrame:
+    """W6 as the reference prints it after a resume: the position counts on
+    from the tickers already done (distinct stored keys of the universe's
+    table, also those no longer listed), over the universe size — so it can
+    pass 100 %."""
+    parts = list(partition_cols)
+    p = dense_position(plan, parts, order_key, out="position")
+    total = universe.groupBy(*parts).agg(F.count(F.lit(1)).alias("universe_total"))
+    offset = done.select(*parts, "Ticker").distinct().groupBy(*parts).agg(F.count(F.lit(1)).alias("done_before"))
+    j = p.join(total, parts, "inner").join(offset, parts, "left")
+    run_pos = F.coalesce(F.col("done_before"), F.lit(0)) + F.col("position")
+    return j.select(
+        *plan.columns,
+        "position",
+        run_pos.cast(T.LongType()).alias("run_position"),
+        "universe_total",
+        round_half_up(run_pos * F.lit(100.0) / F.col("universe_total"), 1).alias("pct_done"),
+    )
+
+
 def failure_sample(resolved: DataFrame, order_key: str = "pos", n: int = 10) -> DataFrame:
     """O3: first ``n`` failures in processing order (error cut to 100 chars)
     and how many more failed."""
