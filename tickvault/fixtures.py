@@ -198,10 +198,10 @@ def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Error texts of the attempts scenario, by event_id % 4.
 ATTEMPT_ERRORS = {
-    0: "HTTP Error 429: Too Many Requests",
-    1: "Rate limited. Try after a while.",
+    0: "HTTP 429 Too Many Requests",
+    1: "Rate limit exceeded, slow down",
     2: "",
-    3: "No data found, symbol may be delisted",
+    3: "No quotes for this symbol",
 }
 
 

@@ -85,7 +85,8 @@ def find_gaps(
     if universe is not None and as_of is not None:
         empty = (
             universe.select(*keys)
-            .join(d.select(*keys), keys, "left_anti")
+            # distinct keys aggregate map-side, so only one row per ticker is shuffled
+            .join(d.select(*keys).distinct(), keys, "left_anti")
             .select(*keys, start_d.alias("gap_start"), lit_date(as_of).alias("gap_end"))
         )
         gaps = gaps.unionByName(empty)

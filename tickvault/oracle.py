@@ -75,8 +75,8 @@ FROM (
     ON u.Universe = l.Universe AND u.Ticker = l.Ticker)
 WHERE kind IS NOT NULL"""
 
-ERR_TEXT = """CASE event_id % 4 WHEN 0 THEN 'HTTP Error 429: Too Many Requests' WHEN 1 THEN 'Rate limited. Try after a while.'
-  WHEN 2 THEN '' ELSE 'No data found, symbol may be delisted' END"""
+ERR_TEXT = """CASE event_id % 4 WHEN 0 THEN 'HTTP 429 Too Many Requests' WHEN 1 THEN 'Rate limit exceeded, slow down'
+  WHEN 2 THEN '' ELSE 'No quotes for this symbol' END"""
 
 
 def _attempts(universe: str, prefix: str) -> str:
