@@ -240,7 +240,9 @@ def attempts(spark: SparkSession, sf_dir: str, universe: str = "users", prefix:
     # try number = position of the event in the user's time order; numbered
     # in day buckets so one busy user is not one task
     ev = e.select("event_id", "ts", "user_id", "event_type", "value").withColumn(
-        "ts_us", F.unix_micros(F.col("ts").cast(T.TimestampType()))
+        # micros since the epoch of the naive timestamp (no session zone involved)
+        "ts_us",
+        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType()), F.col("ts")),
     )
     ev = dense_position(ev, ["user_id"], "ts_us", out="attempt1", bucket_size=86_400_000_000).withColumn(
         "attempt", (F.col("attempt1") - 1).cast(T.IntegerType())
