@@ -82,7 +82,7 @@ def maintain_prices(
     elif mode == "update":
         plan = work.plan_update(universe, mine, as_of, lookback_days=lookback_days, start=start)
     elif mode == "backfill":
-        plan = work.plan_backfill(universe, mine, start=start, min_gap_days=min_gap_days)
+        plan = work.plan_backfill(universe, mine, start=start, min_gap_days=min_gap_days, dedupe=False)
     else:
         raise ValueError("mode must be 'fresh', 'update' or 'backfill'")
 

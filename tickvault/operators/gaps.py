@@ -43,10 +43,14 @@ def find_gaps(
     universe: DataFrame | None = None,
     as_of=None,
     clip_to_start: bool = False,
+    dedupe: bool = True,
 ) -> DataFrame:
     """Gaps as rows ``(*keys, gap_start, gap_end, gap_days)``, ends inclusive.
 
-    ``gap_days`` is the inclusive length in days.
+    ``gap_days`` is the inclusive length in days. ``dedupe`` first reduces the
+    input to distinct (key, date) with map-side partial aggregation, so many
+    copies of one bar (a re-landed feed) never reach one task; pass False for
+    a published table, which holds one row per key already.
     """
     keys = list(keys)
     n = int(min_gap_days)
@@ -56,6 +60,8 @@ def find_gaps(
         .filter(F.col("d").isNotNull())
         .withColumn("m", _month(F.col("d")))
     )
+    if dedupe:
+        d = d.distinct()
 
     in_month = Window.partitionBy(*keys, "m").orderBy("d")
     x = d.withColumn("prev", F.lag("d").over(in_month)).withColumn("nxt", F.lead("d").over(in_month))

@@ -183,15 +183,19 @@ def plan_backfill(
     min_gap_days: int = DEFAULT_MIN_GAP_DAYS,
     keys: Sequence[str] = KEYS,
     clip_to_start: bool = False,
+    dedupe: bool = True,
 ) -> DataFrame:
     """Universe ⋉ stored, then the gap rules; tickers without rows are skipped.
 
-    One plan row per gap, window ``[gap_start, gap_end + 1)``.
+    One plan row per gap, window ``[gap_start, gap_end + 1)``. ``dedupe=False``
+    for a published table (one row per key).
     """
     keys = list(keys)
     # gaps first, then the semi join: the gap rows are far fewer than the bars,
     # so the big side is shuffled once (by ticker-month), not twice
-    gaps = find_gaps(prices, start=start, min_gap_days=min_gap_days, keys=keys, clip_to_start=clip_to_start)
+    gaps = find_gaps(
+        prices, start=start, min_gap_days=min_gap_days, keys=keys, clip_to_start=clip_to_start, dedupe=dedupe
+    )
     gaps = gaps.join(_keys(universe, keys), keys, "left_semi")
     return gaps.select(
         *keys,
