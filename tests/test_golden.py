@@ -186,3 +186,24 @@ def test_resolve_latest_nulls_group(spark):
     )
     out = resolve_latest(df, ["Ticker", "Date"]).collect()
     assert [(r.Ticker, r.Close) for r in out] == [("A", 2.0)]
+
+
+def test_universe_order_across_splits(spark, tmp_root):
+    lines = [f"t{i:03d}" for i in range(300)]
+    lines[17] = "  "  # blank line dropped
+    lines[40] = lines[39]  # duplicate kept
+    with open(os.path.join(tmp_root, "big.txt"), "w") as f:
+        f.write("\r\n".join(lines))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.text(tmp_root).rdd.getNumPartitions() > 10  # many input splits
+        u = read_universe(spark, tmp_root, upper=False)
+        got = [(r.pos, r.Ticker) for r in u.orderBy("pos").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = [t.strip() for t in lines if t.strip()]
+    assert [t for _, t in got] == want
+    assert [p for p, _ in got] == list(range(1, len(want) + 1))

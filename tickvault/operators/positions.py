@@ -24,12 +24,21 @@ def dense_position(
     out: str = "position",
     bucket_size: int = DEFAULT_BUCKET,
     tiebreak: Sequence[str] = (),
+    bucket_col: str | None = None,
 ) -> DataFrame:
     """Add ``out`` = 1-based ``row_number`` over ``partition_cols`` ordered by
-    the integer column ``order_key`` (then ``tiebreak``)."""
+    the integer column ``order_key`` (then ``tiebreak``).
+
+    ``bucket_col`` replaces the ``order_key / bucket_size`` buckets by a
+    column that is already monotone with the order (e.g. a file split's
+    start offset, one bucket per split).
+    """
     parts = list(partition_cols)
     b = "__pos_bucket"
-    keyed = df.withColumn(b, F.floor(F.col(order_key) / F.lit(int(bucket_size))).cast(T.LongType()))
+    if bucket_col is not None:
+        keyed = df.withColumn(b, F.col(bucket_col).cast(T.LongType()))
+    else:
+        keyed = df.withColumn(b, F.floor(F.col(order_key) / F.lit(int(bucket_size))).cast(T.LongType()))
     counts = keyed.groupBy(*parts, b).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.withColumn(
         "__off",

@@ -1,9 +1,9 @@
 """Universe sources (S1-S3, S8): ticker lists as DataFrames.
 
-A universe file is a list of one market's tickers (the largest known holds
-~4,000 lines, ~31 KB). It is read whole (``wholetext``) so the line order is
-exact without relying on partition order, then exploded to one row per line;
-files are spread over tasks, lines over the rows that follow.
+Lists are read line by line (``spark.read.text``), so a list of any size is
+spread over file splits and tasks. The exact line order is rebuilt from
+``_metadata.file_block_start`` (the split) and the row order inside a split;
+positions come from :func:`dense_position` with one bucket per split.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from tickvault.functions.scalar import strip_ws, universe_name
 
-# Fixed value: line breaks recognised by Python's str.splitlines().
-LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# Fixed value: line breaks of Python's str.splitlines() beyond the \n, \r and
+# \r\n that the text reader already splits on.
+EXTRA_LINE_BREAKS = r"[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 TEXT_GLOB = "*.txt"
 
 
@@ -39,17 +40,21 @@ def read_universe(spark: SparkSession, path: str, upper: bool = True) -> DataFra
     """``(Universe, pos, Ticker)``; lines stripped like ``str.strip()``,
     blanks dropped, order and duplicates kept. Free-float jobs upper-case,
     the reference's price jobs do not (``upper=False``)."""
-    files = spark.read.option("pathGlobFilter", TEXT_GLOB).text(path, wholetext=True)
-    lines = files.select(
+    from tickvault.operators.positions import dense_position
+
+    lines = spark.read.option("pathGlobFilter", TEXT_GLOB).text(path).select(
         universe_name(F.col("_metadata.file_name")).alias("Universe"),
-        F.posexplode(F.split(F.col("value"), LINE_BREAKS)).alias("pos", "line"),
+        F.col("_metadata.file_block_start").alias("__blk"),
+        F.monotonically_increasing_id().alias("__row"),
+        F.posexplode(F.split(F.col("value"), EXTRA_LINE_BREAKS)).alias("__sub", "line"),
     )
     t = strip_ws(F.col("line"))
     if upper:
         t = F.upper(t)
-    return lines.select("Universe", F.col("pos").cast(T.LongType()).alias("pos"), t.alias("Ticker")).filter(
-        F.col("Ticker") != ""
-    )
+    kept = lines.withColumn("Ticker", t).filter(F.col("Ticker") != "")
+    return dense_position(
+        kept, ["Universe"], "__row", out="pos", tiebreak=["__sub"], bucket_col="__blk"
+    ).select("Universe", "pos", "Ticker")
 
 
 def prefer_source(primary: DataFrame, fallback: DataFrame, keys: Sequence[str] = ("Universe",)) -> DataFrame:
