@@ -207,3 +207,24 @@ def test_universe_order_across_splits(spark, tmp_root):
     want = [t.strip() for t in lines if t.strip()]
     assert [t for _, t in got] == want
     assert [p for p, _ in got] == list(range(1, len(want) + 1))
+
+
+def test_upsert_keep_last_good_across_batches(spark):
+    t = dt.datetime(2024, 1, 1)
+    cur = spark.createDataFrame(
+        [("u", "A", 10.0, 1.0, 10.0, "SUCCESS", None, t), ("u", "Z", 5.0, 5.0, 100.0, "SUCCESS", None, t)], FREE_FLOAT
+    )
+    inc = spark.createDataFrame(
+        [
+            ("u", "A", 20.0, 2.0, 10.0, "SUCCESS", None, t, 1, 0),
+            ("u", "A", None, None, None, "FAILED", "boom", t, 2, 0),
+            ("u", "B", None, None, None, "FAILED", "x", t, 1, 0),
+        ],
+        "Universe string, Ticker string, `Shares Outstanding` double, `Float Shares` double, `Free Float (%)` double, "
+        "Status string, Error string, `Last Updated` timestamp_ntz, batch_id long, seq long",
+    )
+    got = {r.Ticker: r for r in ffo.upsert_free_float(cur, inc, "keep_last_good").collect()}
+    assert (got["A"]["Shares Outstanding"], got["A"].Status, got["A"].Error) == (20.0, "FAILED", "boom")
+    assert got["B"]["Shares Outstanding"] is None and got["Z"]["Shares Outstanding"] == 5.0
+    rep = {r.Ticker: r for r in ffo.upsert_free_float(cur, inc, "replace").collect()}
+    assert rep["A"]["Shares Outstanding"] is None and rep["Z"]["Free Float (%)"] == 100.0 and len(rep) == 3

@@ -138,14 +138,16 @@ def maintain_free_float(
     success_rule: str = "call",
 ) -> RunResult:
     """Stale plan -> resolve tries -> free-float rows -> upsert -> publish."""
-    stored = read_current(spark, store_root, FREE_FLOAT)
+    stored = work.prune_to_universes(read_current(spark, store_root, FREE_FLOAT), universe)
     plan = materialise(work.plan_stale(universe, stored, marks, as_of, days=days, force=force, retry_failed=retry_failed))
     due_attempts = attempts.join(plan.select(*KEYS).distinct(), KEYS, "left_semi")
     resolved = ffo.resolve_attempts(due_attempts, max_retry=max_retry)
     rows = ffo.results_to_rows(resolved, as_of=as_of, success_rule=success_rule)
     table = ffo.upsert_free_float(stored, rows, on_failure=on_failure)
     cols = [f.name for f in FREE_FLOAT.fields]
-    version = publish(table.select(*cols), store_root, partition_by=["Universe"], sort_within=["Ticker"])
+    version = publish(
+        table.select(*cols), store_root, partition_by=["Universe"], sort_within=["Ticker"], only_partitions=True
+    )
     report = rows.select(*KEYS, "Status", "Error")
     totals = ffo.run_outcome(rows)
     return RunResult(version, plan, report, totals)

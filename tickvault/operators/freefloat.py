@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tickvault.functions.freefloat import free_float_pct
 from tickvault.functions.scalar import is_rate_limited, lit_ts, nan_to_null
+from tickvault.operators.merge import resolve_latest
 from tickvault.schemas import (
     COMPANY_INFO,
     DEFAULT_MAX_RETRY,
@@ -161,42 +162,50 @@ def upsert_free_float(
 ) -> DataFrame:
     """K2: ``INSERT OR REPLACE`` on the key, newest row wins.
 
-    ``current`` is the stored table (placed first); ``incoming`` carries its
-    write order in ``order`` columns (or gets batch 0). ``on_failure=
-    "replace"`` is the reference: a FAILED row blanks earlier good numbers;
-    ``"keep_last_good"`` keeps the numbers of the newest SUCCESS row.
+    ``current`` is the stored table (one row per key, placed first);
+    ``incoming`` carries its write order in ``order`` columns (or gets batch
+    0). ``on_failure="replace"`` is the reference: a FAILED row blanks earlier
+    good numbers; ``"keep_last_good"`` keeps the numbers of the newest SUCCESS
+    row. Only incoming rows are windowed; stored rows pass an anti join, and
+    the good-number lookup touches only keys whose newest try failed.
     """
     keys = list(keys)
     if on_failure not in ("replace", "keep_last_good"):
         raise ValueError("on_failure must be 'replace' or 'keep_last_good'")
-    cur = current
-    for c in order:
-        cur = cur.withColumn(c, F.lit(-1).cast(T.LongType()))
     inc = incoming
     for c in order:
         if c not in inc.columns:
             inc = inc.withColumn(c, F.lit(0).cast(T.LongType()))
-    log = cur.unionByName(inc, allowMissingColumns=True)
-    cols = [c for c in log.columns if c not in order]
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    latest = log.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1)
+    cols = list(current.columns)
+    new = resolve_latest(inc, keys, order)
+    new_keys = new.select(*[F.col(k).alias("__k_" + k) for k in keys])
+    kept = current.join(new_keys, [current[k].eqNullSafe(new_keys["__k_" + k]) for k in keys], "left_anti")
     if on_failure == "replace":
-        return latest.select(*cols)
-    # numbers of the newest SUCCESS row per key (aggregated, then joined)
-    ordkey = F.struct(*[F.col(c) for c in order])
-    good = log.filter(F.col("Status").isNull() | (F.col("Status") == STATUS_SUCCESS)).groupBy(*keys).agg(
-        F.max_by(F.struct(F.col(FF_SHARES), F.col(FF_FLOAT), F.col(FF_PCT)), ordkey).alias("__good")
+        return kept.unionByName(new.select(*cols), allowMissingColumns=True)
+
+    nums = [FF_SHARES, FF_FLOAT, FF_PCT]
+    failed_keys = new.filter(F.col("Status") == STATUS_FAILED).select(*keys)
+    cur = current
+    for c in order:
+        cur = cur.withColumn(c, F.lit(-1).cast(T.LongType()))
+    cand = (
+        cur.join(failed_keys, keys, "left_semi")
+        .unionByName(inc.join(failed_keys, keys, "left_semi"), allowMissingColumns=True)
+        .filter(F.col("Status").isNull() | (F.col("Status") == STATUS_SUCCESS))
+    )
+    good = resolve_latest(cand.select(*keys, *nums, *order), keys, order).select(
+        *keys, *[F.col(c).alias("__g_" + c) for c in nums], F.lit(True).alias("__has_good")
     )
     failed = F.col("Status") == STATUS_FAILED
-    out = latest.join(good, keys, "left")
-    return out.select(
+    fixed = new.join(good, keys, "left").select(
         *[
-            F.when(failed & F.col("__good").isNotNull(), F.col("__good")[c]).otherwise(F.col(c)).alias(c)
-            if c in (FF_SHARES, FF_FLOAT, FF_PCT)
+            F.when(failed & F.col("__has_good").isNotNull(), F.col("__g_" + c)).otherwise(F.col(c)).alias(c)
+            if c in nums
             else F.col(c)
             for c in cols
         ]
     )
+    return kept.unionByName(fixed)
 
 
 def run_outcome(resolved_rows: DataFrame, keys: Sequence[str] = ("Universe",)) -> DataFrame:
