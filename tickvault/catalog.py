@@ -137,9 +137,10 @@ def plan_fresh(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resume_progress(spark: SparkSession, sf: str) -> DataFrame:
-    """W6 after a resume: fresh-plan positions counted on from the stored keys."""
-    universe = fx.customer_universe(spark, sf)
-    stored = fx.pending_order_keys(spark, sf)
+    """W6 after a resume: fresh-plan positions counted on from the stored keys
+    (one universe per market segment)."""
+    universe = fx.segment_universe(spark, sf)
+    stored = fx.pending_segment_keys(spark, sf)
     plan = work.plan_fresh(universe, stored, as_of=fx.UPDATE_AS_OF)
     return rep.resume_progress(plan, universe, stored).select(
         *KEYS, "position", "run_position", "universe_total", "pct_done"

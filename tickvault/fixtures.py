@@ -127,6 +127,25 @@ def customer_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def segment_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers split into one universe per market segment (5 universes)."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        F.col("c_mktsegment").alias("Universe"),
+        F.col("c_custkey").cast(T.LongType()).alias("pos"),
+        _tick("C", "c_custkey").alias("Ticker"),
+    )
+
+
+def pending_segment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored keys per segment universe: customers with an order in status 'P'."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P").select("o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return o.join(c, o.o_custkey == c.c_custkey, "inner").select(
+        F.col("c_mktsegment").alias("Universe"), _tick("C", "o_custkey").alias("Ticker")
+    )
+
+
 def pending_order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored keys: customers with an order in status 'P'."""
     o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P")

@@ -103,29 +103,34 @@ def resolve_attempts(attempts: DataFrame, max_retry: int = DEFAULT_MAX_RETRY, ke
     keys = list(keys)
     a = attempts.filter(F.col("attempt") < F.lit(int(max_retry)))
     ok_att = F.when(F.col("ok"), F.col("attempt"))
-    # after the filter a key has at most max_retry rows, so this window's
-    # groups are bounded; the aggregation below reuses its partitioning
-    a = a.withColumn("__ok_at", F.min(ok_att).over(Window.partitionBy(*keys)))
-    spent = a.filter(F.col("__ok_at").isNull() | (F.col("attempt") <= F.col("__ok_at")))
-    agg = spent.groupBy(*keys).agg(
-        F.min(ok_att).alias("__ok_at"),
-        F.min_by(F.col("payload"), ok_att).alias("payload"),
-        F.max_by(F.col("error"), F.when(~F.col("ok"), F.col("attempt"))).alias("__last_error"),
-        F.count(F.lit(1)).alias("tries"),
-        F.count_if((~F.col("ok")) & is_rate_limited(F.col("error"))).alias("rate_limited"),
-        F.min("started_at").alias("started_at"),
-        F.max("finished_at").alias("finished_at"),
+    # after the filter a key has at most max_retry rows, so every window
+    # group is bounded; both windows share one shuffle by key
+    whole = Window.partitionBy(*keys)
+    spent = a.withColumn("__ok_at", F.min(ok_att).over(whole)).filter(
+        F.col("__ok_at").isNull() | (F.col("attempt") <= F.col("__ok_at"))
     )
-    err = F.substring(F.col("__last_error"), 1, ERROR_MAX_CHARS)
-    return agg.select(
+    # the last try spent is the good one (SUCCESS) or the last failure (FAILED)
+    last_first = Window.partitionBy(*keys).orderBy(F.col("attempt").desc())
+    rl = (~F.col("ok")) & is_rate_limited(F.col("error"))
+    r = (
+        spent.withColumn("__rn", F.row_number().over(last_first))
+        .withColumn("tries", F.count(F.lit(1)).over(whole))
+        .withColumn("rate_limited", F.sum(rl.cast(T.LongType())).over(whole))
+        .withColumn("__t0", F.min("started_at").over(whole))
+        .withColumn("__t1", F.max("finished_at").over(whole))
+        .filter(F.col("__rn") == 1)
+    )
+    success = F.col("__ok_at").isNotNull()
+    err = F.substring(F.col("error"), 1, ERROR_MAX_CHARS)
+    return r.select(
         *keys,
-        F.when(F.col("__ok_at").isNotNull(), F.lit(STATUS_SUCCESS)).otherwise(F.lit(STATUS_FAILED)).alias("Status"),
-        F.when(F.col("__ok_at").isNull(), F.coalesce(F.nullif(err, F.lit("")), F.lit(UNKNOWN_ERROR))).alias("Error"),
-        "payload",
-        "tries",
-        "rate_limited",
-        "started_at",
-        "finished_at",
+        F.when(success, F.lit(STATUS_SUCCESS)).otherwise(F.lit(STATUS_FAILED)).alias("Status"),
+        F.when(~success, F.coalesce(F.nullif(err, F.lit("")), F.lit(UNKNOWN_ERROR))).alias("Error"),
+        F.when(success, F.col("payload")).alias("payload"),
+        F.col("tries").cast(T.LongType()).alias("tries"),
+        F.col("rate_limited").cast(T.LongType()).alias("rate_limited"),
+        F.col("__t0").alias("started_at"),
+        F.col("__t1").alias("finished_at"),
     )
 
 

@@ -202,10 +202,12 @@ FROM s WHERE gap_rank <= 3""",
 FROM ({BARS_P}) GROUP BY Universe, Ticker""",
     "plan_fresh": f"""SELECT u.*, 'fresh' AS kind, DATE '2000-01-01' AS start_date, DATE '2001-08-01' AS end_date
 FROM ({U_CUST}) u WHERE NOT EXISTS (SELECT 1 FROM ({PENDING}) s WHERE s.Universe = u.Universe AND s.Ticker = u.Ticker)""",
-    "resume_progress": f"""WITH p AS (SELECT u.* FROM ({U_CUST}) u
-             WHERE NOT EXISTS (SELECT 1 FROM ({PENDING}) s WHERE s.Universe = u.Universe AND s.Ticker = u.Ticker)),
-d AS (SELECT Universe, count(*) AS done_before FROM ({PENDING}) GROUP BY Universe),
-t AS (SELECT Universe, count(*) AS universe_total FROM ({U_CUST}) GROUP BY Universe),
+    "resume_progress": f"""WITH u AS (SELECT c_mktsegment AS Universe, c_custkey AS pos, 'C' || CAST(c_custkey AS VARCHAR) AS Ticker FROM customer),
+s AS (SELECT DISTINCT c.c_mktsegment AS Universe, 'C' || CAST(o.o_custkey AS VARCHAR) AS Ticker
+      FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = 'P'),
+p AS (SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.Universe = u.Universe AND s.Ticker = u.Ticker)),
+d AS (SELECT Universe, count(*) AS done_before FROM s GROUP BY Universe),
+t AS (SELECT Universe, count(*) AS universe_total FROM u GROUP BY Universe),
 q AS (SELECT p.Universe, p.Ticker, row_number() OVER (PARTITION BY p.Universe ORDER BY p.pos) AS position FROM p)
 SELECT q.Universe, q.Ticker, q.position, COALESCE(d.done_before, 0) + q.position AS run_position, t.universe_total,
   floor((COALESCE(d.done_before, 0) + q.position) * CAST(100 AS DOUBLE) / t.universe_total * CAST(10 AS DOUBLE)
