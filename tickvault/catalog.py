@@ -8,21 +8,20 @@ columns carry the same names as the matching DuckDB statement in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickvault import fixtures as fx
-from tickvault.functions.scalar import lit_date, lit_ts, local_date
+from tickvault.functions.scalar import lit_ts
 from tickvault.operators import freefloat as ffo
 from tickvault.operators import reports as rep
 from tickvault.operators.gaps import find_gaps
 from tickvault.operators.merge import resolve_latest
 from tickvault.operators.normalize import normalize_quotes
-from tickvault.operators.positions import dense_position
 from tickvault.plans import work
 from tickvault.plans.windows import apply_windows
-from tickvault.schemas import FF_UPDATED, STATUS_SUCCESS
+from tickvault.schemas import FF_PCT, FF_UPDATED, STATUS_SUCCESS
 from tickvault.sources.universe import prefer_source
 from tickvault.sources.store import union_free_float_versions
 
@@ -297,8 +296,6 @@ def free_float(spark: SparkSession, sf: str) -> DataFrame:
 def free_float_v1_status(spark: SparkSession, sf: str) -> DataFrame:
     """v1 success rule (pct present) and outcome counts."""
     ff = ffo.with_free_float(fx.company_info(spark, sf))
-    from tickvault.schemas import FF_PCT
-
     rows = ff.withColumn("Status", ffo.success_status(F.col(FF_PCT), "value"))
     return ffo.run_outcome(rows)
 

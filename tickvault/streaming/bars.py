@@ -15,7 +15,6 @@ writes only its own rows and compaction runs when the caller chooses
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Sequence
 
