@@ -158,3 +158,21 @@ def test_publish_only_partitions(spark, tmp_root):
     assert expire_snapshots(spark, root, keep=1) == [1, v2]
     assert sorted(tuple(r) for r in read_current(spark, root, a.schema).collect()) == [("A", "x", 1), ("B", "y", 2)]
     assert v3 == 3
+
+
+def test_compact_touches_only_landed_universes(spark, tmp_root):
+    from tickvault.sinks.publish import read_manifest
+    from tickvault.streaming.bars import append_log
+
+    schema = PRICES_STORED
+    rows = [("A", "x", dt.date(2020, 1, 1), 1.0), ("B", "y", dt.date(2020, 1, 1), 2.0)]
+    cols = "Universe string, Ticker string, Date date, Close double"
+    log_root, table_root = os.path.join(tmp_root, "log"), os.path.join(tmp_root, "table")
+    append_log(spark.createDataFrame(rows, cols).withColumn("seq", F.lit(0).cast("long")), 0, log_root)
+    assert compact(spark, log_root, table_root, schema) == 1
+    append_log(spark.createDataFrame([("B", "y", dt.date(2020, 1, 1), 3.0)], cols).withColumn("seq", F.lit(0).cast("long")), 1, log_root)
+    assert compact(spark, log_root, table_root, schema) == 2
+    m = read_manifest(spark, table_root)
+    assert m["parts"] == {"Universe=A": 1, "Universe=B": 2}
+    got = {r.Universe: r.Close for r in read_current(spark, table_root, schema).collect()}
+    assert got == {"A": 1.0, "B": 3.0}

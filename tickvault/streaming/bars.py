@@ -52,6 +52,15 @@ def log_batches(spark: SparkSession, log_root: str) -> list[int]:
     return sorted(out)
 
 
+def _conform(landed: DataFrame, schema: T.StructType, order: Sequence[str]) -> DataFrame:
+    """Log rows in table column order; columns a feed lacks are typed NULLs."""
+    cols = [
+        F.col(f.name).cast(f.dataType).alias(f.name) if f.name in landed.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ]
+    return landed.select(*cols, *[F.col(c) for c in order if c not in schema.fieldNames()])
+
+
 def read_meta(spark: SparkSession, root: str) -> dict:
     """Meta of the current table version (``last_batch`` compacted)."""
     m = read_manifest(spark, root)
@@ -79,9 +88,14 @@ def compact(
     if not new_batches:
         return v
     data_cols = [f.name for f in schema.fields]
-    landed = spark.read.parquet(log_root).filter(F.col("batch_id").isin(new_batches))
-    landed = landed.select(*data_cols, *[c for c in order if c not in data_cols])
+    landed = _conform(spark.read.parquet(log_root).filter(F.col("batch_id").isin(new_batches)), schema, order)
     stored = read_version(spark, table_root, schema)
+    if stored is not None and partition_by:
+        # rewrite only the partitions the new batches touch; the manifest
+        # keeps the others where they are
+        from tickvault.plans.work import prune_to_universes
+
+        stored = prune_to_universes(stored, landed.select(F.col(partition_by[0]).alias("Universe")))
     merged = merge_latest(stored, landed, keys, order).select(*data_cols)
     return publish(
         merged,
@@ -111,8 +125,7 @@ def read_live(
         stored = spark.createDataFrame([], schema)
     if not new_batches:
         return stored
-    landed = spark.read.parquet(log_root).filter(F.col("batch_id").isin(new_batches))
-    landed = landed.select(*data_cols, *[c for c in order if c not in data_cols])
+    landed = _conform(spark.read.parquet(log_root).filter(F.col("batch_id").isin(new_batches)), schema, order)
     return merge_latest(stored, landed, keys, order).select(*data_cols)
 
 
