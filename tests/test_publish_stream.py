@@ -176,3 +176,15 @@ def test_compact_touches_only_landed_universes(spark, tmp_root):
     assert m["parts"] == {"Universe=A": 1, "Universe=B": 2}
     got = {r.Universe: r.Close for r in read_current(spark, table_root, schema).collect()}
     assert got == {"A": 1.0, "B": 3.0}
+
+
+def test_prices_guards(spark, tmp_root):
+    root = os.path.join(tmp_root, "prices")
+    universe = fx.parts_universe(spark, SF)
+    landed = fx.gappy_log(spark, SF).withColumn("seq", F.col("seq") * 1_000_000 + F.col("seq_tie")).drop("batch_id", "seq_tie")
+    with pytest.raises(ValueError):
+        maintain_prices(spark, universe, landed, root, "update", as_of="2002-01-01")
+    assert maintain_prices(spark, universe, landed, root, "fresh", as_of="2002-01-01", start="1995-01-01").version == 1
+    # everything stored: the fresh plan is empty, nothing is republished
+    again = maintain_prices(spark, universe, landed, root, "fresh", as_of="2002-01-01", start="1995-01-01")
+    assert again.version == 1 and again.plan.count() == 0 and list_versions(spark, root) == [1]

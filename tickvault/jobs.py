@@ -75,6 +75,10 @@ def maintain_prices(
     failed after ``max_retry`` tries — their rows are not taken.
     """
     stored = read_current(spark, store_root, PRICES_STORED)
+    v0 = current_version(spark, store_root)
+    if mode in ("update", "backfill") and v0 is None:
+        # as the reference: these modes need a stored table (run "fresh" first)
+        raise ValueError(f"mode={mode!r} needs a stored table at {store_root}; run mode='fresh' first")
     # planning reads only the universes of this run (partition filter)
     mine = work.prune_to_universes(stored, universe)
     if mode == "fresh":
@@ -87,6 +91,11 @@ def maintain_prices(
         raise ValueError("mode must be 'fresh', 'update' or 'backfill'")
 
     plan = materialise(plan)
+    if plan.isEmpty():
+        # nothing missing, stale or gappy: no fetch, no publish (the plan is
+        # materialised, so this check reads a few files)
+        empty = plan.select(*KEYS).filter(F.lit(False))
+        return RunResult(v0, plan, empty, empty.groupBy("Universe").count())
     resolved = ffo.resolve_attempts(attempts, max_retry=max_retry) if attempts is not None else None
     take = plan
     if resolved is not None:
@@ -94,7 +103,6 @@ def maintain_prices(
         take = materialise(plan.join(failed, KEYS, "left_anti"))
     fetched = apply_windows(landed, take, keys=KEYS, plan_cols=["start_date"], broadcast_max_rows=BROADCAST_PLAN_ROWS)
 
-    v0 = current_version(spark, store_root)
     batch = (v0 or 0) + 1
     new_rows = fetched.drop("start_date").withColumn("batch_id", F.lit(batch).cast(T.LongType()))
     if "seq" not in new_rows.columns:
