@@ -150,7 +150,9 @@ def maintain_free_float(
     plan = materialise(work.plan_stale(universe, stored, marks, as_of, days=days, force=force, retry_failed=retry_failed))
     due_attempts = attempts.join(plan.select(*KEYS).distinct(), KEYS, "left_semi")
     resolved = ffo.resolve_attempts(due_attempts, max_retry=max_retry)
-    rows = ffo.results_to_rows(resolved, as_of=as_of, success_rule=success_rule)
+    # one row per due ticker, read by the upsert (up to three times) and the
+    # report: materialised once instead of re-resolving the tries
+    rows = materialise(ffo.results_to_rows(resolved, as_of=as_of, success_rule=success_rule))
     table = ffo.upsert_free_float(stored, rows, on_failure=on_failure)
     cols = [f.name for f in FREE_FLOAT.fields]
     version = publish(
