@@ -188,3 +188,21 @@ def test_prices_guards(spark, tmp_root):
     # everything stored: the fresh plan is empty, nothing is republished
     again = maintain_prices(spark, universe, landed, root, "fresh", as_of="2002-01-01", start="1995-01-01")
     assert again.version == 1 and again.plan.count() == 0 and list_versions(spark, root) == [1]
+
+
+def test_free_float_resume_mode(spark, tmp_root):
+    from tickvault.schemas import FREE_FLOAT
+
+    root = os.path.join(tmp_root, "ff1")
+    universe = fx.users_universe(spark, SF)
+    attempts = fx.attempts(spark, SF)
+    r1 = maintain_free_float(spark, universe, attempts, root, as_of="2024-02-01 00:00:00", plan="resume", success_rule="value")
+    stored = read_current(spark, root, FREE_FLOAT)
+    n = stored.count()
+    assert n == attempts.select("Ticker").distinct().count()
+    # v1 rule: status follows the percentage
+    bad = stored.filter("(Status = 'SUCCESS') <> (`Free Float (%)` IS NOT NULL)").count()
+    assert bad == 0
+    # a second run much later plans only the universe rows never stored
+    r2 = maintain_free_float(spark, universe, attempts, root, as_of="2025-01-01 00:00:00", plan="resume")
+    assert r2.plan.count() == universe.count() - n

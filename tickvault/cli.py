@@ -88,6 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     ff.add_argument("--ignore-marks", action="store_true", help="skip marks, keep the age rule (v3 meaning)")
     ff.add_argument("--retry-failed", action="store_true")
     ff.add_argument("--keep-last-good", action="store_true", help="a FAILED try keeps the last good numbers")
+    ff.add_argument("--resume-only", action="store_true", help="first version: skip every stored ticker; success = %% present")
 
     gp = sub.add_parser("gaps", help="report gaps of the stored bars (A8, O4)")
     gp.add_argument("--universe", required=True)
@@ -142,6 +143,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             retry_failed=a.retry_failed,
             max_retry=a.max_retry,
             on_failure="keep_last_good" if a.keep_last_good else "replace",
+            plan="resume" if a.resume_only else "stale",
+            success_rule="value" if a.resume_only else "call",
         )
         print(f"published version {run.version}")
         run.totals.show(truncate=False)

@@ -144,10 +144,23 @@ def maintain_free_float(
     max_retry: int = DEFAULT_MAX_RETRY,
     on_failure: str = "replace",
     success_rule: str = "call",
+    plan: str = "stale",
 ) -> RunResult:
-    """Stale plan -> resolve tries -> free-float rows -> upsert -> publish."""
+    """Plan -> resolve tries -> free-float rows -> upsert -> publish.
+
+    ``plan="stale"`` is the v2/v3 freshness rule (J3/J4); ``plan="resume"``
+    the first version's rule (J2: universe minus stored ∪ marks, any stored
+    row is done for ever), usually with ``success_rule="value"`` (C5).
+    """
     stored = work.prune_to_universes(read_current(spark, store_root, FREE_FLOAT), universe)
-    plan = materialise(work.plan_stale(universe, stored, marks, as_of, days=days, force=force, retry_failed=retry_failed))
+    if plan == "stale":
+        todo = work.plan_stale(universe, stored, marks, as_of, days=days, force=force, retry_failed=retry_failed)
+    elif plan == "resume":
+        no_marks = spark.createDataFrame([], "Universe string, Ticker string")
+        todo = work.plan_resume(universe, stored, marks if marks is not None else no_marks)
+    else:
+        raise ValueError("plan must be 'stale' or 'resume'")
+    plan = materialise(todo)
     due_attempts = attempts.join(plan.select(*KEYS).distinct(), KEYS, "left_semi")
     resolved = ffo.resolve_attempts(due_attempts, max_retry=max_retry)
     # one row per due ticker, read by the upsert (up to three times) and the
