@@ -107,3 +107,24 @@ def test_plan_invariants(spark):
     stored = fx.pending_order_keys(spark, sf)
     fresh = work.plan_fresh(fx.customer_universe(spark, sf), stored, as_of="2001-08-01")
     assert fresh.count() > 0 and fresh.join(stored, ["Universe", "Ticker"], "inner").count() == 0
+
+
+@SETTINGS
+@given(
+    stored=st.lists(st.tuples(st.sampled_from("AB"), st.one_of(st.none(), st.integers(0, 4)), st.integers(0, 99)), max_size=15),
+    landed=st.lists(st.tuples(st.sampled_from("ABC"), st.one_of(st.none(), st.integers(0, 4)), st.integers(0, 2), st.integers(0, 99)), max_size=25),
+)
+def test_merge_latest_equals_resolve_over_union(spark, stored, landed):
+    from tickvault.operators.merge import merge_latest
+
+    # a published table holds one row per key
+    uniq = {}
+    for t, d, v in stored:
+        uniq[(t, d)] = v
+    s_df = spark.createDataFrame([(t, d, v) for (t, d), v in uniq.items()], "Ticker string, d int, v int")
+    l_df = spark.createDataFrame([(t, d, b, i, v) for i, (t, d, b, v) in enumerate(landed)], "Ticker string, d int, batch_id long, seq long, v int")
+    got = sorted(merge_latest(s_df, l_df, ["Ticker", "d"]).collect(), key=lambda r: (r.Ticker, -1 if r.d is None else r.d))
+    want = dict(uniq)
+    for i, (t, d, b, v) in sorted(enumerate(landed), key=lambda x: (x[1][2], x[0])):
+        want[(t, d)] = v
+    assert [(r.Ticker, r.d, r.v) for r in got] == sorted(((t, d, v) for (t, d), v in want.items()), key=lambda x: (x[0], -1 if x[1] is None else x[1]))
