@@ -228,3 +228,28 @@ def test_upsert_keep_last_good_across_batches(spark):
     assert got["B"]["Shares Outstanding"] is None and got["Z"]["Shares Outstanding"] == 5.0
     rep = {r.Ticker: r for r in ffo.upsert_free_float(cur, inc, "replace").collect()}
     assert rep["A"]["Shares Outstanding"] is None and rep["Z"]["Free Float (%)"] == 100.0 and len(rep) == 3
+
+
+def test_universe_lists_across_part_files(spark, tmp_root):
+    from tickvault import fixtures as fx
+
+    keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    old = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        root = fx.write_segment_lists(spark, "/root/testdata/sf0.001", os.path.join(tmp_root, "lists"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    seg = sorted(d for d in os.listdir(root) if d.startswith("Universe="))[0]
+    assert len([f for f in os.listdir(os.path.join(root, seg)) if f.endswith(".txt")]) > 1
+    u = read_universe(spark, root)
+    got = {}
+    for r in u.orderBy("Universe", "pos").collect():
+        got.setdefault(r.Universe, []).append((r.pos, r.Ticker))
+    cust = fx.table(spark, "/root/testdata/sf0.001", "customer").collect()
+    for name, rows in got.items():
+        keys_sorted = sorted(c.c_custkey for c in cust if c.c_mktsegment == name)
+        assert [t for _, t in rows] == [f"C{k}" for k in keys_sorted]
+        assert [p for p, _ in rows] == list(range(1, len(rows) + 1))

@@ -370,6 +370,19 @@ def run_timing(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sources and normalisation
 
+def universe_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Universe text lists (derived from the customer table, written to a
+    fresh folder under the shared checkpoint dir) read back with exact order,
+    stripping, blank removal and upper-casing."""
+    import uuid
+
+    from tickvault.session import shared_dir
+    from tickvault.sources.universe import read_universe
+
+    root = fx.write_segment_lists(spark, sf, shared_dir(spark, f"queries/universe_lists/{uuid.uuid4().hex}"))
+    return read_universe(spark, root, upper=True)
+
+
 def prefer_primary(spark: SparkSession, sf: str) -> DataFrame:
     """S3: primary list first, fallback only for keys the primary lacks."""
     primary, fallback = fx.nation_lists(spark, sf)
@@ -420,6 +433,7 @@ QUERIES = {
     "free_float_versions": free_float_versions,
     "failure_sample": failure_sample,
     "run_timing": run_timing,
+    "universe_lists": universe_lists,
     "prefer_primary": prefer_primary,
     "normalized_quotes": normalized_quotes,
 }

@@ -320,3 +320,27 @@ def landed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_linenumber").alias("line_number"),
         )
     )
+
+
+def write_segment_lists(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """Land customer tickers as universe text lists, one per market segment.
+
+    Lines are padded, lower case and CRLF-terminated, as hand-kept lists are;
+    ``repartitionByRange`` keeps each list in key order across several part
+    files (part number = range order), so no list is written by one task.
+    """
+    c = table(spark, sf_dir, "customer")
+    lines = c.select(
+        F.col("c_mktsegment").alias("Universe"),
+        F.col("c_custkey"),
+        F.concat(F.lit("  c"), F.col("c_custkey").cast(T.StringType()), F.lit("\t")).alias("value"),
+    )
+    (
+        lines.repartitionByRange("Universe", "c_custkey")
+        .sortWithinPartitions("Universe", "c_custkey")
+        .select("Universe", "value")
+        .write.partitionBy("Universe")
+        .option("lineSep", "\r\n")
+        .text(root)
+    )
+    return root

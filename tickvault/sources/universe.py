@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,11 +39,22 @@ def list_universes(spark: SparkSession, directory: str) -> DataFrame:
 def read_universe(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
     """``(Universe, pos, Ticker)``; lines stripped like ``str.strip()``,
     blanks dropped, order and duplicates kept. Free-float jobs upper-case,
-    the reference's price jobs do not (``upper=False``)."""
+    the reference's price jobs do not (``upper=False``).
+
+    Two layouts: one ``<universe>.txt`` per list (the reference's), or a
+    Spark-written ``Universe=<name>/part-*.txt`` dataset, where a list spans
+    several files in part-number order. ``pos`` follows (file, split, line).
+    """
     from tickvault.operators.positions import dense_position
 
-    lines = spark.read.option("pathGlobFilter", TEXT_GLOB).text(path).select(
-        universe_name(F.col("_metadata.file_name")).alias("Universe"),
+    raw = spark.read.option("pathGlobFilter", TEXT_GLOB).text(path)
+    if "Universe" in raw.columns:  # partition column of a Spark-written layout
+        name = F.col("Universe").cast(T.StringType())
+    else:
+        name = universe_name(F.col("_metadata.file_name"))
+    lines = raw.select(
+        name.alias("Universe"),
+        F.col("_metadata.file_name").alias("__file"),
         F.col("_metadata.file_block_start").alias("__blk"),
         F.monotonically_increasing_id().alias("__row"),
         F.posexplode(F.split(F.col("value"), EXTRA_LINE_BREAKS)).alias("__sub", "line"),
@@ -52,8 +63,16 @@ def read_universe(spark: SparkSession, path: str, upper: bool = True) -> DataFra
     if upper:
         t = F.upper(t)
     kept = lines.withColumn("Ticker", t).filter(F.col("Ticker") != "")
+    # rank of each file inside its universe (a small table: one row per file)
+    files = kept.select("Universe", "__file").distinct()
+    files = files.withColumn(
+        "__frank", F.row_number().over(Window.partitionBy("Universe").orderBy("__file")).cast(T.LongType())
+    )
+    keyed = kept.join(files, ["Universe", "__file"], "inner").withColumn(
+        "__bucket", F.col("__frank") * F.lit(1 << 40) + F.col("__blk")
+    )
     return dense_position(
-        kept, ["Universe"], "__row", out="pos", tiebreak=["__sub"], bucket_col="__blk"
+        keyed, ["Universe"], "__row", out="pos", tiebreak=["__sub"], bucket_col="__bucket"
     ).select("Universe", "pos", "Ticker")
 
 
