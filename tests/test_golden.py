@@ -33,7 +33,7 @@ def test_universe_files(spark, tmp_root):
         with open(os.path.join(tmp_root, name), "w") as f:
             f.write(body)
     names = [r.Universe for r in list_universes(spark, tmp_root).collect()]
-    assert names == ["b.TO", "land2k1"]
+    assert names == ["b.TO", "land2k1"]  # readme.md ignored, code-point order
     u = read_universe(spark, tmp_root)
     assert sorted(r.Ticker for r in u.filter("Universe = 'land2k1'").collect()) == ["Q", "Q"]
     assert u.filter("Universe = 'readme'").count() == 0

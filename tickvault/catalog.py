@@ -383,6 +383,17 @@ def universe_lists(spark: SparkSession, sf: str) -> DataFrame:
     return read_universe(spark, root, upper=True)
 
 
+def universe_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The universes of a folder of lists (derived from the customer table)."""
+    import uuid
+
+    from tickvault.session import shared_dir
+    from tickvault.sources.universe import list_universes
+
+    root = fx.write_segment_lists(spark, sf, shared_dir(spark, f"queries/universe_listing/{uuid.uuid4().hex}"))
+    return list_universes(spark, root)
+
+
 def prefer_primary(spark: SparkSession, sf: str) -> DataFrame:
     """S3: primary list first, fallback only for keys the primary lacks."""
     primary, fallback = fx.nation_lists(spark, sf)
@@ -434,6 +445,7 @@ QUERIES = {
     "failure_sample": failure_sample,
     "run_timing": run_timing,
     "universe_lists": universe_lists,
+    "universe_listing": universe_listing,
     "prefer_primary": prefer_primary,
     "normalized_quotes": normalized_quotes,
 }

@@ -297,6 +297,7 @@ FROM a, l""",
   row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS pos,
   'C' || CAST(c_custkey AS VARCHAR) AS Ticker
 FROM customer""",
+    "universe_listing": "SELECT DISTINCT c_mktsegment AS Universe FROM customer",
     "prefer_primary": """WITH p AS (SELECT 'R' || CAST(n_regionkey AS VARCHAR) AS Universe, CAST(n_nationkey AS BIGINT) AS pos, n_name AS Ticker,
               'primary' AS source FROM nation WHERE n_regionkey IN (0, 1, 2)),
 f AS (SELECT 'R' || CAST(n_regionkey AS VARCHAR) AS Universe, CAST(n_nationkey AS BIGINT) AS pos, n_name AS Ticker,

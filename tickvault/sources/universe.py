@@ -23,17 +23,16 @@ TEXT_GLOB = "*.txt"
 
 
 def list_universes(spark: SparkSession, directory: str) -> DataFrame:
-    """``*.txt`` names (case-sensitive), ordered by code point.
-
-    Only file metadata is read (the content column is pruned).
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", TEXT_GLOB)
-        .load(directory)
-        .select(F.element_at(F.split(F.col("path"), "/"), -1).alias("file_name"))
-    )
-    return files.select("file_name", universe_name(F.col("file_name")).alias("Universe")).orderBy("file_name")
+    """Universes of a folder, ordered by code point: ``*.txt`` names
+    (case-sensitive, every ``.txt`` removed) or, for a Spark-written layout,
+    the ``Universe=<name>`` partition values. Only file metadata is read (the
+    content column is pruned)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", TEXT_GLOB).load(directory)
+    if "Universe" in files.columns:
+        names = files.select(F.col("Universe").cast(T.StringType()).alias("Universe"))
+    else:
+        names = files.select(universe_name(F.element_at(F.split(F.col("path"), "/"), -1)).alias("Universe"))
+    return names.distinct().orderBy("Universe")
 
 
 def read_universe(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
