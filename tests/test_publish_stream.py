@@ -206,3 +206,28 @@ def test_free_float_resume_mode(spark, tmp_root):
     # a second run much later plans only the universe rows never stored
     r2 = maintain_free_float(spark, universe, attempts, root, as_of="2025-01-01 00:00:00", plan="resume")
     assert r2.plan.count() == universe.count() - n
+
+
+def test_stats_side_table_tracks_the_bars(spark, tmp_root):
+    from tickvault.jobs import bar_stats
+    from tickvault.schemas import TICKER_STATS
+    from tickvault.sinks.publish import read_side
+
+    root = os.path.join(tmp_root, "prices")
+    universe = fx.parts_universe(spark, SF)
+    landed = fx.gappy_log(spark, SF).withColumn("seq", F.col("seq") * 1_000_000 + F.col("seq_tie")).drop("batch_id", "seq_tie")
+    settled = landed.join(fx.gappy_stored_log(spark, SF).select("Ticker", "Date").distinct(), ["Ticker", "Date"], "left_semi")
+
+    def same():
+        want = sorted(tuple(r) for r in bar_stats(read_prices(spark, root)).select(*TICKER_STATS.fieldNames()).collect())
+        got = sorted(tuple(r) for r in read_side(spark, root, "stats", TICKER_STATS).collect())
+        return got == want
+
+    maintain_prices(spark, universe, settled, root, "fresh", as_of="2002-01-01", start="1995-01-01")
+    assert same()
+    maintain_prices(spark, universe, landed, root, "update", as_of="2002-01-01")
+    assert same()
+    # a table published without stats: planning falls back to the bars
+    plain = os.path.join(tmp_root, "plain")
+    publish(read_prices(spark, root), plain, partition_by=["Universe"])
+    assert read_side(spark, plain, "stats", TICKER_STATS) is None

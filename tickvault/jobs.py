@@ -36,8 +36,9 @@ from tickvault.schemas import (
     DEFAULT_START,
     FREE_FLOAT,
     PRICES_STORED,
+    TICKER_STATS,
 )
-from tickvault.sinks.publish import current_version, publish
+from tickvault.sinks.publish import current_version, publish, read_side
 from tickvault.sources.store import read_current
 
 KEYS = ["Universe", "Ticker"]
@@ -47,6 +48,15 @@ BROADCAST_PLAN_ROWS = 2_000_000
 BAR_KEYS = ["Universe", "Ticker", "Date"]
 
 
+def bar_stats(bars: DataFrame) -> DataFrame:
+    """A1/A2/A3/A9 per ticker; written beside every published bar version."""
+    return bars.groupBy("Universe", "Ticker").agg(
+        F.min("Date").alias("first_date"),
+        F.max("Date").alias("last_date"),
+        F.count(F.lit(1)).alias("n_bars"),
+    )
+
+
 @dataclass
 class RunResult:
     version: int | None
@@ -79,12 +89,18 @@ def maintain_prices(
     if mode in ("update", "backfill") and v0 is None:
         # as the reference: these modes need a stored table (run "fresh" first)
         raise ValueError(f"mode={mode!r} needs a stored table at {store_root}; run mode='fresh' first")
-    # planning reads only the universes of this run (partition filter)
+    # planning reads only the universes of this run (partition filter), and
+    # for fresh/update only the per-ticker stats written with the table
     mine = work.prune_to_universes(stored, universe)
+    stats = read_side(spark, store_root, "stats", TICKER_STATS)
+    mine_stats = work.prune_to_universes(stats, universe) if stats is not None else None
     if mode == "fresh":
-        plan = work.plan_fresh(universe, mine, as_of, start=start)
+        plan = work.plan_fresh(universe, mine_stats if mine_stats is not None else mine, as_of, start=start)
     elif mode == "update":
-        plan = work.plan_update(universe, mine, as_of, lookback_days=lookback_days, start=start)
+        if mine_stats is not None:
+            plan = work.plan_update_from_last(universe, mine_stats, as_of, lookback_days=lookback_days, start=start)
+        else:
+            plan = work.plan_update(universe, mine, as_of, lookback_days=lookback_days, start=start)
     elif mode == "backfill":
         plan = work.plan_backfill(universe, mine, start=start, min_gap_days=min_gap_days, dedupe=False)
     else:
@@ -116,6 +132,7 @@ def maintain_prices(
         partition_by=["Universe"],
         sort_within=[F.col("Ticker"), F.asc_nulls_last("Date")],  # O1: missing dates last
         only_partitions=True,
+        sides={"stats": bar_stats},
     )
 
     if mode == "backfill":

@@ -157,6 +157,21 @@ def plan_update(
     ends at ``as_of`` (exclusive). ``kind_rank`` lists updates before new."""
     keys = list(keys)
     last = prices.groupBy(*keys).agg(F.max("Date").cast(T.DateType()).alias("last_date"))
+    return plan_update_from_last(universe, last, as_of, lookback_days=lookback_days, start=start, keys=keys)
+
+
+def plan_update_from_last(
+    universe: DataFrame,
+    last: DataFrame,
+    as_of,
+    lookback_days: int = DEFAULT_LOOKBACK_DAYS,
+    start=DEFAULT_START,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """J5 from a per-ticker ``last_date`` table (e.g. the stats written with
+    each published version), so planning does not scan the bars."""
+    keys = list(keys)
+    last = last.select(*keys, F.col("last_date").cast(T.DateType()).alias("last_date"))
     as_of_d = lit_date(as_of)
     j = universe.join(last, keys, "left")
     kind = F.when(F.col("last_date").isNull(), F.lit("new")).when(F.col("last_date") < as_of_d, F.lit("update"))

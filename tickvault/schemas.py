@@ -70,6 +70,17 @@ BARS_LOG = T.StructType(
     ]
 )
 
+# Per-ticker stats written beside each bar version (planning reads these).
+TICKER_STATS = T.StructType(
+    [
+        T.StructField("Ticker", T.StringType(), False),
+        T.StructField("first_date", T.DateType(), True),
+        T.StructField("last_date", T.DateType(), True),
+        T.StructField("n_bars", T.LongType(), False),
+        T.StructField("Universe", T.StringType(), False),
+    ]
+)
+
 COMPANY_INFO = T.StructType(
     [
         T.StructField("sharesOutstanding", T.DoubleType(), True),

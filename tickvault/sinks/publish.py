@@ -102,9 +102,11 @@ def _write_manifest(spark: SparkSession, root: str, v: int, manifest: dict) -> N
         raise OSError(f"could not commit {final}")
 
 
-def _written_partitions(spark: SparkSession, root: str, v: int, col: str) -> list[str]:
+def _written_partitions(spark: SparkSession, root: str, v: int, col: str, sub: str = "") -> list[str]:
     fs, _, jvm = _fs(spark, root)
-    p = _path(jvm, version_path(root, v))
+    p = _path(jvm, version_path(root, v) + (f"/{sub}" if sub else ""))
+    if not fs.exists(p):
+        return []
     return sorted(
         st.getPath().getName()
         for st in fs.listStatus(p)
@@ -119,6 +121,7 @@ def publish(
     sort_within: list[str] | None = None,
     only_partitions: bool = False,
     meta: dict | None = None,
+    sides: dict | None = None,
 ) -> int:
     """K1: write ``df`` as the next version and commit it; returns the version.
 
@@ -126,6 +129,11 @@ def publish(
     ``only_partitions`` the partitions absent from ``df`` keep their current
     files. ``sort_within`` orders rows inside each file (O1: Ticker, Date)
     without a global sort. ``meta`` is stored in the manifest.
+
+    ``sides`` maps a name to a function from the rows just written (read
+    back from their files, only the partitions of this version) to a small
+    derived table, e.g. per-ticker stats. Side tables are written into
+    ``v=N/_<name>`` before the manifest, so they commit with the data.
     """
     if partition_by and len(partition_by) != 1:
         raise ValueError("publish partitions by one column at most")
@@ -143,17 +151,77 @@ def publish(
     w.parquet(version_path(root, v))
 
     manifest = {"version": v, "partition_by": partition_by[0] if partition_by else None, "meta": meta or {}}
+    inherit = only_partitions and prev and prev.get("partition_by") == (partition_by[0] if partition_by else None)
+    written = _written_partitions(spark, root, v, partition_by[0]) if partition_by else []
     if partition_by:
-        parts = {}
-        if only_partitions and prev and prev.get("partition_by") == partition_by[0]:
-            parts.update(prev["parts"])
-        for name in _written_partitions(spark, root, v, partition_by[0]):
+        parts = dict(prev["parts"]) if inherit else {}
+        for name in written:
             parts[name] = v
         manifest["parts"] = parts
+    if sides:
+        vp = version_path(root, v)
+        if partition_by:
+            paths = [f"{vp}/{name}" for name in written]
+            fresh = spark.read.option("basePath", vp).parquet(*paths) if paths else None
+        else:
+            fresh = spark.read.parquet(vp)
+        side_map = {}
+        for name, build in sides.items():
+            prev_side = ((prev or {}).get("sides") or {}).get(name) if inherit else None
+            entry = dict(prev_side) if prev_side else {}
+            if fresh is not None:
+                side_df = build(fresh)
+                sw = side_df.write.mode("errorifexists").option("compression", "zstd")
+                if partition_by:
+                    sw = sw.partitionBy(*partition_by)
+                sw.parquet(f"{vp}/_{name}")
+                if partition_by:
+                    for part in _written_partitions(spark, root, v, partition_by[0], sub=f"_{name}"):
+                        entry[part] = v
+                else:
+                    entry = {"": v}
+            side_map[name] = entry
+        manifest["sides"] = side_map
     _write_manifest(spark, root, v, manifest)
     return v
 
 
+def read_side(spark: SparkSession, root: str, name: str, schema) -> DataFrame | None:
+    """A side table of the current version; None if some partition of the
+    table has no side rows (e.g. written before sides existed)."""
+    m = read_manifest(spark, root)
+    if m is None:
+        return None
+    side = (m.get("sides") or {}).get(name)
+    col = m.get("partition_by")
+    if side is None:
+        return None
+    if not col:
+        return spark.read.schema(schema).parquet(f"{version_path(root, side[''])}/_{name}")
+    parts = m.get("parts", {})
+    if set(parts) - set(side):
+        return None
+    if not side:
+        return spark.createDataFrame([], schema)
+    from pyspark.sql import types as T
+
+    data_fields = [f for f in schema.fields if f.name != col]
+    part_field = [f for f in schema.fields if f.name == col]
+    # basePath per version differs, so read each side folder with its own base
+    dfs = []
+    by_version: dict[int, list[str]] = {}
+    for part, sv in side.items():
+        if part in parts:
+            by_version.setdefault(sv, []).append(f"{version_path(root, sv)}/_{name}/{part}")
+    read_schema = T.StructType([*data_fields, *part_field])
+    for sv, ps in sorted(by_version.items()):
+        dfs.append(spark.read.option("basePath", f"{version_path(root, sv)}/_{name}").schema(read_schema).parquet(*ps))
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out.select(*[F.col(f.name) for f in schema.fields])
+
+
 def read_version(spark: SparkSession, root: str, schema, v: int | None = None) -> DataFrame | None:
     """Rows of version ``v`` (default current) with an explicit schema; None if no version."""
     m = read_manifest(spark, root, v)
@@ -191,6 +259,8 @@ def expire_snapshots(spark: SparkSession, root: str, keep: int = 2) -> list[int]
     for v in committed[-keep:]:
         m = read_manifest(spark, root, v) or {}
         keep_set.update(int(x) for x in (m.get("parts") or {}).values())
+        for side in (m.get("sides") or {}).values():
+            keep_set.update(int(x) for x in side.values())
     newest = committed[-1]
     dropped = []
     for v in _all_versions(spark, root):
