@@ -209,9 +209,9 @@ def test_free_float_resume_mode(spark, tmp_root):
 
 
 def test_stats_side_table_tracks_the_bars(spark, tmp_root):
-    from tickvault.jobs import bar_stats
+    from tickvault.jobs import ticker_stats
     from tickvault.schemas import TICKER_STATS
-    from tickvault.sinks.publish import read_side
+    from tickvault.sinks.publish import read_side, read_manifest
 
     root = os.path.join(tmp_root, "prices")
     universe = fx.parts_universe(spark, SF)
@@ -219,15 +219,44 @@ def test_stats_side_table_tracks_the_bars(spark, tmp_root):
     settled = landed.join(fx.gappy_stored_log(spark, SF).select("Ticker", "Date").distinct(), ["Ticker", "Date"], "left_semi")
 
     def same():
-        want = sorted(tuple(r) for r in bar_stats(read_prices(spark, root)).select(*TICKER_STATS.fieldNames()).collect())
-        got = sorted(tuple(r) for r in read_side(spark, root, "stats", TICKER_STATS).collect())
-        return got == want
+        bars = read_prices(spark, root)
+        want = sorted(
+            tuple(r)
+            for r in bars.groupBy("Universe", "Ticker")
+            .agg(F.min("Date").alias("f"), F.max("Date").alias("l"), F.count(F.lit(1)).alias("n"))
+            .collect()
+        )
+        got = sorted(tuple(r) for r in ticker_stats(spark, root).select("Universe", "Ticker", "first_date", "last_date", "n_bars").collect())
+        return got == want and len(got) > 0
 
     maintain_prices(spark, universe, settled, root, "fresh", as_of="2002-01-01", start="1995-01-01")
     assert same()
     maintain_prices(spark, universe, landed, root, "update", as_of="2002-01-01")
     assert same()
+    # the update reached only the years of its windows: 2001 was rewritten,
+    # earlier years still point at version 1
+    parts = read_manifest(spark, root)["parts"]
+    assert any(v == 2 for k, v in parts.items() if k.endswith("year=2001"))
+    assert all(v == 1 for k, v in parts.items() if k.endswith("year=1996"))
     # a table published without stats: planning falls back to the bars
     plain = os.path.join(tmp_root, "plain")
     publish(read_prices(spark, root), plain, partition_by=["Universe"])
     assert read_side(spark, plain, "stats", TICKER_STATS) is None
+
+
+def test_layout_migration_and_guard(spark, tmp_root):
+    from tickvault.sinks.publish import read_manifest
+
+    root = os.path.join(tmp_root, "prices")
+    universe = fx.parts_universe(spark, SF)
+    landed = fx.gappy_log(spark, SF).withColumn("seq", F.col("seq") * 1_000_000 + F.col("seq_tie")).drop("batch_id", "seq_tie")
+    settled = landed.join(fx.gappy_stored_log(spark, SF).select("Ticker", "Date").distinct(), ["Ticker", "Date"], "left_semi")
+    # an older table laid out by universe only
+    old = settled.dropDuplicates(["Universe", "Ticker", "Date"]).select(*COLS)
+    publish(old, root, partition_by=["Universe"])
+    with pytest.raises(ValueError):
+        publish(old.limit(1), root, partition_by=["Universe", "year"], only_partitions=True)
+    n_old = read_prices(spark, root).count()
+    run = maintain_prices(spark, universe, landed, root, "update", as_of="2002-01-01")
+    assert read_manifest(spark, root)["partition_by"] == ["Universe", "year"]
+    assert read_prices(spark, root).count() >= n_old and run.version == 2

@@ -38,7 +38,7 @@ from tickvault.schemas import (
     PRICES_STORED,
     TICKER_STATS,
 )
-from tickvault.sinks.publish import current_version, publish, read_side
+from tickvault.sinks.publish import current_version, publish, read_manifest, read_side, read_version
 from tickvault.sources.store import read_current
 
 KEYS = ["Universe", "Ticker"]
@@ -48,15 +48,48 @@ BROADCAST_PLAN_ROWS = 2_000_000
 BAR_KEYS = ["Universe", "Ticker", "Date"]
 
 
+# Bars are stored by universe and calendar year: an update run rewrites only
+# the years its request windows reach (usually the current one).
+BAR_PARTITIONS = ["Universe", "year"]
+# Most (universe, year) partitions a pruning filter is built from.
+MAX_PRUNE_PARTITIONS = 100_000
+
+
 def bar_stats(bars: DataFrame) -> DataFrame:
-    """A1/A2/A3/A9 per ticker; written beside every published bar version."""
-    return bars.groupBy("Universe", "Ticker").agg(
+    """A1/A2/A3/A9 per ticker and year; written beside every bar version."""
+    return bars.groupBy(*BAR_PARTITIONS, "Ticker").agg(
         F.min("Date").alias("first_date"),
         F.max("Date").alias("last_date"),
         F.count(F.lit(1)).alias("n_bars"),
     )
 
 
+def ticker_stats(spark: SparkSession, store_root: str) -> DataFrame | None:
+    """Per-ticker first/last date and bar count from the stats side table
+    (one row per ticker-year), or None when the table has no stats."""
+    st = read_side(spark, store_root, "stats", TICKER_STATS, keep_partition_cols=True)
+    if st is None:
+        return None
+    return st.groupBy("Universe", "Ticker").agg(
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
+        F.sum("n_bars").cast(T.LongType()).alias("n_bars"),
+    )
+
+
+def _touched_partitions(plan: DataFrame) -> list[str] | None:
+    """``Universe=u/year=y`` keys the plan windows reach (a superset of the
+    partitions the fetched rows land in); None past the guard."""
+    years = plan.select(
+        "Universe",
+        F.explode(F.sequence(F.year("start_date"), F.year(F.date_sub("end_date", 1)))).alias("year"),
+    ).distinct()
+    rows = years.limit(MAX_PRUNE_PARTITIONS + 1).collect()
+    if len(rows) > MAX_PRUNE_PARTITIONS:
+        return None
+    return [f"{r.Universe}/{r.year}" for r in rows]
+
+
 @dataclass
 class RunResult:
     version: int | None
@@ -85,6 +118,8 @@ def maintain_prices(
     failed after ``max_retry`` tries — their rows are not taken.
     """
     stored = read_current(spark, store_root, PRICES_STORED)
+    manifest = read_manifest(spark, store_root)
+    by_year = manifest is None or (manifest.get("partition_by") or []) == BAR_PARTITIONS
     v0 = current_version(spark, store_root)
     if mode in ("update", "backfill") and v0 is None:
         # as the reference: these modes need a stored table (run "fresh" first)
@@ -92,7 +127,7 @@ def maintain_prices(
     # planning reads only the universes of this run (partition filter), and
     # for fresh/update only the per-ticker stats written with the table
     mine = work.prune_to_universes(stored, universe)
-    stats = read_side(spark, store_root, "stats", TICKER_STATS)
+    stats = ticker_stats(spark, store_root) if by_year else None
     mine_stats = work.prune_to_universes(stats, universe) if stats is not None else None
     if mode == "fresh":
         plan = work.plan_fresh(universe, mine_stats if mine_stats is not None else mine, as_of, start=start)
@@ -124,14 +159,29 @@ def maintain_prices(
     if "seq" not in new_rows.columns:
         new_rows = new_rows.withColumn("seq", F.lit(0).cast(T.LongType()))
     cols = [f.name for f in PRICES_STORED.fields]
-    # only the run's universes are rewritten; the others keep their files
-    merged = merge_latest(mine, new_rows.select(*cols, "batch_id", "seq"), BAR_KEYS, ("batch_id", "seq")).select(*cols)
+    touched = _touched_partitions(take) if by_year else None
+    if touched is not None:
+        # only the (universe, year) partitions the windows reach are read and
+        # rewritten; the manifest keeps every other partition where it is
+        base = read_version(spark, store_root, PRICES_STORED, keep_partition_cols=True)
+        if base is None:
+            base_part = None
+        else:
+            key = F.concat_ws("/", F.col("Universe"), F.col("year").cast(T.StringType()))
+            base_part = base.filter(key.isin(touched)).select(*cols)
+        incremental = True
+    else:
+        # first write of the year layout (or too many partitions): rewrite all
+        base_part = stored if v0 is not None else None
+        incremental = False
+    merged = merge_latest(base_part, new_rows.select(*cols, "batch_id", "seq"), BAR_KEYS, ("batch_id", "seq"))
+    merged = merged.select(*cols).withColumn("year", F.year("Date"))
     version = publish(
         merged,
         store_root,
-        partition_by=["Universe"],
+        partition_by=BAR_PARTITIONS,
         sort_within=[F.col("Ticker"), F.asc_nulls_last("Date")],  # O1: missing dates last
-        only_partitions=True,
+        only_partitions=incremental and v0 is not None,
         sides={"stats": bar_stats},
     )
 

@@ -70,7 +70,8 @@ BARS_LOG = T.StructType(
     ]
 )
 
-# Per-ticker stats written beside each bar version (planning reads these).
+# Per-ticker-year stats written beside each bar version (planning reads
+# these instead of the bars); partition columns Universe, year.
 TICKER_STATS = T.StructType(
     [
         T.StructField("Ticker", T.StringType(), False),

@@ -102,16 +102,30 @@ def _write_manifest(spark: SparkSession, root: str, v: int, manifest: dict) -> N
         raise OSError(f"could not commit {final}")
 
 
-def _written_partitions(spark: SparkSession, root: str, v: int, col: str, sub: str = "") -> list[str]:
+def _cols(partition_by) -> list[str]:
+    if not partition_by:
+        return []
+    return [partition_by] if isinstance(partition_by, str) else list(partition_by)
+
+
+def _written_partitions(spark: SparkSession, root: str, v: int, cols, sub: str = "") -> list[str]:
+    """Partition folders of version ``v`` as relative keys ``c1=a/c2=b``."""
+    cols = _cols(cols)
     fs, _, jvm = _fs(spark, root)
-    p = _path(jvm, version_path(root, v) + (f"/{sub}" if sub else ""))
-    if not fs.exists(p):
+    base = version_path(root, v) + (f"/{sub}" if sub else "")
+    if not fs.exists(_path(jvm, base)):
         return []
-    return sorted(
-        st.getPath().getName()
-        for st in fs.listStatus(p)
-        if st.isDirectory() and st.getPath().getName().startswith(col + "=")
-    )
+    keys = [""]
+    for col in cols:
+        nxt = []
+        for k in keys:
+            p = _path(jvm, base + ("/" + k if k else ""))
+            for st in fs.listStatus(p):
+                name = st.getPath().getName()
+                if st.isDirectory() and name.startswith(col + "="):
+                    nxt.append(f"{k}/{name}" if k else name)
+        keys = nxt
+    return sorted(keys)
 
 
 def publish(
@@ -125,9 +139,9 @@ def publish(
 ) -> int:
     """K1: write ``df`` as the next version and commit it; returns the version.
 
-    ``partition_by`` takes at most one column (``Universe``). With
-    ``only_partitions`` the partitions absent from ``df`` keep their current
-    files. ``sort_within`` orders rows inside each file (O1: Ticker, Date)
+    ``partition_by`` names the partition columns (e.g. ``Universe``,
+    ``year``). With ``only_partitions`` the partitions absent from ``df``
+    keep their current files. ``sort_within`` orders rows inside each file (O1: Ticker, Date)
     without a global sort. ``meta`` is stored in the manifest.
 
     ``sides`` maps a name to a function from the rows just written (read
@@ -135,32 +149,33 @@ def publish(
     derived table, e.g. per-ticker stats. Side tables are written into
     ``v=N/_<name>`` before the manifest, so they commit with the data.
     """
-    if partition_by and len(partition_by) != 1:
-        raise ValueError("publish partitions by one column at most")
+    cols = _cols(partition_by)
     spark = df.sparkSession
     prev_v = current_version(spark, root)
     prev = read_manifest(spark, root, prev_v) if prev_v is not None else None
     existing = _all_versions(spark, root)
     v = (existing[-1] + 1) if existing else 1
+    if only_partitions and prev and _cols(prev.get("partition_by")) != cols:
+        raise ValueError("only_partitions needs the same partition columns as the current version")
     out = df
     if sort_within:
         out = out.sortWithinPartitions(*sort_within)
     w = out.write.mode("errorifexists").option("compression", "zstd")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
+    if cols:
+        w = w.partitionBy(*cols)
     w.parquet(version_path(root, v))
 
-    manifest = {"version": v, "partition_by": partition_by[0] if partition_by else None, "meta": meta or {}}
-    inherit = only_partitions and prev and prev.get("partition_by") == (partition_by[0] if partition_by else None)
-    written = _written_partitions(spark, root, v, partition_by[0]) if partition_by else []
-    if partition_by:
+    manifest = {"version": v, "partition_by": cols or None, "meta": meta or {}}
+    inherit = bool(only_partitions and prev)
+    written = _written_partitions(spark, root, v, cols) if cols else []
+    if cols:
         parts = dict(prev["parts"]) if inherit else {}
         for name in written:
             parts[name] = v
         manifest["parts"] = parts
     if sides:
         vp = version_path(root, v)
-        if partition_by:
+        if cols:
             paths = [f"{vp}/{name}" for name in written]
             fresh = spark.read.option("basePath", vp).parquet(*paths) if paths else None
         else:
@@ -170,13 +185,12 @@ def publish(
             prev_side = ((prev or {}).get("sides") or {}).get(name) if inherit else None
             entry = dict(prev_side) if prev_side else {}
             if fresh is not None:
-                side_df = build(fresh)
-                sw = side_df.write.mode("errorifexists").option("compression", "zstd")
-                if partition_by:
-                    sw = sw.partitionBy(*partition_by)
+                sw = build(fresh).write.mode("errorifexists").option("compression", "zstd")
+                if cols:
+                    sw = sw.partitionBy(*cols)
                 sw.parquet(f"{vp}/_{name}")
-                if partition_by:
-                    for part in _written_partitions(spark, root, v, partition_by[0], sub=f"_{name}"):
+                if cols:
+                    for part in _written_partitions(spark, root, v, cols, sub=f"_{name}"):
                         entry[part] = v
                 else:
                     entry = {"": v}
@@ -186,62 +200,73 @@ def publish(
     return v
 
 
-def read_side(spark: SparkSession, root: str, name: str, schema) -> DataFrame | None:
+def _read_schema(schema, cols: list[str], extra=()):
+    from pyspark.sql import types as T
+
+    by_name = {f.name: f for f in schema.fields}
+    data = [f for f in schema.fields if f.name not in cols]
+    parts = [by_name.get(c, T.StructField(c, T.StringType(), True)) for c in cols]
+    return T.StructType([*data, *extra, *parts])
+
+
+def read_side(spark: SparkSession, root: str, name: str, schema, keep_partition_cols: bool = False) -> DataFrame | None:
     """A side table of the current version; None if some partition of the
     table has no side rows (e.g. written before sides existed)."""
     m = read_manifest(spark, root)
     if m is None:
         return None
     side = (m.get("sides") or {}).get(name)
-    col = m.get("partition_by")
+    cols = _cols(m.get("partition_by"))
     if side is None:
         return None
-    if not col:
+    if not cols:
         return spark.read.schema(schema).parquet(f"{version_path(root, side[''])}/_{name}")
     parts = m.get("parts", {})
     if set(parts) - set(side):
         return None
-    if not side:
+    if not parts:
         return spark.createDataFrame([], schema)
-    from pyspark.sql import types as T
-
-    data_fields = [f for f in schema.fields if f.name != col]
-    part_field = [f for f in schema.fields if f.name == col]
-    # basePath per version differs, so read each side folder with its own base
-    dfs = []
+    # each version's side folder is its own base path
     by_version: dict[int, list[str]] = {}
     for part, sv in side.items():
         if part in parts:
             by_version.setdefault(sv, []).append(f"{version_path(root, sv)}/_{name}/{part}")
-    read_schema = T.StructType([*data_fields, *part_field])
-    for sv, ps in sorted(by_version.items()):
-        dfs.append(spark.read.option("basePath", f"{version_path(root, sv)}/_{name}").schema(read_schema).parquet(*ps))
+    rs = _read_schema(schema, cols)
+    dfs = [
+        spark.read.option("basePath", f"{version_path(root, sv)}/_{name}").schema(rs).parquet(*ps)
+        for sv, ps in sorted(by_version.items())
+    ]
     out = dfs[0]
     for d in dfs[1:]:
         out = out.unionByName(d)
-    return out.select(*[F.col(f.name) for f in schema.fields])
+    keep = [f.name for f in schema.fields] + ([c for c in cols if c not in schema.fieldNames()] if keep_partition_cols else [])
+    return out.select(*keep)
 
 
-def read_version(spark: SparkSession, root: str, schema, v: int | None = None) -> DataFrame | None:
-    """Rows of version ``v`` (default current) with an explicit schema; None if no version."""
+def read_version(
+    spark: SparkSession, root: str, schema, v: int | None = None, keep_partition_cols: bool = False
+) -> DataFrame | None:
+    """Rows of version ``v`` (default current) with an explicit schema; None
+    if there is no version. Partition columns not in ``schema`` (e.g.
+    ``year``) are dropped unless ``keep_partition_cols``; filters on them
+    prune folders."""
     m = read_manifest(spark, root, v)
     if m is None:
         return None
     v = m["version"]
-    col = m.get("partition_by")
-    if not col:
+    cols = _cols(m.get("partition_by"))
+    if not cols:
         return spark.read.schema(schema).parquet(version_path(root, v))
     parts = m.get("parts", {})
     if not parts:
         return spark.createDataFrame([], schema)
-    paths = [f"{version_path(root, pv)}/{name}" for name, pv in sorted(parts.items())]
-    data_fields = [f for f in schema.fields if f.name != col]
-    part_field = [f for f in schema.fields if f.name == col]
     from pyspark.sql import types as T
 
-    read_schema = T.StructType([*data_fields, T.StructField("v", T.IntegerType()), *part_field])
-    df = spark.read.option("basePath", root.rstrip("/")).schema(read_schema).parquet(*paths)
-    return df.select(*[F.col(f.name) for f in schema.fields])
+    paths = [f"{version_path(root, pv)}/{name}" for name, pv in sorted(parts.items())]
+    rs = _read_schema(schema, cols, extra=[T.StructField("v", T.IntegerType())])
+    df = spark.read.option("basePath", root.rstrip("/")).schema(rs).parquet(*paths)
+    keep = [f.name for f in schema.fields] + ([c for c in cols if c not in schema.fieldNames()] if keep_partition_cols else [])
+    return df.select(*keep)
 
 
 def expire_snapshots(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
