@@ -84,10 +84,9 @@ def _touched_partitions(plan: DataFrame) -> list[str] | None:
         "Universe",
         F.explode(F.sequence(F.year("start_date"), F.year(F.date_sub("end_date", 1)))).alias("year"),
     ).distinct()
-    rows = years.limit(MAX_PRUNE_PARTITIONS + 1).collect()
-    if len(rows) > MAX_PRUNE_PARTITIONS:
+    if years.count() > MAX_PRUNE_PARTITIONS:  # size checked before anything reaches the driver
         return None
-    return [f"{r.Universe}/{r.year}" for r in rows]
+    return [f"{r.Universe}/{r.year}" for r in years.collect()]
 
 
 @dataclass

@@ -40,7 +40,7 @@ def unstack_wide(df: DataFrame, id_cols: list[str], sep: str = "_", fields=tuple
             tickers.setdefault(ticker, {})[field] = c
     present = [f for f in fields if any(f in m for m in tickers.values())]
     if not tickers:
-        return df.select(*id_cols, F.lit(None).cast(T.StringType()).alias("Ticker"), *[F.lit(None).alias(f) for f in present]).limit(0)
+        return df.select(*id_cols, F.lit(None).cast(T.StringType()).alias("Ticker"), *[F.lit(None).alias(f) for f in present]).filter(F.lit(False))
     args = []
     for t, m in sorted(tickers.items()):
         args.append(F.lit(t))

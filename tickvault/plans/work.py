@@ -46,11 +46,15 @@ def prune_to_universes(stored: DataFrame, universe: DataFrame) -> DataFrame:
 
     Stored tables are partitioned by ``Universe``; a literal ``IN`` filter
     becomes a partition filter of the scan, so a run reads only its own
-    universes. The names are a short list (one per universe file) fetched
-    with a guard; past ``MAX_PRUNE_NAMES`` no filter is added (same result).
+    universes. The names are a short list (one per universe file), counted
+    before they are fetched; past ``MAX_PRUNE_NAMES`` no filter is added
+    (same result, more reading).
     """
-    names = [r[0] for r in universe.select("Universe").distinct().limit(MAX_PRUNE_NAMES + 1).collect()]
-    if not names or len(names) > MAX_PRUNE_NAMES:
+    distinct = universe.select("Universe").distinct()
+    if distinct.count() > MAX_PRUNE_NAMES:  # size checked before anything reaches the driver
+        return stored
+    names = [r[0] for r in distinct.collect()]
+    if not names:
         return stored
     return stored.filter(F.col("Universe").isin(names))
 
