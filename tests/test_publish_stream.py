@@ -260,3 +260,26 @@ def test_layout_migration_and_guard(spark, tmp_root):
     run = maintain_prices(spark, universe, landed, root, "update", as_of="2002-01-01")
     assert read_manifest(spark, root)["partition_by"] == ["Universe", "year"]
     assert read_prices(spark, root).count() >= n_old and run.version == 2
+
+
+def test_stream_compacts_every_batch(spark, tmp_root):
+    landing = os.path.join(tmp_root, "landing")
+    log = fx.bars_log(spark, SF).withColumn("seq", F.col("seq") * 1_000_000 + F.col("seq_tie")).drop("seq_tie")
+    for b in range(3):
+        log.filter(F.col("batch_id") == b).drop("batch_id").coalesce(1).write.parquet(os.path.join(landing, f"b{b}"))
+    flat = os.path.join(tmp_root, "flat")
+    os.makedirs(flat)
+    files = sorted(os.path.join(dp, f) for dp, _, fs in os.walk(landing) for f in fs if f.endswith(".parquet"))
+    for i, p in enumerate(files):
+        os.rename(p, os.path.join(flat, f"{i:03d}.parquet"))
+        os.utime(os.path.join(flat, f"{i:03d}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+    schema = spark.read.parquet(flat).schema
+    log_root, table_root = os.path.join(tmp_root, "log"), os.path.join(tmp_root, "table")
+    q = stream_landed(
+        spark, flat, schema, log_root, checkpoint=os.path.join(tmp_root, "cp"), max_files_per_trigger=1,
+        compact_every=1, table_root=table_root, table_schema=PRICES_STORED,
+    )
+    q.awaitTermination()
+    assert list_versions(spark, table_root) == [1, 2, 3]
+    batch = resolve_latest(fx.bars_log(spark, SF), ["Universe", "Ticker", "Date"], fx.BARS_LOG_ORDER)
+    assert _rows(read_current(spark, table_root, PRICES_STORED)) == _rows(batch)
