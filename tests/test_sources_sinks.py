@@ -77,3 +77,13 @@ def test_views(spark, tmp_root):
     assert "prices" in register_views(spark, prices_root=root)
     n = spark.sql("SELECT count(DISTINCT Ticker) AS n FROM prices").first().n
     assert n == bars.select("Ticker").distinct().count()
+
+
+def test_unstack_tuple_labels(spark):
+    from tickvault.operators.normalize import TUPLE_LABEL
+
+    wide = spark.createDataFrame(
+        [(dt.date(2020, 1, 2), 1.5, 100.0)], "Date date, `('Close', 'BBCA.JK')` double, `('Volume', 'BBCA.JK')` double"
+    )
+    r = unstack_wide(wide, ["Date"], pattern=TUPLE_LABEL).first()
+    assert (r.Ticker, r.Close, r.Volume) == ("BBCA.JK", 1.5, 100.0)

@@ -25,19 +25,35 @@ def strip_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[str(c).strip() for c in df.columns])
 
 
-def unstack_wide(df: DataFrame, id_cols: list[str], sep: str = "_", fields=tuple(PRICE_COLUMNS[2:])) -> DataFrame:
-    """``<Field><sep><Ticker>`` columns -> one row per (id, Ticker).
+# Label layouts of wide landed frames: ``Close_AAA`` and a stringified
+# two-level label ``('Close', 'AAA')``.
+UNDERSCORE_LABEL = r"^(?P<field>[A-Za-z]+)_(?P<ticker>.+)$"
+TUPLE_LABEL = r"^\(\s*'(?P<field>[^']+)'\s*,\s*'(?P<ticker>[^']+)'\s*\)$"
+
+
+def unstack_wide(
+    df: DataFrame,
+    id_cols: list[str],
+    sep: str | None = None,
+    fields=tuple(PRICE_COLUMNS[2:]),
+    pattern: str = UNDERSCORE_LABEL,
+) -> DataFrame:
+    """One column per (field, ticker) -> one row per (id, Ticker).
 
-    Labels are stripped first; a field missing for a ticker is NULL.
+    ``pattern`` is a regex with ``field`` and ``ticker`` groups (see
+    ``UNDERSCORE_LABEL``, ``TUPLE_LABEL``); ``sep`` is a shortcut for
+    ``<Field><sep><Ticker>``. Labels are stripped first; a field missing for
+    a ticker is NULL. Only the schema is read on the driver.
     """
+    import re
+
     df = strip_column_names(df)
+    rx = re.compile(rf"^(?P<field>[^{re.escape(sep)}]+){re.escape(sep)}(?P<ticker>.+)$" if sep else pattern)
     tickers: dict[str, dict[str, str]] = {}
     for c in df.columns:
-        if c in id_cols or sep not in c:
-            continue
-        field, ticker = c.split(sep, 1)
-        if field in fields:
-            tickers.setdefault(ticker, {})[field] = c
+        m = rx.match(c) if c not in id_cols else None
+        if m and m.group("field") in fields:
+            tickers.setdefault(m.group("ticker"), {})[m.group("field")] = c
     present = [f for f in fields if any(f in m for m in tickers.values())]
     if not tickers:
         return df.select(*id_cols, F.lit(None).cast(T.StringType()).alias("Ticker"), *[F.lit(None).alias(f) for f in present]).filter(F.lit(False))
