@@ -49,3 +49,15 @@ def test_universe_pruning_reaches_the_scan(spark, tmp_root):
     p = _plan(pruned)
     assert "PartitionFilters: [isnotnull(Universe" in p and "Universe" in p.split("PartitionFilters:", 1)[1][:120]
     assert [r.Universe for r in pruned.collect()] == ["A"]
+
+
+def test_window_bounds_reach_the_scan(spark, tmp_root):
+    landed = os.path.join(tmp_root, "landed")
+    fx.gappy_log(spark, SF).write.parquet(landed)
+    raw = spark.read.parquet(landed)
+    plan = spark.createDataFrame(
+        [("parts", "P1", dt.date(2001, 7, 1), dt.date(2001, 8, 1))], "Universe string, Ticker string, start_date date, end_date date"
+    )
+    p = _plan(apply_windows(raw, plan, keys=["Universe", "Ticker"], date_bounds=True))
+    pushed = p.split("PushedFilters:", 1)[1][:300]
+    assert "GreaterThanOrEqual(Date,2001-07-01)" in pushed and "LessThan(Date,2001-08-01)" in pushed

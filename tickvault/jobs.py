@@ -151,7 +151,9 @@ def maintain_prices(
     if resolved is not None:
         failed = resolved.filter(F.col("Status") == "FAILED").select(*KEYS)
         take = materialise(plan.join(failed, KEYS, "left_anti"))
-    fetched = apply_windows(landed, take, keys=KEYS, plan_cols=["start_date"], broadcast_max_rows=BROADCAST_PLAN_ROWS)
+    fetched = apply_windows(
+        landed, take, keys=KEYS, plan_cols=["start_date"], broadcast_max_rows=BROADCAST_PLAN_ROWS, date_bounds=True
+    )
 
     batch = (v0 or 0) + 1
     new_rows = fetched.drop("start_date").withColumn("batch_id", F.lit(batch).cast(T.LongType()))

@@ -37,6 +37,7 @@ def apply_windows(
     plan_cols: Sequence[str] = (),
     date_col: str = "Date",
     broadcast_max_rows: int | None = None,
+    date_bounds: bool = False,
 ) -> DataFrame:
     """Rows of ``raw`` inside a plan window of the same key.
 
@@ -46,8 +47,18 @@ def apply_windows(
     :func:`materialise`) and broadcast only when it has at most that many
     rows; a larger plan, or an unchecked one, takes the sort-merge join on
     ``(keys, month)``.
+
+    ``date_bounds`` (for a materialised plan) reads the plan's overall
+    ``[min start, max end)`` (one aggregate row) and adds it as a literal
+    filter on ``raw``: a join range is never pushed to a scan, a literal one
+    is (row-group skipping, date partition pruning).
     """
     keys = list(keys)
+    if date_bounds:
+        b = plan.agg(F.min("start_date").alias("lo"), F.max("end_date").alias("hi")).first()
+        if b is not None and b.lo is not None and b.hi is not None:
+            d0 = F.col(date_col).cast(T.DateType())
+            raw = raw.filter((d0 >= F.lit(b.lo)) & (d0 < F.lit(b.hi)))
     p = explode_months(plan).select(
         *keys,
         "__m",
