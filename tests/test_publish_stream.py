@@ -283,3 +283,18 @@ def test_stream_compacts_every_batch(spark, tmp_root):
     assert list_versions(spark, table_root) == [1, 2, 3]
     batch = resolve_latest(fx.bars_log(spark, SF), ["Universe", "Ticker", "Date"], fx.BARS_LOG_ORDER)
     assert _rows(read_current(spark, table_root, PRICES_STORED)) == _rows(batch)
+
+
+def test_published_files_are_ordered(spark, tmp_root):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    root = os.path.join(tmp_root, "t")
+    df = fx.gappy_log(spark, SF).select(*COLS).withColumn("year", F.year("Date"))
+    v = publish(df, root, partition_by=["Universe", "year"], sort_within=[F.col("Ticker"), F.asc_nulls_last("Date")])
+    files = glob.glob(os.path.join(root, f"v={v}", "Universe=*", "year=*", "*.parquet"))
+    assert files
+    for f in files:
+        t = pq.read_table(f, columns=["Ticker", "Date"]).to_pandas()
+        assert t[["Ticker", "Date"]].apply(tuple, axis=1).is_monotonic_increasing

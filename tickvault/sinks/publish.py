@@ -159,11 +159,24 @@ def publish(
         raise ValueError("only_partitions needs the same partition columns as the current version")
     out = df
     if sort_within:
-        out = out.sortWithinPartitions(*sort_within)
+        # partition columns first: the partitioned writer needs rows grouped
+        # by them, so this one sort serves the writer and orders each file
+        out = out.sortWithinPartitions(*cols, *sort_within)
     w = out.write.mode("errorifexists").option("compression", "zstd")
     if cols:
         w = w.partitionBy(*cols)
-    w.parquet(version_path(root, v))
+    # With planned writes Spark re-sorts by the partition columns whenever a
+    # constant partition value was folded out of our sort, losing the order
+    # inside files; without them the writer takes the sort above as is.
+    key = "spark.sql.optimizer.plannedWrite.enabled"
+    old = spark.conf.get(key, None)
+    if sort_within and cols:
+        spark.conf.set(key, "false")
+    try:
+        w.parquet(version_path(root, v))
+    finally:
+        if sort_within and cols:
+            spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
     manifest = {"version": v, "partition_by": cols or None, "meta": meta or {}}
     inherit = bool(only_partitions and prev)
