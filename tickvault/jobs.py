@@ -6,13 +6,15 @@ rows, plan the work, take the rows the plan asks for, merge newest-wins and
 publish one new snapshot version; the run report is returned as DataFrames.
 All clocks are the explicit ``as_of``.
 
-Scale notes: the plan is one join of the universe with per-ticker aggregates
-(never a scan per ticker); the landed rows meet the plan through the
-month-bucketed range join (broadcast only after a count); the merge shuffles once on the bar key with a
-partial group limit before the exchange, and only the landed rows are
-shuffled (stored rows pass an anti join); the publish writes only the run's
-universes into a new version and commits it with a manifest, so a lost
-executor or driver never leaves a half table.
+Scale notes: fresh/update plans join the universe with the per-ticker stats
+written beside the table (never a scan per ticker, and no scan of the bars);
+backfill plans scan only the run's universes. The landed rows meet the plan
+through the month-bucketed range join (broadcast only after a count; the
+plan's date range is pushed to the scan). Only the landed rows are shuffled
+for newest-wins (partial group limit before the exchange); stored rows pass
+an anti join. The publish reads and rewrites only the (universe, year)
+partitions the windows reach and commits data and stats with one manifest,
+so a lost executor or driver never leaves a half table.
 """
 
 from __future__ import annotations

@@ -8,11 +8,12 @@ that has a manifest, so a crash at any point leaves at most an uncommitted
 target" becomes "write a new version, then its manifest". No job overwrites
 a path it reads (Spark would delete its own input).
 
-For a table partitioned by ``Universe`` the manifest maps every partition to
-the version folder that holds its current files. ``only_partitions=True``
-writes just the partitions present in the DataFrame and inherits the others
-from the previous version, so a run over one universe rewrites that universe
-only (the reference also kept one file per universe).
+For a partitioned table (bars: ``Universe``, ``year``) the manifest maps
+every partition to the version folder that holds its current files.
+``only_partitions=True`` writes just the partitions present in the DataFrame
+and inherits the others from the previous version, so a run rewrites only
+the partitions it touched. Side tables (per-ticker stats) are written into
+the same version before the manifest and commit with it.
 
 File system access goes through Hadoop's ``FileSystem`` of the session, so
 the root can be any shared store the cluster mounts.
