@@ -45,8 +45,9 @@ from tickvault.sources.store import read_current
 
 KEYS = ["Universe", "Ticker"]
 # A plan of at most this many (window, month) rows is broadcast to the landed
-# rows (about 60 bytes a row, so ~120 MB at most); beyond it the join shuffles.
-BROADCAST_PLAN_ROWS = 2_000_000
+# rows (~100 bytes a row in memory, so ~25 MB at most); beyond it the join
+# shuffles on (ticker, month).
+BROADCAST_PLAN_ROWS = 250_000
 BAR_KEYS = ["Universe", "Ticker", "Date"]
 
 
