@@ -298,3 +298,21 @@ def test_published_files_are_ordered(spark, tmp_root):
     for f in files:
         t = pq.read_table(f, columns=["Ticker", "Date"]).to_pandas()
         assert t[["Ticker", "Date"]].apply(tuple, axis=1).is_monotonic_increasing
+
+
+def test_expire_keeps_versions_sides_point_to(spark, tmp_root):
+    from tickvault.schemas import TICKER_STATS
+    from tickvault.sinks.publish import read_side
+
+    root = os.path.join(tmp_root, "t")
+    rows = [("A", "x", dt.date(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, 1), ("B", "y", dt.date(2021, 1, 1), 1.0, 1.0, 1.0, 1.0, 1)]
+    df = spark.createDataFrame(rows, "Universe string, Ticker string, Date date, Open double, High double, Low double, Close double, Volume long")
+    from tickvault.jobs import bar_stats
+
+    df = df.withColumn("year", F.year("Date"))
+    publish(df, root, partition_by=["Universe", "year"], sides={"stats": bar_stats})
+    publish(df.filter("Universe = 'B'"), root, partition_by=["Universe", "year"], only_partitions=True, sides={"stats": bar_stats})
+    assert expire_snapshots(spark, root, keep=1) == []  # v=1 still holds A's rows and stats
+    st = read_side(spark, root, "stats", TICKER_STATS, keep_partition_cols=True)
+    assert sorted((r.Universe, r.Ticker) for r in st.collect()) == [("A", "x"), ("B", "y")]
+    assert read_prices(spark, root).count() == 2
