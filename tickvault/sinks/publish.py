@@ -159,6 +159,12 @@ def publish(
     if only_partitions and prev and _cols(prev.get("partition_by")) != cols:
         raise ValueError("only_partitions needs the same partition columns as the current version")
     out = df
+    if cols:
+        # without this every task writes one file into every partition it
+        # holds (tasks x partitions files); REBALANCE groups rows by partition
+        # and AQE splits big partitions / merges small ones to the advisory
+        # size, so files stay few and evenly sized
+        out = out.hint("rebalance", *cols)
     if sort_within:
         # partition columns first: the partitioned writer needs rows grouped
         # by them, so this one sort serves the writer and orders each file
