@@ -123,6 +123,50 @@ def stream_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     return read_current(spark, f"{root}/table", PRICES_STORED).select(*PRICE_OUT)
 
 
+def _job_inputs(spark, sf):
+    universe = fx.parts_universe(spark, sf)
+    # the feed's own write order: seq then the tie column, one batch per run
+    landed = fx.gappy_log(spark, sf).withColumn("seq", F.col("seq") * F.lit(1_000_000) + F.col("seq_tie"))
+    landed = landed.drop("batch_id", "seq_tie")
+    settled = fx.gappy_stored_log(spark, sf).withColumn("seq", F.col("seq") * F.lit(1_000_000) + F.col("seq_tie"))
+    settled = settled.drop("batch_id", "seq_tie")
+    return universe, landed, settled
+
+
+def job_fresh_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Price job, fresh mode end to end (J1, J7, W1, K1 by universe-year with
+    stats) into a fresh folder under the shared checkpoint dir; the published
+    table read back."""
+    import uuid
+
+    from tickvault.jobs import maintain_prices
+    from tickvault.session import shared_dir
+    from tickvault.sources.store import read_prices
+
+    universe, _, settled = _job_inputs(spark, sf)
+    root = shared_dir(spark, f"queries/job_fresh/{uuid.uuid4().hex}")
+    maintain_prices(spark, universe, settled, root, "fresh", as_of="2002-01-01", start="1995-01-01")
+    return read_prices(spark, root).select(*PRICE_OUT)
+
+
+def job_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Price job, fresh load of the settled feed then a backfill (J6, J7,
+    merge into the published table, rewrite of the touched years)."""
+    import uuid
+
+    from tickvault.jobs import maintain_prices
+    from tickvault.session import shared_dir
+    from tickvault.sources.store import read_prices
+
+    universe, landed, settled = _job_inputs(spark, sf)
+    root = shared_dir(spark, f"queries/job_backfill/{uuid.uuid4().hex}")
+    maintain_prices(spark, universe, settled, root, "fresh", as_of="2002-01-01", start="1995-01-01")
+    maintain_prices(
+        spark, universe, landed, root, "backfill", as_of="2002-01-01", start="1995-01-01", min_gap_days=fx.GAP_MIN_DAYS
+    )
+    return read_prices(spark, root).select(*PRICE_OUT)
+
+
 def first_last_dates(spark: SparkSession, sf: str) -> DataFrame:
     """A2/A3/A1: first and last bar date and bar count per stored ticker."""
     return work.last_dates(resolve_latest(_gappy_prices(spark, sf), BAR_KEYS, fx.BARS_LOG_ORDER))
@@ -416,6 +460,8 @@ QUERIES = {
     "first_last_dates": first_last_dates,
     "table_stats": table_stats,
     "stream_keep_last": stream_keep_last,
+    "job_fresh_load": job_fresh_load,
+    "job_backfill": job_backfill,
     "plan_fresh": plan_fresh,
     "plan_resume": plan_resume,
     "resume_progress": resume_progress,

@@ -171,6 +171,20 @@ def _latest(src: str, cols: str = PRICE_OUT) -> str:
   FROM ({src})) WHERE rn = 1"""
 
 
+def _feed_latest(src: str) -> str:
+    """Newest row per bar key in the feed's own order (seq, then the tie)."""
+    return f"""SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY Universe, Ticker, Date ORDER BY seq * 1000000 + seq_tie DESC) AS rn
+  FROM ({src})) WHERE rn = 1"""
+
+
+JOB_STORED = _feed_latest(BARS_P_STORED)
+JOB_GAP_PLAN = f"""SELECT Universe, Ticker, gap_start AS start_date, gap_end + 1 AS end_date FROM ({_gaps(JOB_STORED)})"""
+JOB_FILLS = _feed_latest(
+    f"""SELECT b.* FROM ({BARS_P}) b JOIN ({JOB_GAP_PLAN}) p
+  ON b.Universe = p.Universe AND b.Ticker = p.Ticker AND b.Date >= p.start_date AND b.Date < p.end_date"""
+)
+
 SQL: dict[str, str] = {
     "keep_last": _latest(BARS_S),
     "gaps_all": GAPS_P,
@@ -198,6 +212,10 @@ FROM s WHERE gap_rank <= 3""",
     "table_stats": f"""SELECT Universe, count(*) AS rows, count(DISTINCT Ticker) AS tickers, min(Date) AS first_date,
   max(Date) AS last_date FROM ({_latest(BARS_S)}) GROUP BY Universe""",
     "stream_keep_last": _latest(BARS_S),
+    "job_fresh_load": f"SELECT {PRICE_OUT} FROM ({JOB_STORED})",
+    "job_backfill": f"""SELECT {PRICE_OUT} FROM ({JOB_STORED}) s
+WHERE NOT EXISTS (SELECT 1 FROM ({JOB_FILLS}) f WHERE f.Universe = s.Universe AND f.Ticker = s.Ticker AND f.Date = s.Date)
+UNION ALL SELECT {PRICE_OUT} FROM ({JOB_FILLS})""",
     "first_last_dates": f"""SELECT Universe, Ticker, min(Date) AS first_date, max(Date) AS last_date, count(DISTINCT Date) AS n_bars
 FROM ({BARS_P}) GROUP BY Universe, Ticker""",
     "plan_fresh": f"""SELECT u.*, 'fresh' AS kind, DATE '2000-01-01' AS start_date, DATE '2001-08-01' AS end_date
