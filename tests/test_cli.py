@@ -48,3 +48,27 @@ def test_cli_runs(spark, tmp_root, capsys):
     ff = os.path.join(tmp_root, "ff")
     assert main(["free-float", "--universe", users, "--attempts", att, "--store", ff, "--as-of", "2024-02-01 00:00:00"], spark=spark) == 0
     assert main(["expire", "--store", store, "--keep", "1"], spark=spark) == 0
+
+
+def test_recommended_conf():
+    from tickvault.session import recommended_conf
+
+    c = recommended_conf(total_input_bytes=100 << 40)
+    assert c["spark.sql.autoBroadcastJoinThreshold"] == "-1"
+    assert c["spark.sql.adaptive.enabled"] == "true"
+    assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert "spark.ui.enabled" not in c
+
+
+def test_cli_free_float_resume_only(spark, tmp_root, capsys):
+    att = os.path.join(tmp_root, "attempts")
+    fx.attempts(spark, SF).write.parquet(att)
+    users = os.path.join(tmp_root, "users")
+    os.makedirs(users)
+    with open(os.path.join(users, "users.txt"), "w") as f:
+        f.write("\n".join(r.Ticker for r in fx.attempts(spark, SF).select("Ticker").distinct().collect()))
+    ff = os.path.join(tmp_root, "ff")
+    args = ["free-float", "--universe", users, "--attempts", att, "--store", ff, "--as-of", "2024-02-01 00:00:00", "--resume-only"]
+    assert main(args, spark=spark) == 0
+    out = capsys.readouterr().out
+    assert "published version 1" in out and "success" in out
