@@ -253,3 +253,12 @@ def test_universe_lists_across_part_files(spark, tmp_root):
         keys_sorted = sorted(c.c_custkey for c in cust if c.c_mktsegment == name)
         assert [t for _, t in rows] == [f"C{k}" for k in keys_sorted]
         assert [p for p, _ in rows] == list(range(1, len(rows) + 1))
+
+
+def test_resolve_latest_deterministic_ties(spark):
+    rows = [("A", 1, 0, 0, float(v)) for v in range(20)]  # all tie on (batch_id, seq)
+    df = spark.createDataFrame(rows, "Ticker string, d int, batch_id long, seq long, v double")
+    picks = {
+        resolve_latest(df.repartition(n), ["Ticker", "d"], deterministic_ties=True).first().v for n in (1, 3, 7)
+    }
+    assert len(picks) == 1

@@ -23,13 +23,20 @@ def resolve_latest(
     keys: Sequence[str],
     order: Sequence[str] = DEFAULT_ORDER,
     keep_order_columns: bool = False,
+    deterministic_ties: bool = False,
 ) -> DataFrame:
     """Keep the last written row per key (pandas ``drop_duplicates(keep="last")``).
 
-    NULL key values group together, as in pandas. ``order`` must be a total
-    order within a key; ties are resolved arbitrarily.
+    NULL key values group together, as in pandas. ``order`` should be a total
+    order within a key; ties are resolved arbitrarily unless
+    ``deterministic_ties``, which adds a hash of the whole row as the last
+    order key, so a recomputed task (e.g. after a lost executor) picks the
+    same row.
     """
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    by = [F.col(c).desc_nulls_last() for c in order]
+    if deterministic_ties:
+        by.append(F.xxhash64(*[F.col(c) for c in log.columns]).desc())
+    w = Window.partitionBy(*keys).orderBy(*by)
     out = log.withColumn(_RN, F.row_number().over(w)).filter(F.col(_RN) == 1).drop(_RN)
     if not keep_order_columns:
         out = out.drop(*[c for c in order if c in out.columns])
