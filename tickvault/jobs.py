@@ -178,7 +178,10 @@ def maintain_prices(
         # first write of the year layout (or too many partitions): rewrite all
         base_part = stored if v0 is not None else None
         incremental = False
-    merged = merge_latest(base_part, new_rows.select(*cols, "batch_id", "seq"), BAR_KEYS, ("batch_id", "seq"))
+    # a feed's own order may tie; the row hash makes a recomputed task pick the same row
+    merged = merge_latest(
+        base_part, new_rows.select(*cols, "batch_id", "seq"), BAR_KEYS, ("batch_id", "seq"), deterministic_ties=True
+    )
     merged = merged.select(*cols).withColumn("year", F.year("Date"))
     version = publish(
         merged,

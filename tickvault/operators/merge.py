@@ -61,6 +61,7 @@ def merge_latest(
     landed: DataFrame,
     keys: Sequence[str],
     order: Sequence[str] = DEFAULT_ORDER,
+    deterministic_ties: bool = False,
 ) -> DataFrame:
     """Published table (one row per key) + landed rows -> next table.
 
@@ -71,7 +72,7 @@ def merge_latest(
     stored table is read once and never shuffled.
     """
     keys = list(keys)
-    new = resolve_latest(landed, keys, order)
+    new = resolve_latest(landed, keys, order, deterministic_ties=deterministic_ties)
     if stored is None:
         return new
     new_keys = new.select(*[F.col(k).alias("__k_" + k) for k in keys])
