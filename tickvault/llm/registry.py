@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tickvault.llm import quality
+from tickvault.llm import licenses, quality, secrets
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op6_secret_scan": secrets.query,
+    "op8_license_scan": licenses.query,
 }
 
 SQL = {
