@@ -100,15 +100,13 @@ def _phrase_at(w: Column, words: list[str], i: Column) -> Column:
 
 def base_places(w: Column) -> Column:
     """Array of (place, label) of the base phrases in lower-case words ``w``."""
-    places = lambda phrase: F.filter(
-        F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: _phrase_at(w, phrase.split(), i)
-    )
-    return F.concat(
-        *[
-            F.transform(places(p), lambda i, name=label: F.struct(i.alias("place"), F.lit(name).alias("label")))
-            for p, label in BASE.items()
-        ]
-    )
+
+    def places(phrase: str, label: str) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)))
+        here = F.filter(at, lambda i: _phrase_at(w, phrase.split(), i))
+        return F.transform(here, lambda i: F.struct(i.alias("place"), F.lit(label).alias("label")))
+
+    return F.concat(*[places(p, label) for p, label in BASE.items()])
 
 
 def _template_score(w: Column, k: int, at: Column, idf: dict[str, float]) -> Column:
