@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tickvault.llm import licenses, quality, secrets
+from tickvault.llm import licenses, quality, secrets, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op6_secret_scan": secrets.query,
     "op8_license_scan": licenses.query,
+    "op9_token_files": token_files.query,
 }
 
 SQL = {
