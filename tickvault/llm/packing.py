@@ -101,7 +101,7 @@ def solve(demand: dict[int, int], cap: int, gap: float = 1e-3) -> list[tuple[dic
     columns = np.diag((cap // sizes).astype(float))  # column j: only items of size j
     inverse = np.diag(1.0 / np.diag(columns))
     use = inverse @ d
-    while True:
+    for _ in range(40 * m):  # far beyond what the gap needs; ends degenerate cycles too
         value, column = _knapsack(sizes, np.maximum(inverse.sum(axis=0), 0.0), cap)
         if value <= 1 + gap:  # Farley: the optimum is at least use.sum() / value
             break

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tickvault.llm import licenses, packing, quality, secrets, token_files
+from tickvault.llm import licenses, packing, quality, secrets, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
     "op6_secret_scan": secrets.query,
     "op8_license_scan": licenses.query,
