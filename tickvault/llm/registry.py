@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tickvault.llm import licenses, packing, quality, secrets, token_files, toxicity
+from tickvault.llm import imatch, jaccard_join, licenses, packing, quality, secrets, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_imatch": imatch.query,
     "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
     "op6_secret_scan": secrets.query,
+    "op7_jaccard_join": jaccard_join.query,
     "op8_license_scan": licenses.query,
     "op9_token_files": token_files.query,
 }
