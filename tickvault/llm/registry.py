@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickvault.llm import imatch, jaccard_join, licenses, packing, quality, secrets, token_files, toxicity
+from tickvault.llm import imatch, jaccard_join, licenses, packing, piece_fst, quality, secrets, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_jaccard_join": jaccard_join.query,
     "op8_license_scan": licenses.query,
     "op9_token_files": token_files.query,
+    "op10_piece_fst": piece_fst.query,
 }
 
 SQL = {
