@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tickvault.llm import imatch, jaccard_join, licenses, packing, piece_fst, quality, secrets, token_files, toxicity
+from tickvault.llm import imatch, jaccard_join, licenses, packing, piece_fst, quality, quotes, secrets, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_imatch": imatch.query,
     "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
+    "op5_quote_links": quotes.query,
     "op6_secret_scan": secrets.query,
     "op7_jaccard_join": jaccard_join.query,
     "op8_license_scan": licenses.query,
@@ -18,4 +19,5 @@ QUERIES = {
 
 SQL = {
     "op1_quality_rules": quality.oracle(),
+    "op5_quote_links": quotes.SQL,
 }
