@@ -410,8 +410,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates (shingles of five
     words, similarity of 0.8 or more) the document with the smallest doc_id
-    stays; documents without text or doc_id stay."""
+    stays; documents without text or without doc_id stay, and so do all rows of
+    the doc_id that stays."""
     same = jaccard_components(spark, docs, size=5, percent=80)
     first = same.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").select(docs.columns)
-    return kept
+    return kept.unionByName(docs.filter("doc_id is null"))
