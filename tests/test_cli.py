@@ -54,7 +54,7 @@ def test_recommended_conf():
     from tickvault.session import recommended_conf
 
     c = recommended_conf(total_input_bytes=100 << 40)
-    assert c["spark.sql.autoBroadcastJoinThreshold"] == "-1"
+    assert c["spark.sql.autoBroadcastJoinThreshold"] == "10MB"
     assert c["spark.sql.adaptive.enabled"] == "true"
     assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert "spark.ui.enabled" not in c

@@ -173,7 +173,7 @@ def test_compact_touches_only_landed_universes(spark, tmp_root):
     append_log(spark.createDataFrame([("B", "y", dt.date(2020, 1, 1), 3.0)], cols).withColumn("seq", F.lit(0).cast("long")), 1, log_root)
     assert compact(spark, log_root, table_root, schema) == 2
     m = read_manifest(spark, table_root)
-    assert m["parts"] == {"Universe=A": 1, "Universe=B": 2}
+    assert m["parts"] == {"Universe=A/year=2020": 1, "Universe=B/year=2020": 2}
     got = {r.Universe: r.Close for r in read_current(spark, table_root, schema).collect()}
     assert got == {"A": 1.0, "B": 3.0}
 

@@ -17,7 +17,7 @@ from tickvault.functions.scalar import lit_ts
 from tickvault.operators import freefloat as ffo
 from tickvault.operators import reports as rep
 from tickvault.operators.gaps import find_gaps
-from tickvault.operators.merge import resolve_latest
+from tickvault.operators.merge import merge_latest, resolve_latest
 from tickvault.operators.normalize import normalize_quotes
 from tickvault.plans import work
 from tickvault.plans.windows import apply_windows
@@ -143,12 +143,48 @@ def job_fresh_load(spark: SparkSession, sf: str) -> DataFrame:
     from tickvault.session import shared_dir
     from tickvault.sources.store import read_prices
 
-    universe, _, settled = _job_inputs(spark, sf)
+    universe, landed, _ = _job_inputs(spark, sf)
     root = shared_dir(spark, f"queries/job_fresh/{uuid.uuid4().hex}")
+    maintain_prices(spark, universe, landed, root, "fresh", as_of="2002-01-01", start="1995-01-01")
+    return read_prices(spark, root).select(*PRICE_OUT)
+
+
+def job_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Price job, fresh load of the settled feed then an update
+    over a universe that also lists tickers no feed has."""
+    import uuid
+
+    from tickvault.jobs import maintain_prices
+    from tickvault.session import shared_dir
+    from tickvault.sources.store import read_prices
+
+    universe, landed, settled = _job_inputs(spark, sf)
+    root = shared_dir(spark, f"queries/job_update/{uuid.uuid4().hex}")
     maintain_prices(spark, universe, settled, root, "fresh", as_of="2002-01-01", start="1995-01-01")
+    listed = fx.parts_universe(spark, sf, shifted=True)
+    maintain_prices(spark, listed, landed, root, "update", as_of="2002-01-01", start="1995-01-01")
     return read_prices(spark, root).select(*PRICE_OUT)
 
 
+def job_free_float(spark: SparkSession, sf: str) -> DataFrame:
+    """Free-float job end to end (J3, C1-C7, K2, K1), the table read back (S7);
+    a second run in which nothing is due leaves the version as it is."""
+    import uuid
+
+    from tickvault.jobs import maintain_free_float
+    from tickvault.session import shared_dir
+    from tickvault.sources.store import read_free_float
+
+    universe = fx.customer_universe(spark, sf)
+    tries = fx.attempts(spark, sf, universe="customers", prefix="C")
+    root = shared_dir(spark, f"queries/job_free_float/{uuid.uuid4().hex}")
+    first = maintain_free_float(spark, universe, tries, root, as_of=fx.STALE_AS_OF)
+    done = read_free_float(spark, root).select(*KEYS)
+    again = maintain_free_float(spark, universe.join(done, KEYS, "left_semi"), tries, root, as_of=fx.STALE_AS_OF)
+    assert again.version == first.version, "a run with nothing due must not publish"
+    return read_free_float(spark, root)
+
+
 def job_backfill(spark: SparkSession, sf: str) -> DataFrame:
     """Price job, fresh load of the settled feed then a backfill (J6, J7,
     merge into the published table, rewrite of the touched years)."""
@@ -278,6 +314,23 @@ def apply_update_windows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def backfill_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 with the failed arm: gaps of tickers whose tries are exhausted."""
+    plan, fills = _backfill_fills(spark, sf)
+    resolved = ffo.resolve_attempts(fx.attempts(spark, sf, universe="parts", prefix="P"))
+    return rep.fill_outcome(plan, fills, resolved)
+
+
+def backfill_outcome_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps filled / empty / failed and rows fetched per universe."""
+    return rep.fill_totals(backfill_outcome(spark, sf))
+
+
+def failed_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """O3 of a backfill: first 10 failed gaps and how many more."""
+    return rep.failed_gaps(backfill_outcome(spark, sf))
+
+
 def fill_outcome(spark: SparkSession, sf: str) -> DataFrame:
     """Per gap, rows fetched and filled/empty."""
     plan, fills = _backfill_fills(spark, sf)
@@ -285,20 +338,19 @@ def fill_outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def backfill_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """T4: stored bars ∪ gap fills, newest wins -> the republished table."""
+    """T4: stored bars and gap fills -> the republished table, by the job's merge."""
     _, fills = _backfill_fills(spark, sf)
-    stored = fx.gappy_stored_log(spark, sf)
-    stored = stored.withColumn("batch_id", F.col("batch_id") - 10)  # stored history precedes every fill
-    log = stored.unionByName(fills.drop("start_date"))
-    return resolve_latest(log, BAR_KEYS, fx.BARS_LOG_ORDER).select(*PRICE_OUT)
+    stored = resolve_latest(fx.gappy_stored_log(spark, sf), BAR_KEYS, fx.BARS_LOG_ORDER)
+    return merge_latest(stored, fills.drop("start_date"), BAR_KEYS, fx.BARS_LOG_ORDER).select(*PRICE_OUT)
 
 
 def update_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """The 5-day overlap re-read replaces stored rows by key."""
-    plan = _update_plan(spark, sf)
-    fetched = apply_windows(fx.gappy_log(spark, sf), plan, keys=KEYS).withColumn("batch_id", F.col("batch_id") + 10)
-    stored = fx.gappy_stored_log(spark, sf)
-    return resolve_latest(stored.unionByName(fetched), BAR_KEYS, fx.BARS_LOG_ORDER).select(*PRICE_OUT)
+    """Planned from the stored table, the 5-day overlap re-read replaces
+    stored rows by key, by the job's merge."""
+    stored = resolve_latest(fx.gappy_stored_log(spark, sf), BAR_KEYS, fx.BARS_LOG_ORDER)
+    plan = work.plan_update(fx.parts_universe(spark, sf, shifted=True), stored, as_of=fx.UPDATE_AS_OF)
+    fetched = apply_windows(fx.gappy_log(spark, sf), plan, keys=KEYS, one_window=True)
+    return merge_latest(stored, fetched, BAR_KEYS, fx.BARS_LOG_ORDER).select(*PRICE_OUT)
 
 
 def plan_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,10 +359,32 @@ def plan_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rep.plan_counts(universe, _update_plan(spark, sf))
 
 
+def plan_counts_fresh(spark: SparkSession, sf: str) -> DataFrame:
+    """A4 of a fresh run: listed, due and done tickers."""
+    universe = fx.customer_universe(spark, sf)
+    return rep.work_counts(universe, plan_fresh(spark, sf))
+
+
+def plan_counts_stale(spark: SparkSession, sf: str) -> DataFrame:
+    """A4 of a free-float run: listed, due and fresh tickers."""
+    return rep.work_counts(fx.users_universe(spark, sf), plan_stale(spark, sf))
+
+
+def update_outcome_dups(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 over lists that name every ticker twice: each line reports the
+    ticker's one fetch."""
+    universe = fx.parts_universe(spark, sf, shifted=True)
+    universe = universe.unionByName(universe.withColumn("pos", F.col("pos") + 2 * fx.NO_ROW_OFFSET))
+    plan = work.plan_update(universe, _gappy_prices(spark, sf), as_of=fx.UPDATE_AS_OF)
+    fetched = apply_windows(fx.gappy_log(spark, sf), plan, keys=KEYS, one_window=True)
+    resolved = ffo.resolve_attempts(fx.attempts(spark, sf, universe="parts", prefix="P"))
+    return rep.update_outcome(plan, fetched, resolved)
+
+
 def update_outcome(spark: SparkSession, sf: str) -> DataFrame:
     """Per planned ticker: rows fetched and success / skipped / failed."""
     plan = _update_plan(spark, sf)
-    fetched = apply_windows(fx.gappy_log(spark, sf), plan, keys=KEYS)
+    fetched = apply_windows(fx.gappy_log(spark, sf), plan, keys=KEYS, one_window=True)
     resolved = ffo.resolve_attempts(fx.attempts(spark, sf, universe="parts", prefix="P"))
     return rep.update_outcome(plan, fetched, resolved)
 
@@ -355,6 +429,15 @@ def attempts_resolved(spark: SparkSession, sf: str) -> DataFrame:
     return ffo.resolve_attempts(fx.attempts(spark, sf)).select(*KEYS, "Status", "Error", "tries", "rate_limited")
 
 
+def attempts_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """C7 with runs: an old run in which every try failed shares the table with
+    the new run, whose good tries and numbers must count."""
+    new = fx.attempts(spark, sf, universe="customers", prefix="C").withColumn("run_id", F.lit("new"))
+    old = new.withColumn("run_id", F.lit("old")).withColumn("ok", F.lit(False)).withColumn("payload", F.lit(None).cast("string"))
+    resolved = ffo.resolve_attempts(old.unionByName(new), run_id="new")
+    return ffo.results_to_rows(resolved, as_of=fx.STALE_AS_OF)
+
+
 def free_float_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Resolved tries -> free_float rows stamped with the run clock."""
     resolved = ffo.resolve_attempts(fx.attempts(spark, sf, universe="customers", prefix="C"))
@@ -403,6 +486,12 @@ def failure_sample(spark: SparkSession, sf: str) -> DataFrame:
     return rep.failure_sample(resolved.join(pos, KEYS, "inner"), order_key="pos", n=10)
 
 
+def failed_list(spark: SparkSession, sf: str) -> DataFrame:
+    """O3 of a run summary: failed tickers joined, and how many more."""
+    resolved = ffo.resolve_attempts(fx.attempts(spark, sf))
+    return rep.failed_list(resolved.join(fx.users_universe(spark, sf), KEYS, "inner"))
+
+
 def run_timing(spark: SparkSession, sf: str) -> DataFrame:
     """A10: total time, mean per ticker, time left for the rest of the plan."""
     resolved = ffo.resolve_attempts(fx.attempts(spark, sf))
@@ -441,7 +530,7 @@ def universe_listing(spark: SparkSession, sf: str) -> DataFrame:
 def prefer_primary(spark: SparkSession, sf: str) -> DataFrame:
     """S3: primary list first, fallback only for keys the primary lacks."""
     primary, fallback = fx.nation_lists(spark, sf)
-    return prefer_source(primary, fallback, ["Ticker"])
+    return prefer_source(primary, fallback, ["Universe"])
 
 
 def normalized_quotes(spark: SparkSession, sf: str) -> DataFrame:
@@ -450,6 +539,16 @@ def normalized_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return normalize_quotes(raw, ticker_col="symbol", date_col="ts_utc", exchange_tz=F.col("exchange_tz"))
 
 
+def normalized_instants(spark: SparkSession, sf: str) -> DataFrame:
+    """N3 for zone-aware feeds: the same quotes landed as instants."""
+    raw = fx.landed_quotes(spark, sf)
+    epoch = F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
+    instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("ts_utc")))
+    return normalize_quotes(
+        raw.withColumn("ts_utc", instant), ticker_col="symbol", date_col="ts_utc", exchange_tz=F.col("exchange_tz")
+    )
+
+
 QUERIES = {
     "keep_last": keep_last,
     "gaps_all": gaps_all,
@@ -462,6 +561,8 @@ QUERIES = {
     "stream_keep_last": stream_keep_last,
     "job_fresh_load": job_fresh_load,
     "job_backfill": job_backfill,
+    "job_update": job_update,
+    "job_free_float": job_free_float,
     "plan_fresh": plan_fresh,
     "plan_resume": plan_resume,
     "resume_progress": resume_progress,
@@ -474,6 +575,15 @@ QUERIES = {
     "apply_backfill_windows": apply_backfill_windows,
     "apply_update_windows": apply_update_windows,
     "fill_outcome": fill_outcome,
+    "backfill_outcome": backfill_outcome,
+    "backfill_outcome_totals": backfill_outcome_totals,
+    "failed_gaps": failed_gaps,
+    "plan_counts_fresh": plan_counts_fresh,
+    "plan_counts_stale": plan_counts_stale,
+    "update_outcome_dups": update_outcome_dups,
+    "attempts_two_runs": attempts_two_runs,
+    "failed_list": failed_list,
+    "normalized_instants": normalized_instants,
     "backfill_merge": backfill_merge,
     "update_merge": update_merge,
     "plan_counts": plan_counts,

@@ -101,9 +101,11 @@ def local_date(ts, exchange_tz, naive_is_utc: bool = True) -> Column:
 
 
 def local_date_of_instant(ts, exchange_tz) -> Column:
-    """Like :func:`local_date` for a zone-aware TIMESTAMP column."""
+    """Like :func:`local_date` for a zone-aware TIMESTAMP column: the instant's
+    wall clock in the session zone, carried to the exchange's zone."""
     tz = exchange_tz if isinstance(exchange_tz, Column) else F.lit(exchange_tz)
-    return F.convert_timezone(tz, _col(ts)).cast(T.DateType())
+    wall = _col(ts).cast(T.TimestampNTZType())
+    return F.convert_timezone(F.current_timezone(), tz, wall).cast(T.DateType())
 
 
 def is_rate_limited(error) -> Column:

@@ -13,8 +13,9 @@ through the month-bucketed range join (broadcast only after a count; the
 plan's date range is pushed to the scan). Only the landed rows are shuffled
 for newest-wins (partial group limit before the exchange); stored rows pass
 an anti join. The publish reads and rewrites only the (universe, year)
-partitions the windows reach and commits data and stats with one manifest,
-so a lost executor or driver never leaves a half table.
+partitions that fetched rows land in (none: no new version) and commits data
+and stats with one manifest, against the version it started from, so neither a
+lost executor nor a second run leaves a half table or loses an update.
 """
 
 from __future__ import annotations
@@ -40,8 +41,7 @@ from tickvault.schemas import (
     PRICES_STORED,
     TICKER_STATS,
 )
-from tickvault.sinks.publish import current_version, publish, read_manifest, read_side, read_version
-from tickvault.sources.store import read_current
+from tickvault.sinks.publish import publish, read_manifest, read_side, read_version
 
 KEYS = ["Universe", "Ticker"]
 # A plan of at most this many (window, month) rows is broadcast to the landed
@@ -54,8 +54,6 @@ BAR_KEYS = ["Universe", "Ticker", "Date"]
 # Bars are stored by universe and calendar year: an update run rewrites only
 # the years its request windows reach (usually the current one).
 BAR_PARTITIONS = ["Universe", "year"]
-# Most (universe, year) partitions a pruning filter is built from.
-MAX_PRUNE_PARTITIONS = 100_000
 
 
 def bar_stats(bars: DataFrame) -> DataFrame:
@@ -67,10 +65,10 @@ def bar_stats(bars: DataFrame) -> DataFrame:
     )
 
 
-def ticker_stats(spark: SparkSession, store_root: str) -> DataFrame | None:
+def ticker_stats(spark: SparkSession, store_root: str, manifest: dict | None = None) -> DataFrame | None:
     """Per-ticker first/last date and bar count from the stats side table
     (one row per ticker-year), or None when the table has no stats."""
-    st = read_side(spark, store_root, "stats", TICKER_STATS, keep_partition_cols=True)
+    st = read_side(spark, store_root, "stats", TICKER_STATS, keep_partition_cols=True, manifest=manifest)
     if st is None:
         return None
     return st.groupBy("Universe", "Ticker").agg(
@@ -80,16 +78,11 @@ def ticker_stats(spark: SparkSession, store_root: str) -> DataFrame | None:
     )
 
 
-def _touched_partitions(plan: DataFrame) -> list[str] | None:
-    """``Universe=u/year=y`` keys the plan windows reach (a superset of the
-    partitions the fetched rows land in); None past the guard."""
-    years = plan.select(
-        "Universe",
-        F.explode(F.sequence(F.year("start_date"), F.year(F.date_sub("end_date", 1)))).alias("year"),
-    ).distinct()
-    if years.count() > MAX_PRUNE_PARTITIONS:  # size checked before anything reaches the driver
-        return None
-    return [f"{r.Universe}/{r.year}" for r in years.collect()]
+def touched_partitions(rows: DataFrame) -> set[tuple[str | None, str | None]]:
+    """(Universe, year) partitions that rows land in; like the manifest they
+    are one entry a partition, never one a row."""
+    years = rows.select("Universe", F.year("Date").cast(T.StringType()).alias("year")).distinct()
+    return {(r.Universe, r.year) for r in years.collect()}
 
 
 @dataclass
@@ -112,24 +105,32 @@ def maintain_prices(
     lookback_days: int = DEFAULT_LOOKBACK_DAYS,
     attempts: DataFrame | None = None,
     max_retry: int = DEFAULT_MAX_RETRY,
+    run_id: str | None = None,
 ) -> RunResult:
     """Plan, fetch (from ``landed``), merge and publish the daily-bar table.
 
+    Only the (universe, year) partitions of rows actually fetched are read and
+    rewritten; a run that fetches nothing publishes nothing.
+
     ``landed`` holds normalised bars ``(Universe, Ticker, Date, ...)`` with a
     ``seq`` write order; ``attempts`` (optional) marks tickers whose fetch
     failed after ``max_retry`` tries — their rows are not taken.
     """
-    stored = read_current(spark, store_root, PRICES_STORED)
+    # the version is resolved once; the publish fails if the table moves on meanwhile
     manifest = read_manifest(spark, store_root)
+    v0 = manifest["version"] if manifest else None
     by_year = manifest is None or (manifest.get("partition_by") or []) == BAR_PARTITIONS
-    v0 = current_version(spark, store_root)
+    if manifest:
+        stored = read_version(spark, store_root, PRICES_STORED, manifest=manifest)
+    else:
+        stored = spark.createDataFrame([], PRICES_STORED)
     if mode in ("update", "backfill") and v0 is None:
         # as the reference: these modes need a stored table (run "fresh" first)
         raise ValueError(f"mode={mode!r} needs a stored table at {store_root}; run mode='fresh' first")
     # planning reads only the universes of this run (partition filter), and
     # for fresh/update only the per-ticker stats written with the table
     mine = work.prune_to_universes(stored, universe)
-    stats = ticker_stats(spark, store_root) if by_year else None
+    stats = ticker_stats(spark, store_root, manifest) if by_year else None
     mine_stats = work.prune_to_universes(stats, universe) if stats is not None else None
     if mode == "fresh":
         plan = work.plan_fresh(universe, mine_stats if mine_stats is not None else mine, as_of, start=start)
@@ -149,38 +150,57 @@ def maintain_prices(
         # materialised, so this check reads a few files)
         empty = plan.select(*KEYS).filter(F.lit(False))
         return RunResult(v0, plan, empty, empty.groupBy("Universe").count())
-    resolved = ffo.resolve_attempts(attempts, max_retry=max_retry) if attempts is not None else None
+    resolved = None
     take = plan
-    if resolved is not None:
+    if attempts is not None:
+        resolved = materialise(ffo.resolve_attempts(attempts, max_retry=max_retry, run_id=run_id))
         failed = resolved.filter(F.col("Status") == "FAILED").select(*KEYS)
         take = materialise(plan.join(failed, KEYS, "left_anti"))
-    fetched = apply_windows(
-        landed, take, keys=KEYS, plan_cols=["start_date"], broadcast_max_rows=BROADCAST_PLAN_ROWS, date_bounds=True
+    windowed = apply_windows(
+        landed,
+        take,
+        keys=KEYS,
+        plan_cols=["start_date"],
+        broadcast_max_rows=BROADCAST_PLAN_ROWS,
+        date_bounds=True,
+        one_window=mode != "backfill",
     )
+    # read by the merge, the counts and the partition list: fetched once
+    fetched = materialise(windowed)
+    by = [*KEYS, "start_date"] if mode == "backfill" else KEYS
+    counts = materialise(rep.fetched_counts(fetched, by))
+
+    def result(version):
+        if mode == "backfill":
+            report = rep.fill_outcome(plan, counts, resolved)
+            return RunResult(version, plan, report, rep.fill_totals(report))
+        report = rep.update_outcome(plan, counts, resolved)
+        return RunResult(version, plan, report, rep.outcome_totals(report))
+
+    touched = touched_partitions(fetched)
+    if not touched:
+        return result(v0)
 
     batch = (v0 or 0) + 1
     new_rows = fetched.drop("start_date").withColumn("batch_id", F.lit(batch).cast(T.LongType()))
     if "seq" not in new_rows.columns:
         new_rows = new_rows.withColumn("seq", F.lit(0).cast(T.LongType()))
     cols = [f.name for f in PRICES_STORED.fields]
-    touched = _touched_partitions(take) if by_year else None
-    if touched is not None:
-        # only the (universe, year) partitions the windows reach are read and
-        # rewritten; the manifest keeps every other partition where it is
-        base = read_version(spark, store_root, PRICES_STORED, keep_partition_cols=True)
-        if base is None:
-            base_part = None
-        else:
-            key = F.concat_ws("/", F.col("Universe"), F.col("year").cast(T.StringType()))
-            base_part = base.filter(key.isin(touched)).select(*cols)
-        incremental = True
+    incremental = by_year and v0 is not None
+    if incremental:
+        # the manifest keeps every other partition where it is
+        base_part = read_version(spark, store_root, PRICES_STORED, manifest=manifest, parts=touched.__contains__)
     else:
-        # first write of the year layout (or too many partitions): rewrite all
         base_part = stored if v0 is not None else None
-        incremental = False
+    n_fetched = counts.agg(F.sum("rows_fetched")).first()[0]
     # a feed's own order may tie; the row hash makes a recomputed task pick the same row
     merged = merge_latest(
-        base_part, new_rows.select(*cols, "batch_id", "seq"), BAR_KEYS, ("batch_id", "seq"), deterministic_ties=True
+        base_part,
+        new_rows.select(*cols, "batch_id", "seq"),
+        BAR_KEYS,
+        ("batch_id", "seq"),
+        deterministic_ties=True,
+        broadcast_keys=n_fetched <= BROADCAST_PLAN_ROWS,
     )
     merged = merged.select(*cols).withColumn("year", F.year("Date"))
     version = publish(
@@ -188,21 +208,11 @@ def maintain_prices(
         store_root,
         partition_by=BAR_PARTITIONS,
         sort_within=[F.col("Ticker"), F.asc_nulls_last("Date")],  # O1: missing dates last
-        only_partitions=incremental and v0 is not None,
+        only_partitions=incremental,
         sides={"stats": bar_stats},
+        expected_version=v0,
     )
-
-    if mode == "backfill":
-        report = rep.fill_outcome(plan, fetched)
-        totals = report.groupBy("Universe").agg(
-            F.count_if(F.col("outcome") == "filled").alias("filled"),
-            F.count_if(F.col("outcome") == "empty").alias("empty"),
-            F.sum("rows_fetched").cast(T.LongType()).alias("rows_fetched"),
-        )
-    else:
-        report = rep.update_outcome(plan, fetched, resolved)
-        totals = rep.outcome_totals(report)
-    return RunResult(version, plan, report, totals)
+    return result(version)
 
 
 def maintain_free_float(
@@ -219,6 +229,7 @@ def maintain_free_float(
     on_failure: str = "replace",
     success_rule: str = "call",
     plan: str = "stale",
+    run_id: str | None = None,
 ) -> RunResult:
     """Plan -> resolve tries -> free-float rows -> upsert -> publish.
 
@@ -226,7 +237,10 @@ def maintain_free_float(
     the first version's rule (J2: universe minus stored ∪ marks, any stored
     row is done for ever), usually with ``success_rule="value"`` (C5).
     """
-    stored = work.prune_to_universes(read_current(spark, store_root, FREE_FLOAT), universe)
+    manifest = read_manifest(spark, store_root)
+    v0 = manifest["version"] if manifest else None
+    whole = read_version(spark, store_root, FREE_FLOAT, manifest=manifest) if manifest else spark.createDataFrame([], FREE_FLOAT)
+    stored = work.prune_to_universes(whole, universe)
     if plan == "stale":
         todo = work.plan_stale(universe, stored, marks, as_of, days=days, force=force, retry_failed=retry_failed)
     elif plan == "resume":
@@ -236,15 +250,24 @@ def maintain_free_float(
         raise ValueError("plan must be 'stale' or 'resume'")
     plan = materialise(todo)
     due_attempts = attempts.join(plan.select(*KEYS).distinct(), KEYS, "left_semi")
-    resolved = ffo.resolve_attempts(due_attempts, max_retry=max_retry)
+    resolved = ffo.resolve_attempts(due_attempts, max_retry=max_retry, run_id=run_id)
     # one row per due ticker, read by the upsert (up to three times) and the
     # report: materialised once instead of re-resolving the tries
     rows = materialise(ffo.results_to_rows(resolved, as_of=as_of, success_rule=success_rule))
-    table = ffo.upsert_free_float(stored, rows, on_failure=on_failure)
-    cols = [f.name for f in FREE_FLOAT.fields]
-    version = publish(
-        table.select(*cols), store_root, partition_by=["Universe"], sort_within=["Ticker"], only_partitions=True
-    )
+    version = v0
+    touched = {(r.Universe,) for r in rows.select("Universe").distinct().collect()}
+    if touched:  # nothing due or no tries: the table stays as it is
+        mine = read_version(spark, store_root, FREE_FLOAT, manifest=manifest, parts=touched.__contains__) if manifest else whole
+        table = ffo.upsert_free_float(mine, rows, on_failure=on_failure)
+        cols = [f.name for f in FREE_FLOAT.fields]
+        version = publish(
+            table.select(*cols),
+            store_root,
+            partition_by=["Universe"],
+            sort_within=["Ticker"],
+            only_partitions=True,
+            expected_version=v0,
+        )
     report = rows.select(*KEYS, "Status", "Error")
     totals = ffo.run_outcome(rows)
     return RunResult(version, plan, report, totals)

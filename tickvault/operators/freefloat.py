@@ -92,15 +92,25 @@ def classify_errors(attempts: DataFrame, max_retry: int = DEFAULT_MAX_RETRY) ->
     )
 
 
-def resolve_attempts(attempts: DataFrame, max_retry: int = DEFAULT_MAX_RETRY, keys: Sequence[str] = KEYS) -> DataFrame:
+def resolve_attempts(
+    attempts: DataFrame, max_retry: int = DEFAULT_MAX_RETRY, keys: Sequence[str] = KEYS, run_id: str | None = None
+) -> DataFrame:
     """C7 (+C4): first success among the first ``max_retry`` tries, else the
     *last* error cut to 500 characters (``Unknown error`` when empty).
 
+    Tries of several runs may share a table with a ``run_id`` column: then
+    ``run_id`` names the run to resolve (another run's failures must not spend
+    this run's tries). Of tries with the same number a good one counts.
+
     Output per key: ``Status``, ``Error``, ``payload`` (of the good try),
     ``tries`` (tries spent), ``rate_limited`` (count), ``started_at``,
     ``finished_at`` (of the tries spent).
     """
     keys = list(keys)
+    if "run_id" in attempts.columns:
+        if run_id is None:
+            raise ValueError("the tries carry run_id: name the run to resolve")
+        attempts = attempts.filter(F.col("run_id") == F.lit(run_id))
     a = attempts.filter(F.col("attempt") < F.lit(int(max_retry)))
     ok_att = F.when(F.col("ok"), F.col("attempt"))
     # after the filter a key has at most max_retry rows, so every window
@@ -110,7 +120,7 @@ def resolve_attempts(attempts: DataFrame, max_retry: int = DEFAULT_MAX_RETRY, ke
         F.col("__ok_at").isNull() | (F.col("attempt") <= F.col("__ok_at"))
     )
     # the last try spent is the good one (SUCCESS) or the last failure (FAILED)
-    last_first = Window.partitionBy(*keys).orderBy(F.col("attempt").desc())
+    last_first = Window.partitionBy(*keys).orderBy(F.col("attempt").desc(), F.col("ok").desc(), F.col("finished_at").desc())
     rl = (~F.col("ok")) & is_rate_limited(F.col("error"))
     r = (
         spent.withColumn("__rn", F.row_number().over(last_first))

@@ -62,20 +62,24 @@ def merge_latest(
     keys: Sequence[str],
     order: Sequence[str] = DEFAULT_ORDER,
     deterministic_ties: bool = False,
+    broadcast_keys: bool = False,
 ) -> DataFrame:
     """Published table (one row per key) + landed rows -> next table.
 
     Same result as :func:`resolve_latest` over ``stored ∪ landed`` with the
     stored rows first, but only the landed rows are shuffled for the window;
-    stored rows pass through a (null-safe) anti join against the landed keys,
-    which AQE broadcasts when the landed key set is measured small — then the
-    stored table is read once and never shuffled.
+    stored rows pass through a (null-safe) anti join against the landed keys.
+    ``broadcast_keys`` is for a caller that has counted the landed rows: the
+    stored table is then read once and not shuffled by the join. Otherwise both
+    sides are shuffled by key unless AQE measures the keys to be small.
     """
     keys = list(keys)
     new = resolve_latest(landed, keys, order, deterministic_ties=deterministic_ties)
     if stored is None:
         return new
     new_keys = new.select(*[F.col(k).alias("__k_" + k) for k in keys])
+    if broadcast_keys:
+        new_keys = F.broadcast(new_keys)
     cond = [stored[k].eqNullSafe(new_keys["__k_" + k]) for k in keys]
     kept = stored.join(new_keys, cond, "left_anti")
     return kept.unionByName(new.select(*[c for c in new.columns if c in stored.columns]), allowMissingColumns=True)

@@ -69,6 +69,8 @@ def unstack_wide(
 def _to_date(c: Column, dtype: T.DataType, exchange_tz) -> Column:
     """Keep the exchange's wall clock; never shift local bars to UTC."""
     if exchange_tz is None:
+        if isinstance(dtype, T.TimestampType):
+            raise ValueError("an instant has a local date only with exchange_tz; the session zone would shift it")
         return c.cast(T.DateType())
     if isinstance(dtype, T.TimestampType):
         return local_date_of_instant(c, exchange_tz)

@@ -63,20 +63,85 @@ def gap_sample(universe: DataFrame, plan: DataFrame, tickers: int = 5, per_ticke
     )
 
 
-def fill_outcome(plan: DataFrame, fills: DataFrame) -> DataFrame:
-    """Per gap window, rows fetched and ``filled`` / ``empty``."""
-    got = fills.groupBy(*KEYS, "start_date").agg(F.count(F.lit(1)).alias("rows_fetched"))
+def _failed(j: DataFrame, resolved: DataFrame | None):
+    """``j`` with the resolved status, and the test for exhausted tries."""
+    if resolved is None:
+        return j, F.lit(False)
+    j = j.join(resolved.select(*KEYS, "Status").distinct(), KEYS, "left")
+    return j, F.coalesce(F.col("Status") == STATUS_FAILED, F.lit(False))
+
+
+def fetched_counts(fetched: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows fetched per window or ticker (small; materialise it once)."""
+    return fetched.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_fetched"))
+
+
+def fill_outcome(plan: DataFrame, fills: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """Per gap window, rows fetched and ``filled`` / ``empty``, or
+    ``failed`` where the ticker's tries are exhausted. ``fills`` are the rows,
+    or their :func:`fetched_counts` by window."""
+    got = fills if "rows_fetched" in fills.columns else fetched_counts(fills, [*KEYS, "start_date"])
     j = plan.select(*KEYS, "start_date", "end_date").join(got, [*KEYS, "start_date"], "left")
-    n = F.coalesce(F.col("rows_fetched"), F.lit(0)).cast(T.LongType())
+    j, failed = _failed(j, resolved)
+    n = F.when(failed, F.lit(0)).otherwise(F.coalesce(F.col("rows_fetched"), F.lit(0))).cast(T.LongType())
     return j.select(
         *KEYS,
         "start_date",
         "end_date",
         n.alias("rows_fetched"),
-        F.when(n > 0, F.lit("filled")).otherwise(F.lit("empty")).alias("outcome"),
+        F.when(failed, F.lit("failed")).when(n > 0, F.lit("filled")).otherwise(F.lit("empty")).alias("outcome"),
+    )
+
+
+def fill_totals(outcome: DataFrame) -> DataFrame:
+    """Gaps filled, empty and failed per universe, rows fetched in total."""
+    return outcome.groupBy("Universe").agg(
+        F.count_if(F.col("outcome") == "filled").alias("filled"),
+        F.count_if(F.col("outcome") == "empty").alias("empty"),
+        F.count_if(F.col("outcome") == "failed").alias("failed"),
+        F.sum("rows_fetched").cast(T.LongType()).alias("rows_fetched"),
+    )
+
+
+def failed_gaps(outcome: DataFrame, n: int = 10) -> DataFrame:
+    """O3 of a backfill: the first ``n`` failed gaps as ``ticker [start->end]``
+    (last day shown) and how many more failed."""
+    failed = outcome.filter(F.col("outcome") == "failed")
+    more = F.greatest(_count(failed) - F.lit(int(n)), F.lit(0)).cast(T.LongType())
+    top = failed.orderBy(*KEYS, "start_date").limit(int(n))
+    label = F.concat(
+        F.col("Ticker"), F.lit(" ["), F.col("start_date").cast("string"), F.lit("->"),
+        F.date_sub("end_date", 1).cast("string"), F.lit("]"),
+    )
+    rank = F.row_number().over(Window.orderBy(*KEYS, "start_date")).cast(T.LongType())
+    return top.select(rank.alias("rank"), label.alias("gap"), more.alias("more_failed"))
+
+
+def failed_list(resolved: DataFrame, order_key: str = "pos", n: int = 10) -> DataFrame:
+    """O3 of a run summary: the first ``n`` failed tickers joined with ``, ``
+    and ``... and N more`` (one row; no failure gives an empty list)."""
+    failed = resolved.filter(F.col("Status") == STATUS_FAILED)
+    top = failed.orderBy(order_key, "Ticker").limit(int(n))
+    first = F.array_sort(F.collect_list(F.struct(F.col(order_key).alias("o"), F.col("Ticker").alias("t"))))
+    total = _count(failed)
+    more = total - F.lit(int(n))
+    return top.agg(F.array_join(F.transform(first, lambda x: x["t"]), ", ").alias("failed_list")).select(
+        "failed_list",
+        F.when(more > 0, F.concat(F.lit("... and "), more.cast("string"), F.lit(" more"))).alias("more"),
+        total.alias("failed"),
     )
 
 
+def work_counts(universe: DataFrame, plan: DataFrame) -> DataFrame:
+    """A4 for fresh, resume, stale and backfill runs: listed tickers, tickers
+    the plan has work for, and the rest, per universe (lists may repeat a
+    ticker; a repeated line is one ticker)."""
+    u = universe.select("Universe", "Ticker").distinct().groupBy("Universe").agg(F.count(F.lit(1)).alias("total"))
+    p = plan.select("Universe", "Ticker").distinct().groupBy("Universe").agg(F.count(F.lit(1)).alias("n"))
+    due = F.coalesce(F.col("n"), F.lit(0)).cast(T.LongType())
+    return u.join(p, "Universe", "left").select("Universe", "total", due.alias("due"), (F.col("total") - due).alias("done"))
+
+
 def plan_counts(universe: DataFrame, plan: DataFrame) -> DataFrame:
     """A4: universe size, to update, new, already current — per universe."""
     u = universe.groupBy("Universe").agg(F.count(F.lit(1)).alias("total"))
@@ -97,14 +162,13 @@ def plan_counts(universe: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def update_outcome(plan: DataFrame, fetched: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
-    """Per planned ticker: rows fetched (overlap included), and
-    ``failed`` (tries exhausted) / ``success`` (rows) / ``skipped`` (none)."""
-    got = fetched.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows_fetched"))
+    """Per plan row: rows fetched (overlap included), and ``failed`` (tries
+    exhausted) / ``success`` (rows) / ``skipped`` (none). A ticker listed twice
+    has two plan rows that each report its one fetch: ``fetched`` holds rows of
+    distinct windows, or their :func:`fetched_counts` by ticker."""
+    got = fetched if "rows_fetched" in fetched.columns else fetched_counts(fetched, KEYS)
     j = plan.select(*KEYS, "kind").join(got, KEYS, "left")
-    failed = F.lit(False)
-    if resolved is not None:
-        j = j.join(resolved.select(*KEYS, "Status"), KEYS, "left")
-        failed = F.coalesce(F.col("Status") == STATUS_FAILED, F.lit(False))
+    j, failed = _failed(j, resolved)
     n = F.coalesce(F.col("rows_fetched"), F.lit(0)).cast(T.LongType())
     outcome = F.when(failed, F.lit("failed")).when(n > 0, F.lit("success")).otherwise(F.lit("skipped"))
     return j.select(*KEYS, "kind", F.when(failed, F.lit(0)).otherwise(n).cast(T.LongType()).alias("rows_fetched"), outcome.alias("outcome"))

@@ -64,17 +64,21 @@ GAPS_P = _gaps(BARS_P)
 GAPS_STORED = _gaps(BARS_P_STORED)
 BACKFILL_PLAN = f"SELECT Universe, Ticker, 'backfill' AS kind, gap_start AS start_date, gap_end + 1 AS end_date FROM ({GAPS_STORED})"
 
-UPDATE_PLAN = f"""SELECT Universe, pos, Ticker, kind, last_date,
+def _update_plan(src: str) -> str:
+    return f"""SELECT Universe, pos, Ticker, kind, last_date,
   CASE WHEN kind = 'update' THEN last_date - 5 ELSE DATE '2000-01-01' END AS start_date,
   DATE '2001-08-01' AS end_date,
   CASE WHEN kind = 'update' THEN 0 ELSE 1 END AS kind_rank
 FROM (
   SELECT u.Universe, u.pos, u.Ticker, l.last_date,
     CASE WHEN l.last_date IS NULL THEN 'new' WHEN l.last_date < DATE '2001-08-01' THEN 'update' END AS kind
-  FROM ({U_PARTS}) u LEFT JOIN (SELECT Universe, Ticker, max(Date) AS last_date FROM ({BARS_P}) GROUP BY Universe, Ticker) l
+  FROM ({U_PARTS}) u LEFT JOIN (SELECT Universe, Ticker, max(Date) AS last_date FROM ({src}) GROUP BY Universe, Ticker) l
     ON u.Universe = l.Universe AND u.Ticker = l.Ticker)
 WHERE kind IS NOT NULL"""
 
+
+UPDATE_PLAN = _update_plan(BARS_P)
+
 ERR_TEXT = """CASE event_id % 4 WHEN 0 THEN 'HTTP 429 Too Many Requests' WHEN 1 THEN 'Rate limit exceeded, slow down'
   WHEN 2 THEN '' ELSE 'No quotes for this symbol' END"""
 
@@ -185,6 +189,33 @@ JOB_FILLS = _feed_latest(
   ON b.Universe = p.Universe AND b.Ticker = p.Ticker AND b.Date >= p.start_date AND b.Date < p.end_date"""
 )
 
+JOB_UPDATED = _feed_latest(
+    f"""SELECT b.* FROM ({BARS_P}) b JOIN (
+    SELECT u.Universe, u.Ticker, COALESCE(l.last_date - 5, DATE '1995-01-01') AS start_date
+    FROM ({U_PARTS}) u LEFT JOIN (SELECT Universe, Ticker, max(Date) AS last_date FROM ({JOB_STORED}) GROUP BY ALL) l
+      ON u.Universe = l.Universe AND u.Ticker = l.Ticker
+    WHERE l.last_date IS NULL OR l.last_date < DATE '2002-01-01') p
+  ON b.Universe = p.Universe AND b.Ticker = p.Ticker AND b.Date >= p.start_date AND b.Date < DATE '2002-01-01'"""
+)
+
+BACKFILL_OUTCOME = f"""SELECT p.Universe, p.Ticker, p.start_date, p.end_date,
+  CAST(CASE WHEN r.Status = 'FAILED' THEN 0 ELSE COALESCE(f.n, 0) END AS BIGINT) AS rows_fetched,
+  CASE WHEN r.Status = 'FAILED' THEN 'failed' WHEN COALESCE(f.n, 0) > 0 THEN 'filled' ELSE 'empty' END AS outcome
+FROM ({BACKFILL_PLAN}) p LEFT JOIN (SELECT Universe, Ticker, start_date, count(*) AS n FROM ({FILLS}) GROUP BY ALL) f
+  ON p.Universe = f.Universe AND p.Ticker = f.Ticker AND p.start_date = f.start_date
+LEFT JOIN ({_resolved('parts', 'P')}) r ON p.Universe = r.Universe AND p.Ticker = r.Ticker"""
+
+
+def _work_counts(universe: str, plan: str) -> str:
+    return f"""SELECT u.Universe, count(*) AS total, count(p.Ticker) AS due, count(*) - count(p.Ticker) AS done
+FROM (SELECT DISTINCT Universe, Ticker FROM ({universe})) u
+LEFT JOIN (SELECT DISTINCT Universe, Ticker FROM ({plan})) p ON p.Universe = u.Universe AND p.Ticker = u.Ticker
+GROUP BY u.Universe"""
+
+
+FAILED_USERS = f"""SELECT r.Ticker, u.pos FROM ({_resolved('users', 'U')}) r JOIN ({U_USERS}) u
+  ON r.Universe = u.Universe AND r.Ticker = u.Ticker WHERE r.Status = 'FAILED'"""
+
 SQL: dict[str, str] = {
     "keep_last": _latest(BARS_S),
     "gaps_all": GAPS_P,
@@ -212,7 +243,12 @@ FROM s WHERE gap_rank <= 3""",
     "table_stats": f"""SELECT Universe, count(*) AS rows, count(DISTINCT Ticker) AS tickers, min(Date) AS first_date,
   max(Date) AS last_date FROM ({_latest(BARS_S)}) GROUP BY Universe""",
     "stream_keep_last": _latest(BARS_S),
-    "job_fresh_load": f"SELECT {PRICE_OUT} FROM ({JOB_STORED})",
+    "job_fresh_load": f"SELECT {PRICE_OUT} FROM ({_feed_latest(BARS_P)})",
+    "job_update": f"""SELECT {PRICE_OUT} FROM ({JOB_STORED}) s
+WHERE NOT EXISTS (SELECT 1 FROM ({JOB_UPDATED}) f WHERE f.Universe = s.Universe AND f.Ticker = s.Ticker AND f.Date = s.Date)
+UNION ALL SELECT {PRICE_OUT} FROM ({JOB_UPDATED})""",
+    "job_free_float": f"""SELECT {FF_COLS} FROM ({_ff_rows('customers', 'C')}) r
+WHERE EXISTS (SELECT 1 FROM ({U_CUST}) u WHERE u.Ticker = r.Ticker)""",
     "job_backfill": f"""SELECT {PRICE_OUT} FROM ({JOB_STORED}) s
 WHERE NOT EXISTS (SELECT 1 FROM ({JOB_FILLS}) f WHERE f.Universe = s.Universe AND f.Ticker = s.Ticker AND f.Date = s.Date)
 UNION ALL SELECT {PRICE_OUT} FROM ({JOB_FILLS})""",
@@ -251,7 +287,9 @@ UNION ALL SELECT Universe, Ticker, Date, Open, High, Low, Close, Volume, batch_i
     ),
     "update_merge": _latest(
         f"""SELECT Universe, Ticker, Date, Open, High, Low, Close, Volume, batch_id, seq, seq_tie FROM ({BARS_P_STORED})
-UNION ALL SELECT Universe, Ticker, Date, Open, High, Low, Close, Volume, batch_id + 10, seq, seq_tie FROM ({UPDATE_FETCH})"""
+UNION ALL SELECT Universe, Ticker, Date, Open, High, Low, Close, Volume, batch_id + 10, seq, seq_tie FROM (
+  SELECT b.* FROM ({BARS_P}) b JOIN ({_update_plan(BARS_P_STORED)}) p
+    ON b.Universe = p.Universe AND b.Ticker = p.Ticker AND b.Date >= p.start_date AND b.Date < p.end_date)"""
     ),
     "plan_counts": f"""SELECT u.Universe, u.total, COALESCE(p.to_update, 0) AS to_update, COALESCE(p.new, 0) AS new,
   u.total - COALESCE(p.to_update, 0) - COALESCE(p.new, 0) AS current
@@ -330,4 +368,23 @@ SELECT * FROM p UNION ALL SELECT * FROM f WHERE Universe NOT IN (SELECT Universe
   l_extendedprice * ({ONE} - l_discount - l_tax) AS Low,
   l_extendedprice AS Close, CAST(l_quantity AS BIGINT) AS Volume
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
+    "backfill_outcome": BACKFILL_OUTCOME,
+    "backfill_outcome_totals": f"""SELECT Universe, count(*) FILTER (WHERE outcome = 'filled') AS filled,
+  count(*) FILTER (WHERE outcome = 'empty') AS empty, count(*) FILTER (WHERE outcome = 'failed') AS failed,
+  CAST(sum(rows_fetched) AS BIGINT) AS rows_fetched FROM ({BACKFILL_OUTCOME}) GROUP BY Universe""",
+    "failed_gaps": f"""WITH f AS (SELECT * FROM ({BACKFILL_OUTCOME}) WHERE outcome = 'failed')
+SELECT row_number() OVER (ORDER BY Universe, Ticker, start_date) AS rank,
+  Ticker || ' [' || CAST(start_date AS VARCHAR) || '->' || CAST(end_date - 1 AS VARCHAR) || ']' AS gap,
+  greatest((SELECT count(*) FROM f) - 10, 0) AS more_failed
+FROM (SELECT * FROM f ORDER BY Universe, Ticker, start_date LIMIT 10)""",
+    "update_outcome_dups": f"{UPDATE_OUTCOME} UNION ALL {UPDATE_OUTCOME}",
+    "attempts_two_runs": _ff_rows("customers", "C"),
+    "failed_list": f"""WITH f AS ({FAILED_USERS})
+SELECT COALESCE((SELECT string_agg(Ticker, ', ' ORDER BY pos, Ticker) FROM (SELECT * FROM f ORDER BY pos, Ticker LIMIT 10)), '') AS failed_list,
+  CASE WHEN count(*) > 10 THEN '... and ' || CAST(count(*) - 10 AS VARCHAR) || ' more' END AS more, count(*) AS failed
+FROM f""",
 }
+
+SQL["plan_counts_fresh"] = _work_counts(U_CUST, SQL["plan_fresh"])
+SQL["plan_counts_stale"] = _work_counts(U_USERS, SQL["plan_stale"])
+SQL["normalized_instants"] = SQL["normalized_quotes"]

@@ -6,7 +6,9 @@ each window is cut into the calendar months it touches and the join key is
 ``(Ticker, month)``: a bar meets only the few windows that overlap its month
 (windows of one ticker never overlap, so at most ~31 per month), and a ticker
 with a third of all bars is spread over its months. The exploded plan is
-small and Catalyst/AQE broadcast it only when its measured size allows.
+small; it is broadcast only after its rows were counted, and otherwise takes a
+sort-merge join on ``(Ticker, month)``. Plans with one window per ticker skip
+the months altogether.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ def apply_windows(
     date_col: str = "Date",
     broadcast_max_rows: int | None = None,
     date_bounds: bool = False,
+    one_window: bool = False,
 ) -> DataFrame:
     """Rows of ``raw`` inside a plan window of the same key.
 
@@ -52,16 +55,24 @@ def apply_windows(
     ``[min start, max end)`` (one aggregate row) and adds it as a literal
     filter on ``raw``: a join range is never pushed to a scan, a literal one
     is (row-group skipping, date partition pruning).
+
+    ``one_window`` is for plans with one window per key (fresh, update): the
+    join is on the key alone with the range as a residual, so a long window is
+    one plan row, not one per month. Equal windows (a ticker listed twice) are
+    applied once.
     """
     keys = list(keys)
+    d = F.col(date_col).cast(T.DateType())
+    if one_window:
+        plan = plan.select(*keys, "start_date", "end_date").distinct()
     if date_bounds:
         b = plan.agg(F.min("start_date").alias("lo"), F.max("end_date").alias("hi")).first()
         if b is not None and b.lo is not None and b.hi is not None:
             d0 = F.col(date_col).cast(T.DateType())
             raw = raw.filter((d0 >= F.lit(b.lo)) & (d0 < F.lit(b.hi)))
-    p = explode_months(plan).select(
+    p = (plan.filter("end_date > start_date") if one_window else explode_months(plan)).select(
         *keys,
-        "__m",
+        *([] if one_window else ["__m"]),
         F.col("start_date").alias("__s"),
         F.col("end_date").alias("__e"),
         *[F.col(c) for c in plan_cols],
@@ -71,10 +82,12 @@ def apply_windows(
     # ~700k rows). Broadcast only after counting; else a sort-merge join.
     if broadcast_max_rows is not None and p.count() <= int(broadcast_max_rows):
         p = F.broadcast(p)
-    else:
+    elif not one_window:
         p = p.hint("merge")
+    if one_window:
+        inside = (d >= F.col("__s")) & (d < F.col("__e"))
+        return raw.join(p, keys, "inner").filter(inside).drop("__s", "__e")
     r = raw.withColumn("__m", _month_index(F.col(date_col).cast(T.DateType())))
-    d = F.col(date_col).cast(T.DateType())
     return (
         r.join(p, [*keys, "__m"], "inner")
         .filter((d >= F.col("__s")) & (d < F.col("__e")))

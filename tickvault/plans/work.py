@@ -33,10 +33,6 @@ from tickvault.schemas import (
 KEYS = ("Universe", "Ticker")
 
 
-# Most universe names a pruning filter is built from (one name per list file).
-MAX_PRUNE_NAMES = 10_000
-
-
 def _keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
@@ -46,16 +42,12 @@ def prune_to_universes(stored: DataFrame, universe: DataFrame) -> DataFrame:
 
     Stored tables are partitioned by ``Universe``; a literal ``IN`` filter
     becomes a partition filter of the scan, so a run reads only its own
-    universes. The names are a short list (one per universe file), counted
-    before they are fetched; past ``MAX_PRUNE_NAMES`` no filter is added
-    (same result, more reading).
+    universes. The names are one per universe list, as the table's manifest
+    is one entry per universe at least. An empty universe keeps nothing.
     """
-    distinct = universe.select("Universe").distinct()
-    if distinct.count() > MAX_PRUNE_NAMES:  # size checked before anything reaches the driver
-        return stored
-    names = [r[0] for r in distinct.collect()]
+    names = [r[0] for r in universe.select("Universe").distinct().collect()]
     if not names:
-        return stored
+        return stored.filter(F.lit(False))
     return stored.filter(F.col("Universe").isin(names))
 
 

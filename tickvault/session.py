@@ -16,10 +16,10 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # broadcast only sizes that were measured: no static (estimated) broadcast,
-    # AQE turns a join into a broadcast after the small side's shuffle stage
-    # has run and reported its real size
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # a plain scan's file size bounds it, so a small table joins without
+    # shuffling the big side; derived sides are materialised and counted before
+    # they are broadcast, and AQE converts what it has measured
+    "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "16MB",
 }
 
@@ -56,13 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     A cluster names it in ``spark.checkpoint.dir``; we only set one of our own
-    when it is unset, which happens in local tests.
+    when it is unset in local mode (tests). Off local mode a missing setting is
+    an error: executors would each write their own disk.
     """
     cp = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if cp:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(cp)
         return cp
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     cp = tempfile.mkdtemp(prefix="tickvault-cp-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", cp)
     spark.sparkContext.setCheckpointDir(cp)

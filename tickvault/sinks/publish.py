@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +131,29 @@ def _written_partitions(spark: SparkSession, root: str, v: int, cols, sub: str =
     return sorted(keys)
 
 
+class StaleVersion(RuntimeError):
+    """The table moved on since the rows to publish were derived from it."""
+
+
+_DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def part_values(name: str) -> tuple[str | None, ...]:
+    """Partition values of a relative key ``c1=a/c2=b`` (folder names are
+    percent-escaped by the writer)."""
+    values = [unquote(x.split("=", 1)[1]) for x in name.split("/")]
+    return tuple(None if v == _DEFAULT_PARTITION else v for v in values)
+
+
+def _check_version(spark: SparkSession, root: str, expected: int | None) -> None:
+    now = current_version(spark, root)
+    if now != expected:
+        raise StaleVersion(f"{root}: rows were derived from version {expected}, the table is at {now}")
+
+
+ANY_VERSION = -1
+
+
 def publish(
     df: DataFrame,
     root: str,
@@ -137,6 +162,7 @@ def publish(
     only_partitions: bool = False,
     meta: dict | None = None,
     sides: dict | None = None,
+    expected_version: int | None = ANY_VERSION,
 ) -> int:
     """K1: write ``df`` as the next version and commit it; returns the version.
 
@@ -149,9 +175,15 @@ def publish(
     back from their files, only the partitions of this version) to a small
     derived table, e.g. per-ticker stats. Side tables are written into
     ``v=N/_<name>`` before the manifest, so they commit with the data.
+
+    ``expected_version`` is the version the rows were derived from (None: no
+    table yet); if the table has another one, before the write or at the
+    commit, :class:`StaleVersion` is raised and nothing is committed.
     """
     cols = _cols(partition_by)
     spark = df.sparkSession
+    if expected_version != ANY_VERSION:
+        _check_version(spark, root, expected_version)
     prev_v = current_version(spark, root)
     prev = read_manifest(spark, root, prev_v) if prev_v is not None else None
     existing = _all_versions(spark, root)
@@ -185,7 +217,8 @@ def publish(
         if sort_within and cols:
             spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
-    manifest = {"version": v, "partition_by": cols or None, "meta": meta or {}}
+    # what a stream noted (batches taken in) outlives versions of other writers
+    manifest = {"version": v, "partition_by": cols or None, "meta": {**((prev or {}).get("meta") or {}), **(meta or {})}}
     inherit = bool(only_partitions and prev)
     written = _written_partitions(spark, root, v, cols) if cols else []
     if cols:
@@ -216,6 +249,8 @@ def publish(
                     entry = {"": v}
             side_map[name] = entry
         manifest["sides"] = side_map
+    if expected_version != ANY_VERSION:
+        _check_version(spark, root, expected_version)
     _write_manifest(spark, root, v, manifest)
     return v
 
@@ -229,10 +264,12 @@ def _read_schema(schema, cols: list[str], extra=()):
     return T.StructType([*data, *extra, *parts])
 
 
-def read_side(spark: SparkSession, root: str, name: str, schema, keep_partition_cols: bool = False) -> DataFrame | None:
-    """A side table of the current version; None if some partition of the
-    table has no side rows (e.g. written before sides existed)."""
-    m = read_manifest(spark, root)
+def read_side(
+    spark: SparkSession, root: str, name: str, schema, keep_partition_cols: bool = False, manifest: dict | None = None
+) -> DataFrame | None:
+    """A side table of the current version (or of ``manifest``); None if some
+    partition of the table has no side rows (e.g. written before sides existed)."""
+    m = manifest or read_manifest(spark, root)
     if m is None:
         return None
     side = (m.get("sides") or {}).get(name)
@@ -264,25 +301,34 @@ def read_side(spark: SparkSession, root: str, name: str, schema, keep_partition_
 
 
 def read_version(
-    spark: SparkSession, root: str, schema, v: int | None = None, keep_partition_cols: bool = False
+    spark: SparkSession,
+    root: str,
+    schema,
+    v: int | None = None,
+    keep_partition_cols: bool = False,
+    manifest: dict | None = None,
+    parts: Callable[[tuple], bool] | None = None,
 ) -> DataFrame | None:
     """Rows of version ``v`` (default current) with an explicit schema; None
     if there is no version. Partition columns not in ``schema`` (e.g.
     ``year``) are dropped unless ``keep_partition_cols``; filters on them
-    prune folders."""
-    m = read_manifest(spark, root, v)
+    prune folders. ``parts`` picks partitions by their values: only their
+    paths are listed and read."""
+    m = manifest or read_manifest(spark, root, v)
     if m is None:
         return None
     v = m["version"]
     cols = _cols(m.get("partition_by"))
     if not cols:
         return spark.read.schema(schema).parquet(version_path(root, v))
-    parts = m.get("parts", {})
-    if not parts:
-        return spark.createDataFrame([], schema)
+    held = {n: pv for n, pv in m.get("parts", {}).items() if parts is None or parts(part_values(n))}
     from pyspark.sql import types as T
 
-    paths = [f"{version_path(root, pv)}/{name}" for name, pv in sorted(parts.items())]
+    if not held:
+        empty = T.StructType([f for f in _read_schema(schema, cols).fields])
+        keep = [f.name for f in schema.fields] + ([c for c in cols if c not in schema.fieldNames()] if keep_partition_cols else [])
+        return spark.createDataFrame([], empty).select(*keep)
+    paths = [f"{version_path(root, pv)}/{name}" for name, pv in sorted(held.items())]
     rs = _read_schema(schema, cols, extra=[T.StructField("v", T.IntegerType())])
     df = spark.read.option("basePath", root.rstrip("/")).schema(rs).parquet(*paths)
     keep = [f.name for f in schema.fields] + ([c for c in cols if c not in schema.fieldNames()] if keep_partition_cols else [])

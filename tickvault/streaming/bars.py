@@ -74,37 +74,46 @@ def compact(
     schema: T.StructType,
     keys: Sequence[str] = ("Universe", "Ticker", "Date"),
     order: Sequence[str] = ("batch_id", "seq"),
-    partition_by: Sequence[str] = ("Universe",),
     sort_within: Sequence[str] = ("Ticker", "Date"),
+    expire_log: bool = False,
 ) -> int | None:
-    """Snapshot ∪ log batches newer than it -> next snapshot version.
+    """Snapshot ∪ log batches newer than it -> next snapshot version, in the
+    batch job's layout: by (Universe, year) with per-ticker stats, rewriting
+    only the partitions the new batches land in, so stream and job keep one
+    table. With ``expire_log`` the batches it has taken in are deleted.
 
     Returns the new version, or the current one when there is nothing new.
     """
+    from tickvault.jobs import BAR_PARTITIONS, bar_stats, touched_partitions
+
     m = read_manifest(spark, table_root)
     v = m["version"] if m else None
-    seen = (m or {}).get("meta", {}).get("last_batch", -1)
+    meta = (m or {}).get("meta", {})
+    seen = meta.get("last_batch", -1)
     new_batches = [b for b in log_batches(spark, log_root) if b > seen]
     if not new_batches:
         return v
     data_cols = [f.name for f in schema.fields]
-    landed = _conform(spark.read.parquet(log_root).filter(F.col("batch_id").isin(new_batches)), schema, order)
-    stored = read_version(spark, table_root, schema)
-    if stored is not None and partition_by:
-        # rewrite only the partitions the new batches touch; the manifest
-        # keeps the others where they are
-        from tickvault.plans.work import prune_to_universes
-
-        stored = prune_to_universes(stored, landed.select(F.col(partition_by[0]).alias("Universe")))
-    merged = merge_latest(stored, landed, keys, order).select(*data_cols)
-    return publish(
+    # batches are taken in order, so the new ones are a range
+    landed = _conform(spark.read.parquet(log_root).filter(F.col("batch_id") > seen), schema, order)
+    touched = touched_partitions(landed)
+    stored = read_version(spark, table_root, schema, manifest=m, parts=touched.__contains__) if m else None
+    merged = merge_latest(stored, landed, keys, order).select(*data_cols).withColumn("year", F.year("Date"))
+    v = publish(
         merged,
         table_root,
-        partition_by=list(partition_by),
+        partition_by=BAR_PARTITIONS,
         sort_within=list(sort_within),
         only_partitions=True,
-        meta={"last_batch": max(new_batches)},
+        meta={**meta, "last_batch": max(new_batches)},
+        sides={"stats": bar_stats},
+        expected_version=v,
     )
+    if expire_log:
+        fs, _, jvm = _fs(spark, log_root)
+        for b in new_batches:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{log_root.rstrip('/')}/batch_id={b}"), True)
+    return v
 
 
 def read_live(
@@ -125,7 +134,7 @@ def read_live(
         stored = spark.createDataFrame([], schema)
     if not new_batches:
         return stored
-    landed = _conform(spark.read.parquet(log_root).filter(F.col("batch_id").isin(new_batches)), schema, order)
+    landed = _conform(spark.read.parquet(log_root).filter(F.col("batch_id") > seen), schema, order)
     return merge_latest(stored, landed, keys, order).select(*data_cols)
 
 
