@@ -213,5 +213,6 @@ def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packed pieces, ids included."""
-    return pack(spark, pieces(docs))
+    """Pipeline stage: where every piece of every document goes. The ids stay
+    out of the shuffles; :func:`pieces` gives them again, piece by piece."""
+    return packed(spark, docs)
