@@ -190,9 +190,10 @@ def _prefix_tokens(size: int, percent: int):
 
 
 def _credit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of w per set over this partition's tokens that two rows or more hold
-    (a row without a set stands for several); a partition holds a token at most
-    once a map task, so its size is that of the shuffle partition."""
+    """(set, w) of this partition's tokens that two rows or more hold (a row
+    without a set stands for several), and of the rows that stand for sets; a
+    partition holds a token at most once a map task, so its size is that of the
+    shuffle partition."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -201,11 +202,12 @@ def _credit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     distinct, back, n = np.unique(token[is_token], return_inverse=True, return_counts=True)
     several = np.bincount(back, w[is_token] == 0, len(distinct)) > 0
     shared = ((n > 1) | several)[back] & (w[is_token] == 1)
-    kids = np.concatenate([kid[is_token][shared], kid[~is_token]])
-    ws = np.concatenate([np.ones(int(shared.sum()), np.int64), w[~is_token]])
-    each, back = np.unique(kids, return_inverse=True)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(each), pa.array(np.bincount(back, ws, len(each)).astype(np.int64))], names=["kid", "w"]
+        [
+            pa.array(np.concatenate([kid[is_token][shared], kid[~is_token]])),
+            pa.array(np.concatenate([np.ones(int(shared.sum()), np.int64), w[~is_token]])),
+        ],
+        names=["kid", "w"],
     )
 
 
