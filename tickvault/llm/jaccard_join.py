@@ -15,9 +15,12 @@ is capped:
    by one, frequent ones (over :data:`RARE`) as pairs within hash classes, the
    prefix lengthened by what pairing costs, so that two linked documents still
    share an entry (pigeonhole per class).
-4. Each document is verified against the hub of the bucket it shares most often;
-   components of these links are formed; then only pairs across components are
-   verified, and of a bucket's largest component none among itself.
+4. In a few rounds each document is verified against one hub of the buckets it
+   is in (the most original document, then one drawn by hash) and components of
+   the links are formed; then only pairs across components are verified, and of
+   a bucket's largest component none among itself. An odd sketch (parities of
+   hash classes) bounds the difference of two sets from below, so pairs that
+   cannot link end inside the join.
 
 Verification compares whole sets. Equal sets are one node throughout. Shingles
 and set keys are compared by 64 and 128 bit hashes.
@@ -45,6 +48,10 @@ SHINGLE = 4
 PERCENT = 85
 #: Shingles in at most this many sets are indexed alone.
 RARE = 32
+#: Rounds against hubs drawn by hash, after the one against the most original set.
+ROUNDS = 2
+#: Bits of a set's odd sketch (four longs).
+SKETCH = 256
 #: A side of at most this many ids (8 bytes each) is broadcast, else shuffled.
 BROADCAST_IDS = 1_000_000
 _VOCABULARY = 1_500_000
@@ -265,35 +272,59 @@ def index_entries(n: int, df: np.ndarray, token: np.ndarray, percent: int = PERC
     return np.concatenate(out)
 
 
+def odd_sketch(token: np.ndarray) -> np.ndarray:
+    """Parities of :data:`SKETCH` hash classes as longs: two sketches differ in
+    at most as many bits as the sets have elements apart."""
+    odd = np.bincount((_mix(token.view(_U)) % _U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+_SKETCH_COLS = [f"s{k}" for k in range(SKETCH // 64)]
+
+
 def _entries(percent: int, rare: int):
+    """Rows of the index (entry, node, n, own), and one row a set without entry
+    but with its sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 16):
-            rows = []
+            rows, sketches = [], []
             for node, n, shared in zip(*(part.column(c) for c in ("node", "n", "shared")), strict=True):
                 s = shared.values
                 df, token = s.field("df").to_numpy(), s.field("token").to_numpy()
                 order = np.lexsort((token, df))
                 entries = index_entries(n.as_py(), df[order], token[order], percent, rare)
-                rows.append((node.as_py(), n.as_py(), n.as_py() - len(token), entries))
+                if len(entries):
+                    rows.append((node.as_py(), n.as_py(), n.as_py() - len(token), entries))
+                    sketches.append(odd_sketch(token))
+            if not rows:
+                continue
             count = [len(r[3]) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([r[3] for r in rows])),
-                    pa.array(np.repeat([r[0] for r in rows], count).astype(np.int64)),
-                    pa.array(np.repeat([r[1] for r in rows], count).astype(np.int64)),
-                    pa.array(np.repeat([r[2] for r in rows], count).astype(np.int64)),
-                ],
-                names=["entry", "node", "n", "own"],
-            )
+            held = sum(count)
+            columns = [pa.array(np.concatenate([r[3] for r in rows]).tolist() + [None] * len(rows), pa.int64())]
+            for k in range(3):
+                each = np.array([r[k] for r in rows], np.int64)
+                columns.append(pa.array(np.concatenate([np.repeat(each, count), each])))
+            for k in range(len(_SKETCH_COLS)):
+                columns.append(pa.array([None] * held + [int(s[k]) for s in sketches], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=["entry", "node", "n", "own", *_SKETCH_COLS])
 
     return run
 
 
-def _may_link(n1: Column, own1: Column, n2: Column, own2: Column, percent: int) -> Column:
-    """Sizes within the threshold, and shingles unique to either side within
-    the difference that linked sets of these sizes can have."""
+def _may_link(n1: Column, n2: Column, apart: Column, percent: int) -> Column:
+    """Sizes within the threshold, and ``apart`` elements (those unique to either
+    side, at least) within the difference that linked sets of these sizes can have."""
     sizes = (F.lit(100) * n1 >= F.lit(percent) * n2) & (F.lit(100) * n2 >= F.lit(percent) * n1)
-    return sizes & ((own1 + own2) * F.lit(100 + percent) <= (n1 + n2) * F.lit(100 - percent))
+    return sizes & (apart * F.lit(100 + percent) <= (n1 + n2) * F.lit(100 - percent))
+
+
+def _apart(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Lower bound of the elements two sets do not share."""
+    total = x["own"] + y["own"]
+    for s in _SKETCH_COLS:
+        total = total + F.bit_count(x[s].bitwiseXOR(y[s]))
+    return total
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -346,39 +377,70 @@ def _index(spark: SparkSession, sets: DataFrame, percent: int, rare: int) -> Dat
         F.collect_list(F.struct(F.col("df"), F.col("token"))).alias("shared")
     )
     shared = shared.filter(F.size("shared") * 100 >= F.lit(percent) * F.col("n"))
-    return written(spark, shared.mapInArrow(_entries(percent, rare), "entry long, node long, n long, own long"), "index")
+    columns = "entry long, node long, n long, own long, " + ", ".join(f"{s} long" for s in _SKETCH_COLS)
+    return written(spark, shared.mapInArrow(_entries(percent, rare), columns), "index")
+
+
+def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _best_hub(near: DataFrame) -> DataFrame:
+    """(a, b): each set with the hub it shares most buckets with."""
+    best = near.groupBy("node", F.col("h.node").alias("hub")).agg(F.count("*").alias("c"))
+    first = best.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    return first.select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
 def links(spark: SparkSession, sets: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
     """(node, comp) of all sets that link with another one."""
-    index = _index(spark, sets, percent, rare)
+    both = _index(spark, sets, percent, rare)
+    index = both.filter("entry is not null").select("entry", "node", "n", "own")
+    sketches = both.filter("entry is null").select("node", *_SKETCH_COLS)
     # hubs: of each bucket the set with the fewest shingles of its own
     hub = index.groupBy("entry").agg(
         F.min(F.struct("own", "node", "n")).alias("h"), F.count("*").alias("held")
     ).filter("held > 1")
     near = index.join(hub, "entry").filter(
-        (F.col("node") != F.col("h.node")) & _may_link(F.col("n"), F.col("own"), F.col("h.n"), F.col("h.own"), percent)
+        (F.col("node") != F.col("h.node")) & _may_link(F.col("n"), F.col("h.n"), F.col("own") + F.col("h.own"), percent)
     )
-    best = near.groupBy("node", F.col("h.node").alias("hub")).agg(F.count("*").alias("c"))
-    first = best.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    first = written(spark, first.select(F.col("node").alias("a"), F.col("hub").alias("b")), "hubs")
-    found = written(spark, _verified(first, sets, percent), "links")
+    tried = written(spark, _best_hub(near), "hubs")
+    found = written(spark, _verified(tried, sets, percent), "links")
     comp = components(spark, found)
-    known = index.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    known = written(spark, known, "known")
+    # from here on only buckets that still hold several components
+    known = _with_comp(index, comp)
+    mixed = known.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    open_ = index.join(mixed.select("entry"), "entry", "left_semi").join(sketches, "node")
+    open_ = written(spark, open_, "open")
+    cols = ["node", "n", "own", "comp", *_SKETCH_COLS]
+    for k in range(1, ROUNDS + 1):
+        known = _with_comp(open_, comp)
+        drawn = F.struct(F.xxhash64("node", "entry", F.lit(k)).alias("draw"), *cols)
+        hub = known.groupBy("entry").agg(F.min(drawn).alias("h"))
+        near = known.join(hub, "entry").filter(
+            (F.col("comp") != F.col("h.comp"))
+            & _may_link(F.col("n"), F.col("h.n"), _apart({c: F.col(c) for c in cols}, {c: F.col(f"h.{c}") for c in cols}), percent)
+        )
+        pairs = written(spark, _best_hub(near), "hubs")
+        found = written(spark, found.union(_verified(pairs, sets, percent)), "links")
+        tried = tried.union(pairs)
+        comp = components(spark, found)
+    known = _with_comp(open_, comp)
     by = known.groupBy("entry", "comp").agg(F.count("*").alias("c"))
     top = by.groupBy("entry").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-    mixed = known.join(top.select("entry", "top"), "entry")
-    x = mixed.filter("comp <> top").select("entry", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "own", "comp")])
-    y = mixed.select("entry", "top", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "own", "comp")])
+    mixed = written(spark, known.join(top.select("entry", "top"), "entry"), "mixed")
+    x = mixed.filter("comp <> top").select("entry", *[F.col(c).alias(f"{c}1") for c in cols])
+    y = mixed.select("entry", "top", *[F.col(c).alias(f"{c}2") for c in cols])
+    apart = _apart({c: F.col(f"{c}1") for c in cols}, {c: F.col(f"{c}2") for c in cols})
     cross = x.join(y, "entry").filter(
         (F.col("comp1") != F.col("comp2"))
         & ((F.col("comp2") == F.col("top")) | (F.col("node1") < F.col("node2")))
-        & _may_link(F.col("n1"), F.col("own1"), F.col("n2"), F.col("own2"), percent)
+        & _may_link(F.col("n1"), F.col("n2"), apart, percent)
     )
     pairs = cross.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(spark, pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    # without what the rounds have verified
+    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(spark, pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
     more = _verified(pairs, sets, percent)
     return components(spark, written(spark, found.union(more), "links"))
 
