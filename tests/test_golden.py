@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickvault.functions import free_float_pct, local_date
 from tickvault.operators import freefloat as ffo
 from tickvault.operators.gaps import find_gaps
-from tickvault.operators.merge import merge_bars, resolve_latest
+from tickvault.operators.merge import merge_latest, resolve_latest
 from tickvault.plans import work
 from tickvault.schemas import ATTEMPTS, FREE_FLOAT
 from tickvault.sources.store import union_free_float_versions
@@ -99,8 +99,8 @@ def test_merge_newest_wins_idempotent(spark):
     schema = "Universe string, Ticker string, Date date, Close double, batch_id long, seq long"
     stored = spark.createDataFrame([("u", "A", D("2020-01-01"), 1.0)], "Universe string, Ticker string, Date date, Close double")
     batch = spark.createDataFrame([("u", "A", D("2020-01-01"), 2.0, 1, 0)], schema)
-    once = merge_bars(stored, batch)
-    twice = merge_bars(once, batch)
+    once = merge_latest(stored, batch, ("Universe", "Ticker", "Date"))
+    twice = merge_latest(once, batch, ("Universe", "Ticker", "Date"))
     assert [(r.Ticker, r.Close) for r in twice.collect()] == [("A", 2.0)]
 
 

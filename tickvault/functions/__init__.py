@@ -2,8 +2,6 @@
 
 from tickvault.functions.scalar import (  # noqa: F401
     age_days,
-    as_date,
-    days_between,
     is_rate_limited,
     local_date,
     nan_to_null,

@@ -75,15 +75,6 @@ def age_days(ts, as_of) -> Column:
     return F.floor(micros / F.lit(float(MICROS_PER_DAY))).cast(T.LongType())
 
 
-def days_between(start, end) -> Column:
-    """Calendar days from ``start`` to ``end`` as BIGINT."""
-    return F.datediff(_col(end), _col(start)).cast(T.LongType())
-
-
-def as_date(c) -> Column:
-    return _col(c).cast(T.DateType())
-
-
 def local_date(ts, exchange_tz, naive_is_utc: bool = True) -> Column:
     """Date of the exchange's wall clock for a landed instant.
 

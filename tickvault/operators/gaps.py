@@ -102,15 +102,3 @@ def find_gaps(
             "gap_start", F.greatest(F.col("gap_start"), start_d)
         )
     return gaps.withColumn("gap_days", (F.datediff("gap_end", "gap_start") + 1).cast(T.LongType()))
-
-
-def gaps_to_plan(gaps: DataFrame, universe_col: str | None = "Universe", kind: str = "backfill") -> DataFrame:
-    """Gap rows -> plan rows; the request end is exclusive (``gap_end + 1``)."""
-    cols = [universe_col] if universe_col and universe_col in gaps.columns else []
-    return gaps.select(
-        *cols,
-        "Ticker",
-        F.lit(kind).alias("kind"),
-        F.col("gap_start").alias("start_date"),
-        F.date_add("gap_end", 1).alias("end_date"),
-    )

@@ -43,19 +43,6 @@ def resolve_latest(
     return out
 
 
-def append(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Union all, old before new; columns matched by name, missing ones NULL."""
-    return old.unionByName(new, allowMissingColumns=True)
-
-
-def stamp_batch(df: DataFrame, batch_id: int, seq=None) -> DataFrame:
-    """Attach a write order to rows that have none (``seq`` defaults to 0)."""
-    out = df.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-    if "seq" not in df.columns or seq is not None:
-        out = out.withColumn("seq", (F.lit(0) if seq is None else seq).cast("long"))
-    return out
-
-
 def merge_latest(
     stored: DataFrame | None,
     landed: DataFrame,
@@ -83,8 +70,3 @@ def merge_latest(
     cond = [stored[k].eqNullSafe(new_keys["__k_" + k]) for k in keys]
     kept = stored.join(new_keys, cond, "left_anti")
     return kept.unionByName(new.select(*[c for c in new.columns if c in stored.columns]), allowMissingColumns=True)
-
-
-def merge_bars(stored: DataFrame, landed: DataFrame, keys: Sequence[str] = ("Universe", "Ticker", "Date")) -> DataFrame:
-    """Stored bar table (one row per key) + landed log -> resolved table."""
-    return merge_latest(stored, landed, keys)

@@ -55,10 +55,3 @@ def dense_position(
         .withColumn(out, (F.row_number().over(w) + F.col("__off")).cast(T.LongType()))
         .drop(b, "__off")
     )
-
-
-def partition_totals(df: DataFrame, partition_cols: Sequence[str], out: str = "total") -> DataFrame:
-    """Attach the row count of each partition group through a small aggregate."""
-    parts = list(partition_cols)
-    totals = df.groupBy(*parts).agg(F.count(F.lit(1)).alias(out))
-    return df.join(totals, parts, "inner")

@@ -216,8 +216,3 @@ def plan_backfill(
         "gap_start",
         "gap_end",
     )
-
-
-def assign_batches(plan: DataFrame, size: int, position_col: str = "position", partition_cols: Sequence[str] = ("Universe",)) -> DataFrame:
-    """Fixed-size work batches in plan order: ``(position - 1) div size``."""
-    return plan.withColumn("batch", F.floor((F.col(position_col) - 1) / F.lit(int(size))).cast(T.LongType()))

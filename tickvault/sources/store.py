@@ -32,11 +32,6 @@ def read_free_float(spark: SparkSession, root: str) -> DataFrame:
     return read_current(spark, root, FREE_FLOAT)
 
 
-def stored_keys(df: DataFrame, keys=("Universe", "Ticker")) -> DataFrame:
-    """A1: distinct stored keys."""
-    return df.select(*keys).distinct()
-
-
 def union_free_float_versions(v1: DataFrame, v2: DataFrame) -> DataFrame:
     """K3: rows of the 5-column table get NULL Status and Error."""
     missing = [c for c in ("Status", "Error") if c not in v1.columns]
