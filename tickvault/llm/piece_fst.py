@@ -98,7 +98,9 @@ class Machine:
                 self.weight[i] = -sp.get_score(i)
                 self.text.append(p.encode())
         self.name = {i: p for p, i in self.piece.items()}
-        self.longest = max(map(len, self.piece), default=1)
+        # the trie: every beginning of a piece, with the piece's id where one ends
+        self.arcs: dict[str, int | None] = {p[:k]: None for p in self.piece for k in range(1, len(p))}
+        self.arcs.update(self.piece)
         self.pairs: dict[int, bool] = {}
         self.met: dict[str, bytes] = {}
         self.paths: dict[str, bytes] = {}
@@ -150,24 +152,28 @@ class Machine:
     def _shortest(self, part: str) -> list[int]:
         """Tropical shortest path over (position, last piece)."""
         # states[p]: last piece (None after a fallback) -> (weight, start, last piece there)
+        n = len(part)
         states: list[dict] = [{None: (0.0, 0, None)}] + [{} for _ in part]
-        for end in range(1, len(part) + 1):
-            here = states[end]
-            for start in range(max(0, end - self.longest), end):
-                if not states[start]:
+        for start in range(n):
+            here = states[start]
+            if not here:
+                continue
+            # walk the trie from here: every piece that begins at this position
+            for end in range(start + 1, n + 1):
+                i = self.arcs.get(part[start:end], -1)
+                if i == -1:
+                    break
+                if i is None or (end - start > 1 and not self._whole(i)):
                     continue
-                i = self.piece.get(part[start:end])
-                if i is not None:
-                    if end - start > 1 and not self._whole(i):
-                        continue
-                    for last, (w, _, _) in states[start].items():
-                        if last is None or self._apart(last, i):
-                            total = w + self.weight[i]
-                            if i not in here or total < here[i][0]:
-                                here[i] = (total, start, last)
-                elif end - start == 1:
-                    last, (w, _, _) = min(states[start].items(), key=lambda s: s[1][0])
-                    here[None] = (w, start, last)
+                there, weight = states[end], self.weight[i]
+                for last, (w, _, _) in here.items():
+                    if last is None or self._apart(last, i):
+                        total = w + weight
+                        if i not in there or total < there[i][0]:
+                            there[i] = (total, start, last)
+            if part[start] not in self.piece:
+                last, (w, _, _) = min(here.items(), key=lambda s: s[1][0])
+                states[start + 1][None] = (w, start, last)
         ids: list[int] = []
         end, last = len(part), min(states[-1].items(), key=lambda s: s[1][0])[0]
         while end:
