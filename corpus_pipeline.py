@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tickvault.llm import jaccard_join, packing, quality, secrets, toxicity
+from tickvault.llm.common import importable
 from tickvault.session import shared_dir
 
 STAGES = [
@@ -24,6 +25,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = shared_dir(spark, f"pipeline/{uuid.uuid4().hex}")
     for k, (_, stage) in enumerate(STAGES):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,17 @@ from tickvault.session import shared_dir
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it,
+    whatever folder the driver was started in. A cluster whose nodes lack that
+    folder gets the package with ``--py-files``, as usual."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    held = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in held:
+        env["PYTHONPATH"] = os.pathsep.join([*held, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from tickvault.llm import imatch, jaccard_join, licenses, packing, piece_fst, quality, quotes, secrets, token_files, toxicity
+from tickvault.llm.common import importable
+
+
+def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return query(spark, sf_dir)
 
-QUERIES = {
+    return run
+
+
+_QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_imatch": imatch.query,
     "op3_toxicity": toxicity.query,
@@ -17,6 +31,8 @@ QUERIES = {
     "op10_piece_fst": piece_fst.query,
 }
 
+QUERIES = {name: _ready(query) for name, query in _QUERIES.items()}
+
 SQL = {
     "op1_quality_rules": quality.oracle(),
     "op5_quote_links": quotes.SQL,
