@@ -73,6 +73,33 @@ def test_toxicity_finds_sentences_and_edges(spark):
     assert by[900].score == by[901].score == 0.0 and len(rows) == len(EDGES) + 3
 
 
+def test_toxicity_does_not_grow_with_length(spark):
+    model = toxicity.Model(-8.0, {"idiot": 9.0, "awful": 5.0})
+    rows = [
+        (1, "A fine day. " * 30_000),
+        (2, ("An awful day. " + "A fine day. " * 200) * 100),
+        (3, "A fine day. " * 30_000 + "An awful day. " * 20 + "A fine day. " * 30_000),
+        (4, "A fine day. " * 30_000 + "You IDIOT! " + "A fine day. " * 30_000),
+    ]
+    score = {r.doc_id: r.toxicity.score for r in toxicity.detect(docs(spark, rows), model).collect()}
+    assert score[1] == 0.0 and score[2] < 0.1
+    assert score[3] > 0.5 and score[4] > 0.5
+
+
+def test_joined_clean_documents_stay_clean(spark):
+    sf = "/root/testdata/sf0.01"
+    table, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(table, labels)
+    scored = toxicity.detect(table.join(labels.select("doc_id", "toxic"), "doc_id"), model)
+    rows = scored.filter(toxicity.held_out(scored["doc_id"])).orderBy("doc_id").collect()
+    clean = [r.text for r in rows if r.toxic == 0 and r.toxicity.score < 0.5]
+    toxic = next(r.text for r in rows if r.toxic == 1 and r.toxicity.score >= 0.5)
+    long = "\n".join(clean * 10)
+    joined = docs(spark, [(1, long), (2, f"{long}\n{toxic}\n{long}")])
+    score = {r.doc_id: r.toxicity.score for r in toxicity.detect(joined, model).collect()}
+    assert score[1] < 0.5 <= score[2]
+
+
 @pytest.mark.parametrize("toxic", [[], [(1, 0)], [(1, None), (None, 1)]])
 def test_toxicity_without_both_classes(spark, toxic):
     labels = spark.createDataFrame(toxic, "doc_id long, toxic int")

@@ -9,6 +9,12 @@ the smallest hash of doc_id) whose crc32(doc_id as text) mod 5 is not 0, and
 keeps at most :data:`MAX_FEATURES` words; both bounds are parameters. Scoring
 covers every whole text.
 
+A text is not toxic for its length: a sentence no likelier toxic than one
+without feature words adds nothing to the score, and the others combine within
+:data:`PASSAGE` consecutive sentences; the score is that of the worst such
+passage. An offending sentence therefore gives 0.5 or more wherever it stands,
+while faint evidence further apart never adds up.
+
 Defined results: a null or empty text has no sentences and scores 0; repeated
 rows score alike and all stay; without labels of both classes every document
 scores near 0; input columns named like the output column are replaced.
@@ -31,6 +37,8 @@ MAX_TRAIN_DOCS = 20_000
 MAX_FEATURES = 1_000
 MIN_DOCS = 5
 FOLDS = 5
+#: Consecutive sentences whose probabilities combine.
+PASSAGE = 100
 
 _SENTENCE = re.compile(r"[^.!?\n]*[^.!?\s][^.!?\n]*")
 _WORD = re.compile(r"[^\W_]+")
@@ -147,19 +155,34 @@ def train(
     return Model(bias, {x: float(k) for x, k in zip(words, w, strict=True) if abs(k) > 0.02})
 
 
+def _worst(doubts: list[tuple[int, float]]) -> float:
+    """The largest sum over :data:`PASSAGE` consecutive sentences; ``doubts``
+    are (sentence number, -log of the probability that it is clean)."""
+    worst = total = 0.0
+    first = 0
+    for k, doubt in doubts:
+        while doubts[first][0] <= k - PASSAGE:
+            total -= doubts[first][1]
+            first += 1
+        total = max(total, 0.0) + doubt
+        worst = max(worst, total)
+    return worst
+
+
 def score_udf(model: Model):
     """Pandas UDF text -> (score, sentences: offending (start, end, probability))."""
 
     def score(texts: pd.Series) -> pd.DataFrame:
         scores, found = [], []
         for t in texts:
-            clean, bad = 0.0, []
-            for m in _sentences(t):
+            doubts, bad = [], []
+            for k, m in enumerate(_sentences(t)):
                 z = model.sentence(m[0])
-                clean -= z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
+                if z > model.bias:
+                    doubts.append((k, z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))))
                 if z >= 0:
                     bad.append({"start": m.start(), "end": m.end(), "probability": 1 / (1 + math.exp(-z))})
-            scores.append(-math.expm1(clean))
+            scores.append(-math.expm1(-_worst(doubts)))
             found.append(bad)
         return pd.DataFrame({"score": scores, "sentences": found})
 
