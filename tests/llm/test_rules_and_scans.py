@@ -100,6 +100,29 @@ def test_redaction_takes_effect(spark):
     assert "deadbeefdeadbeef" not in rows[5].text and "deadbeef " in rows[5].text
 
 
+def test_parts_of_a_run_beside_base_spans_are_judged(spark):
+    model = secrets.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    key, digits = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "1234567890123456789"
+    rows = [
+        (1, f"id {digits}-{key} end"),
+        (2, f"id {key}/{digits} end"),
+        (3, f"id {key}-{digits}-{digits}_{key} end"),
+        (4, f"id {digits}-internationalizationsofwords end"),
+        (5, f"id {digits} end"),
+        (6, f"id {digits}-{key[:19]} end"),
+    ]
+    df = docs(spark, rows).selectExpr("doc_id", "text")
+    found = {r.doc_id: [(x.start, x.end, secrets.KINDS[x.kind], x.value) for x in r.secrets] for r in secrets.scan(df, model).collect()}
+    text = dict(rows)
+    for i, spans in found.items():
+        assert spans == sorted(spans) and all(text[i][a:b] == v for a, b, _, v in spans)
+    kinds = {i: [k for _, _, k, _ in s] for i, s in found.items()}
+    assert kinds == {1: ["hex", "markov"], 2: ["markov", "hex"], 3: ["markov", "hex", "hex", "markov"], 4: ["hex"], 5: ["hex"], 6: ["hex", "markov"]}
+    left = {r.doc_id: r.t for r in df.select("doc_id", secrets.redact(df["text"], secrets.find_secrets(df["text"], model)).alias("t")).collect()}
+    assert not any(key[:19] in t or digits in t for t in left.values())
+    assert "internationalizationsofwords" in left[4]
+
+
 LICENSES = [
     (1, "/* Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License. */"),
     (2, "Licensed under CC BY-NC 4.0. Released under the MIT License. mit license"),

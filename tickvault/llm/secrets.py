@@ -4,7 +4,9 @@ Base rules find assignments, access keys and long hex runs. The method adds
 runs of key characters that look random: two character bigram models (random
 strings, ordinary identifiers) are trained from samples the base rules label
 in the corpus itself (values of base matches; long plain words outside them),
-and a run is a secret if its log-likelihood ratio exceeds :data:`MIN_RATIO`.
+and a run is a secret if its log-likelihood ratio exceeds :data:`MIN_RATIO`. Of
+a run that holds base spans, each part outside them, however short, is judged
+in the same way.
 Counting covers every document; the model is at most 66 x 66 numbers a class,
 whatever the input size.
 
@@ -84,6 +86,29 @@ def _outside(spans: Column, base: Column) -> Column:
     )
 
 
+def _rests(spans: Column, base: Column) -> Column:
+    """What base spans leave of each span: the parts before, between and after them."""
+
+    def part(run: Column, start: Column, end: Column) -> Column:
+        value = F.substring(run["value"], start - run["start"] + 1, end - start)
+        return F.when(start < end, F.array(_span(start, end, 3, value))).otherwise(_none())
+
+    def cut(run: Column) -> Column:
+        inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+        zero = F.struct(run["start"].alias("pos"), _none().alias("out"))
+
+        def step(a, b):
+            return F.struct(
+                F.greatest(a["pos"], b["end"]).alias("pos"),
+                F.concat(a["out"], part(run, a["pos"], b["start"])).alias("out"),
+            )
+
+        last = lambda a: F.concat(a["out"], part(run, a["pos"], run["end"]))
+        return F.when(F.size(inside) > 0, F.aggregate(F.array_sort(inside), zero, step, last)).otherwise(F.array(run))
+
+    return F.flatten(F.transform(spans, cut))
+
+
 def _bigrams(value: Column) -> Column:
     return let(
         F.split(value, ""),
@@ -155,7 +180,7 @@ def find_secrets(text: Column, model: dict[str, float]) -> Column:
     """All spans of one text, by start, then kind; kinds index :data:`KINDS`."""
 
     def both(t: Column, base: Column) -> Column:
-        runs = _outside(_matches(t, RUN, 3), base)
+        runs = _rests(_matches(t, RUN, 3), base)
         return F.array_sort(F.concat(base, F.filter(runs, lambda x: ratio(x["value"], model) > MIN_RATIO)))
 
     return let(F.coalesce(text, F.lit("")), lambda t: let(base_spans(t), lambda b: both(t, b)))
