@@ -158,6 +158,16 @@ def test_license_scan(spark, tmp_path):
     assert got[6].labels == "bsd"
 
 
+def test_license_of_a_text_that_starts_inside_the_notice(spark, tmp_path):
+    notice = "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"
+    rows = [(1, notice), (2, "you can " + notice), (3, " ".join(notice.split()[11:])), (4, "modification, are permitted provided that the following conditions are met")]
+    docs(spark, rows + EDGES).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in licenses.query(spark, str(tmp_path)).collect()}
+    assert got[1].labels == "lgpl" and got[1].base_labels == "" and 0.6 < got[1].score < 1
+    assert got[2].labels == "lgpl" and got[2].score == 1.0
+    assert got[3].labels == "" and got[4].labels == ""  # too little of the template; no key phrase
+
+
 def test_scans_of_an_empty_table(spark):
     empty = docs(spark, TEXTS).limit(0)
     assert secrets.scan(empty, secrets.train(empty)).count() == 0

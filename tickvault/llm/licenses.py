@@ -126,7 +126,9 @@ def _template_score(w: Column, k: int, at: Column, idf: dict[str, float]) -> Col
 
 
 def matches(w: Column, idf: dict[str, float]) -> Column:
-    """Array of (label, at, score) of verified placements in lower-case words."""
+    """Array of (label, at, score) of verified placements in lower-case words;
+    ``at`` is negative where the text starts inside the template, whose words
+    before it count as unmatched (``F.get`` gives null outside the array)."""
     postings = _index(idf)
     index = F.array(*[F.struct(F.lit(x).alias("w"), F.lit(k).alias("k"), F.lit(p).alias("p")) for x, k, p in postings])
     rare = sorted({x for x, _, _ in postings})
@@ -156,7 +158,7 @@ def matches(w: Column, idf: dict[str, float]) -> Column:
         return F.struct(label.alias("label"), c["at"].alias("at"), score.alias("score"))
 
     placed = let(F.sort_array(votes), agreed)
-    return F.filter(F.transform(F.filter(placed, lambda c: c["at"] >= 0), scored), lambda x: x["score"] >= MIN_COVERAGE)
+    return F.filter(F.transform(placed, scored), lambda x: x["score"] >= MIN_COVERAGE)
 
 
 def _may_hold(t: Column, idf: dict[str, float]) -> Column:
