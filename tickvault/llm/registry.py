@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickvault.llm import imatch, jaccard_join, licenses, packing, piece_fst, quality, quotes, secrets, token_files, toxicity
+from tickvault.llm import imatch, jaccard_join, licenses, packing, piece_fst, quality, quotes, runs, secrets, token_files, toxicity
 from tickvault.llm.common import importable
 
 
@@ -29,6 +29,7 @@ _QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_token_files": token_files.query,
     "op10_piece_fst": piece_fst.query,
+    "op12_periodic_runs": runs.query,
 }
 
 QUERIES = {name: _ready(query) for name, query in _QUERIES.items()}
