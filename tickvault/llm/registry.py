@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickvault.llm import imatch, jaccard_join, licenses, packing, piece_fst, quality, quotes, runs, secrets, token_files, toxicity
+from tickvault.llm import imatch, jaccard_join, licenses, negatives, packing, piece_fst, quality, quotes, runs, secrets, simhash, token_files, toxicity
 from tickvault.llm.common import importable
 
 
@@ -29,7 +29,9 @@ _QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_token_files": token_files.query,
     "op10_piece_fst": piece_fst.query,
+    "op11_simhash": simhash.query,
     "op12_periodic_runs": runs.query,
+    "op13_hard_negatives": negatives.query,
 }
 
 QUERIES = {name: _ready(query) for name, query in _QUERIES.items()}
@@ -37,4 +39,5 @@ QUERIES = {name: _ready(query) for name, query in _QUERIES.items()}
 SQL = {
     "op1_quality_rules": quality.oracle(),
     "op5_quote_links": quotes.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
