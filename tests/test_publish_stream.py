@@ -10,7 +10,8 @@ from tickvault import fixtures as fx
 from tickvault.jobs import maintain_free_float, maintain_prices
 from tickvault.operators.merge import resolve_latest
 from tickvault.schemas import PRICES_STORED
-from tickvault.sinks.publish import current_version, expire_snapshots, list_versions, publish
+from tickvault.sinks.expire import expire_snapshots, list_versions
+from tickvault.sinks.publish import StaleVersion, current_version, publish, read_table, snapshot
 from tickvault.sources.store import read_current, read_prices
 from tickvault.streaming.bars import compact, read_live, stream_landed
 
@@ -28,27 +29,74 @@ def test_publish_versions_and_crash(spark, tmp_root):
     df = resolve_latest(fx.bars_log(spark, SF), ["Universe", "Ticker", "Date"], fx.BARS_LOG_ORDER).select(*COLS)
     v1 = publish(df, root, partition_by=["Universe"], sort_within=["Ticker", "Date"])
     assert v1 == 1 and read_prices(spark, root).count() == df.count()
-    # a crashed publish: files of v=2 but no manifest -> readers keep v=1
-    os.makedirs(os.path.join(root, "v=2", "Universe=x"))
-    with open(os.path.join(root, "v=2", "Universe=x", "part-0.parquet"), "wb") as f:
+    # a crashed publish: files that no marker names -> readers keep v=1
+    lost = os.path.join(root, "data", "w=" + "0" * 32, "Universe=x")
+    os.makedirs(lost)
+    with open(os.path.join(lost, "part-0.parquet"), "wb") as f:
         f.write(b"garbage")
+    os.utime(os.path.join(lost, "part-0.parquet"), (1_600_000_000, 1_600_000_000))
+    # one that died while writing its marker
+    os.makedirs(os.path.join(root, "log", "_" + "1" * 32))
     assert current_version(spark, root) == 1
     assert read_prices(spark, root).count() == df.count()
-    v3 = publish(df.limit(5), root)
-    assert v3 == 3 and current_version(spark, root) == 3
-    assert expire_snapshots(spark, root, keep=1) == [1, 2]
-    assert list_versions(spark, root) == [3]
+    v2 = publish(df.limit(5), root)
+    assert v2 == 2 and current_version(spark, root) == 2
+    assert expire_snapshots(spark, root, keep=1) == [1]
+    assert list_versions(spark, root) == [2] and not os.path.exists(os.path.dirname(lost))
+    assert read_prices(spark, root).count() == 5
+    assert publish(df, root, partition_by=["Universe"]) == 3  # numbers go on
 
 
 def test_corrupt_snapshot_raises(spark, tmp_root):
     root = os.path.join(tmp_root, "prices")
-    os.makedirs(os.path.join(root, "v=1"))
-    with open(os.path.join(root, "v=1", "part-0.parquet"), "wb") as f:
-        f.write(b"not parquet")
-    with open(os.path.join(root, "v=1", "_manifest.json"), "w") as f:
-        f.write('{"version": 1, "partition_by": null, "meta": {}}')
+    publish(spark.createDataFrame([("A", "x")], "Universe string, Ticker string"), root)
+    (w,) = snapshot(spark, root).parts.values()
+    for f in os.listdir(os.path.join(root, "data", f"w={w}")):
+        with open(os.path.join(root, "data", f"w={w}", f), "wb") as out:
+            out.write(b"not parquet")
     with pytest.raises(Exception):
         read_prices(spark, root).count()
+    for f in os.listdir(os.path.join(root, "log", "v=1")):
+        with open(os.path.join(root, "log", "v=1", f), "wb") as out:
+            out.write(b"not parquet")
+    with pytest.raises(Exception):
+        snapshot(spark, root)
+
+
+def test_of_two_writers_of_one_version_one_commits(spark, tmp_root, monkeypatch):
+    """Both pass the check, both write; the rename of the marker decides."""
+    from tickvault.sinks import publish as mod
+
+    root = os.path.join(tmp_root, "t")
+    a = spark.createDataFrame([("A", "x")], "Universe string, Ticker string")
+    publish(a, root, partition_by=["Universe"])
+    real, other = mod.rename_new, spark.createDataFrame([("B", "y")], "Universe string, Ticker string")
+
+    def late(session, source, target):
+        monkeypatch.setattr(mod, "rename_new", real)
+        assert publish(other, root, partition_by=["Universe"], only_partitions=True, expected_version=1) == 2
+        return real(session, source, target)
+
+    monkeypatch.setattr(mod, "rename_new", late)
+    with pytest.raises(StaleVersion):
+        publish(a.union(other), root, partition_by=["Universe"], only_partitions=True, expected_version=1)
+    assert sorted(map(tuple, read_table(spark, root, a.schema).collect())) == [("A", "x"), ("B", "y")]
+    assert list_versions(spark, root) == [1, 2]
+
+
+def test_partition_values_of_every_kind(spark, tmp_root):
+    root = os.path.join(tmp_root, "t")
+    names = ["a/b", "a b", "007", None, "x=1", "%41", "ä\\c", "1e3"]
+    df = spark.createDataFrame([(n, y, i) for i, n in enumerate(names) for y in (2020, None)], "Universe string, year int, n int")
+    publish(df, root, partition_by=["Universe", "year"])
+    again = df.filter("Universe in ('a/b', '007') or Universe is null").withColumn("n", F.col("n") + 100)
+    publish(again.filter("year is null"), root, partition_by=["Universe", "year"], only_partitions=True)
+    got = sorted(map(str, map(tuple, read_table(spark, root, df.schema).collect())))
+    hit = {"a/b", "007", None}
+    want = sorted(str((n, y, i + (100 if y is None and n in hit else 0))) for i, n in enumerate(names) for y in (2020, None))
+    assert got == want
+    one = read_table(spark, root, df.schema, only=lambda part: part == ("a/b", None)).collect()
+    assert [tuple(r) for r in one] == [("a/b", None, 100)]
 
 
 def test_stream_equals_batch(spark, tmp_root):
@@ -161,7 +209,6 @@ def test_publish_only_partitions(spark, tmp_root):
 
 
 def test_compact_touches_only_landed_universes(spark, tmp_root):
-    from tickvault.sinks.publish import read_manifest
     from tickvault.streaming.bars import append_log
 
     schema = PRICES_STORED
@@ -172,8 +219,9 @@ def test_compact_touches_only_landed_universes(spark, tmp_root):
     assert compact(spark, log_root, table_root, schema) == 1
     append_log(spark.createDataFrame([("B", "y", dt.date(2020, 1, 1), 3.0)], cols).withColumn("seq", F.lit(0).cast("long")), 1, log_root)
     assert compact(spark, log_root, table_root, schema) == 2
-    m = read_manifest(spark, table_root)
-    assert m["parts"] == {"Universe=A/year=2020": 1, "Universe=B/year=2020": 2}
+    before, after = snapshot(spark, table_root, 1).parts, snapshot(spark, table_root).parts
+    assert set(after) == {("A", "2020"), ("B", "2020")}
+    assert {p for p in after if after[p] != before[p]} == {("B", "2020")}
     got = {r.Universe: r.Close for r in read_current(spark, table_root, schema).collect()}
     assert got == {"A": 1.0, "B": 3.0}
 
@@ -211,7 +259,6 @@ def test_free_float_resume_mode(spark, tmp_root):
 def test_stats_side_table_tracks_the_bars(spark, tmp_root):
     from tickvault.jobs import ticker_stats
     from tickvault.schemas import TICKER_STATS
-    from tickvault.sinks.publish import read_side, read_manifest
 
     root = os.path.join(tmp_root, "prices")
     universe = fx.parts_universe(spark, SF)
@@ -235,18 +282,16 @@ def test_stats_side_table_tracks_the_bars(spark, tmp_root):
     assert same()
     # the update reached only the years of its windows: 2001 was rewritten,
     # earlier years still point at version 1
-    parts = read_manifest(spark, root)["parts"]
-    assert any(v == 2 for k, v in parts.items() if k.endswith("year=2001"))
-    assert all(v == 1 for k, v in parts.items() if k.endswith("year=1996"))
+    first, parts = snapshot(spark, root, 1).parts, snapshot(spark, root).parts
+    assert any(w != first[p] for p, w in parts.items() if p[1] == "2001")
+    assert all(w == first[p] for p, w in parts.items() if p[1] == "1996")
     # a table published without stats: planning falls back to the bars
     plain = os.path.join(tmp_root, "plain")
     publish(read_prices(spark, root), plain, partition_by=["Universe"])
-    assert read_side(spark, plain, "stats", TICKER_STATS) is None
+    assert read_table(spark, plain, TICKER_STATS, side="stats") is None
 
 
 def test_layout_migration_and_guard(spark, tmp_root):
-    from tickvault.sinks.publish import read_manifest
-
     root = os.path.join(tmp_root, "prices")
     universe = fx.parts_universe(spark, SF)
     landed = fx.gappy_log(spark, SF).withColumn("seq", F.col("seq") * 1_000_000 + F.col("seq_tie")).drop("batch_id", "seq_tie")
@@ -258,7 +303,7 @@ def test_layout_migration_and_guard(spark, tmp_root):
         publish(old.limit(1), root, partition_by=["Universe", "year"], only_partitions=True)
     n_old = read_prices(spark, root).count()
     run = maintain_prices(spark, universe, landed, root, "update", as_of="2002-01-01")
-    assert read_manifest(spark, root)["partition_by"] == ["Universe", "year"]
+    assert snapshot(spark, root).by == ["Universe", "year"]
     assert read_prices(spark, root).count() >= n_old and run.version == 2
 
 
@@ -292,8 +337,8 @@ def test_published_files_are_ordered(spark, tmp_root):
 
     root = os.path.join(tmp_root, "t")
     df = fx.gappy_log(spark, SF).select(*COLS).withColumn("year", F.year("Date"))
-    v = publish(df, root, partition_by=["Universe", "year"], sort_within=[F.col("Ticker"), F.asc_nulls_last("Date")])
-    files = glob.glob(os.path.join(root, f"v={v}", "Universe=*", "year=*", "*.parquet"))
+    publish(df, root, partition_by=["Universe", "year"], sort_within=[F.col("Ticker"), F.asc_nulls_last("Date")])
+    files = glob.glob(os.path.join(root, "data", "w=*", "Universe=*", "year=*", "*.parquet"))
     assert files
     for f in files:
         t = pq.read_table(f, columns=["Ticker", "Date"]).to_pandas()
@@ -302,7 +347,6 @@ def test_published_files_are_ordered(spark, tmp_root):
 
 def test_expire_keeps_versions_sides_point_to(spark, tmp_root):
     from tickvault.schemas import TICKER_STATS
-    from tickvault.sinks.publish import read_side
 
     root = os.path.join(tmp_root, "t")
     rows = [("A", "x", dt.date(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, 1), ("B", "y", dt.date(2021, 1, 1), 1.0, 1.0, 1.0, 1.0, 1)]
@@ -313,6 +357,6 @@ def test_expire_keeps_versions_sides_point_to(spark, tmp_root):
     publish(df, root, partition_by=["Universe", "year"], sides={"stats": bar_stats})
     publish(df.filter("Universe = 'B'"), root, partition_by=["Universe", "year"], only_partitions=True, sides={"stats": bar_stats})
     assert expire_snapshots(spark, root, keep=1) == []  # v=1 still holds A's rows and stats
-    st = read_side(spark, root, "stats", TICKER_STATS, keep_partition_cols=True)
+    st = read_table(spark, root, TICKER_STATS, side="stats", keep_partition_columns=True)
     assert sorted((r.Universe, r.Ticker) for r in st.collect()) == [("A", "x"), ("B", "y")]
     assert read_prices(spark, root).count() == 2

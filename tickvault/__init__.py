@@ -22,7 +22,8 @@ from tickvault.plans.work import (  # noqa: F401
     plan_stale,
     plan_update,
 )
-from tickvault.sinks.publish import expire_snapshots, publish  # noqa: F401
+from tickvault.sinks.expire import expire_snapshots  # noqa: F401
+from tickvault.sinks.publish import publish  # noqa: F401
 from tickvault.sources.store import read_free_float, read_prices  # noqa: F401
 from tickvault.sources.universe import list_universes, prefer_source, read_universe  # noqa: F401
 from tickvault.streaming.bars import compact, read_live, stream_landed  # noqa: F401

@@ -159,7 +159,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         rep.gap_totals(universe, plan).show(truncate=False)
         rep.gap_sample(universe, plan).show(truncate=False)
     elif a.cmd == "expire":
-        from tickvault.sinks.publish import expire_snapshots
+        from tickvault.sinks.expire import expire_snapshots
 
         print("dropped versions:", expire_snapshots(spark, a.store, keep=a.keep))
     return 0

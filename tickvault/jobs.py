@@ -20,6 +20,7 @@ lost executor nor a second run leaves a half table or loses an update.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,9 @@ from tickvault.schemas import (
     PRICES_STORED,
     TICKER_STATS,
 )
-from tickvault.sinks.publish import publish, read_manifest, read_side, read_version
+from tickvault.sinks.marks import clear_marks, stored_marks, write_marks
+from tickvault.sinks.publish import Snapshot, publish, read_table, snapshot
+from tickvault.sources.universe import UniverseSource, read_marks
 
 KEYS = ["Universe", "Ticker"]
 # A plan of at most this many (window, month) rows is broadcast to the landed
@@ -65,10 +68,10 @@ def bar_stats(bars: DataFrame) -> DataFrame:
     )
 
 
-def ticker_stats(spark: SparkSession, store_root: str, manifest: dict | None = None) -> DataFrame | None:
-    """Per-ticker first/last date and bar count from the stats side table
-    (one row per ticker-year), or None when the table has no stats."""
-    st = read_side(spark, store_root, "stats", TICKER_STATS, keep_partition_cols=True, manifest=manifest)
+def ticker_stats(spark: SparkSession, store_root: str, at: Snapshot | None = None) -> DataFrame | None:
+    """Per-ticker first/last date and bar count from the stats written beside
+    the bars (one row per ticker-year), or None when the table has no stats."""
+    st = read_table(spark, store_root, TICKER_STATS, at=at, side="stats")
     if st is None:
         return None
     return st.groupBy("Universe", "Ticker").agg(
@@ -85,17 +88,23 @@ def touched_partitions(rows: DataFrame) -> set[tuple[str | None, str | None]]:
     return {(r.Universe, r.year) for r in years.collect()}
 
 
+def _listed(spark: SparkSession, universe: DataFrame | UniverseSource) -> DataFrame:
+    return universe.load(spark) if isinstance(universe, UniverseSource) else universe
+
+
 @dataclass
 class RunResult:
     version: int | None
     plan: DataFrame
     report: DataFrame
     totals: DataFrame
+    #: one row a universe: stored rows and tickers, outcomes, failures, times
+    summary: DataFrame | None = None
 
 
 def maintain_prices(
     spark: SparkSession,
-    universe: DataFrame,
+    universe: DataFrame | UniverseSource,
     landed: DataFrame,
     store_root: str,
     mode: str,
@@ -117,20 +126,18 @@ def maintain_prices(
     failed after ``max_retry`` tries — their rows are not taken.
     """
     # the version is resolved once; the publish fails if the table moves on meanwhile
-    manifest = read_manifest(spark, store_root)
-    v0 = manifest["version"] if manifest else None
-    by_year = manifest is None or (manifest.get("partition_by") or []) == BAR_PARTITIONS
-    if manifest:
-        stored = read_version(spark, store_root, PRICES_STORED, manifest=manifest)
-    else:
-        stored = spark.createDataFrame([], PRICES_STORED)
+    universe = _listed(spark, universe)
+    now = snapshot(spark, store_root)
+    v0 = now.version if now else None
+    by_year = now is None or now.by == BAR_PARTITIONS
+    stored = read_table(spark, store_root, PRICES_STORED, at=now) if now else spark.createDataFrame([], PRICES_STORED)
     if mode in ("update", "backfill") and v0 is None:
         # as the reference: these modes need a stored table (run "fresh" first)
         raise ValueError(f"mode={mode!r} needs a stored table at {store_root}; run mode='fresh' first")
     # planning reads only the universes of this run (partition filter), and
     # for fresh/update only the per-ticker stats written with the table
     mine = work.prune_to_universes(stored, universe)
-    stats = ticker_stats(spark, store_root, manifest) if by_year else None
+    stats = ticker_stats(spark, store_root, now) if now and by_year else None
     mine_stats = work.prune_to_universes(stats, universe) if stats is not None else None
     if mode == "fresh":
         plan = work.plan_fresh(universe, mine_stats if mine_stats is not None else mine, as_of, start=start)
@@ -188,8 +195,8 @@ def maintain_prices(
     cols = [f.name for f in PRICES_STORED.fields]
     incremental = by_year and v0 is not None
     if incremental:
-        # the manifest keeps every other partition where it is
-        base_part = read_version(spark, store_root, PRICES_STORED, manifest=manifest, parts=touched.__contains__)
+        # every other partition stays with the write it came from
+        base_part = read_table(spark, store_root, PRICES_STORED, at=now, only=touched.__contains__)
     else:
         base_part = stored if v0 is not None else None
     n_fetched = counts.agg(F.sum("rows_fetched")).first()[0]
@@ -217,7 +224,7 @@ def maintain_prices(
 
 def maintain_free_float(
     spark: SparkSession,
-    universe: DataFrame,
+    universe: DataFrame | UniverseSource,
     attempts: DataFrame,
     store_root: str,
     as_of,
@@ -230,17 +237,27 @@ def maintain_free_float(
     success_rule: str = "call",
     plan: str = "stale",
     run_id: str | None = None,
+    commit_every: int | None = None,
+    on_commit: Callable[[int], None] | None = None,
 ) -> RunResult:
     """Plan -> resolve tries -> free-float rows -> upsert -> publish.
 
     ``plan="stale"`` is the v2/v3 freshness rule (J3/J4); ``plan="resume"``
     the first version's rule (J2: universe minus stored ∪ marks, any stored
     row is done for ever), usually with ``success_rule="value"`` (C5).
+
+    A run with a ``run_id`` marks the tickers it has processed (K4): the marks
+    of a batch are committed with its rows, a later run of the same id takes up
+    where this one stopped, and a run that completes, or has nothing to do,
+    clears them. ``commit_every`` commits every that many tickers of a universe
+    in list order (default: all at once); ``on_commit`` is told each version.
     """
-    manifest = read_manifest(spark, store_root)
-    v0 = manifest["version"] if manifest else None
-    whole = read_version(spark, store_root, FREE_FLOAT, manifest=manifest) if manifest else spark.createDataFrame([], FREE_FLOAT)
+    universe = _listed(spark, universe)
+    now = snapshot(spark, store_root)
+    whole = read_table(spark, store_root, FREE_FLOAT, at=now) if now else spark.createDataFrame([], FREE_FLOAT)
     stored = work.prune_to_universes(whole, universe)
+    if run_id is not None and marks is None:
+        marks = read_marks(stored_marks(spark, store_root), run_id=run_id)
     if plan == "stale":
         todo = work.plan_stale(universe, stored, marks, as_of, days=days, force=force, retry_failed=retry_failed)
     elif plan == "resume":
@@ -250,24 +267,37 @@ def maintain_free_float(
         raise ValueError("plan must be 'stale' or 'resume'")
     plan = materialise(todo)
     due_attempts = attempts.join(plan.select(*KEYS).distinct(), KEYS, "left_semi")
-    resolved = ffo.resolve_attempts(due_attempts, max_retry=max_retry, run_id=run_id)
-    # one row per due ticker, read by the upsert (up to three times) and the
-    # report: materialised once instead of re-resolving the tries
-    rows = materialise(ffo.results_to_rows(resolved, as_of=as_of, success_rule=success_rule))
-    version = v0
-    touched = {(r.Universe,) for r in rows.select("Universe").distinct().collect()}
-    if touched:  # nothing due or no tries: the table stays as it is
-        mine = read_version(spark, store_root, FREE_FLOAT, manifest=manifest, parts=touched.__contains__) if manifest else whole
-        table = ffo.upsert_free_float(mine, rows, on_failure=on_failure)
-        cols = [f.name for f in FREE_FLOAT.fields]
+    resolved = ffo.resolve_attempts(due_attempts, max_retry=max_retry, run_id=run_id if "run_id" in attempts.columns else None)
+    rows = ffo.results_to_rows(resolved, as_of=as_of, success_rule=success_rule)
+    if commit_every is None:
+        rows = rows.withColumn("batch", F.lit(0).cast(T.LongType()))
+    else:
+        placed = rep.progress(plan, order_key="pos", batch_size=commit_every).groupBy(*KEYS).agg(F.min("batch").alias("batch"))
+        rows = rows.join(placed, KEYS)
+    # one row per due ticker, read by the upsert (up to three times), the marks
+    # and the report: materialised once instead of re-resolving the tries
+    rows = materialise(rows)
+    version = now.version if now else None
+    cols = [f.name for f in FREE_FLOAT.fields]
+    batches = rows.groupBy("batch").agg(F.collect_set("Universe").alias("names")).orderBy("batch").collect()
+    for batch in batches:  # nothing due or no tries: the table stays as it is
+        part = rows.filter(F.col("batch") == batch.batch).drop("batch")
+        touched = {(name,) for name in batch.names}
+        mine = read_table(spark, store_root, FREE_FLOAT, at=now, only=touched.__contains__) if now else whole
         version = publish(
-            table.select(*cols),
+            ffo.upsert_free_float(mine, part, on_failure=on_failure).select(*cols),
             store_root,
             partition_by=["Universe"],
             sort_within=["Ticker"],
             only_partitions=True,
-            expected_version=v0,
+            beside=(lambda w, part=part: write_marks(part, store_root, run_id, w)) if run_id is not None else None,
+            expected_version=now.version if now else None,
         )
+        now = snapshot(spark, store_root, version)
+        if on_commit is not None:
+            on_commit(version)
+    if run_id is not None:
+        clear_marks(spark, store_root, run_id)
     report = rows.select(*KEYS, "Status", "Error")
     totals = ffo.run_outcome(rows)
     return RunResult(version, plan, report, totals)

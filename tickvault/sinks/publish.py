@@ -1,382 +1,181 @@
-"""Atomic, incremental table publish (K1, K4-K6) on plain Parquet.
-
-A table is a folder of versions ``<root>/v=<N>``. A publish writes the rows
-of version N with one Spark job, then commits it by writing
-``v=N/_manifest.json`` (temp file + rename). Readers take the newest version
-that has a manifest, so a crash at any point leaves at most an uncommitted
-``v=N`` that nobody reads; the reference's "write temp, rename over the
-target" becomes "write a new version, then its manifest". No job overwrites
-a path it reads (Spark would delete its own input).
-
-For a partitioned table (bars: ``Universe``, ``year``) the manifest maps
-every partition to the version folder that holds its current files.
-``only_partitions=True`` writes just the partitions present in the DataFrame
-and inherits the others from the previous version, so a run rewrites only
-the partitions it touched. Side tables (per-ticker stats) are written into
-the same version before the manifest and commit with it.
-
-File system access goes through Hadoop's ``FileSystem`` of the session, so
-the root can be any shared store the cluster mounts.
+"""Atomic, incremental table publish (K1) with Spark's own writer.
+
+``<root>/data/w=<id>/<partition columns>`` holds the files of one write, made
+by the partitioned Parquet writer; ``<root>/log/v=<N>`` is the commit marker of
+version N: a small Parquet table naming the write and the partitions it
+replaces. The marker is written beside the log and renamed to ``v=N``, which
+fails if that version exists: of two writers that start from the same version
+one commits, the other gets :class:`StaleVersion`. A crash before the rename
+leaves files that no version names.
+
+Reading is ``spark.read`` over the live writes with a plain partition filter:
+each partition's rows are those of the last committed write that replaced it.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable
-from urllib.parse import unquote
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_V = re.compile(r"^v=(\d+)$")
-MANIFEST = "_manifest.json"
+from tickvault.sinks.files import rename_new
 
+LOG = "w string, whole boolean, note long, by array<string>, part array<string>, v int"
+ANY_VERSION = -1
 
-def _fs(spark: SparkSession, root: str):
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    conf = spark._jsc.hadoopConfiguration()
-    return path.getFileSystem(conf), path, jvm
 
+class StaleVersion(RuntimeError):
+    """The table moved on since the rows to publish were derived from it."""
 
-def _path(jvm, p: str):
-    return jvm.org.apache.hadoop.fs.Path(p)
 
+@dataclass(frozen=True)
+class Snapshot:
+    """A committed version: its partition columns and each partition's write."""
 
-def version_path(root: str, v: int) -> str:
-    return f"{root.rstrip('/')}/v={int(v)}"
+    version: int
+    by: list[str]
+    parts: dict[tuple[str | None, ...], str]
+    #: what the last writer that said so noted (a stream: batches taken in)
+    note: int | None
 
 
-def _all_versions(spark: SparkSession, root: str) -> list[int]:
-    fs, path, _ = _fs(spark, root)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        m = _V.match(st.getPath().getName())
-        if m and st.isDirectory():
-            out.append(int(m.group(1)))
-    return sorted(out)
+def read_if_any(spark: SparkSession, schema, path: str) -> DataFrame:
+    """Parquet rows under ``path``, none if it does not exist; unreadable files raise."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def list_versions(spark: SparkSession, root: str, committed_only: bool = True) -> list[int]:
-    vs = _all_versions(spark, root)
-    if not committed_only:
-        return vs
-    fs, _, jvm = _fs(spark, root)
-    return [v for v in vs if fs.exists(_path(jvm, version_path(root, v) + "/" + MANIFEST))]
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    return read_if_any(spark, LOG, f"{root}/log")
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    vs = list_versions(spark, root)
-    return vs[-1] if vs else None
-
-
-def read_manifest(spark: SparkSession, root: str, v: int | None = None) -> dict | None:
-    """Manifest of version ``v`` (default: the current one), or None."""
-    if v is None:
-        v = current_version(spark, root)
-        if v is None:
-            return None
-    fs, _, jvm = _fs(spark, root)
-    p = _path(jvm, version_path(root, v) + "/" + MANIFEST)
-    if not fs.exists(p):
+def snapshot(spark: SparkSession, root: str, version: int | None = None) -> Snapshot | None:
+    """The newest committed version (or ``version``); None if there is none.
+    The driver gets one row a partition, as it lists one folder a partition."""
+    log = read_log(spark, root)
+    if version is not None:
+        log = log.filter(F.col("v") <= version)
+    heads = log.filter("part is null")
+    last = heads.agg(F.max("v").alias("v"), F.max_by("by", "v").alias("by"), F.max("note").alias("note"), F.max(F.when(F.col("whole"), F.col("v"))).alias("base")).first()
+    if last is None or last.v is None:
         return None
-    stream = fs.open(p)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    lines = []
-    line = reader.readLine()
-    while line is not None:
-        lines.append(line)
-        line = reader.readLine()
-    reader.close()
-    return json.loads("\n".join(lines))
-
-
-def _write_manifest(spark: SparkSession, root: str, v: int, manifest: dict) -> None:
-    fs, _, jvm = _fs(spark, root)
-    final = _path(jvm, version_path(root, v) + "/" + MANIFEST)
-    tmp = _path(jvm, version_path(root, v) + "/_manifest.json.tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode("utf-8")))
-    out.close()
-    if not fs.rename(tmp, final):
-        raise OSError(f"could not commit {final}")
-
-
-def _cols(partition_by) -> list[str]:
-    if not partition_by:
-        return []
-    return [partition_by] if isinstance(partition_by, str) else list(partition_by)
-
-
-def _written_partitions(spark: SparkSession, root: str, v: int, cols, sub: str = "") -> list[str]:
-    """Partition folders of version ``v`` as relative keys ``c1=a/c2=b``."""
-    cols = _cols(cols)
-    fs, _, jvm = _fs(spark, root)
-    base = version_path(root, v) + (f"/{sub}" if sub else "")
-    if not fs.exists(_path(jvm, base)):
-        return []
-    keys = [""]
-    for col in cols:
-        nxt = []
-        for k in keys:
-            p = _path(jvm, base + ("/" + k if k else ""))
-            for st in fs.listStatus(p):
-                name = st.getPath().getName()
-                if st.isDirectory() and name.startswith(col + "="):
-                    nxt.append(f"{k}/{name}" if k else name)
-        keys = nxt
-    return sorted(keys)
+    live = log.filter(F.col("part").isNotNull() & (F.col("v") >= (last.base or 0)))
+    parts = live.groupBy("part").agg(F.max_by("w", "v").alias("w")).collect()
+    return Snapshot(last.v, list(last.by), {tuple(r.part): r.w for r in parts}, last.note)
 
 
-class StaleVersion(RuntimeError):
-    """The table moved on since the rows to publish were derived from it."""
+def current_version(spark: SparkSession, root: str) -> int | None:
+    now = snapshot(spark, root)
+    return now.version if now else None
 
 
-_DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+def _texts(cols: Sequence[str]) -> Column:
+    return F.array(*[F.col(c).cast("string") for c in cols]).cast("array<string>")
 
 
-def part_values(name: str) -> tuple[str | None, ...]:
-    """Partition values of a relative key ``c1=a/c2=b`` (folder names are
-    percent-escaped by the writer)."""
-    values = [unquote(x.split("=", 1)[1]) for x in name.split("/")]
-    return tuple(None if v == _DEFAULT_PARTITION else v for v in values)
+def _key(cols: Sequence[str]) -> Column:
+    return F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in cols])
 
 
-def _check_version(spark: SparkSession, root: str, expected: int | None) -> None:
-    now = current_version(spark, root)
-    if now != expected:
-        raise StaleVersion(f"{root}: rows were derived from version {expected}, the table is at {now}")
+def _read_parts(spark: SparkSession, folder: str, schema: T.StructType, by: list[str], parts: dict, types: dict) -> DataFrame:
+    own = [T.StructField(c, types.get(c, T.StringType())) for c in by]
+    whole = T.StructType([*[f for f in schema.fields if f.name not in by], *own, T.StructField("w", T.StringType())])
+    if not parts:
+        return spark.createDataFrame([], whole)
+    rows = spark.read.schema(whole).option("basePath", folder).parquet(*[f"{folder}/w={w}" for w in sorted(set(parts.values()))])
+    keys = ["\x01".join(["\x02" if x is None else x for x in part] + [w]) for part, w in parts.items()]
+    return rows.filter(_key([*by, "w"]).isin(keys))
 
 
-ANY_VERSION = -1
+def read_table(
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType,
+    at: Snapshot | None = None,
+    only: Callable[[tuple], bool] | None = None,
+    side: str | None = None,
+    keep_partition_columns: bool = False,
+) -> DataFrame | None:
+    """Rows of a version (default: the newest), None if there is none. ``only``
+    picks partitions by their values; ``side`` reads a table written beside the
+    rows, None if some partition came without it."""
+    at = at or snapshot(spark, root)
+    if at is None:
+        return None
+    parts = {p: w for p, w in at.parts.items() if only is None or only(p)}
+    types = {f.name: f.dataType for f in schema.fields}
+    try:
+        rows = _read_parts(spark, f"{root}/{side or 'data'}", schema, at.by, parts, types)
+    except AnalysisException as e:
+        if side is None or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    extra = [c for c in at.by if c not in schema.fieldNames()] if keep_partition_columns else []
+    return rows.select(*schema.fieldNames(), *extra)
 
 
 def publish(
     df: DataFrame,
     root: str,
-    partition_by: list[str] | None = None,
-    sort_within: list[str] | None = None,
+    partition_by: Sequence[str] = (),
+    sort_within: Sequence = (),
     only_partitions: bool = False,
-    meta: dict | None = None,
-    sides: dict | None = None,
+    sides: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    note: int | None = None,
+    beside: Callable[[str], None] | None = None,
     expected_version: int | None = ANY_VERSION,
 ) -> int:
-    """K1: write ``df`` as the next version and commit it; returns the version.
-
-    ``partition_by`` names the partition columns (e.g. ``Universe``,
-    ``year``). With ``only_partitions`` the partitions absent from ``df``
-    keep their current files. ``sort_within`` orders rows inside each file (O1: Ticker, Date)
-    without a global sort. ``meta`` is stored in the manifest.
-
-    ``sides`` maps a name to a function from the rows just written (read
-    back from their files, only the partitions of this version) to a small
-    derived table, e.g. per-ticker stats. Side tables are written into
-    ``v=N/_<name>`` before the manifest, so they commit with the data.
-
-    ``expected_version`` is the version the rows were derived from (None: no
-    table yet); if the table has another one, before the write or at the
-    commit, :class:`StaleVersion` is raised and nothing is committed.
+    """K1: write ``df`` and commit it as the next version; returns the version.
+
+    With ``only_partitions`` partitions absent from ``df`` keep their rows.
+    ``sort_within`` orders rows inside each file (O1). ``sides`` derives small
+    tables from the rows as written, e.g. statistics; ``beside(write id)``
+    writes what belongs to this commit elsewhere, e.g. marks. ``note`` is kept
+    until a later writer notes more. If the table is not at
+    ``expected_version`` (None: no table yet), :class:`StaleVersion` is raised
+    and nothing is committed.
     """
-    cols = _cols(partition_by)
-    spark = df.sparkSession
-    if expected_version != ANY_VERSION:
-        _check_version(spark, root, expected_version)
-    prev_v = current_version(spark, root)
-    prev = read_manifest(spark, root, prev_v) if prev_v is not None else None
-    existing = _all_versions(spark, root)
-    v = (existing[-1] + 1) if existing else 1
-    if only_partitions and prev and _cols(prev.get("partition_by")) != cols:
-        raise ValueError("only_partitions needs the same partition columns as the current version")
+    spark, by, w = df.sparkSession, list(partition_by), uuid.uuid4().hex
+    now = snapshot(spark, root)
+    version = now.version if now else None
+    if expected_version not in (ANY_VERSION, version):
+        raise StaleVersion(f"{root}: rows come from version {expected_version}, the table is at {version}")
+    if only_partitions and now and now.by != by:
+        raise ValueError("only_partitions needs the partition columns of the current version")
     out = df
-    if cols:
-        # without this every task writes one file into every partition it
-        # holds (tasks x partitions files); REBALANCE groups rows by partition
-        # and AQE splits big partitions / merges small ones to the advisory
-        # size, so files stay few and evenly sized
-        out = out.hint("rebalance", *cols)
+    if by:
+        # few, evenly sized files a partition, instead of one a task and partition
+        out = out.hint("rebalance", *by)
+    if by and sort_within:
+        # columns the optimizer cannot fold to constants: the writer then finds
+        # its own order in ours, and does not sort again without Ticker and Date
+        out = out.withColumns({c: F.when(F.spark_partition_id() >= 0, F.col(c)) for c in by})
     if sort_within:
-        # partition columns first: the partitioned writer needs rows grouped
-        # by them, so this one sort serves the writer and orders each file
-        out = out.sortWithinPartitions(*cols, *sort_within)
-    w = out.write.mode("errorifexists").option("compression", "zstd")
-    if cols:
-        w = w.partitionBy(*cols)
-    # With planned writes Spark re-sorts by the partition columns whenever a
-    # constant partition value was folded out of our sort, losing the order
-    # inside files; without them the writer takes the sort above as is.
-    key = "spark.sql.optimizer.plannedWrite.enabled"
-    old = spark.conf.get(key, None)
-    if sort_within and cols:
-        spark.conf.set(key, "false")
-    try:
-        w.parquet(version_path(root, v))
-    finally:
-        if sort_within and cols:
-            spark.conf.unset(key) if old is None else spark.conf.set(key, old)
-
-    # what a stream noted (batches taken in) outlives versions of other writers
-    manifest = {"version": v, "partition_by": cols or None, "meta": {**((prev or {}).get("meta") or {}), **(meta or {})}}
-    inherit = bool(only_partitions and prev)
-    written = _written_partitions(spark, root, v, cols) if cols else []
-    if cols:
-        parts = dict(prev["parts"]) if inherit else {}
-        for name in written:
-            parts[name] = v
-        manifest["parts"] = parts
-    if sides:
-        vp = version_path(root, v)
-        if cols:
-            paths = [f"{vp}/{name}" for name in written]
-            fresh = spark.read.option("basePath", vp).parquet(*paths) if paths else None
-        else:
-            fresh = spark.read.parquet(vp)
-        side_map = {}
-        for name, build in sides.items():
-            prev_side = ((prev or {}).get("sides") or {}).get(name) if inherit else None
-            entry = dict(prev_side) if prev_side else {}
-            if fresh is not None:
-                sw = build(fresh).write.mode("errorifexists").option("compression", "zstd")
-                if cols:
-                    sw = sw.partitionBy(*cols)
-                sw.parquet(f"{vp}/_{name}")
-                if cols:
-                    for part in _written_partitions(spark, root, v, cols, sub=f"_{name}"):
-                        entry[part] = v
-                else:
-                    entry = {"": v}
-            side_map[name] = entry
-        manifest["sides"] = side_map
-    if expected_version != ANY_VERSION:
-        _check_version(spark, root, expected_version)
-    _write_manifest(spark, root, v, manifest)
-    return v
-
-
-def _read_schema(schema, cols: list[str], extra=()):
-    from pyspark.sql import types as T
-
-    by_name = {f.name: f for f in schema.fields}
-    data = [f for f in schema.fields if f.name not in cols]
-    parts = [by_name.get(c, T.StructField(c, T.StringType(), True)) for c in cols]
-    return T.StructType([*data, *extra, *parts])
-
-
-def read_side(
-    spark: SparkSession, root: str, name: str, schema, keep_partition_cols: bool = False, manifest: dict | None = None
-) -> DataFrame | None:
-    """A side table of the current version (or of ``manifest``); None if some
-    partition of the table has no side rows (e.g. written before sides existed)."""
-    m = manifest or read_manifest(spark, root)
-    if m is None:
-        return None
-    side = (m.get("sides") or {}).get(name)
-    cols = _cols(m.get("partition_by"))
-    if side is None:
-        return None
-    if not cols:
-        return spark.read.schema(schema).parquet(f"{version_path(root, side[''])}/_{name}")
-    parts = m.get("parts", {})
-    if set(parts) - set(side):
-        return None
-    if not parts:
-        return spark.createDataFrame([], schema)
-    # each version's side folder is its own base path
-    by_version: dict[int, list[str]] = {}
-    for part, sv in side.items():
-        if part in parts:
-            by_version.setdefault(sv, []).append(f"{version_path(root, sv)}/_{name}/{part}")
-    rs = _read_schema(schema, cols)
-    dfs = [
-        spark.read.option("basePath", f"{version_path(root, sv)}/_{name}").schema(rs).parquet(*ps)
-        for sv, ps in sorted(by_version.items())
-    ]
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d)
-    keep = [f.name for f in schema.fields] + ([c for c in cols if c not in schema.fieldNames()] if keep_partition_cols else [])
-    return out.select(*keep)
-
-
-def read_version(
-    spark: SparkSession,
-    root: str,
-    schema,
-    v: int | None = None,
-    keep_partition_cols: bool = False,
-    manifest: dict | None = None,
-    parts: Callable[[tuple], bool] | None = None,
-) -> DataFrame | None:
-    """Rows of version ``v`` (default current) with an explicit schema; None
-    if there is no version. Partition columns not in ``schema`` (e.g.
-    ``year``) are dropped unless ``keep_partition_cols``; filters on them
-    prune folders. ``parts`` picks partitions by their values: only their
-    paths are listed and read."""
-    m = manifest or read_manifest(spark, root, v)
-    if m is None:
-        return None
-    v = m["version"]
-    cols = _cols(m.get("partition_by"))
-    if not cols:
-        return spark.read.schema(schema).parquet(version_path(root, v))
-    held = {n: pv for n, pv in m.get("parts", {}).items() if parts is None or parts(part_values(n))}
-    from pyspark.sql import types as T
-
-    if not held:
-        empty = T.StructType([f for f in _read_schema(schema, cols).fields])
-        keep = [f.name for f in schema.fields] + ([c for c in cols if c not in schema.fieldNames()] if keep_partition_cols else [])
-        return spark.createDataFrame([], empty).select(*keep)
-    paths = [f"{version_path(root, pv)}/{name}" for name, pv in sorted(held.items())]
-    rs = _read_schema(schema, cols, extra=[T.StructField("v", T.IntegerType())])
-    df = spark.read.option("basePath", root.rstrip("/")).schema(rs).parquet(*paths)
-    keep = [f.name for f in schema.fields] + ([c for c in cols if c not in schema.fieldNames()] if keep_partition_cols else [])
-    return df.select(*keep)
-
-
-def expire_snapshots(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
-    """K6: drop versions no longer needed.
-
-    Kept: the newest ``keep`` committed versions and every version their
-    manifests still point to, plus anything newer than the newest commit
-    (a publish may be running). Dropped: everything else.
-    """
-    fs, _, jvm = _fs(spark, root)
-    committed = list_versions(spark, root)
-    if not committed:
-        return []
-    keep_set = set(committed[-keep:])
-    for v in committed[-keep:]:
-        m = read_manifest(spark, root, v) or {}
-        keep_set.update(int(x) for x in (m.get("parts") or {}).values())
-        for side in (m.get("sides") or {}).values():
-            keep_set.update(int(x) for x in side.values())
-    newest = committed[-1]
-    dropped = []
-    for v in _all_versions(spark, root):
-        if v in keep_set or v > newest:
-            continue
-        fs.delete(_path(jvm, version_path(root, v)), True)
-        dropped.append(v)
-    return dropped
-
-
-def write_marks(marks: DataFrame, root: str, run_id: str) -> None:
-    """K4: marks of a run as one partition ``run_id=<id>`` (replaced whole)."""
-    marks.select("Universe", "Ticker").withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("run_id").parquet(root)
-
-
-def clear_marks(spark: SparkSession, root: str, run_id: str) -> None:
-    """K4: the run completed (or nothing was due): drop its marks."""
-    fs, _, jvm = _fs(spark, root)
-    p = _path(jvm, f"{root.rstrip('/')}/run_id={run_id}")
-    if fs.exists(p):
-        fs.delete(p, True)
-
-
-def cache_universe(universe: DataFrame, root: str) -> None:
-    """K5: cache universe lists, one partition per universe (dynamic overwrite)."""
-    universe.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Universe").parquet(root)
+        out = out.sortWithinPartitions(*by, *sort_within)
+    out.write.partitionBy(*by).option("compression", "zstd").parquet(f"{root}/data/w={w}")
+
+    written = spark.read.schema(df.schema).parquet(f"{root}/data/w={w}")
+    for name, build in (sides or {}).items():
+        build(written).write.partitionBy(*by).option("compression", "zstd").parquet(f"{root}/{name}/w={w}")
+    if beside:
+        beside(w)
+    head = F.lit(w).alias("w"), F.lit(not (only_partitions and now)).alias("whole"), F.lit(note).cast("long").alias("note")
+    layout = F.array(*[F.lit(c) for c in by]).cast("array<string>").alias("by")
+    marker = spark.range(1).select(*head, layout, F.lit(None).cast("array<string>").alias("part"))
+    marker = marker.union(written.select(_texts(by).alias("part")).distinct().select(*head, layout, "part"))
+    marker.coalesce(1).write.parquet(f"{root}/log/_{w}")
+    n = (version or 0) + 1
+    while not rename_new(spark, f"{root}/log/_{w}", f"{root}/log/v={n}"):
+        if expected_version != ANY_VERSION:
+            raise StaleVersion(f"{root}: another writer committed version {n}")
+        n += 1
+    return n

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickvault.schemas import FREE_FLOAT, FREE_FLOAT_V1_COLUMNS, PRICES_STORED
-from tickvault.sinks.publish import read_version
+from tickvault.sinks.publish import read_table
 
 
 def read_current(spark: SparkSession, root: str, schema) -> DataFrame:
     """Newest committed snapshot under ``root`` with an explicit schema."""
-    df = read_version(spark, root, schema)
+    df = read_table(spark, root, schema)
     return df if df is not None else spark.createDataFrame([], schema)
 
 

@@ -9,12 +9,14 @@ positions come from :func:`dense_position` with one bucket per split.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickvault.functions.scalar import strip_ws, universe_name
+from tickvault.sinks.publish import read_if_any
 
 # Fixed value: line breaks of Python's str.splitlines() beyond the \n, \r and
 # \r\n that the text reader already splits on.
@@ -84,6 +86,54 @@ def prefer_source(primary: DataFrame, fallback: DataFrame, keys: Sequence[str] =
     return primary.unionByName(missing, allowMissingColumns=True)
 
 
+CACHED = "pos long, Ticker string, Universe string"
+
+
+def read_cached(spark: SparkSession, cache_root: str) -> DataFrame:
+    """Universe lists cached by :func:`cache_universe`; none if there is no cache."""
+    return read_if_any(spark, CACHED, cache_root).select("Universe", "pos", "Ticker")
+
+
+def cache_universe(universe: DataFrame, cache_root: str) -> None:
+    """K5: keep lists by ``Universe`` partition; a list cached before is
+    replaced, others stay (dynamic partition overwrite)."""
+    universe.select("pos", "Ticker", "Universe").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("Universe").parquet(cache_root)
+
+
+@dataclass(frozen=True)
+class UniverseSource:
+    """Universe lists kept locally, with a remote source to fall back on (S3, K5).
+
+    ``names`` are the universes wanted; by default those cached, or, while none
+    is, those of the remote source. A wanted universe without a cached ticker
+    is taken from ``remote`` (Universe, pos, Ticker) and cached, so the next
+    run does not ask the remote source for it.
+    """
+
+    cache_root: str
+    remote: DataFrame
+    names: Sequence[str] | None = None
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        local = read_cached(spark, self.cache_root)
+        # one name a list, as many as the folders of the cache
+        held = {r.Universe for r in local.select("Universe").distinct().collect()}
+        if self.names is not None:
+            wanted = list(self.names)
+        else:
+            wanted = sorted(held) or [r.Universe for r in self.remote.select("Universe").distinct().collect()]
+        missing = [n for n in wanted if n not in held]
+        if missing:
+            # the filter reaches the remote scan: lists held locally are not read
+            cache_universe(self.remote.filter(F.col("Universe").isin(missing)), self.cache_root)
+        lists = read_cached(spark, self.cache_root).filter(F.col("Universe").isin(wanted))
+        if lists.isEmpty():
+            raise ValueError(f"no tickers, neither cached nor remote, for {wanted}")
+        return lists
+
+
 def read_marks(marks: DataFrame, universe: str | None = None, run_id: str | None = None) -> DataFrame:
     """Processed marks of one universe and run (stripped, blanks dropped)."""
     m = marks.withColumn("Ticker", strip_ws(F.col("Ticker"))).filter(F.col("Ticker") != "")

@@ -15,7 +15,6 @@ writes only its own rows and compaction runs when the caller chooses
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickvault.operators.merge import merge_latest
+from tickvault.plans.windows import materialise
 from tickvault.session import shared_dir
-from tickvault.sinks.publish import _fs, publish, read_manifest, read_version
-
-_B = re.compile(r"^batch_id=(-?\d+)$")
+from tickvault.sinks.files import remove
+from tickvault.sinks.publish import publish, read_if_any, read_table, snapshot
 
 
 def append_log(batch: DataFrame, batch_id: int, log_root: str) -> None:
@@ -41,15 +40,9 @@ def append_log(batch: DataFrame, batch_id: int, log_root: str) -> None:
 
 
 def log_batches(spark: SparkSession, log_root: str) -> list[int]:
-    fs, path, _ = _fs(spark, log_root)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        m = _B.match(st.getPath().getName())
-        if m and st.isDirectory():
-            out.append(int(m.group(1)))
-    return sorted(out)
+    """Batches in the log, by their partition values (no rows are read)."""
+    batches = read_if_any(spark, "batch_id long", log_root).select("batch_id").distinct()
+    return sorted(r.batch_id for r in batches.collect())
 
 
 def _conform(landed: DataFrame, schema: T.StructType, order: Sequence[str]) -> DataFrame:
@@ -61,12 +54,6 @@ def _conform(landed: DataFrame, schema: T.StructType, order: Sequence[str]) -> D
     return landed.select(*cols, *[F.col(c) for c in order if c not in schema.fieldNames()])
 
 
-def read_meta(spark: SparkSession, root: str) -> dict:
-    """Meta of the current table version (``last_batch`` compacted)."""
-    m = read_manifest(spark, root)
-    return (m or {}).get("meta", {})
-
-
 def compact(
     spark: SparkSession,
     log_root: str,
@@ -84,35 +71,33 @@ def compact(
 
     Returns the new version, or the current one when there is nothing new.
     """
-    from tickvault.jobs import BAR_PARTITIONS, bar_stats, touched_partitions
+    from tickvault.jobs import BAR_PARTITIONS, BROADCAST_PLAN_ROWS, bar_stats, touched_partitions
 
-    m = read_manifest(spark, table_root)
-    v = m["version"] if m else None
-    meta = (m or {}).get("meta", {})
-    seen = meta.get("last_batch", -1)
+    now = snapshot(spark, table_root)
+    seen = now.note if now and now.note is not None else -1
     new_batches = [b for b in log_batches(spark, log_root) if b > seen]
     if not new_batches:
-        return v
+        return now.version if now else None
     data_cols = [f.name for f in schema.fields]
-    # batches are taken in order, so the new ones are a range
-    landed = _conform(spark.read.parquet(log_root).filter(F.col("batch_id") > seen), schema, order)
+    # batches are taken in order, so the new ones are a range; read once for
+    # the partitions they land in, their count and the merge
+    landed = materialise(_conform(spark.read.parquet(log_root).filter(F.col("batch_id") > seen), schema, order))
     touched = touched_partitions(landed)
-    stored = read_version(spark, table_root, schema, manifest=m, parts=touched.__contains__) if m else None
-    merged = merge_latest(stored, landed, keys, order).select(*data_cols).withColumn("year", F.year("Date"))
+    stored = read_table(spark, table_root, schema, at=now, only=touched.__contains__) if now else None
+    merged = merge_latest(stored, landed, keys, order, broadcast_keys=landed.count() <= BROADCAST_PLAN_ROWS)
     v = publish(
-        merged,
+        merged.select(*data_cols).withColumn("year", F.year("Date")),
         table_root,
         partition_by=BAR_PARTITIONS,
         sort_within=list(sort_within),
         only_partitions=True,
-        meta={**meta, "last_batch": max(new_batches)},
+        note=max(new_batches),
         sides={"stats": bar_stats},
-        expected_version=v,
+        expected_version=now.version if now else None,
     )
     if expire_log:
-        fs, _, jvm = _fs(spark, log_root)
         for b in new_batches:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{log_root.rstrip('/')}/batch_id={b}"), True)
+            remove(spark, f"{log_root.rstrip('/')}/batch_id={b}")
     return v
 
 
@@ -125,14 +110,11 @@ def read_live(
     order: Sequence[str] = ("batch_id", "seq"),
 ) -> DataFrame:
     """Merge on read: the table as if compacted now (nothing is written)."""
-    m = read_manifest(spark, table_root)
-    seen = (m or {}).get("meta", {}).get("last_batch", -1)
-    new_batches = [b for b in log_batches(spark, log_root) if b > seen]
+    now = snapshot(spark, table_root)
+    seen = now.note if now and now.note is not None else -1
     data_cols = [f.name for f in schema.fields]
-    stored = read_version(spark, table_root, schema)
-    if stored is None:
-        stored = spark.createDataFrame([], schema)
-    if not new_batches:
+    stored = read_table(spark, table_root, schema, at=now) if now else spark.createDataFrame([], schema)
+    if not any(b > seen for b in log_batches(spark, log_root)):
         return stored
     landed = _conform(spark.read.parquet(log_root).filter(F.col("batch_id") > seen), schema, order)
     return merge_latest(stored, landed, keys, order).select(*data_cols)
