@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as se
-from tickvault.catalog import QUERIES
+from __spark_entry__ import QUERIES
 from tools.oracle_check import TABLES, digest
 
 SF = "/root/testdata/sf0.001"

@@ -26,10 +26,13 @@ def test_newest_wins_limits_before_the_shuffle(spark):
     assert p.count("Exchange hashpartitioning") == 1
 
 
-def test_gap_scan_shuffles_by_ticker_month(spark):
+def test_gap_scan_shuffles_month_masks_only(spark):
     p = _plan(find_gaps(fx.gappy_log(spark, SF), start="1995-01-01", min_gap_days=30, keys=["Universe", "Ticker"]))
-    assert "Exchange hashpartitioning(Ticker" in p and ", m#" in p.split("Exchange hashpartitioning(Ticker", 1)[1][:40]
-    assert "CartesianProduct" not in p and "SinglePartition" not in p
+    # by ticker and month after partial aggregation, then the month rows by ticker
+    assert p.count("Exchange hashpartitioning(") == 2
+    first = p.rsplit("Exchange hashpartitioning(", 1)[1]
+    assert "_groupingexpression" in first.split("ENSURE", 1)[0] and "partial_bit_or" in first
+    assert "CartesianProduct" not in p and "SinglePartition" not in p and "SortAggregate" not in p
 
 
 def test_range_join_is_an_equi_join_on_ticker_month(spark):

@@ -83,46 +83,6 @@ def table_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rep.table_stats(resolve_latest(fx.bars_log(spark, sf), BAR_KEYS, fx.BARS_LOG_ORDER))
 
 
-def stream_keep_last(spark: SparkSession, sf: str) -> DataFrame:
-    """The landed log through Structured Streaming (file source,
-    ``foreachBatch`` into the batch log, then compaction); equals keep_last.
-
-    State goes to a fresh folder under the cluster's shared checkpoint dir.
-    """
-    import uuid
-
-    from tickvault.schemas import PRICES_STORED
-    from tickvault.session import shared_dir
-    from tickvault.sources.store import read_current
-    from tickvault.streaming.bars import compact, stream_landed
-
-    root = shared_dir(spark, f"queries/stream_keep_last/{uuid.uuid4().hex}")
-    landing = f"{sf.rstrip('/')}"
-    schema = spark.read.parquet(f"{landing}/lineitem.parquet").schema
-
-    # the micro-batch id leads the write order; inside a micro-batch the
-    # landed order columns decide
-    order = ("batch_id", "src_batch", "seq", "seq_tie")
-
-    def to_log(df: DataFrame) -> DataFrame:
-        return fx.bars_log_from_lineitem(df).withColumnRenamed("batch_id", "src_batch").select(
-            *PRICE_OUT, "src_batch", "seq", "seq_tie"
-        )
-
-    q = stream_landed(
-        spark,
-        landing,
-        schema,
-        f"{root}/log",
-        checkpoint=f"{root}/checkpoint",
-        transform=to_log,
-        path_glob="lineitem.parquet",
-    )
-    q.awaitTermination()
-    compact(spark, f"{root}/log", f"{root}/table", PRICES_STORED, order=order)
-    return read_current(spark, f"{root}/table", PRICES_STORED).select(*PRICE_OUT)
-
-
 def _job_inputs(spark, sf):
     universe = fx.parts_universe(spark, sf)
     # the feed's own write order: seq then the tie column, one batch per run
@@ -558,7 +518,6 @@ QUERIES = {
     "gaps_sample": gaps_sample,
     "first_last_dates": first_last_dates,
     "table_stats": table_stats,
-    "stream_keep_last": stream_keep_last,
     "job_fresh_load": job_fresh_load,
     "job_backfill": job_backfill,
     "job_update": job_update,

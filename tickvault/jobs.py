@@ -147,7 +147,7 @@ def maintain_prices(
         else:
             plan = work.plan_update(universe, mine, as_of, lookback_days=lookback_days, start=start)
     elif mode == "backfill":
-        plan = work.plan_backfill(universe, mine, start=start, min_gap_days=min_gap_days, dedupe=False)
+        plan = work.plan_backfill(universe, mine, start=start, min_gap_days=min_gap_days)
     else:
         raise ValueError("mode must be 'fresh', 'update' or 'backfill'")
 
@@ -180,9 +180,14 @@ def maintain_prices(
     def result(version):
         if mode == "backfill":
             report = rep.fill_outcome(plan, counts, resolved)
-            return RunResult(version, plan, report, rep.fill_totals(report))
-        report = rep.update_outcome(plan, counts, resolved)
-        return RunResult(version, plan, report, rep.outcome_totals(report))
+            totals = rep.fill_totals(report)
+        else:
+            report = rep.update_outcome(plan, counts, resolved)
+            totals = rep.outcome_totals(report)
+        held = ticker_stats(spark, store_root) if version is not None else None
+        if held is None:  # no table, or one of a layout without statistics
+            held = work.last_dates(stored)
+        return RunResult(version, plan, report, totals, rep.run_summary(report, plan, held, resolved))
 
     touched = touched_partitions(fetched)
     if not touched:

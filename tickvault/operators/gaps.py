@@ -9,11 +9,11 @@ Semantics: per ticker, with its bar dates sorted,
   and ``as_of`` are given);
 * no trailing gap (that is the update plan's job).
 
-Plan: a ticker is never one task. Dates are split by (ticker, month); the
-``lag`` inside a month runs on that small group, and the step *between*
-months is found on the first/last date of each month only (at most two rows
-per ticker-month), so a ticker with a third of all rows is still spread over
-as many tasks as it has months.
+Plan: dates become one bit mask per (ticker, month) with map-side partial
+aggregation, so neither copies of a bar nor a ticker with a third of all rows
+ever meet in one task: what is shuffled is at most one row per ticker-month and
+map task. The step between months is a ``lag`` over the month rows of a ticker
+(twelve a year), the steps inside a month come from the bits.
 """
 
 from __future__ import annotations
@@ -34,6 +34,30 @@ def _month(d):
     return (F.year(d) * 12 + F.month(d) - 1).cast(T.IntegerType())
 
 
+_GAPS = "array<struct<gap_start:date,gap_end:date>>"
+
+
+def _gap(begin, end):
+    return F.struct(begin.alias("gap_start"), end.alias("gap_end"))
+
+
+def _inside(n: int):
+    """Gaps between the days of one month: set bits more than ``n`` apart."""
+    month_start = F.trunc("first", "month")
+    days = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda x: F.getbit("bits", x) == 1)
+
+    def pairs(held):
+        return F.transform(
+            F.filter(F.sequence(F.lit(1), F.size(held) - 1), lambda i: F.get(held, i) - F.get(held, i - 1) > n),
+            lambda i: _gap(F.date_add(month_start, F.get(held, i - 1) + 1), F.date_add(month_start, F.get(held, i) - 1)),
+        )
+
+    # most months are too short of free days to be looked at
+    some = F.datediff("last", "first") - F.bit_count("bits") + 1 >= n
+    once = F.flatten(F.transform(F.array(days), pairs))  # the days evaluated once a month
+    return F.when(some & (F.bit_count("bits") > 1), once).otherwise(F.array().cast(_GAPS))
+
+
 def find_gaps(
     bars: DataFrame,
     start=DEFAULT_START,
@@ -43,50 +67,28 @@ def find_gaps(
     universe: DataFrame | None = None,
     as_of=None,
     clip_to_start: bool = False,
-    dedupe: bool = True,
 ) -> DataFrame:
     """Gaps as rows ``(*keys, gap_start, gap_end, gap_days)``, ends inclusive.
 
-    ``gap_days`` is the inclusive length in days. ``dedupe`` first reduces the
-    input to distinct (key, date) with map-side partial aggregation, so many
-    copies of one bar (a re-landed feed) never reach one task; pass False for
-    a published table, which holds one row per key already.
+    ``gap_days`` is the inclusive length in days. Copies of a bar count once.
     """
     keys = list(keys)
     n = int(min_gap_days)
     start_d = lit_date(start)
-    d = (
-        bars.select(*keys, F.col(date_col).cast(T.DateType()).alias("d"))
-        .filter(F.col("d").isNotNull())
-        .withColumn("m", _month(F.col("d")))
-    )
-    if dedupe:
-        d = d.distinct()
-
-    in_month = Window.partitionBy(*keys, "m").orderBy("d")
-    x = d.withColumn("prev", F.lag("d").over(in_month)).withColumn("nxt", F.lead("d").over(in_month))
-
-    # interior steps inside one month
-    inner = x.filter(F.col("prev").isNotNull() & (F.datediff("d", "prev") > n)).select(
-        *keys, F.date_add("prev", 1).alias("gap_start"), F.date_sub("d", 1).alias("gap_end")
-    )
-
-    # steps across months and the leading gap: only first/last date of each month
-    edges = x.filter(F.col("prev").isNull() | F.col("nxt").isNull()).select(*keys, "d", "prev")
-    # a month's first row sorts before a duplicate of the same date
-    across_w = Window.partitionBy(*keys).orderBy(F.col("d"), F.col("prev").asc_nulls_first())
-    firsts = (
-        edges.withColumn("before", F.lag("d").over(across_w))
-        .filter(F.col("prev").isNull())  # first date of its month
-        .withColumn("anchor", F.coalesce(F.col("before"), start_d))
-        .filter(F.datediff("d", "anchor") > n)
-        .select(
-            *keys,
-            F.coalesce(F.date_add("before", 1), start_d).alias("gap_start"),
-            F.date_sub("d", 1).alias("gap_end"),
-        )
+    d = bars.select(*keys, F.col(date_col).cast(T.DateType()).alias("d")).filter(F.col("d").isNotNull())
+    months = d.groupBy(*keys, _month(F.col("d")).alias("m")).agg(
+        F.min("d").alias("first"),
+        F.max("d").alias("last"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1), F.dayofmonth("d") - 1)).alias("bits"),
     )
-    gaps = inner.unionByName(firsts)
+    before = F.lag("last").over(Window.partitionBy(*keys).orderBy("m"))
+    found = F.when(
+        F.datediff("first", F.coalesce("before", start_d)) > n,
+        F.array(_gap(F.coalesce(F.date_add("before", 1), start_d), F.date_sub("first", 1))),
+    ).otherwise(F.array().cast(_GAPS))
+    if n < 30:  # days 1 and 31 are 30 apart
+        found = F.concat(found, _inside(n))
+    gaps = months.withColumn("before", before).select(*keys, F.inline(found))
 
     if universe is not None and as_of is not None:
         empty = (

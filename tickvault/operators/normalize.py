@@ -37,13 +37,16 @@ def unstack_wide(
     sep: str | None = None,
     fields=tuple(PRICE_COLUMNS[2:]),
     pattern: str = UNDERSCORE_LABEL,
+    drop_empty: bool = False,
 ) -> DataFrame:
     """One column per (field, ticker) -> one row per (id, Ticker).
 
     ``pattern`` is a regex with ``field`` and ``ticker`` groups (see
     ``UNDERSCORE_LABEL``, ``TUPLE_LABEL``); ``sep`` is a shortcut for
     ``<Field><sep><Ticker>``. Labels are stripped first; a field missing for
-    a ticker is NULL. Only the schema is read on the driver.
+    a ticker is NULL; ``drop_empty`` drops rows with no field at all (a wide
+    frame has a cell for every ticker and day). Only the schema is read on the
+    driver.
     """
     import re
 
@@ -63,7 +66,8 @@ def unstack_wide(
         for f in present:
             args.append(_q(m[f]).cast(T.DoubleType()) if f in m else F.lit(None).cast(T.DoubleType()))
     gen = F.stack(F.lit(len(tickers)), *args).alias("Ticker", *present)
-    return df.select(*id_cols, gen)
+    long = df.select(*id_cols, gen)
+    return long.dropna(how="all", subset=present) if drop_empty else long
 
 
 def _to_date(c: Column, dtype: T.DataType, exchange_tz) -> Column:

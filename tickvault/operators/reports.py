@@ -133,13 +133,15 @@ def failed_list(resolved: DataFrame, order_key: str = "pos", n: int = 10) -> Dat
 
 
 def work_counts(universe: DataFrame, plan: DataFrame) -> DataFrame:
-    """A4 for fresh, resume, stale and backfill runs: listed tickers, tickers
-    the plan has work for, and the rest, per universe (lists may repeat a
-    ticker; a repeated line is one ticker)."""
-    u = universe.select("Universe", "Ticker").distinct().groupBy("Universe").agg(F.count(F.lit(1)).alias("total"))
-    p = plan.select("Universe", "Ticker").distinct().groupBy("Universe").agg(F.count(F.lit(1)).alias("n"))
-    due = F.coalesce(F.col("n"), F.lit(0)).cast(T.LongType())
-    return u.join(p, "Universe", "left").select("Universe", "total", due.alias("due"), (F.col("total") - due).alias("done"))
+    """A4 for fresh, resume, stale and backfill runs: listed lines, lines whose
+    ticker the plan has work for, and the rest, per universe. As in every
+    report a line counts, so a ticker listed twice counts twice."""
+    planned = plan.select(*KEYS).distinct().withColumn("planned", F.lit(True))
+    return universe.join(planned, KEYS, "left").groupBy("Universe").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count("planned").alias("due"),
+        F.count_if(F.col("planned").isNull()).alias("done"),
+    )
 
 
 def plan_counts(universe: DataFrame, plan: DataFrame) -> DataFrame:
@@ -259,6 +261,52 @@ def timing(resolved: DataFrame, due: DataFrame) -> DataFrame:
     )
 
 
+def run_summary(
+    outcome: DataFrame, plan: DataFrame, stats: DataFrame, resolved: DataFrame | None = None, n: int = 10
+) -> DataFrame:
+    """Closing summary of a run, one row a universe: lines (or gaps) per
+    outcome, the first ``n`` failed tickers in list order joined with ``, `` and
+    how many more, rows and tickers now stored, and, if the tries are known,
+    seconds in total and per ticker tried. ``outcome`` is
+    :func:`update_outcome` or :func:`fill_outcome`; ``stats`` the per-ticker
+    counts of the stored table."""
+    counts = outcome.groupBy("Universe").agg(
+        F.count_if(F.col("outcome").isin("success", "filled")).alias("success"),
+        F.count_if(F.col("outcome").isin("skipped", "empty")).alias("skipped"),
+        F.count_if(F.col("outcome") == "failed").alias("failed"),
+    )
+    # failed lines in list order, or gaps in order of ticker and date
+    order = ["pos"] if "pos" in plan.columns else ["start_date"]
+    lines = plan.select(*KEYS, *order).join(outcome.filter("outcome = 'failed'").select(*KEYS).distinct(), KEYS, "left_semi")
+    rank = F.row_number().over(Window.partitionBy("Universe").orderBy(*order, "Ticker"))
+    first = lines.withColumn("rank", rank).filter(F.col("rank") <= int(n)).groupBy("Universe").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "Ticker"))).alias("first")
+    )
+    held = stats.groupBy("Universe").agg(F.sum("n_bars").cast(T.LongType()).alias("table_rows"), F.count(F.lit(1)).alias("table_tickers"))
+    out = counts.join(first, "Universe", "left").join(held, "Universe", "left")
+    seconds = F.lit(None).cast("double")
+    mean = seconds
+    if resolved is not None:
+        tried = resolved.join(plan.select(*KEYS).distinct(), KEYS, "left_semi").groupBy("Universe").agg(
+            F.count(F.lit(1)).alias("tried"), F.min("started_at").alias("t0"), F.max("finished_at").alias("t1")
+        )
+        out = out.join(tried, "Universe", "left")
+        took = F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("t1")) / F.lit(1e6)
+        seconds, mean = round_half_up(took, 3), round_half_up(took / F.col("tried"), 3)
+    return out.select(
+        "Universe",
+        "success",
+        "skipped",
+        "failed",
+        F.coalesce(F.array_join(F.transform("first", lambda x: x["Ticker"]), ", "), F.lit("")).alias("failed_list"),
+        F.greatest(F.col("failed") - int(n), F.lit(0)).cast(T.LongType()).alias("more_failed"),
+        F.coalesce("table_rows", F.lit(0)).cast(T.LongType()).alias("table_rows"),
+        F.coalesce("table_tickers", F.lit(0)).cast(T.LongType()).alias("table_tickers"),
+        seconds.alias("total_seconds"),
+        mean.alias("mean_seconds"),
+    )
+
+
 def table_stats(prices: DataFrame, keys: Sequence[str] = ("Universe",)) -> DataFrame:
     """A1/A9 (+A2/A3): rows, distinct tickers, first and last date per universe."""
     per = prices.groupBy(*keys, "Ticker").agg(

@@ -208,7 +208,7 @@ LEFT JOIN ({_resolved('parts', 'P')}) r ON p.Universe = r.Universe AND p.Ticker
 
 def _work_counts(universe: str, plan: str) -> str:
     return f"""SELECT u.Universe, count(*) AS total, count(p.Ticker) AS due, count(*) - count(p.Ticker) AS done
-FROM (SELECT DISTINCT Universe, Ticker FROM ({universe})) u
+FROM ({universe}) u
 LEFT JOIN (SELECT DISTINCT Universe, Ticker FROM ({plan})) p ON p.Universe = u.Universe AND p.Ticker = u.Ticker
 GROUP BY u.Universe"""
 
@@ -242,7 +242,6 @@ SELECT ticker_rank, Universe, Ticker, gap_rank, gap_start, gap_end, date_diff('d
 FROM s WHERE gap_rank <= 3""",
     "table_stats": f"""SELECT Universe, count(*) AS rows, count(DISTINCT Ticker) AS tickers, min(Date) AS first_date,
   max(Date) AS last_date FROM ({_latest(BARS_S)}) GROUP BY Universe""",
-    "stream_keep_last": _latest(BARS_S),
     "job_fresh_load": f"SELECT {PRICE_OUT} FROM ({_feed_latest(BARS_P)})",
     "job_update": f"""SELECT {PRICE_OUT} FROM ({JOB_STORED}) s
 WHERE NOT EXISTS (SELECT 1 FROM ({JOB_UPDATED}) f WHERE f.Universe = s.Universe AND f.Ticker = s.Ticker AND f.Date = s.Date)

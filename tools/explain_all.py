@@ -36,8 +36,6 @@ def main() -> None:
     print("|---|---|---|---|---|")
     full = {}
     for name, fn in QUERIES.items():
-        if name == "stream_keep_last":
-            continue
         df = fn(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         c = collections.Counter()
