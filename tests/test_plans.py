@@ -31,15 +31,27 @@ def test_gap_scan_shuffles_month_masks_only(spark):
     # by ticker and month after partial aggregation, then the month rows by ticker
     assert p.count("Exchange hashpartitioning(") == 2
     first = p.rsplit("Exchange hashpartitioning(", 1)[1]
-    assert "_groupingexpression" in first.split("ENSURE", 1)[0] and "partial_bit_or" in first
+    assert "_groupingexpression" in first.split("ENSURE", 1)[0] and "HashAggregate" in first
     assert "CartesianProduct" not in p and "SinglePartition" not in p and "SortAggregate" not in p
 
 
 def test_range_join_is_an_equi_join_on_ticker_month(spark):
     plan = work.plan_backfill(fx.parts_universe(spark, SF), fx.gappy_stored_log(spark, SF), start="1995-01-01", min_gap_days=30)
-    p = _plan(apply_windows(fx.gappy_log(spark, SF), plan, keys=["Universe", "Ticker"]))
+    p = _plan(apply_windows(fx.gappy_log(spark, SF), plan, keys=["Universe", "Ticker"], broadcast_max_rows=0))
     assert "SortMergeJoin" in p and "__m" in p.split("SortMergeJoin", 1)[1][:200]
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    # a counted plan is broadcast, and the bars are not shuffled at all
+    p = _plan(apply_windows(fx.gappy_log(spark, SF), plan, keys=["Universe", "Ticker"]))
+    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p
+
+
+def test_whole_windows_beyond_the_broadcast_bound_are_salted(spark):
+    plan = work.plan_update(fx.parts_universe(spark, SF), fx.gappy_stored_log(spark, SF), as_of="2001-08-01")
+    few = apply_windows(fx.gappy_log(spark, SF), plan, keys=["Universe", "Ticker"], one_window=True)
+    many = apply_windows(fx.gappy_log(spark, SF), plan, keys=["Universe", "Ticker"], one_window=True, broadcast_max_rows=0)
+    assert "BroadcastHashJoin" in _plan(few)
+    assert "__salt" in _plan(many).split("SortMergeJoin", 1)[1][:200]
+    assert few.count() > 0 and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
 
 
 def test_universe_pruning_reaches_the_scan(spark, tmp_root):
@@ -61,6 +73,6 @@ def test_window_bounds_reach_the_scan(spark, tmp_root):
     plan = spark.createDataFrame(
         [("parts", "P1", dt.date(2001, 7, 1), dt.date(2001, 8, 1))], "Universe string, Ticker string, start_date date, end_date date"
     )
-    p = _plan(apply_windows(raw, plan, keys=["Universe", "Ticker"], date_bounds=True))
+    p = _plan(apply_windows(raw, plan, keys=["Universe", "Ticker"]))
     pushed = p.split("PushedFilters:", 1)[1][:300]
     assert "GreaterThanOrEqual(Date,2001-07-01)" in pushed and "LessThan(Date,2001-08-01)" in pushed

@@ -76,9 +76,10 @@ def test_apply_windows_is_range_join(spark, rows, wins):
         plan.append(("u", t, BASE + dt.timedelta(days=s), BASE + dt.timedelta(days=e)))
     raw = spark.createDataFrame([("u", t, d, i) for i, (t, d) in enumerate(rows)], "Universe string, Ticker string, Date date, seq long")
     p = spark.createDataFrame(plan, "Universe string, Ticker string, start_date date, end_date date")
-    got = sorted(r.seq for r in apply_windows(raw, p, keys=["Universe", "Ticker"]).collect())
     want = sorted(i for i, (t, d) in enumerate(rows) for (_, pt, s, e) in plan if pt == t and s <= d < e)
-    assert got == want
+    for bound in (250_000, 0):  # broadcast, and shuffled by month
+        got = sorted(r.seq for r in apply_windows(raw, p, keys=["Universe", "Ticker"], broadcast_max_rows=bound).collect())
+        assert got == want
 
 
 @SETTINGS

@@ -31,7 +31,7 @@ from tickvault.operators import freefloat as ffo
 from tickvault.operators import reports as rep
 from tickvault.operators.merge import merge_latest
 from tickvault.plans import work
-from tickvault.plans.windows import apply_windows, materialise
+from tickvault.plans.windows import BROADCAST_PLAN_ROWS, apply_windows, materialise
 from tickvault.schemas import (
     DEFAULT_LOOKBACK_DAYS,
     DEFAULT_MAX_RETRY,
@@ -47,10 +47,6 @@ from tickvault.sinks.publish import Snapshot, publish, read_table, snapshot
 from tickvault.sources.universe import UniverseSource, read_marks
 
 KEYS = ["Universe", "Ticker"]
-# A plan of at most this many (window, month) rows is broadcast to the landed
-# rows (~100 bytes a row in memory, so ~25 MB at most); beyond it the join
-# shuffles on (ticker, month).
-BROADCAST_PLAN_ROWS = 250_000
 BAR_KEYS = ["Universe", "Ticker", "Date"]
 
 
@@ -168,14 +164,18 @@ def maintain_prices(
         take,
         keys=KEYS,
         plan_cols=["start_date"],
-        broadcast_max_rows=BROADCAST_PLAN_ROWS,
-        date_bounds=True,
         one_window=mode != "backfill",
     )
-    # read by the merge, the counts and the partition list: fetched once
-    fetched = materialise(windowed)
     by = [*KEYS, "start_date"] if mode == "backfill" else KEYS
-    counts = materialise(rep.fetched_counts(fetched, by))
+    if v0 is None:
+        # a first load is written once, into the table; its report counts the
+        # landed rows when it is read
+        fetched = windowed
+        counts = rep.fetched_counts(fetched, by)
+    else:
+        # read by the merge, the counts and the partition list: fetched once
+        fetched = materialise(windowed)
+        counts = materialise(rep.fetched_counts(fetched, by))
 
     def result(version):
         if mode == "backfill":
@@ -189,8 +189,8 @@ def maintain_prices(
             held = work.last_dates(stored)
         return RunResult(version, plan, report, totals, rep.run_summary(report, plan, held, resolved))
 
-    touched = touched_partitions(fetched)
-    if not touched:
+    touched = touched_partitions(fetched) if v0 is not None else set()
+    if fetched.isEmpty() if v0 is None else not touched:
         return result(v0)
 
     batch = (v0 or 0) + 1
@@ -204,7 +204,7 @@ def maintain_prices(
         base_part = read_table(spark, store_root, PRICES_STORED, at=now, only=touched.__contains__)
     else:
         base_part = stored if v0 is not None else None
-    n_fetched = counts.agg(F.sum("rows_fetched")).first()[0]
+    n_fetched = 0 if v0 is None else counts.agg(F.sum("rows_fetched")).first()[0]
     # a feed's own order may tie; the row hash makes a recomputed task pick the same row
     merged = merge_latest(
         base_part,

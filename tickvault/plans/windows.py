@@ -1,14 +1,14 @@
 """Apply request windows to landed rows (J7): a range join.
 
-``Ticker`` equal and ``start_date <= Date < end_date``. A plain equi join on
-``Ticker`` would pair every window of a ticker with every bar of it. Instead
-each window is cut into the calendar months it touches and the join key is
-``(Ticker, month)``: a bar meets only the few windows that overlap its month
-(windows of one ticker never overlap, so at most ~31 per month), and a ticker
-with a third of all bars is spread over its months. The exploded plan is
-small; it is broadcast only after its rows were counted, and otherwise takes a
-sort-merge join on ``(Ticker, month)``. Plans with one window per ticker skip
-the months altogether.
+``Ticker`` equal and ``start_date <= Date < end_date``. The plan is written once
+(it is read for its size, its overall dates and the join), as one row per
+ticker and year holding the windows that touch the year. A plan of counted size
+is broadcast: each bar looks its windows up and is never shuffled. A larger one
+is cut into the months its windows touch and joined on ``(Ticker, month)``,
+where a bar meets the few windows of its month (windows of a ticker do not
+overlap, so 31 at most) and a ticker with a third of all bars is spread over
+its months. Plans with one window per ticker are not cut; beyond the broadcast
+bound their tickers are spread by date over :data:`SALTS` keys.
 """
 
 from __future__ import annotations
@@ -19,17 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A plan of at most this many windows (counted) is broadcast: about 100 bytes
+#: each in memory, so 25 MB.
+BROADCAST_PLAN_ROWS = 250_000
+#: Keys a ticker is spread over when a plan of whole windows is shuffled.
+SALTS = 16
+
 
 def _month_index(d):
     return (F.year(d) * 12 + F.month(d) - 1).cast(T.IntegerType())
 
 
-def explode_months(plan: DataFrame, start_col: str = "start_date", end_col: str = "end_date") -> DataFrame:
-    """One row per (window, month touched); ``end`` exclusive."""
-    last_day = F.date_sub(F.col(end_col), 1)
-    return plan.filter(F.col(end_col) > F.col(start_col)).withColumn(
-        "__m", F.explode(F.sequence(_month_index(F.col(start_col)), _month_index(last_day)))
-    )
+def _by_year(plan: DataFrame, keys: list[str], plan_cols: Sequence[str]) -> DataFrame:
+    """(keys, __y, __w): windows touching year ``__y`` as an array."""
+    window = F.struct(F.col("start_date").alias("__s"), F.col("end_date").alias("__e"), *plan_cols)
+    years = F.explode(F.sequence(F.year("start_date"), F.year(F.date_sub("end_date", 1))))
+    return plan.select(*keys, window.alias("__w"), years.alias("__y")).groupBy(*keys, "__y").agg(F.collect_list("__w").alias("__w"))
+
+
+def _by_month(years: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __m, window): one row per window and month touched."""
+    flat = years.select(*keys, "__y", F.inline("__w"))
+    first = F.greatest("__s", F.make_date("__y", F.lit(1), F.lit(1)))
+    last = F.least(F.date_sub("__e", 1), F.make_date("__y", F.lit(12), F.lit(31)))
+    return flat.withColumn("__m", F.explode(F.sequence(_month_index(first), _month_index(last)))).drop("__y")
 
 
 def apply_windows(
@@ -38,61 +51,46 @@ def apply_windows(
     keys: Sequence[str] = ("Ticker",),
     plan_cols: Sequence[str] = (),
     date_col: str = "Date",
-    broadcast_max_rows: int | None = None,
-    date_bounds: bool = False,
+    broadcast_max_rows: int = BROADCAST_PLAN_ROWS,
     one_window: bool = False,
 ) -> DataFrame:
     """Rows of ``raw`` inside a plan window of the same key.
 
     ``plan_cols`` are plan columns to carry to the output (e.g. the window
-    bounds, to count rows per window). With ``broadcast_max_rows`` the
-    exploded plan is counted first (pass a materialised plan, see
-    :func:`materialise`) and broadcast only when it has at most that many
-    rows; a larger plan, or an unchecked one, takes the sort-merge join on
-    ``(keys, month)``.
-
-    ``date_bounds`` (for a materialised plan) reads the plan's overall
-    ``[min start, max end)`` (one aggregate row) and adds it as a literal
-    filter on ``raw``: a join range is never pushed to a scan, a literal one
-    is (row-group skipping, date partition pruning).
-
-    ``one_window`` is for plans with one window per key (fresh, update): the
-    join is on the key alone with the range as a residual, so a long window is
-    one plan row, not one per month. Equal windows (a ticker listed twice) are
-    applied once.
+    bounds, to count rows per window). The plan's overall ``[min start, max
+    end)`` is a literal filter on ``raw``: a join range is never pushed to a
+    scan, a literal one is (row-group skipping, date partition pruning).
+
+    ``one_window`` is for plans with one window per key (fresh, update). Equal
+    windows (a ticker listed twice) are then applied once.
     """
-    keys = list(keys)
-    d = F.col(date_col).cast(T.DateType())
+    keys, d = list(keys), F.col(date_col).cast(T.DateType())
+    real = plan.filter("end_date > start_date")
     if one_window:
-        plan = plan.select(*keys, "start_date", "end_date").distinct()
-    if date_bounds:
-        b = plan.agg(F.min("start_date").alias("lo"), F.max("end_date").alias("hi")).first()
-        if b is not None and b.lo is not None and b.hi is not None:
-            d0 = F.col(date_col).cast(T.DateType())
-            raw = raw.filter((d0 >= F.lit(b.lo)) & (d0 < F.lit(b.hi)))
-    p = (plan.filter("end_date > start_date") if one_window else explode_months(plan)).select(
-        *keys,
-        *([] if one_window else ["__m"]),
-        F.col("start_date").alias("__s"),
-        F.col("end_date").alias("__e"),
-        *[F.col(c) for c in plan_cols],
-    )
-    # never broadcast on an estimate: Catalyst's static size of an exploded,
-    # filtered plan can be far below the real one (at sf0.1 it broadcast
-    # ~700k rows). Broadcast only after counting; else a sort-merge join.
-    if broadcast_max_rows is not None and p.count() <= int(broadcast_max_rows):
-        p = F.broadcast(p)
-    elif not one_window:
-        p = p.hint("merge")
+        p = materialise(real.select(*keys, F.col("start_date").alias("__s"), F.col("end_date").alias("__e")).distinct())
+        size, lo, hi = F.count(F.lit(1)), F.min("__s"), F.max("__e")
+    else:
+        p = materialise(_by_year(real, keys, plan_cols))
+        size = F.sum(F.size("__w"))
+        lo, hi = F.min(F.array_min("__w")["__s"]), F.max(F.array_max(F.transform("__w", lambda w: w["__e"])))
+    b = p.agg(size.alias("n"), lo.alias("lo"), hi.alias("hi")).first()
+    if b.lo is not None:
+        raw = raw.filter((d >= F.lit(b.lo)) & (d < F.lit(b.hi)))
+    small = (b.n or 0) <= broadcast_max_rows
+    columns = [F.col(c) for c in raw.columns]
     if one_window:
         inside = (d >= F.col("__s")) & (d < F.col("__e"))
-        return raw.join(p, keys, "inner").filter(inside).drop("__s", "__e")
-    r = raw.withColumn("__m", _month_index(F.col(date_col).cast(T.DateType())))
-    return (
-        r.join(p, [*keys, "__m"], "inner")
-        .filter((d >= F.col("__s")) & (d < F.col("__e")))
-        .drop("__m", "__s", "__e")
-    )
+        if small:
+            return raw.join(F.broadcast(p), keys).filter(inside).select(*columns)
+        spread = p.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = raw.withColumn("__salt", F.pmod(F.unix_date(d), F.lit(SALTS)))
+        return salted.join(spread.hint("merge"), [*keys, "__salt"]).filter(inside).select(*columns)
+    if small:
+        hits = F.filter("__w", lambda w: (d >= w["__s"]) & (d < w["__e"]))
+        met = raw.withColumn("__y", F.year(d)).join(F.broadcast(p), [*keys, "__y"])
+        return met.select(*columns, F.inline(hits)).drop("__s", "__e")
+    met = raw.withColumn("__m", _month_index(d)).join(_by_month(p, keys).hint("merge"), [*keys, "__m"])
+    return met.filter((d >= F.col("__s")) & (d < F.col("__e"))).select(*columns, *plan_cols)
 
 
 def materialise(df: DataFrame) -> DataFrame:
