@@ -1,8 +1,9 @@
 """Token ids of whole texts, by the ``tokenizers`` library, with a word cache.
 
 The tokenizer drops white space and splits words before it merges, so a text's
-ids are the ids of its pre-tokens end to end. Each Python worker keeps the ids
-of pre-tokens it has met; only new ones go through the library, many to a call.
+ids are the ids of its pieces between blanks end to end. Each Python worker
+keeps the ids of pieces it has met; a new piece is put together from those of
+its pre-tokens, and only new pre-tokens go through the library, many to a call.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import re
 import numpy as np
 
 END_ID = 2
-#: Cached pre-tokens a worker; the cache starts anew beyond it (about 250 MB).
-MAX_CACHED = 1_000_000
+#: Pieces and pre-tokens a worker keeps of each of two generations (about 250 MB in all).
+MAX_CACHED = 500_000
 _JOINED = 256
 
 # The tokenizer's own pre-token pattern over lower-case Latin-1 text, its
@@ -29,12 +30,40 @@ _FIND = re.compile(
 _STATE: dict = {}
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Cache(dict):
+    """Two generations: a full one becomes the old one, whose entries come back
+    when they are met again, so what is frequent is learned once."""
+
+    def __init__(self):
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.old[key]
+        return value
+
+    def turn(self) -> None:
+        if len(self) > MAX_CACHED:
+            self.old = dict(self)
+            self.clear()
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        return {k for k in keys if k not in self and k not in self.old}
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian uint32 bytes."""
 
@@ -43,19 +72,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _units(self, text: str) -> list[str]:
-        # Latin-1 text is unchanged by NFC and folds character by character;
-        # any other (or one that may hold a special token) is cut at blanks only
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                pass
-            else:
-                return _FIND(text.lower())
-        return text.replace("\n", " ").split(" ")
+        self.cache = _Cache()
+
+    def _pieces(self, text: str) -> tuple[list[str], bool]:
+        """Pieces between blanks, and whether the text is plain: Latin-1 text is
+        unchanged by NFC and folds character by character, so it can be folded
+        and cut up here. Any other (or one that may hold a special token, or
+        characters that Python alone takes for white space) is only cut."""
+        if "<|" not in text and (text.isascii() or _latin(text)):
+            if not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
+                return text.lower().split(), True
+        return text.replace("\n", " ").split(" "), False
 
     def _learn(self, units: list[str]) -> None:
         groups = [units[i : i + _JOINED] for i in range(0, len(units), _JOINED)]
@@ -74,20 +101,33 @@ class Encoder:
             for unit, one in zip(group, self.tokenizer.encode_batch(group, add_special_tokens=False), strict=True):
                 self.cache[unit] = np.array(one.ids, "<u4").tobytes()
 
+    def _learn_pieces(self, plain: set[str], other: set[str]) -> None:
+        cut = {p: _FIND(p) for p in plain}
+        units = self.cache.unknown(set().union(*cut.values()))
+        # a unit that is not one pre-token would shift the joined words
+        self._learn([u for u in units if _FIND(u) == [u]])
+        rest = list(self.cache.unknown(units | other))
+        for unit, one in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.cache[unit] = np.array(one.ids, "<u4").tobytes()
+        get = self.cache.__getitem__
+        self.cache.update({p: b"".join(map(get, parts)) for p, parts in cut.items() if len(parts) != 1 or parts[0] != p})
+
     def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
-        units = [self._units(t) if t else [] for t in texts]
-        held = set().union(*units)
-        if len(self.cache) > MAX_CACHED:
-            self.cache.clear()
-        new = held.difference(self.cache)
+        cut = [self._pieces(t) if t else ([], True) for t in texts]
+        get, out, new = self.cache.__getitem__, [], []
+        for k, (pieces, _) in enumerate(cut):
+            try:
+                out.append(b"".join(map(get, pieces)) + end)
+            except KeyError:
+                out.append(b"")
+                new.append(k)
         if new:
-            # a unit that is not one pre-token would shift the joined words
-            self._learn([u for u in new if u == u.lower() and _FIND(u) == [u] and "<|" not in u])
-            rest = [u for u in new if u not in self.cache]
-            for unit, one in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-                self.cache[unit] = np.array(one.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, u)) + end for u in units]
+            plain, other = (set().union(*[cut[k][0] for k in new if cut[k][1] == kind]) for kind in (True, False))
+            self._learn_pieces(self.cache.unknown(plain), self.cache.unknown(other))
+            for k in new:
+                out[k] = b"".join(map(get, cut[k][0])) + end
+        self.cache.turn()
+        return out
 
 
 def encoder(path: str) -> Encoder:
