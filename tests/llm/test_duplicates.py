@@ -1,10 +1,14 @@
 """N-gram Jaccard join and I-Match fingerprints against brute force."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.llm.fixtures import EDGES, docs, prose
 from tickvault.llm import imatch, jaccard_join
@@ -82,47 +86,105 @@ def test_join_of_an_empty_table_and_stage(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
 
 
-def test_fingerprints(spark):
-    rows = [(i, prose(random.Random(i), 30 + i)) for i in range(60)] + [r for r in EDGES if r[0] is not None]
-    got = imatch.edited_fingerprints(spark, docs(spark, rows)).collect()
-    assert len(got) == len(rows)
-    order = sorted(rows, key=lambda r: (r[0], r[1] or ""))
-    texts = [t or "" for _, t in order]
-    got = sorted(got, key=lambda r: (r.doc_id, r.n_chars))
-    marks = {}
-    for k, r in enumerate(got):
-        t, after = texts[k], texts[(k + 1) % len(texts)]
-        m = len(t) // 4
+def plain_imatch(rows):
+    """Lexicon, fingerprints and likeness of (doc_id, text) rows, straight from the rule."""
+    def words(t):
+        return set(re.findall(r"[^\W_]+", (t or "").lower()))
+
+    df = Counter(w for _, t in rows for w in words(t))
+    n = len(rows)
+    low, high = max(2, math.ceil(n * math.exp(-math.log(2000)))), n * math.exp(-math.log(20))
+    lex = {w for w, c in df.items() if low <= c <= high}
+
+    def slots(t):
+        held = words(t) & lex or words(t) or {t}
+        hashes = sorted(xxhash.xxh3_64_intdigest(w) for w in held)
+        out = [hashes]
+        for seed in imatch._SEEDS.tolist():
+            mixed = sorted(int(imatch._mix(np.array([h ^ seed], np.uint64))[0]) for h in hashes)
+            out += [[m for m in mixed if m < 1 << (64 - j)] for j in range(1, imatch.LEVELS + 1)]
+        return [(len(x), x) for x in out]
+
+    def text(t):
+        def one(n, x):
+            data = b"".join(h.to_bytes(8, "little") for h in x)
+            return f"{min(n, 15):x}{xxhash.xxh3_64_intdigest(data) & 0xFFFF:04x}" if n else "00000"
+
+        return "".join(one(*s) for s in slots(t))
+
+    def near(a, b):
+        pairs = [(max(int(a[i], 16), int(b[i], 16)), a[i : i + 5] == b[i : i + 5]) for i in range(0, len(a), 5)]
+        equal, unequal = sum(n for n, same in pairs if same), [n for n, same in pairs if not same]
+        if not equal or not unequal:
+            return float(bool(equal))
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            rho = (lo + hi) / 2
+            if sum(n * rho**n / (1 - rho**n) for n in unequal) > equal:
+                hi = rho
+            else:
+                lo = rho
+        return lo
+
+    real = sorted((d, t or "") for d, t in rows if d is not None)
+    out = []
+    for k, (d, t) in enumerate(real):
+        after, m = real[(k + 1) % len(real)][1], len(t) // 4
         edited = t[: len(t) - m] + after[:m]
-        assert (r.doc_id, r.n_chars) == (order[k][0], len(t))
-        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert marks.setdefault(t, r.fingerprint) == r.fingerprint
-        assert 0 <= r.near_edited <= 1
-    for k, r in enumerate(got):
-        assert r.near_next == imatch.likeness(r.fingerprint, got[(k + 1) % len(got)].fingerprint)
-
-
-def test_fingerprints_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "RANGE_CHARS", 500)
-    rows = [(i * 7 % 101, prose(random.Random(i), 20)) for i in range(101)] + [(None, "no id at all here")]
-    got = {r.doc_id: r for r in imatch.edited_fingerprints(spark, docs(spark, rows)).collect()}
-    assert len(got) == 102 and got[None].near_next is None
-    text = {i: t for i, t in rows}
-    for i in range(101):
-        t, after = text[i], text[(i + 1) % 101]
-        m = len(t) // 4
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest()
-
-
-def test_fingerprints_of_an_empty_table(spark):
-    assert imatch.edited_fingerprints(spark, docs(spark, EDGES).limit(0)).count() == 0
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(t), text(edited), near(text(t), text(edited)), near(text(t), text(after))))
+    for d, t in rows:
+        if d is None:
+            t = t or ""
+            edited = t[: len(t) - len(t) // 4]
+            out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(t), text(edited), near(text(t), text(edited)), None))
+    return sorted(out, key=str)
+
+
+def check_imatch(got, rows):
+    got = sorted((tuple(r) for r in got.collect()), key=str)
+    want = plain_imatch(rows)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert abs(g[5] - w[5]) < 1e-5 and (g[6] is None) == (w[6] is None) and (g[6] is None or abs(g[6] - w[6]) < 1e-5)
+
+
+def imatch_rows():
+    rows = [(i, prose(random.Random(i), 30 + i) + f" term{i // 3} term{i // 7} only{i}") for i in range(90)]
+    return rows + [r for r in EDGES if len(r[1] or "") < 20_000] + [(None, "term1 term2 term3 no id"), (None, None)]
 
 
-def test_fingerprint_separates_edits_from_others():
-    rng = random.Random(2)
-    lex = {f"t{i}": int(x) for i, x in enumerate(imatch._hash([f"t{i}" for i in range(5000)]))}
-    a = [f"t{rng.randrange(5000)}" for _ in range(300)]
-    b = a[:225] + [f"t{rng.randrange(5000)}" for _ in range(75)]
-    c = [f"t{rng.randrange(5000)}" for _ in range(300)]
-    mark = lambda w: imatch.fingerprint(" ".join(w), lex)
-    assert imatch.likeness(mark(a), mark(b)) > 0.3 > 0.2 > imatch.likeness(mark(a), mark(c))
+@pytest.mark.parametrize("chars, bound", [(16_000_000, 2_000_000), (700, 2_000_000), (700, 0)])
+def test_fingerprints_equal_the_plain_version(spark, monkeypatch, chars, bound):
+    """One range and many; lexicon broadcast and joined by a shuffle."""
+    monkeypatch.setattr(imatch, "RANGE_CHARS", chars)
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", bound)
+    rows = imatch_rows()
+    check_imatch(imatch.edited_fingerprints(spark, docs(spark, rows)), rows)
+
+
+def test_ids_beyond_the_doubles(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_CHARS", 400)
+    rows = [((1 << 60) + i * 7 % 101, prose(random.Random(i), 20)) for i in range(101)]
+    rows += [(-(1 << 62) - i, prose(random.Random(-i), 9)) for i in range(20)]
+    check_imatch(imatch.edited_fingerprints(spark, docs(spark, rows)), rows)
+
+
+def test_fingerprints_of_small_tables(spark):
+    assert imatch.edited_fingerprints(spark, docs(spark, EDGES).limit(0)).count() == 0
+    for rows in ([(5, "one document alone with some words")], [(None, "x y z")], [(1, ""), (1, ""), (2, None)]):
+        check_imatch(imatch.edited_fingerprints(spark, docs(spark, rows)), rows)
+
+
+@pytest.mark.parametrize("n", [10, 30, 100, 400])
+def test_likeness_follows_the_share_of_common_terms(n):
+    rng = random.Random(n)
+    known = imatch._Known(imatch._hash([f"t{i}" for i in range(5000)]))
+    mark = lambda w: imatch.slots(imatch._held(" ".join(w), known))
+    edits, others = [], []
+    for _ in range(60):
+        a = [f"t{rng.randrange(5000)}" for _ in range(n)]
+        b = a[: n - n // 4] + [f"t{rng.randrange(5000)}" for _ in range(n // 4)]
+        edits.append((mark(a), mark(b)))
+        others.append((mark(a), mark([f"t{rng.randrange(5000)}" for _ in range(n)])))
+    near, far = (imatch.likeness(*zip(*pairs, strict=True)) for pairs in (edits, others))
+    assert abs(near.mean() - 0.6) < 0.1 and far.mean() < 0.05 and (near > far).mean() > 0.97

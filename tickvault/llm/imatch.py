@@ -1,16 +1,24 @@
 """Document fingerprints: I-Match over randomised lexicon subsets.
 
 The lexicon holds the terms whose inverse document frequency ln(N / df) lies in
-a band: no stop words, no one-off terms. For each of :data:`SLOTS` random
-orders of the lexicon there is a chain of nested random subsets (each half of
-the one before); a document takes the smallest subset that still holds a term
-of its own, and hashes the sorted distinct terms it has there. Two documents
-are alike to the share of equal slots.
-
-The lexicon is broadcast. With d distinct terms in a mean document, at most
+a band: no stop words, no one-off terms. Subsets of it are fixed by hashes of
+the terms alone: the whole lexicon, and :data:`CHAINS` chains of nested random
+subsets of rates 1/2, 1/4, .. 2^-:data:`LEVELS`. For every subset a document's
+distinct terms there are sorted (by a 64 bit hash) and the list is hashed:
+one slot of the fingerprint, a hex digit for the number of terms (at most 15)
+and four for the hash; no term, an empty slot of zeros.
+
+*Likeness.* If two documents share a part rho of their terms, a slot of n terms
+is equal with probability rho^n; the likeness is the rho that makes the slots
+seen, equal and unequal, most probable (:func:`likeness`): 1 if all slots are
+equal, 0 if none is. Small subsets speak for long documents, large ones for
+short documents.
+
+The lexicon is broadcast as 8-byte hashes if it is counted to be small enough;
+beyond :data:`BROADCAST_TERMS` the documents' term hashes are joined to it by a
+shuffle, with the same result. With d distinct terms in a mean document, at most
 d / share terms can occur in a given share of all documents, so its size does
-not grow with the corpus; :func:`lexicon` checks it and, beyond
-:data:`MAX_LEXICON`, raises the lower frequency edge until it fits.
+not grow with the corpus.
 
 Defined results: a null text is empty; a text without a lexicon term is
 fingerprinted by all its terms, one without terms by its characters; equal
@@ -18,7 +26,8 @@ texts have equal fingerprints. The next document is the one with the next
 larger doc_id (rows of one doc_id ordered by text), after the last the first;
 a null doc_id has no next document (its text loses its last quarter, near_next
 is null). An empty table gives no rows. Only doc_id and text are read, so other
-columns cannot clash. A text of any length is read whole.
+columns cannot clash. A text of any length is read whole. Rows of one doc_id
+are one range, hence one task.
 """
 
 from __future__ import annotations
@@ -28,22 +37,29 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickvault.llm.common import table
+from tickvault.llm.common import table, written
 
-SLOTS = 32
+#: Chains of nested lexicon subsets, and subsets a chain (rates 1/2 to 2^-LEVELS).
+CHAINS, LEVELS = 8, 11
+#: Slots of a fingerprint; the first is the whole lexicon.
+SLOTS = 1 + CHAINS * LEVELS
 #: Band of ln(N / df): terms in 1 of 20 documents to 1 of 2,000.
 MIN_IDF, MAX_IDF = math.log(20), math.log(2_000)
-MAX_LEXICON = 1_000_000
+#: A lexicon of at most this many terms (8 bytes each, counted) is broadcast.
+BROADCAST_TERMS = 2_000_000
 #: Characters of text that a range of documents aims at.
 RANGE_CHARS = 16_000_000
 _FLUSH = 500_000
+_VOCABULARY = 1_000_000
 
 _U = np.uint64
 _TERM = re.compile(r"[^\W_]+")
@@ -55,7 +71,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-_SEEDS = _mix(np.arange(1, SLOTS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_SEEDS = _mix(np.arange(1, CHAINS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_LIMITS = _U(1) << (_U(64) - np.arange(1, LEVELS + 1, dtype=_U))
 
 
 def terms(text: str | None) -> set[str]:
@@ -66,182 +83,307 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # document frequencies of this task's rows, summed before they are shuffled
     def out(n: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "df"]
+            [pa.array(_hash(n).view(np.int64)), pa.array(list(n.values()), pa.int32())], names=["term", "df"]
         )
 
     n: Counter = Counter()
     for batch in batches:
         for t in batch.column("text"):
             n.update(terms(t.as_py()))
-        if len(n) > _FLUSH:
-            yield out(n)
-            n.clear()
+            if len(n) > _FLUSH:
+                yield out(n)
+                n.clear()
     if n:
         yield out(n)
 
 
-def lexicon(docs: DataFrame, n_docs: int, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> list[str]:
-    """Terms of the band, over all documents."""
+def lexicon(docs: DataFrame, n_docs: int, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
+    """(term): hashes of the terms of the band, over all documents."""
     low, high = max(2, math.ceil(n_docs * math.exp(-max_idf))), n_docs * math.exp(-min_idf)
-    counts = docs.select("text").mapInArrow(_count_terms, "term string, df long")
-    held = counts.groupBy("term").agg(F.sum("df").alias("df")).filter((F.col("df") >= low) & (F.col("df") <= high))
-    held = held.persist()
-    try:
-        while held.filter(F.col("df") >= low).count() > MAX_LEXICON:
-            low *= 2
-        return sorted(r["term"] for r in held.filter(F.col("df") >= low).select("term").collect())
-    finally:
-        held.unpersist()
-
-
-def _hash(words: list[str]) -> np.ndarray:
+    counts = docs.select("text").mapInArrow(_count_terms, "term long, df int")
+    held = counts.groupBy("term").agg(F.sum("df").alias("df"))
+    return held.filter((F.col("df") >= low) & (F.col("df") <= high)).select("term")
+
+
+def _hash(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
 
 
-def fingerprint(text: str | None, lex: dict[str, int]) -> str:
-    """:data:`SLOTS` groups of four hex digits."""
-    all_terms = terms(text)
-    held = lex.keys() & all_terms
-    if held:
-        h = np.sort(np.fromiter((lex[w] for w in held), _U, len(held)))
-    elif all_terms:
-        h = np.sort(_hash(list(all_terms)))
-    else:
-        h = _hash([text or ""])
-    with np.errstate(over="ignore"):
-        order = _mix(h[:, None] ^ _SEEDS[None, :])
-        # subset j keeps hashes below 2^(64 - j): the deepest with a term is the least hash's
-        least = order.min(axis=0)
-        depth = 64 - np.frexp(least.astype(np.float64))[1]
-        limit = np.where(depth > 0, np.left_shift(_U(1), (64 - np.clip(depth, 1, 63)).astype(_U)) - _U(1), ~_U(0))
-        inside = (order <= np.maximum(limit, least)[None, :]).astype(_U)
-        slots = _mix((_mix(h)[:, None] * inside).sum(axis=0, dtype=_U) + _SEEDS) & _U(0xFFFF)
-    return "".join(f"{x:04x}" for x in slots.tolist())
+class _Known(dict):
+    """Words to their hashes, 0 for those outside the lexicon (None: any word)."""
+
+    def __init__(self, lex: np.ndarray | None):
+        self.lex = None if lex is None else set(lex.tolist())
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = h if self.lex is None or h in self.lex else 0
+        return h
+
+
+def _held(text: str, known: _Known) -> np.ndarray:
+    """Sorted hashes a text is fingerprinted by: its terms of the lexicon, else
+    all its terms, else its characters."""
+    found = terms(text)
+    if len(known) > _VOCABULARY:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, found), _U, len(found))
+    h = h[h != 0]
+    if not len(h):
+        h = _hash(found) if found else _hash([text])
+    return np.sort(h)
+
+
+def _slot(data: bytes, n: int) -> int:
+    """Number of terms and hash of the list of their sorted hashes."""
+    return min(n, 15) << 16 | xxhash.xxh3_64_intdigest(data) & 0xFFFF
+
+
+def slots(h: np.ndarray) -> list[int]:
+    """Slots of the sorted term hashes ``h``: 20 bits each."""
+    out = [_slot(h.tobytes(), len(h))]
+    # subset j of a chain keeps the terms whose mixed hash begins with j zero
+    # bits: the first ones of the chain's own sorted list
+    for chain in np.sort(_mix(h[None, :] ^ _SEEDS[:, None]), axis=1):
+        data, before, value = chain.tobytes(), -1, 0
+        for n in np.searchsorted(chain, _LIMITS).tolist():
+            if n != before:
+                before, value = n, _slot(data[: 8 * n], n) if n else 0
+            out.append(value)
+    return out
+
+
+def printed(held: list[int]) -> str:
+    """A fingerprint as text."""
+    return "".join([f"{value:05x}" for value in held])
+
+
+def likeness(a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+    """The share of terms in common that best explains which slots of ``a[k]``
+    and ``b[k]`` are equal: rho with  sum of n over equal slots = sum of
+    n rho^n / (1 - rho^n) over unequal ones, n the terms of a slot (of the two
+    the larger number). Slots empty on both sides say nothing."""
+    x, y = np.array(a, np.int64), np.array(b, np.int64)
+    n = np.maximum(x, y) >> 16
+    row = np.arange(len(x))[:, None] * 16
+    size = 16 * len(x)
+    equal = np.bincount((row + n)[x == y], minlength=size).reshape(-1, 16)
+    unequal = np.bincount((row + n)[x != y], minlength=size).reshape(-1, 16)
+    n = np.arange(16)
+    want = equal @ n
+    low, high = np.zeros(len(x)), np.ones(len(x))
+    for _ in range(40):
+        rho = (low + high) / 2
+        p = rho[:, None] ** n[None, 1:]
+        over = (unequal[:, 1:] * n[None, 1:] * p / (1 - p)).sum(axis=1) > want
+        low, high = np.where(over, low, rho), np.where(over, rho, high)
+    return np.round(np.where(want == 0, 0.0, np.where(unequal.sum(axis=1) == 0, 1.0, (low + high) / 2)), 6)
+
+
+def _packed(texts: list[str]) -> pa.Array:
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([squeeze(t.encode()) for t in texts], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> list[str]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [open_(x).decode() for x in column.to_pylist()]
+
+
+def _dealt(firsts: list[int]):
+    """Rows to the range of their doc_id; the first of a range also goes, as a
+    ghost, to the end of the range before it (of the first range: the last).
+    ``firsts`` are the least doc_ids of the ranges. Rows without a doc_id are
+    dealt out one by one to as many ranges of their own."""
+    edges, n = np.array(firsts, np.int64), len(firsts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                ids = batch.column("doc_id")
+                null = ids.is_null().to_numpy(zero_copy_only=False)
+                ids = ids.fill_null(0).to_numpy()
+                at = np.clip(np.searchsorted(edges, ids, side="right") - 1, 0, max(n - 1, 0))
+                at = np.where(null, n + (turn + np.arange(len(ids))) % (n + 1), at)
+                turn += len(ids)
+                ghost = np.flatnonzero(~null & (edges[at % n] == ids)) if n else np.zeros(0, np.int64)
+                rows = np.concatenate([np.arange(len(ids)), ghost])
+                to = np.concatenate([at, (at[ghost] - 1) % max(n, 1)])
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(to.astype(np.int32)),
+                        pa.array(np.arange(len(rows)) >= len(ids)),
+                        batch.column("doc_id").take(pa.array(rows)),
+                        _packed([texts[r] for r in rows.tolist()]),
+                    ],
+                    names=["range", "ghost", "doc_id", "text"],
+                )
+
+    return run
+
 
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(range, ghost, doc_id, text) as sorted, rows of one doc_id by their text."""
 
-def likeness(a: str, b: str) -> float:
-    """Share of equal slots of two fingerprints."""
-    return sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 4 * SLOTS, 4)) / SLOTS
+    def rows():
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("range", "ghost", "doc_id"))
+            yield from zip(*columns, _unpacked(batch.column("text")), strict=True)
+
+    for (place, ghost, i), same in groupby(rows(), key=lambda r: r[:3]):
+        if i is None:
+            yield from same
+        else:
+            yield from sorted(same, key=lambda r: r[3])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, text, edited text, next document's text or None) of every document."""
+    before = None
+    for row in chain(_in_order(batches), [None]):
+        if row is not None and row[1] and (before is None or before[0] != row[0]):
+            continue  # a further copy of the next document
+        if before is not None:
+            place, _, i, text = before
+            after = row[3] if row is not None and row[0] == place and i is not None else None
+            k = len(text) // 4
+            yield i, text, text[: len(text) - k] + (after[:k] if after else ""), after
+        before = None if row is None or row[1] else row
 
 
-def fingerprints(spark: SparkSession, docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` with the string column ``out``."""
-    words = spark.sparkContext.broadcast(lexicon(docs.select(F.col(text_col).alias("text")), docs.count()))
+def _by(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    while part := list(islice(rows, size)):
+        yield part
 
-    def run(texts):
-        lex = _lexicon(words)
-        return texts.map(lambda t: fingerprint(t, lex))
 
-    return docs.withColumn(out, F.pandas_udf(run, "string")(docs[text_col]))
+_MARKED = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "near_edited double, near_next double"
+)
 
 
-_LEXICON: dict = {}
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    """Result rows from (doc_id, n_chars, sha, slots, edited slots, next slots or None)."""
+    own = [r[3] for r in found]
+    near_edited = likeness(own, [r[4] for r in found])
+    near_next = likeness(own, [r[5] or r[3] for r in found])
+    columns = list(zip(*[(*r[:3], printed(r[3]), printed(r[4])) for r in found], strict=True))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+        + [pa.array(near_edited), pa.array([x if r[5] else None for x, r in zip(near_next.tolist(), found, strict=True)], pa.float64())],
+        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    )
 
 
-def _lexicon(words) -> dict[str, int]:
+_KNOWN: dict = {}
+
+
+def _known(words) -> _Known:
     # one table a Python worker
     key = id(words.value)
-    if key not in _LEXICON:
-        _LEXICON.clear()
-        _LEXICON[key] = (words.value, dict(zip(words.value, _hash(words.value).tolist(), strict=True)))
-    return _LEXICON[key][1]
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = (words.value, _Known(words.value))
+    return _KNOWN[key][1]
 
 
-def _dealt(bounds: list[int]):
-    """Rows to the range of their doc_id; the first of a range also goes, as a
-    ghost, to the end of the range before it (of the first range: the last)."""
-    edges, n = np.array(bounds, np.int64), len(bounds)
+def _marked(words):
+    """Fingerprints by a broadcast lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            at = np.where(null, n, np.clip(np.searchsorted(edges, ids, side="right") - 1, 0, n - 1))
-            ghost = np.flatnonzero(~null & (edges[np.minimum(at, n - 1)] == ids))
-            rows = np.concatenate([np.arange(len(ids)), ghost])
-            to = np.concatenate([at, (at[ghost] - 1) % n])
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(to.astype(np.int32)),
-                    pa.array(np.arange(len(rows)) >= len(ids)),
-                    taken.column("doc_id"),
-                    taken.column("text"),
-                ],
-                names=["range", "ghost", "doc_id", "text"],
-            )
+        known = _known(words)
+        last = (None, [])  # a document's text is its predecessor's next one
+        for rows in _by(_neighbours(batches), 512):
+            out = []
+            for i, text, edited, after in rows:
+                mark = last[1] if text is last[0] else slots(_held(text, known))
+                other = mark if edited == text else slots(_held(edited, known))
+                near = None
+                if after is not None:
+                    near = mark if after == text else slots(_held(after, known))
+                    last = (after, near)
+                out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), mark, other, near))
+            yield _rows(out)
 
     return run
 
 
-def _edited(words):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, held = _lexicon(words), None
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every document's three texts (own, edited, next) as all their term hashes,
+    for a lexicon that is joined."""
+    known = _Known(None)
+    for part in _by(_neighbours(batches), 64):
+        lists = [_held(t, known).view(np.int64) if t is not None else None for r in part for t in r[1:]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in part], pa.int64()),
+                pa.array([len(r[1]) for r in part], pa.int64()),
+                pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in part]),
+                *[pa.array(lists[c::3], pa.list_(pa.int64())) for c in range(3)],
+            ],
+            names=["doc_id", "n_chars", "sha", "own", "edited", "next"],
+        )
 
-        def row(a, b):
-            i, text, mark, place = a
-            after = b if b is not None and b[3] == place and i is not None else None
-            k = len(text) // 4
-            edited = text[: len(text) - k] + (after[1][:k] if after else "")
-            other = mark if edited == text else fingerprint(edited, lex)
-            return (
-                i,
-                len(text),
-                hashlib.sha256(edited.encode()).hexdigest(),
-                mark,
-                other,
-                likeness(mark, other),
-                likeness(mark, after[2]) if after else None,
-            )
-
-        def batch_of(rows):
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names
-            )
 
+def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            marks = [slots(np.sort(np.array(r[c], np.int64).view(_U))) if r[c] is not None else None for c in ("own", "edited", "next")]
+            rows.append((r["doc_id"], r["n_chars"], r["sha"], *marks))
+        if rows:
+            yield _rows(rows)
+
+
+def _by_join(spark: SparkSession, ordered: DataFrame, words: DataFrame) -> DataFrame:
+    """Fingerprints by a lexicon too large to broadcast: term hashes meet it in
+    a shuffle; a text none of whose terms do keeps all of them."""
+    lists = ordered.mapInArrow(
+        _listed, "doc_id long, n_chars long, sha string, own array<long>, edited array<long>, next array<long>"
+    ).withColumn("row", F.monotonically_increasing_id())
+    lists = written(spark, lists, "lists")
+    out = lists
+    for c in ("own", "edited", "next"):
+        inside = lists.select("row", F.explode(c).alias("term")).join(words, "term", "left_semi")
+        inside = inside.groupBy("row").agg(F.collect_list("term").alias("inside"))
+        out = out.join(inside, "row", "left").withColumn(c, F.coalesce("inside", c)).drop("inside")
+    return out.drop("row").mapInArrow(_fingerprinted, _MARKED)
+
+
+def _ranges(docs: DataFrame, chars: int) -> list[int]:
+    """Least doc_id of each range of about :data:`RANGE_CHARS` characters, exactly:
+    quantiles are doubles and only deal the ids out."""
+    n = max(1, -(-chars // RANGE_CHARS))
+    cuts = [i / n for i in range(1, n)]
+    edges = np.array(sorted({int(x) for x in docs.stat.approxQuantile("doc_id", cuts, 0.1 / n)}) if n > 1 else [], np.int64)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for place, ghost, i, text in zip(*(batch.column(c).to_pylist() for c in ("range", "ghost", "doc_id", "text")), strict=True):
-                text = text or ""
-                if ghost and held is None:
-                    continue  # a second copy of the same next document
-                now = (i, text, fingerprint(text, lex), place)
-                if held is not None:
-                    rows.append(row(held, now))
-                held = None if ghost else now
-            if rows:
-                yield batch_of(rows)
-        if held is not None:
-            yield batch_of([row(held, None)])
+            ids = np.sort(batch.column("doc_id").to_numpy())
+            at, first = np.unique(np.searchsorted(edges, ids, side="right"), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids[first])], names=["range", "first"])
 
-    return run
+    firsts = docs.filter("doc_id is not null").select("doc_id").mapInArrow(least, "range long, first long")
+    return sorted(r["first"] for r in firsts.groupBy("range").agg(F.min("first").alias("first")).collect())
 
 
 def edited_fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, which ends in the
     beginning of the next document (see the query's contract)."""
     docs = docs.select("doc_id", "text")
-    size = docs.agg(
-        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("low")
-    ).first()
-    words = spark.sparkContext.broadcast(lexicon(docs, size["n"]))
-    ranges = max(1, -(-(size["chars"] or 0) // RANGE_CHARS))
-    # quantiles are doc_ids of the table, so a range's first document is known by its id
-    cuts = [i / ranges for i in range(1, ranges)]
-    found = docs.stat.approxQuantile("doc_id", cuts, 0.1 / ranges) if ranges > 1 else []
-    bounds = sorted({int(size["low"] or 0), *map(int, found)})
-    dealt = docs.mapInArrow(_dealt(bounds), "range int, ghost boolean, doc_id long, text string")
-    ordered = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions(
-        "range", "ghost", "doc_id", "text"
-    )
-    return ordered.mapInArrow(
-        _edited(words),
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double",
-    )
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    words = written(spark, lexicon(docs, size["n"]), "lexicon")
+    firsts = _ranges(docs, size["chars"] or 0)
+    dealt = docs.mapInArrow(_dealt(firsts), "range int, ghost boolean, doc_id long, text binary")
+    ordered = dealt.repartitionById(2 * len(firsts) + 1, F.col("range")).sortWithinPartitions("range", "ghost", "doc_id")
+    if words.count() > BROADCAST_TERMS:
+        return _by_join(spark, ordered, words)
+    terms_ = np.sort(words.toPandas()["term"].to_numpy(np.int64).view(_U))
+    return ordered.mapInArrow(_marked(spark.sparkContext.broadcast(terms_)), _MARKED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
