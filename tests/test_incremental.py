@@ -81,9 +81,9 @@ def test_failed_gaps_are_not_empty(spark, store):
 
 def test_overlapping_run_does_not_lose_rows(spark, store):
     rows = read_prices(spark, store).withColumn("year", F.year("Date"))
-    publish(rows, store, partition_by=["Universe", "year"], only_partitions=True, expected_version=1)
+    publish(rows, store, partition_by=["Universe", "year"], only_partitions=True, at=snapshot(spark, store, 1))
     with pytest.raises(StaleVersion):
-        publish(rows, store, partition_by=["Universe", "year"], only_partitions=True, expected_version=1)
+        publish(rows, store, partition_by=["Universe", "year"], only_partitions=True, at=snapshot(spark, store, 1))
     assert current_version(spark, store) == 2
 
 

@@ -74,12 +74,12 @@ def test_of_two_writers_of_one_version_one_commits(spark, tmp_root, monkeypatch)
 
     def late(session, source, target):
         monkeypatch.setattr(mod, "rename_new", real)
-        assert publish(other, root, partition_by=["Universe"], only_partitions=True, expected_version=1) == 2
+        assert publish(other, root, partition_by=["Universe"], only_partitions=True, at=snapshot(spark, root, 1)) == 2
         return real(session, source, target)
 
     monkeypatch.setattr(mod, "rename_new", late)
     with pytest.raises(StaleVersion):
-        publish(a.union(other), root, partition_by=["Universe"], only_partitions=True, expected_version=1)
+        publish(a.union(other), root, partition_by=["Universe"], only_partitions=True, at=snapshot(spark, root, 1))
     assert sorted(map(tuple, read_table(spark, root, a.schema).collect())) == [("A", "x"), ("B", "y")]
     assert list_versions(spark, root) == [1, 2]
 

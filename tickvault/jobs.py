@@ -94,8 +94,8 @@ class RunResult:
     plan: DataFrame
     report: DataFrame
     totals: DataFrame
-    #: one row a universe: stored rows and tickers, outcomes, failures, times
-    summary: DataFrame | None = None
+    #: builds one row a universe: outcomes, failures, stored rows, times
+    summary: Callable[[], DataFrame] | None = None
 
 
 def maintain_prices(
@@ -184,13 +184,17 @@ def maintain_prices(
         else:
             report = rep.update_outcome(plan, counts, resolved)
             totals = rep.outcome_totals(report)
-        held = ticker_stats(spark, store_root) if version is not None else None
-        if held is None:  # no table, or one of a layout without statistics
-            held = work.last_dates(stored)
-        return RunResult(version, plan, report, totals, rep.run_summary(report, plan, held, resolved))
+
+        def summary():
+            held = ticker_stats(spark, store_root, snapshot(spark, store_root, version)) if version is not None else None
+            if held is None:  # no table, or one of a layout without statistics
+                held = work.last_dates(stored)
+            return rep.run_summary(report, plan, held, resolved)
+
+        return RunResult(version, plan, report, totals, summary)
 
     touched = touched_partitions(fetched) if v0 is not None else set()
-    if fetched.isEmpty() if v0 is None else not touched:
+    if v0 is not None and not touched:
         return result(v0)
 
     batch = (v0 or 0) + 1
@@ -222,7 +226,8 @@ def maintain_prices(
         sort_within=[F.col("Ticker"), F.asc_nulls_last("Date")],  # O1: missing dates last
         only_partitions=incremental,
         sides={"stats": bar_stats},
-        expected_version=v0,
+        at=now,
+        commit_nothing=False,
     )
     return result(version)
 
@@ -296,7 +301,7 @@ def maintain_free_float(
             sort_within=["Ticker"],
             only_partitions=True,
             beside=(lambda w, part=part: write_marks(part, store_root, run_id, w)) if run_id is not None else None,
-            expected_version=now.version if now else None,
+            at=now,
         )
         now = snapshot(spark, store_root, version)
         if on_commit is not None:

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A plan of at most this many windows (counted) is broadcast: about 100 bytes
-#: each in memory, so 25 MB.
-BROADCAST_PLAN_ROWS = 250_000
+#: A plan of at most this many windows, or keys, (counted) is broadcast: about
+#: 100 bytes each in memory, so 50 MB.
+BROADCAST_PLAN_ROWS = 500_000
 #: Keys a ticker is spread over when a plan of whole windows is shuffled.
 SALTS = 16
 

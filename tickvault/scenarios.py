@@ -287,7 +287,7 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
         spark, fx.parts_universe(spark, sf, shifted=True), feed.drop("batch_id", "seq_tie"), root, "update",
         as_of="2002-01-01", start="1995-01-01", attempts=tries,
     )
-    return run.summary
+    return run.summary()
 
 
 QUERIES = {

@@ -1,7 +1,8 @@
 """Atomic, incremental table publish (K1) with Spark's own writer.
 
 ``<root>/data/w=<id>/<partition columns>`` holds the files of one write, made
-by the partitioned Parquet writer; ``<root>/log/v=<N>`` is the commit marker of
+by the partitioned Parquet writer, ``<root>/<side>/w=<id>`` small tables derived
+from it; ``<root>/log/v=<N>`` is the commit marker of
 version N: a small Parquet table naming the write and the partitions it
 replaces. The marker is written beside the log and renamed to ``v=N``, which
 fails if that version exists: of two writers that start from the same version
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from tickvault.sinks.files import rename_new
 
 LOG = "w string, whole boolean, note long, by array<string>, part array<string>, v int"
-ANY_VERSION = -1
+ANY = "any version"
 
 
 class StaleVersion(RuntimeError):
@@ -114,13 +115,14 @@ def read_table(
     parts = {p: w for p, w in at.parts.items() if only is None or only(p)}
     types = {f.name: f.dataType for f in schema.fields}
     try:
-        rows = _read_parts(spark, f"{root}/{side or 'data'}", schema, at.by, parts, types)
+        # a side table holds the partition values as text columns
+        rows = _read_parts(spark, f"{root}/{side or 'data'}", schema, at.by, parts, {} if side else types)
     except AnalysisException as e:
         if side is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     extra = [c for c in at.by if c not in schema.fieldNames()] if keep_partition_columns else []
-    return rows.select(*schema.fieldNames(), *extra)
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *extra)
 
 
 def publish(
@@ -132,23 +134,23 @@ def publish(
     sides: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
     note: int | None = None,
     beside: Callable[[str], None] | None = None,
-    expected_version: int | None = ANY_VERSION,
-) -> int:
+    at: Snapshot | None | str = ANY,
+    commit_nothing: bool = True,
+) -> int | None:
     """K1: write ``df`` and commit it as the next version; returns the version.
 
     With ``only_partitions`` partitions absent from ``df`` keep their rows.
     ``sort_within`` orders rows inside each file (O1). ``sides`` derives small
     tables from the rows as written, e.g. statistics; ``beside(write id)``
     writes what belongs to this commit elsewhere, e.g. marks. ``note`` is kept
-    until a later writer notes more. If the table is not at
-    ``expected_version`` (None: no table yet), :class:`StaleVersion` is raised
-    and nothing is committed.
+    until a later writer notes more. ``at`` is the snapshot the rows were
+    derived from (None: no table yet); if the table has moved on,
+    :class:`StaleVersion` is raised and nothing is committed. With
+    ``commit_nothing=False`` a write without rows commits no version.
     """
     spark, by, w = df.sparkSession, list(partition_by), uuid.uuid4().hex
-    now = snapshot(spark, root)
+    now = snapshot(spark, root) if at == ANY else at
     version = now.version if now else None
-    if expected_version not in (ANY_VERSION, version):
-        raise StaleVersion(f"{root}: rows come from version {expected_version}, the table is at {version}")
     if only_partitions and now and now.by != by:
         raise ValueError("only_partitions needs the partition columns of the current version")
     out = df
@@ -165,7 +167,8 @@ def publish(
 
     written = spark.read.schema(df.schema).parquet(f"{root}/data/w={w}")
     for name, build in (sides or {}).items():
-        build(written).write.partitionBy(*by).option("compression", "zstd").parquet(f"{root}/{name}/w={w}")
+        side = build(written).withColumns({c: F.col(c).cast("string") for c in by})
+        side.write.option("compression", "zstd").parquet(f"{root}/{name}/w={w}")
     if beside:
         beside(w)
     head = F.lit(w).alias("w"), F.lit(not (only_partitions and now)).alias("whole"), F.lit(note).cast("long").alias("note")
@@ -173,9 +176,11 @@ def publish(
     marker = spark.range(1).select(*head, layout, F.lit(None).cast("array<string>").alias("part"))
     marker = marker.union(written.select(_texts(by).alias("part")).distinct().select(*head, layout, "part"))
     marker.coalesce(1).write.parquet(f"{root}/log/_{w}")
+    if not commit_nothing and spark.read.schema(LOG).parquet(f"{root}/log/_{w}").filter("part is not null").isEmpty():
+        return version
     n = (version or 0) + 1
     while not rename_new(spark, f"{root}/log/_{w}", f"{root}/log/v={n}"):
-        if expected_version != ANY_VERSION:
-            raise StaleVersion(f"{root}: another writer committed version {n}")
+        if at != ANY:
+            raise StaleVersion(f"{root}: rows come from version {version}, another writer committed version {n}")
         n += 1
     return n

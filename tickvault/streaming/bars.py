@@ -93,7 +93,7 @@ def compact(
         only_partitions=True,
         note=max(new_batches),
         sides={"stats": bar_stats},
-        expected_version=now.version if now else None,
+        at=now,
     )
     if expire_log:
         for b in new_batches:
