@@ -1,21 +1,27 @@
 """Token ids of whole texts, by the ``tokenizers`` library, with a word cache.
 
 The tokenizer drops white space and splits words before it merges, so a text's
-ids are the ids of its pieces between blanks end to end. Each Python worker
-keeps the ids of pieces it has met; a new piece is put together from those of
-its pre-tokens, and only new pre-tokens go through the library, many to a call.
+ids are the ids of its pieces between blanks end to end. A batch of texts is cut
+into pieces and these into distinct ones by Arrow; each Python worker keeps the
+ids of pieces it has met, a new piece is put together from those of its
+pre-tokens, and only new pre-tokens go through the library, many to a call.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
-#: Pieces and pre-tokens a worker keeps of each of two generations (about 250 MB in all).
-MAX_CACHED = 500_000
+#: Pre-tokens, and pieces, a worker keeps of each of two generations (about 300 MB in all).
+MAX_UNITS, MAX_PIECES = 400_000, 250_000
+#: Rows, and bytes of text, encoded at once (a longer text alone).
+MAX_ROWS, MAX_BYTES = 2048, 6 << 20
 _JOINED = 256
 
 # The tokenizer's own pre-token pattern over lower-case Latin-1 text, its
@@ -23,66 +29,67 @@ _JOINED = 256
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\t-\r \x85\xa0"
-_FIND = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
-).findall
+_UNIT = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
+_FIND = re.compile(_UNIT).findall
+_FIND_LINES = re.compile(_UNIT + "|\n").findall
+#: Stands between pieces; no id has these bytes.
+_BREAK = b"\xff" * 4
+# Latin-1 text is unchanged by NFC and folds character by character. Any other,
+# or one that may hold a special token, is not folded or cut into pre-tokens here.
+_SPECIAL = "[^\\x{0}-\\x{ff}]|<\\|"
 
 _STATE: dict = {}
 
 
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Cache(dict):
-    """Two generations: a full one becomes the old one, whose entries come back
-    when they are met again, so what is frequent is learned once."""
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded rows and bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    total, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = total[start - 1] if start else 0
+        stop = int(np.searchsorted(total, before + MAX_BYTES, side="right"))
+        stop = min(max(stop, start + 1), start + MAX_ROWS)
+        yield batch.slice(start, stop - start)
+        start = stop
 
-    def __init__(self):
-        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.old[key]
-        return value
+class _Cache:
+    """Ids by text, in two generations: a full one becomes the old one, whose
+    entries come back when they are met again, so what is frequent is learned
+    once."""
+
+    def __init__(self, most: int, always: dict[str, bytes]):
+        self.most, self.always = most, always
+        self.now, self.old = dict(always), {}
 
     def turn(self) -> None:
-        if len(self) > MAX_CACHED:
-            self.old = dict(self)
-            self.clear()
+        if len(self.now) > self.most:
+            self.old, self.now = self.now, dict(self.always)
 
     def unknown(self, keys: set[str]) -> set[str]:
-        return {k for k in keys if k not in self and k not in self.old}
+        new = keys.difference(self.now)
+        back = {k: self.old[k] for k in new if k in self.old} if self.old else {}
+        self.now.update(back)
+        return new.difference(back)
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian uint32 bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian uint32 bytes,
+    ``flat(texts)`` all ids and where each text's begin."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = _Cache()
-
-    def _pieces(self, text: str) -> tuple[list[str], bool]:
-        """Pieces between blanks, and whether the text is plain: Latin-1 text is
-        unchanged by NFC and folds character by character, so it can be folded
-        and cut up here. Any other (or one that may hold a special token, or
-        characters that Python alone takes for white space) is only cut."""
-        if "<|" not in text and (text.isascii() or _latin(text)):
-            if not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
-                return text.lower().split(), True
-        return text.replace("\n", " ").split(" "), False
+        self.units = _Cache(MAX_UNITS, {"\n": _BREAK})
+        self.pieces = _Cache(MAX_PIECES, {"": b""})
 
     def _learn(self, units: list[str]) -> None:
         groups = [units[i : i + _JOINED] for i in range(0, len(units), _JOINED)]
@@ -95,39 +102,79 @@ class Encoder:
                     ends = (np.searchsorted(at, np.arange(len(group)), side="right") * 4).tolist()
                     ids, start = np.array(enc.ids, "<u4").tobytes(), 0
                     for unit, end in zip(group, ends, strict=True):
-                        self.cache[unit] = ids[start:end]
+                        self.units.now[unit] = ids[start:end]
                         start = end
                     continue
-            for unit, one in zip(group, self.tokenizer.encode_batch(group, add_special_tokens=False), strict=True):
-                self.cache[unit] = np.array(one.ids, "<u4").tobytes()
-
-    def _learn_pieces(self, plain: set[str], other: set[str]) -> None:
-        cut = {p: _FIND(p) for p in plain}
-        units = self.cache.unknown(set().union(*cut.values()))
+            self.units.now.update(self._singly(group))
+
+    def _singly(self, texts: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return {text: np.array(one.ids, "<u4").tobytes() for text, one in zip(texts, found, strict=True)}
+
+    def _know(self, pieces: list[str], plain: bool) -> None:
+        new = list(self.pieces.unknown(set(pieces)))
+        if not plain:
+            self.pieces.now.update(self._singly(new))
+            return
+        if not new:
+            return
+        cut = _FIND_LINES("\n".join(new))  # a piece holds no line end
+        units = self.units.unknown(set(cut))
         # a unit that is not one pre-token would shift the joined words
-        self._learn([u for u in units if _FIND(u) == [u]])
-        rest = list(self.cache.unknown(units | other))
-        for unit, one in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.cache[unit] = np.array(one.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        self.cache.update({p: b"".join(map(get, parts)) for p, parts in cut.items() if len(parts) != 1 or parts[0] != p})
-
-    def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
-        cut = [self._pieces(t) if t else ([], True) for t in texts]
-        get, out, new = self.cache.__getitem__, [], []
-        for k, (pieces, _) in enumerate(cut):
-            try:
-                out.append(b"".join(map(get, pieces)) + end)
-            except KeyError:
-                out.append(b"")
-                new.append(k)
-        if new:
-            plain, other = (set().union(*[cut[k][0] for k in new if cut[k][1] == kind]) for kind in (True, False))
-            self._learn_pieces(self.cache.unknown(plain), self.cache.unknown(other))
-            for k in new:
-                out[k] = b"".join(map(get, cut[k][0])) + end
-        self.cache.turn()
-        return out
+        alone = [u for u in units if _FIND(u) == [u]]
+        self._learn(alone)
+        self.units.now.update(self._singly(list(units.difference(alone))))
+        ids = b"".join(map(self.units.now.__getitem__, cut)).split(_BREAK)
+        self.pieces.now.update(zip(new, ids, strict=True))
+
+    def _encoded(self, texts: pa.Array, plain: bool, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and where each text's end."""
+        if plain:
+            # other white space stays inside a piece and parts its pre-tokens
+            lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        else:
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._know(pieces, plain)
+        known = [*map(self.pieces.now.__getitem__, pieces), end]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        # the end id is one more piece behind every text
+        row = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(pieces))
+        size = sizes[row]
+        stop = np.cumsum(size)
+        at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(starts[row] - (stop - size), size)
+        return flat[at], np.concatenate([[0], stop])[ends + np.arange(1, len(ends) + 1)]
+
+    def flat(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, uint32; offsets of each text's, one more than texts)."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        special = pc.match_substring_regex(texts, _SPECIAL).to_numpy(zero_copy_only=False)
+        self.units.turn()
+        self.pieces.turn()
+        if not special.any():
+            ids, ends = self._encoded(texts, True, end)
+            return ids, np.concatenate([[0], ends])
+        # both kinds on their own, then every text at its place
+        kinds = [(~special, True), (special, False)]
+        done = [(np.flatnonzero(mask), *self._encoded(texts.filter(pa.array(mask)), plain, end)) for mask, plain in kinds if mask.any()]
+        size = np.zeros(len(texts), np.int64)
+        for where, _, ends in done:
+            size[where] = np.diff(ends, prepend=0)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        out = np.zeros(int(offsets[-1]), np.uint32)
+        for where, ids, ends in done:
+            own = np.diff(ends, prepend=0)
+            out[np.arange(len(ids)) + np.repeat(offsets[where] - (ends - own), own)] = ids
+        return out, offsets
+
+    def encode(self, texts: list[str | None] | pa.Array, end: bytes = b"") -> list[bytes]:
+        ids, offsets = self.flat(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), end)
+        data, at = ids.astype("<u4").tobytes(), (offsets * 4).tolist()
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def encoder(path: str) -> Encoder:

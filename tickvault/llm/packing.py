@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickvault.llm.common import table, written
-from tickvault.llm.encoder import END_ID, default_path, encoder
+from tickvault.llm.encoder import END_ID, default_path, encoder, slices
 
 CAPACITY = 4096
 UNIT = 8
 #: Pieces a ranking bucket aims at.
 BUCKET_ROWS = 20_000
-_BATCH = 64
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -45,10 +44,9 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(k, _BATCH)
+            for part in slices(batch):
                 doc, start, total, ids = [], [], [], []
-                for i, x in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist(), end), strict=True):
+                for i, x in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text"), end), strict=True):
                     for at in range(0, len(x), 4 * capacity):
                         doc.append(i)
                         start.append(at // 4)

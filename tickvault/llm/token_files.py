@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickvault.llm.common import table
-from tickvault.llm.encoder import END_ID, default_path, encoder
+from tickvault.llm.encoder import END_ID, default_path, encoder, slices
 from tickvault.session import shared_dir
 
 #: ORC writer settings: stripes of 16 MB, a row-index entry each 1,000 rows, Bloom filters on doc_id.
@@ -35,31 +35,24 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 
-_BATCH = 64
-
-
 def _encode_rows(path: str):
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row = encoder(path), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(k, _BATCH)
-                ids = enc.encode(part.column("text").to_pylist(), end)
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+            for part in slices(batch):
+                ids, offsets = enc.flat(part.column("text"), end)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
-                        pa.array(np.arange(row, row + len(ids), dtype=np.int64)),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(offsets), values),
+                        pa.array(np.arange(row, row + part.num_rows, dtype=np.int64)),
+                        pa.array(np.diff(offsets)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32))),
                     ],
                     names=["doc_id", "row", "n_tokens", "ids"],
                 )
-                row += len(ids)
+                row += part.num_rows
 
     return run
 
