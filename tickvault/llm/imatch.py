@@ -59,7 +59,6 @@ BROADCAST_TERMS = 2_000_000
 #: Characters of text that a range of documents aims at.
 RANGE_CHARS = 16_000_000
 _FLUSH = 500_000
-_VOCABULARY = 1_000_000
 
 _U = np.uint64
 _TERM = re.compile(r"[^\W_]+")
@@ -72,11 +71,30 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 _SEEDS = _mix(np.arange(1, CHAINS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_PLACE = _U(0xC2B2AE3D27D4EB4F)
 _LIMITS = _U(1) << (_U(64) - np.arange(1, LEVELS + 1, dtype=_U))
 
 
-def terms(text: str | None) -> set[str]:
-    return set(_TERM.findall(text.lower())) if text else set()
+def _cutting(encoding: str, n: int) -> bytes:
+    """Byte table that leaves the characters of terms and makes blanks of the rest."""
+    return bytes(c if _TERM.fullmatch(bytes([c]).decode(encoding)) else 32 for c in range(n)).ljust(256, b" ")
+
+
+_ASCII, _LATIN = _cutting("ascii", 128), _cutting("latin-1", 256)
+
+
+def terms(text: str | None) -> set[bytes]:
+    """Distinct terms (runs of letters and digits, folded) in UTF-8."""
+    if not text:
+        return set()
+    text = text.lower()
+    if text.isascii():
+        return set(text.encode().translate(_ASCII).split())
+    try:
+        cut = text.encode("latin-1").translate(_LATIN)
+    except UnicodeEncodeError:
+        return {w.encode() for w in _TERM.findall(text)}
+    return set(cut.decode("latin-1").encode().split())
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,53 +127,37 @@ def _hash(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
 
 
-class _Known(dict):
-    """Words to their hashes, 0 for those outside the lexicon (None: any word)."""
-
-    def __init__(self, lex: np.ndarray | None):
-        self.lex = None if lex is None else set(lex.tolist())
-
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        h = self[word] = h if self.lex is None or h in self.lex else 0
-        return h
-
-
-def _held(text: str, known: _Known) -> np.ndarray:
-    """Sorted hashes a text is fingerprinted by: its terms of the lexicon, else
-    all its terms, else its characters."""
+def _held(text: str, lex: np.ndarray | None) -> np.ndarray:
+    """Sorted hashes a text is fingerprinted by: its terms of the (sorted)
+    lexicon, else all its terms, else its characters. No lexicon: all terms."""
     found = terms(text)
-    if len(known) > _VOCABULARY:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, found), _U, len(found))
-    h = h[h != 0]
-    if not len(h):
-        h = _hash(found) if found else _hash([text])
-    return np.sort(h)
-
-
-def _slot(data: bytes, n: int) -> int:
-    """Number of terms and hash of the list of their sorted hashes."""
-    return min(n, 15) << 16 | xxhash.xxh3_64_intdigest(data) & 0xFFFF
+    h = np.sort(_hash(found if found else [text]))
+    if lex is None or not len(lex):
+        return h
+    inside = h[lex[np.minimum(np.searchsorted(lex, h), len(lex) - 1)] == h]
+    return inside if len(inside) else h
 
 
 def slots(h: np.ndarray) -> list[int]:
-    """Slots of the sorted term hashes ``h``: 20 bits each."""
-    out = [_slot(h.tobytes(), len(h))]
+    """Slots of the sorted term hashes ``h``, 20 bits each: the number of terms
+    and the hash of their list, the sum of the terms each mixed with its place."""
     # subset j of a chain keeps the terms whose mixed hash begins with j zero
     # bits: the first ones of the chain's own sorted list
-    for chain in np.sort(_mix(h[None, :] ^ _SEEDS[:, None]), axis=1):
-        data, before, value = chain.tobytes(), -1, 0
-        for n in np.searchsorted(chain, _LIMITS).tolist():
-            if n != before:
-                before, value = n, _slot(data[: 8 * n], n) if n else 0
-            out.append(value)
-    return out
+    lists = np.concatenate([h[None, :], np.sort(_mix(h[None, :] ^ _SEEDS[:, None]), axis=1)])
+    sums = np.cumsum(_mix(lists ^ (np.arange(1, len(h) + 1, dtype=_U) * _PLACE)[None, :]), axis=1, dtype=_U)
+    held = np.stack([np.searchsorted(chain, _LIMITS) for chain in lists[1:]])
+    value = _mix(np.take_along_axis(sums[1:], np.maximum(held - 1, 0), axis=1)) & _U(0xFFFF)
+    value = np.where(held > 0, np.minimum(held, 15) << 16 | value.astype(np.int64), 0)
+    whole = min(len(h), 15) << 16 | int(_mix(sums[:1, -1])[0] & _U(0xFFFF))
+    return [whole, *value.ravel().tolist()]
+
+
+_PRINTED = "%05x" * SLOTS
 
 
 def printed(held: list[int]) -> str:
     """A fingerprint as text."""
-    return "".join([f"{value:05x}" for value in held])
+    return _PRINTED % tuple(held)
 
 
 def likeness(a: list[list[int]], b: list[list[int]]) -> np.ndarray:
@@ -279,23 +281,11 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
     )
 
 
-_KNOWN: dict = {}
-
-
-def _known(words) -> _Known:
-    # one table a Python worker
-    key = id(words.value)
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = (words.value, _Known(words.value))
-    return _KNOWN[key][1]
-
-
 def _marked(words):
     """Fingerprints by a broadcast lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(words)
+        known = words.value
         last = (None, [])  # a document's text is its predecessor's next one
         for rows in _by(_neighbours(batches), 512):
             out = []
@@ -315,9 +305,8 @@ def _marked(words):
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every document's three texts (own, edited, next) as all their term hashes,
     for a lexicon that is joined."""
-    known = _Known(None)
     for part in _by(_neighbours(batches), 64):
-        lists = [_held(t, known).view(np.int64) if t is not None else None for r in part for t in r[1:]]
+        lists = [_held(t, None).view(np.int64) if t is not None else None for r in part for t in r[1:]]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in part], pa.int64()),
