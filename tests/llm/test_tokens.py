@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.fixtures import EDGES, SF, docs, prose
@@ -34,6 +35,17 @@ def test_encoder_equals_library(enc, spark):
     assert enc.encode(texts, end) == [ids_of(enc, t) for t in texts]
 
 
+def test_encoder_keeps_bounded_bytes():
+    enc = Encoder(default_path())
+    rng = random.Random(5)
+    for _ in range(12):
+        # pieces without a blank, every one new, 8 MB a call
+        texts = ["".join(rng.choices("abcdefgh.", k=1 << 12)) * 64 for _ in range(32)]
+        enc.flat(pa.array(texts, pa.string()))
+    held = sum(len(k) + len(v) for c in (enc.pieces.now, enc.pieces.old) for k, v in c.items())
+    assert held < 200 << 20
+
+
 def test_cutting_stock_meets_demand_exactly():
     rng = random.Random(3)
     for cap, demand in [

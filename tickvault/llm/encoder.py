@@ -18,10 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-#: Pre-tokens, and pieces, a worker keeps of each of two generations (about 300 MB in all).
-MAX_UNITS, MAX_PIECES = 400_000, 250_000
+#: Bytes a worker keeps, as pre-tokens and as pieces, in each of two generations
+#: (with the batch that fills one about 250 MB in all).
+MAX_UNITS, MAX_PIECES = 68 << 20, 50 << 20
+#: What an entry takes beside its text and ids: two objects and its table slot.
+_ENTRY = 170
 #: Rows, and bytes of text, encoded at once (a longer text alone).
-MAX_ROWS, MAX_BYTES = 2048, 6 << 20
+MAX_ROWS, MAX_BYTES = 2048, 2 << 20
 _JOINED = 256
 
 # The tokenizer's own pre-token pattern over lower-case Latin-1 text, its
@@ -62,20 +65,24 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 class _Cache:
     """Ids by text, in two generations: a full one becomes the old one, whose
     entries come back when they are met again, so what is frequent is learned
-    once."""
+    once. Full is meant in bytes, as a text without blanks is one entry."""
 
     def __init__(self, most: int, always: dict[str, bytes]):
         self.most, self.always = most, always
-        self.now, self.old = dict(always), {}
+        self.now, self.old, self.held = dict(always), {}, 0
 
     def turn(self) -> None:
-        if len(self.now) > self.most:
-            self.old, self.now = self.now, dict(self.always)
+        if self.held > self.most:
+            self.old, self.now, self.held = self.now, dict(self.always), 0
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        self.now.update(new)
+        self.held += sum(map(len, new)) + sum(map(len, new.values())) + _ENTRY * len(new)
 
     def unknown(self, keys: set[str]) -> set[str]:
         new = keys.difference(self.now)
         back = {k: self.old[k] for k in new if k in self.old} if self.old else {}
-        self.now.update(back)
+        self.keep(back)
         return new.difference(back)
 
 
@@ -101,11 +108,13 @@ class Encoder:
                 if len(at) and at[-1] == len(group) - 1:
                     ends = (np.searchsorted(at, np.arange(len(group)), side="right") * 4).tolist()
                     ids, start = np.array(enc.ids, "<u4").tobytes(), 0
+                    found = {}
                     for unit, end in zip(group, ends, strict=True):
-                        self.units.now[unit] = ids[start:end]
+                        found[unit] = ids[start:end]
                         start = end
+                    self.units.keep(found)
                     continue
-            self.units.now.update(self._singly(group))
+            self.units.keep(self._singly(group))
 
     def _singly(self, texts: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -114,7 +123,7 @@ class Encoder:
     def _know(self, pieces: list[str], plain: bool) -> None:
         new = list(self.pieces.unknown(set(pieces)))
         if not plain:
-            self.pieces.now.update(self._singly(new))
+            self.pieces.keep(self._singly(new))
             return
         if not new:
             return
@@ -123,9 +132,9 @@ class Encoder:
         # a unit that is not one pre-token would shift the joined words
         alone = [u for u in units if _FIND(u) == [u]]
         self._learn(alone)
-        self.units.now.update(self._singly(list(units.difference(alone))))
+        self.units.keep(self._singly(list(units.difference(alone))))
         ids = b"".join(map(self.units.now.__getitem__, cut)).split(_BREAK)
-        self.pieces.now.update(zip(new, ids, strict=True))
+        self.pieces.keep(dict(zip(new, ids, strict=True)))
 
     def _encoded(self, texts: pa.Array, plain: bool, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and where each text's end."""
