@@ -3,11 +3,12 @@
 import datetime as dt
 import os
 
+from tickvault import catalog
 from tickvault import fixtures as fx
 from tickvault.operators.gaps import find_gaps
-from tickvault.operators.merge import resolve_latest
+from tickvault.operators.merge import merge_latest, resolve_latest
 from tickvault.plans import work
-from tickvault.plans.windows import apply_windows
+from tickvault.plans.windows import SALT, apply_windows
 from tickvault.sinks.publish import publish
 from tickvault.sources.store import read_prices
 
@@ -54,6 +55,31 @@ def test_whole_windows_beyond_the_broadcast_bound_are_salted(spark):
     assert few.count() > 0 and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_update_merge_shuffles_stored_bars_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _plan(catalog.update_merge(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    # the newest-wins window has dealt the stored bars; the join takes them as they are
+    stored = p.split("LeftAnti", 1)[1].split("Window [", 1)[0]
+    assert "Exchange" not in stored, stored
+
+
+def test_first_load_is_not_shuffled_between_join_and_newest_wins(spark):
+    plan = work.plan_fresh(fx.parts_universe(spark, SF), spark.createDataFrame([], "Universe string, Ticker string"), "2002-01-01", start="1995-01-01")
+    log = fx.gappy_log(spark, SF)
+    keys = ["Universe", "Ticker"]
+    fetched = apply_windows(log, plan, keys=keys, one_window=True, broadcast_max_rows=0, keep_salt=True)
+    new = merge_latest(None, fetched, [*keys, "Date"], fx.BARS_LOG_ORDER, deterministic_ties=True, dealt_by=[SALT])
+    # the log and the salted plan for the join, none for the window
+    assert _plan(new).count("Exchange hashpartitioning") == 2
+    plain = apply_windows(log, plan, keys=keys, one_window=True)
+    want = merge_latest(None, plain, [*keys, "Date"], fx.BARS_LOG_ORDER, deterministic_ties=True)
+    assert new.columns == want.columns
+    assert sorted(new.collect()) == sorted(want.collect())
+
+
 def test_universe_pruning_reaches_the_scan(spark, tmp_root):
     root = os.path.join(tmp_root, "prices")
     rows = [("A", "x", dt.date(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, 1), ("B", "y", dt.date(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, 1)]

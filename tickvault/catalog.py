@@ -301,7 +301,7 @@ def backfill_merge(spark: SparkSession, sf: str) -> DataFrame:
     """T4: stored bars and gap fills -> the republished table, by the job's merge."""
     _, fills = _backfill_fills(spark, sf)
     stored = resolve_latest(fx.gappy_stored_log(spark, sf), BAR_KEYS, fx.BARS_LOG_ORDER)
-    return merge_latest(stored, fills.drop("start_date"), BAR_KEYS, fx.BARS_LOG_ORDER).select(*PRICE_OUT)
+    return merge_latest(stored, fills.drop("start_date"), BAR_KEYS, fx.BARS_LOG_ORDER, no_null_keys=True).select(*PRICE_OUT)
 
 
 def update_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,7 +310,7 @@ def update_merge(spark: SparkSession, sf: str) -> DataFrame:
     stored = resolve_latest(fx.gappy_stored_log(spark, sf), BAR_KEYS, fx.BARS_LOG_ORDER)
     plan = work.plan_update(fx.parts_universe(spark, sf, shifted=True), stored, as_of=fx.UPDATE_AS_OF)
     fetched = apply_windows(fx.gappy_log(spark, sf), plan, keys=KEYS, one_window=True)
-    return merge_latest(stored, fetched, BAR_KEYS, fx.BARS_LOG_ORDER).select(*PRICE_OUT)
+    return merge_latest(stored, fetched, BAR_KEYS, fx.BARS_LOG_ORDER, no_null_keys=True).select(*PRICE_OUT)
 
 
 def plan_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -31,7 +31,7 @@ from tickvault.operators import freefloat as ffo
 from tickvault.operators import reports as rep
 from tickvault.operators.merge import merge_latest
 from tickvault.plans import work
-from tickvault.plans.windows import BROADCAST_PLAN_ROWS, apply_windows, materialise
+from tickvault.plans.windows import BROADCAST_PLAN_ROWS, SALT, apply_windows, materialise
 from tickvault.schemas import (
     DEFAULT_LOOKBACK_DAYS,
     DEFAULT_MAX_RETRY,
@@ -165,7 +165,9 @@ def maintain_prices(
         keys=KEYS,
         plan_cols=["start_date"],
         one_window=mode != "backfill",
+        keep_salt=v0 is None,  # a first load goes from the join into the merge
     )
+    dealt_by = [SALT] if SALT in windowed.columns else []
     by = [*KEYS, "start_date"] if mode == "backfill" else KEYS
     if v0 is None:
         # a first load is written once, into the table; its report counts the
@@ -212,11 +214,13 @@ def maintain_prices(
     # a feed's own order may tie; the row hash makes a recomputed task pick the same row
     merged = merge_latest(
         base_part,
-        new_rows.select(*cols, "batch_id", "seq"),
+        new_rows.select(*cols, "batch_id", "seq", *dealt_by),
         BAR_KEYS,
         ("batch_id", "seq"),
         deterministic_ties=True,
         broadcast_keys=n_fetched <= BROADCAST_PLAN_ROWS,
+        no_null_keys=True,  # rows of request windows
+        dealt_by=dealt_by,
     )
     merged = merged.select(*cols).withColumn("year", F.year("Date"))
     version = publish(

@@ -24,6 +24,7 @@ def resolve_latest(
     order: Sequence[str] = DEFAULT_ORDER,
     keep_order_columns: bool = False,
     deterministic_ties: bool = False,
+    dealt_by: Sequence[str] = (),
 ) -> DataFrame:
     """Keep the last written row per key (pandas ``drop_duplicates(keep="last")``).
 
@@ -31,13 +32,15 @@ def resolve_latest(
     order within a key; ties are resolved arbitrarily unless
     ``deterministic_ties``, which adds a hash of the whole row as the last
     order key, so a recomputed task (e.g. after a lost executor) picks the
-    same row.
+    same row. ``dealt_by`` names columns that follow from the key and that a
+    join has just shuffled the log by, with some of the key: the window then
+    takes the rows as dealt. They are dropped.
     """
     by = [F.col(c).desc_nulls_last() for c in order]
     if deterministic_ties:
-        by.append(F.xxhash64(*[F.col(c) for c in log.columns]).desc())
-    w = Window.partitionBy(*keys).orderBy(*by)
-    out = log.withColumn(_RN, F.row_number().over(w)).filter(F.col(_RN) == 1).drop(_RN)
+        by.append(F.xxhash64(*[F.col(c) for c in log.columns if c not in dealt_by]).desc())
+    w = Window.partitionBy(*keys, *dealt_by).orderBy(*by)
+    out = log.withColumn(_RN, F.row_number().over(w)).filter(F.col(_RN) == 1).drop(_RN, *dealt_by)
     if not keep_order_columns:
         out = out.drop(*[c for c in order if c in out.columns])
     return out
@@ -50,6 +53,8 @@ def merge_latest(
     order: Sequence[str] = DEFAULT_ORDER,
     deterministic_ties: bool = False,
     broadcast_keys: bool = False,
+    no_null_keys: bool = False,
+    dealt_by: Sequence[str] = (),
 ) -> DataFrame:
     """Published table (one row per key) + landed rows -> next table.
 
@@ -59,14 +64,19 @@ def merge_latest(
     ``broadcast_keys`` is for a caller that has counted the landed rows: the
     stored table is then read once and not shuffled by the join. Otherwise both
     sides are shuffled by key unless AQE measures the keys to be small.
+    ``no_null_keys`` is for landed rows that cannot have a null key (those of
+    request windows): plain equality then gives the same rows, and the join
+    takes both sides as a newest-wins window by the same keys has dealt them.
+    ``dealt_by`` is that of :func:`resolve_latest`, for the landed rows.
     """
     keys = list(keys)
-    new = resolve_latest(landed, keys, order, deterministic_ties=deterministic_ties)
+    new = resolve_latest(landed, keys, order, deterministic_ties=deterministic_ties, dealt_by=dealt_by)
     if stored is None:
         return new
     new_keys = new.select(*[F.col(k).alias("__k_" + k) for k in keys])
     if broadcast_keys:
         new_keys = F.broadcast(new_keys)
-    cond = [stored[k].eqNullSafe(new_keys["__k_" + k]) for k in keys]
+    pairs = [(stored[k], new_keys["__k_" + k]) for k in keys]
+    cond = [a == b if no_null_keys else a.eqNullSafe(b) for a, b in pairs]
     kept = stored.join(new_keys, cond, "left_anti")
     return kept.unionByName(new.select(*[c for c in new.columns if c in stored.columns]), allowMissingColumns=True)

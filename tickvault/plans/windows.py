@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 BROADCAST_PLAN_ROWS = 500_000
 #: Keys a ticker is spread over when a plan of whole windows is shuffled.
 SALTS = 16
+SALT = "__salt"
 
 
 def _month_index(d):
@@ -53,6 +54,7 @@ def apply_windows(
     date_col: str = "Date",
     broadcast_max_rows: int = BROADCAST_PLAN_ROWS,
     one_window: bool = False,
+    keep_salt: bool = False,
 ) -> DataFrame:
     """Rows of ``raw`` inside a plan window of the same key.
 
@@ -62,7 +64,9 @@ def apply_windows(
     scan, a literal one is (row-group skipping, date partition pruning).
 
     ``one_window`` is for plans with one window per key (fresh, update). Equal
-    windows (a ticker listed twice) are then applied once.
+    windows (a ticker listed twice) are then applied once. ``keep_salt`` leaves
+    :data:`SALT`, which follows from the date, on rows that were shuffled by it,
+    so that a window by ticker and date need not shuffle them again.
     """
     keys, d = list(keys), F.col(date_col).cast(T.DateType())
     real = plan.filter("end_date > start_date")
@@ -82,9 +86,10 @@ def apply_windows(
         inside = (d >= F.col("__s")) & (d < F.col("__e"))
         if small:
             return raw.join(F.broadcast(p), keys).filter(inside).select(*columns)
-        spread = p.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = raw.withColumn("__salt", F.pmod(F.unix_date(d), F.lit(SALTS)))
-        return salted.join(spread.hint("merge"), [*keys, "__salt"]).filter(inside).select(*columns)
+        spread = p.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = raw.withColumn(SALT, F.pmod(F.unix_date(d), F.lit(SALTS)))
+        kept = [*columns, F.col(SALT)] if keep_salt else columns
+        return salted.join(spread.hint("merge"), [*keys, SALT]).filter(inside).select(*kept)
     if small:
         hits = F.filter("__w", lambda w: (d >= w["__s"]) & (d < w["__e"]))
         met = raw.withColumn("__y", F.year(d)).join(F.broadcast(p), [*keys, "__y"])
