@@ -55,6 +55,16 @@ def test_whole_windows_beyond_the_broadcast_bound_are_salted(spark):
     assert few.count() > 0 and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_gap_scan_deals_tickers_by_the_number_of_bars(spark, monkeypatch):
+    bars = fx.gappy_log(spark, SF).cache()
+    want = sorted(find_gaps(bars, keys=["Universe", "Ticker"]).collect())
+    monkeypatch.setattr("tickvault.operators.gaps.BARS_PER_TASK", 100, raising=False)
+    found = find_gaps(bars, keys=["Universe", "Ticker"])
+    tasks = -(-bars.count() // 100)
+    assert f", {tasks}), REPARTITION_BY_NUM" in _plan(found)
+    assert sorted(found.collect()) == want
+
+
 def test_update_merge_shuffles_stored_bars_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

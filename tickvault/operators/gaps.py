@@ -13,7 +13,10 @@ Plan: dates become one bit mask per (ticker, month) with map-side partial
 aggregation, so neither copies of a bar nor a ticker with a third of all rows
 ever meet in one task: what is shuffled is at most one row per ticker-month and
 map task. The step between months is a ``lag`` over the month rows of a ticker
-(twelve a year), the steps inside a month come from the bits.
+(twelve a year), the steps inside a month come from the bits. The ``lag`` and
+what follows it by ticker run in tasks of :data:`BARS_PER_TASK` bars, whatever
+number of shuffle partitions the session has, so a task's memory does not grow
+with the table.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ from pyspark.sql import types as T
 from tickvault.functions.scalar import lit_date
 from tickvault.schemas import DEFAULT_MIN_GAP_DAYS, DEFAULT_START
 
+#: Bars whose months one task sorts by ticker (on average; a month row stands for one or more).
+BARS_PER_TASK = 500_000
+
 GAP_COLUMNS = ["gap_start", "gap_end", "gap_days"]
 
 
@@ -81,6 +87,12 @@ def find_gaps(
         F.max("d").alias("last"),
         F.bit_or(F.call_function("shiftleft", F.lit(1), F.dayofmonth("d") - 1)).alias("bits"),
     )
+    # the bars are only counted (a Parquet table: from its footers); partial
+    # aggregation has shuffled months, not bars, by then
+    spark = bars.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-bars.count() // BARS_PER_TASK))
+    # by the ticker alone: a universe that is a constant drops out of the window's keys
+    months = months.repartition(tasks, keys[-1])
     before = F.lag("last").over(Window.partitionBy(*keys).orderBy("m"))
     found = F.when(
         F.datediff("first", F.coalesce("before", start_d)) > n,
