@@ -24,7 +24,7 @@ MAX_UNITS, MAX_PIECES = 68 << 20, 50 << 20
 #: What an entry takes beside its text and ids: two objects and its table slot.
 _ENTRY = 170
 #: Rows, and bytes of text, encoded at once (a longer text alone).
-MAX_ROWS, MAX_BYTES = 2048, 2 << 20
+MAX_ROWS, MAX_BYTES = 2048, 4 << 20
 _JOINED = 256
 
 # The tokenizer's own pre-token pattern over lower-case Latin-1 text, its
@@ -77,7 +77,10 @@ class _Cache:
 
     def keep(self, new: dict[str, bytes]) -> None:
         self.now.update(new)
-        self.held += sum(map(len, new)) + sum(map(len, new.values())) + _ENTRY * len(new)
+        self.count(len(new), sum(map(len, new)) + sum(map(len, new.values())))
+
+    def count(self, entries: int, size: int) -> None:
+        self.held += _ENTRY * entries + size
 
     def unknown(self, keys: set[str]) -> set[str]:
         new = keys.difference(self.now)
@@ -108,11 +111,10 @@ class Encoder:
                 if len(at) and at[-1] == len(group) - 1:
                     ends = (np.searchsorted(at, np.arange(len(group)), side="right") * 4).tolist()
                     ids, start = np.array(enc.ids, "<u4").tobytes(), 0
-                    found = {}
                     for unit, end in zip(group, ends, strict=True):
-                        found[unit] = ids[start:end]
+                        self.units.now[unit] = ids[start:end]
                         start = end
-                    self.units.keep(found)
+                    self.units.count(len(group), sum(map(len, group)) + len(ids))
                     continue
             self.units.keep(self._singly(group))
 
@@ -127,14 +129,16 @@ class Encoder:
             return
         if not new:
             return
-        cut = _FIND_LINES("\n".join(new))  # a piece holds no line end
+        lines = "\n".join(new)
+        cut = _FIND_LINES(lines)  # a piece holds no line end
         units = self.units.unknown(set(cut))
         # a unit that is not one pre-token would shift the joined words
         alone = [u for u in units if _FIND(u) == [u]]
         self._learn(alone)
         self.units.keep(self._singly(list(units.difference(alone))))
-        ids = b"".join(map(self.units.now.__getitem__, cut)).split(_BREAK)
-        self.pieces.keep(dict(zip(new, ids, strict=True)))
+        ids = b"".join(map(self.units.now.__getitem__, cut))
+        self.pieces.count(len(new), len(lines) + len(ids))
+        self.pieces.now.update(zip(new, ids.split(_BREAK), strict=True))
 
     def _encoded(self, texts: pa.Array, plain: bool, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and where each text's end."""
@@ -155,7 +159,8 @@ class Encoder:
         row = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(pieces))
         size = sizes[row]
         stop = np.cumsum(size)
-        at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(starts[row] - (stop - size), size)
+        at = np.repeat(starts[row] - (stop - size), size)
+        at += np.arange(len(at))
         return flat[at], np.concatenate([[0], stop])[ends + np.arange(1, len(ends) + 1)]
 
     def flat(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
