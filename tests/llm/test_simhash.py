@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from tests.llm.fixtures import EDGES, SF, docs, prose
-from tickvault.llm import registry, simhash
+from tickvault.llm import jaccard_join, registry, simhash
 
 
 def plain_print(text):
@@ -188,6 +188,28 @@ def test_documents_against_all_pairs(spark, tmp_path):
     assert simhash.simhash_components(spark, docs(spark, rows).limit(0)).count() == 0
 
 
+def test_no_side_is_broadcast_by_its_estimated_size(spark, monkeypatch):
+    # all of these are small here; Spark takes a probe list to be as small as its fingerprints' file at any size
+    plans, written = [], simhash.written
+
+    def seen(spark, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(spark, df, name)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_LABELS", -1)
+    rng = random.Random(23)
+    texts = [prose(rng, 30) for _ in range(20)]
+    got = simhash.simhash_components(spark, docs(spark, list(enumerate(texts * 2))))
+    rows = {r.doc_id: r.component_id for r in got.collect()}
+    assert all(rows[k] == rows[k + 20] for k in range(20))
+    plans.append(("result", got._jdf.queryExecution().executedPlan().toString()))
+    assert {"asked", "members", "known", "edges", "labels", "comp", "result"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+    assert sum("SortMergeJoin" in plan for _, plan in plans) > 5
+
+
 def test_query_on_the_given_table(spark):
     got = {r.doc_id: r for r in registry.QUERIES["op11_simhash"](spark, SF).collect()}
     given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()

@@ -47,6 +47,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that must not broadcast either side: one that grows
+    with the table, or that Spark sizes too low (a Python step or an explode
+    that gives many rows for one is sized as its input is)."""
+    return df.hint("merge")
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: lineage
     ends at files every executor sees, so a lost executor costs no recompute

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickvault.llm.common import table, written
+from tickvault.llm.common import shuffled, table, written
 
 SHINGLE = 4
 PERCENT = 85
@@ -54,6 +54,9 @@ ROUNDS = 2
 SKETCH = 256
 #: A side of at most this many ids (8 bytes each) is broadcast, else shuffled.
 BROADCAST_IDS = 1_000_000
+#: Labels (two longs, about 100 bytes each as a hash table) of more nodes than
+#: this are joined by shuffle, whatever Spark takes their files to hold.
+BROADCAST_LABELS = 100_000
 _VOCABULARY = 1_500_000
 _FLUSH = 2_000_000
 
@@ -341,11 +344,12 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     jumping; every round is written to the shared folder."""
     both = written(spark, edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    side = shuffled if labels.count() > BROADCAST_LABELS else lambda df: df
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        met = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        near = both.join(side(labels), both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+        met = labels.join(side(near), labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         up = labels.select(F.col("node").alias("up"), F.col("comp").alias("upper"))
-        jumped = met.join(up, met["comp"] == up["up"], "left").select("node", "old", F.least("comp", "upper").alias("comp"))
+        jumped = met.join(side(up), met["comp"] == up["up"], "left").select("node", "old", F.least("comp", "upper").alias("comp"))
         new = written(spark, jumped, "labels")
         if new.filter("comp <> old").isEmpty():
             return new.select("node", "comp")

@@ -23,6 +23,9 @@ of the index is first linked to a few of its members drawn by hash, and probes
 then meet only members of other components; a bucket's largest component is met
 by outsiders only. Large buckets are dealt into slices.
 
+Every join is by shuffle: all sides grow with the table, and Spark, which takes
+a probe list to be hardly larger than its fingerprints, would broadcast it.
+
 Defined results: a null, empty or blank text has fingerprint zero, which links
 like any other; a null doc_id gets a fingerprint, links with nothing and has a
 null component; repeated rows have equal fingerprints; an empty table gives no
@@ -43,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickvault.llm.common import table, written
+from tickvault.llm.common import shuffled, table, written
 from tickvault.llm.jaccard_join import components
 
 BITS = 64
@@ -371,24 +374,24 @@ def linked(spark: SparkSession, nodes: DataFrame, tau: int = TAU, m: int | None
     # every bucket's members against a few of them
     drawn = [F.min(F.struct(F.xxhash64("fp", "key", F.lit(k)).alias("draw"), "fp"))["fp"] for k in range(HUBS)]
     hubs = index.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("hubs"), F.count("*").alias("held"))
-    stars = index.join(hubs.filter("held > 1"), "key").select("fp", F.explode("hubs").alias("hub"))
+    stars = index.join(shuffled(hubs.filter("held > 1")), "key").select("fp", F.explode("hubs").alias("hub"))
     near = stars.filter((F.col("fp") != F.col("hub")) & (_differ("fp", "hub") <= tau))
     first = components(spark, near.select(F.col("fp").alias("a"), F.col("hub").alias("b")))
-    known = nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"))
+    known = nodes.join(shuffled(first.withColumnRenamed("node", "fp")), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"))
     known = written(spark, known, "known")
 
     # buckets: largest component, and how many slices the rest and the whole take
-    index = known.mapInArrow(_index_keys(plan.parts), "key long, fp long").join(known, "fp")
+    index = known.mapInArrow(_index_keys(plan.parts), "key long, fp long").join(shuffled(known), "fp")
     by = index.groupBy("key", "comp").agg(F.count("*").alias("c"))
     buckets = by.groupBy("key").agg(
         F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("held"), F.count("*").alias("k")
     )
     buckets = buckets.withColumn("slices", F.ceil(F.col("held") / SLICE).cast("int"))
-    members = index.join(buckets, "key").select(
+    members = index.join(shuffled(buckets), "key").select(
         "key", "fp", "comp", (F.col("comp") == F.col("top")).alias("is_top"), F.pmod(F.xxhash64("fp"), "slices").cast("int").alias("slice")
     )
     members = written(spark, members, "members")
-    asked = known.mapInArrow(_probes(plan), "key long, fp long, comp long").join(buckets, "key")
+    asked = known.mapInArrow(_probes(plan), "key long, fp long, comp long").join(shuffled(buckets), "key")
     # a bucket of the asker's own component only has nothing to tell
     asked = asked.filter((F.col("k") > 1) | (F.col("comp") != F.col("top")))
     asked = asked.select(
@@ -402,12 +405,12 @@ def linked(spark: SparkSession, nodes: DataFrame, tau: int = TAU, m: int | None
     asked = written(spark, asked, "asked")
     pairs = []
     for top, who in ((True, "outside"), (False, "mixed")):
-        met = asked.filter(who).join(members.filter(F.col("is_top") == F.lit(top)), ["key", "slice"])
+        met = asked.filter(who).join(shuffled(members.filter(F.col("is_top") == F.lit(top))), ["key", "slice"])
         met = met.filter((F.col("comp1") != F.col("comp")) & (_differ("fp1", "fp") <= tau))
         pairs.append(met.select(F.least("comp1", "comp").alias("a"), F.greatest("comp1", "comp").alias("b")))
     joined = components(spark, pairs[0].union(pairs[1]).distinct())
     joined = joined.select(F.col("node").alias("comp"), F.col("comp").alias("lower"))
-    return known.join(joined, "comp", "left").select("fp", F.coalesce("lower", "comp").alias("comp"))
+    return known.join(shuffled(joined), "comp", "left").select("fp", F.coalesce("lower", "comp").alias("comp"))
 
 
 def simhash_components(
@@ -418,10 +421,10 @@ def simhash_components(
     real = prints.filter("doc_id is not null")
     nodes = written(spark, real.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     comp = written(spark, linked(spark, nodes, tau, m), "comp")
-    of_fp = nodes.join(comp, "fp")
+    of_fp = nodes.join(shuffled(comp), "fp")
     of_comp = of_fp.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = of_fp.join(of_comp, "comp").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select(
+    named = of_fp.join(shuffled(of_comp), "comp").select("fp", "component_id")
+    return prints.join(shuffled(named), "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 
