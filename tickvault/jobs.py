@@ -9,7 +9,7 @@ All clocks are the explicit ``as_of``.
 Scale notes: fresh/update plans join the universe with the per-ticker stats
 written beside the table (never a scan per ticker, and no scan of the bars);
 backfill plans scan only the run's universes. The landed rows meet the plan
-through the month-bucketed range join (broadcast only after a count; the
+through the range join by blocks of months (broadcast only after a count; the
 plan's date range is pushed to the scan). Only the landed rows are shuffled
 for newest-wins (partial group limit before the exchange); stored rows pass
 an anti join. The publish reads and rewrites only the (universe, year)
@@ -20,6 +20,7 @@ lost executor nor a second run leaves a half table or loses an update.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from tickvault.operators import freefloat as ffo
 from tickvault.operators import reports as rep
 from tickvault.operators.merge import merge_latest
 from tickvault.plans import work
-from tickvault.plans.windows import BROADCAST_PLAN_ROWS, SALT, apply_windows, materialise
+from tickvault.plans.windows import BROADCAST_PLAN_ROWS, SALT, apply_windows, materialise, spooled
 from tickvault.schemas import (
     DEFAULT_LOOKBACK_DAYS,
     DEFAULT_MAX_RETRY,
@@ -42,6 +43,8 @@ from tickvault.schemas import (
     PRICES_STORED,
     TICKER_STATS,
 )
+from tickvault.session import shared_dir
+from tickvault.sinks.files import remove
 from tickvault.sinks.marks import clear_marks, stored_marks, write_marks
 from tickvault.sinks.publish import Snapshot, publish, read_table, snapshot
 from tickvault.sources.universe import UniverseSource, read_marks
@@ -159,81 +162,96 @@ def maintain_prices(
         resolved = materialise(ffo.resolve_attempts(attempts, max_retry=max_retry, run_id=run_id))
         failed = resolved.filter(F.col("Status") == "FAILED").select(*KEYS)
         take = materialise(plan.join(failed, KEYS, "left_anti"))
-    windowed = apply_windows(
-        landed,
-        take,
-        keys=KEYS,
-        plan_cols=["start_date"],
-        one_window=mode != "backfill",
-        keep_salt=v0 is None,  # a first load goes from the join into the merge
-    )
-    dealt_by = [SALT] if SALT in windowed.columns else []
     by = [*KEYS, "start_date"] if mode == "backfill" else KEYS
-    if v0 is None:
-        # a first load is written once, into the table; its report counts the
-        # landed rows when it is read
-        fetched = windowed
-        counts = rep.fetched_counts(fetched, by)
-    else:
-        # read by the merge, the counts and the partition list: fetched once
-        fetched = materialise(windowed)
-        counts = materialise(rep.fetched_counts(fetched, by))
-
-    def result(version):
-        if mode == "backfill":
-            report = rep.fill_outcome(plan, counts, resolved)
-            totals = rep.fill_totals(report)
+    scratch = None
+    if v0 is not None:
+        # the large tables of this run: gone when it ends
+        scratch = shared_dir(spark, f"prices/{uuid.uuid4().hex}")
+    try:
+        windowed = apply_windows(
+            landed,
+            take,
+            keys=KEYS,
+            plan_cols=["start_date"],
+            one_window=mode != "backfill",
+            keep_salt=v0 is None,  # a first load goes from the join into the merge
+            scratch=f"{scratch}/windows" if scratch else None,
+        )
+        dealt_by = [SALT] if SALT in windowed.columns else []
+        cols = [f.name for f in PRICES_STORED.fields]
+        if v0 is None:
+            # a first load is written once, into the table; its report counts the
+            # landed rows when it is read
+            fetched = windowed
+            counts = rep.fetched_counts(fetched, by)
         else:
-            report = rep.update_outcome(plan, counts, resolved)
-            totals = rep.outcome_totals(report)
-
-        def summary():
-            held = ticker_stats(spark, store_root, snapshot(spark, store_root, version)) if version is not None else None
-            if held is None:  # no table, or one of a layout without statistics
-                held = work.last_dates(stored)
-            return rep.run_summary(report, plan, held, resolved)
-
-        return RunResult(version, plan, report, totals, summary)
-
-    touched = touched_partitions(fetched) if v0 is not None else set()
-    if v0 is not None and not touched:
-        return result(v0)
-
-    batch = (v0 or 0) + 1
-    new_rows = fetched.drop("start_date").withColumn("batch_id", F.lit(batch).cast(T.LongType()))
-    if "seq" not in new_rows.columns:
-        new_rows = new_rows.withColumn("seq", F.lit(0).cast(T.LongType()))
-    cols = [f.name for f in PRICES_STORED.fields]
-    incremental = by_year and v0 is not None
-    if incremental:
-        # every other partition stays with the write it came from
-        base_part = read_table(spark, store_root, PRICES_STORED, at=now, only=touched.__contains__)
-    else:
-        base_part = stored if v0 is not None else None
-    n_fetched = 0 if v0 is None else counts.agg(F.sum("rows_fetched")).first()[0]
-    # a feed's own order may tie; the row hash makes a recomputed task pick the same row
-    merged = merge_latest(
-        base_part,
-        new_rows.select(*cols, "batch_id", "seq", *dealt_by),
-        BAR_KEYS,
-        ("batch_id", "seq"),
-        deterministic_ties=True,
-        broadcast_keys=n_fetched <= BROADCAST_PLAN_ROWS,
-        no_null_keys=True,  # rows of request windows
-        dealt_by=dealt_by,
-    )
-    merged = merged.select(*cols).withColumn("year", F.year("Date"))
-    version = publish(
-        merged,
-        store_root,
-        partition_by=BAR_PARTITIONS,
-        sort_within=[F.col("Ticker"), F.asc_nulls_last("Date")],  # O1: missing dates last
-        only_partitions=incremental,
-        sides={"stats": bar_stats},
-        at=now,
-        commit_nothing=False,
-    )
-    return result(version)
+            # read by the merge, the counts and the partition list: fetched once
+            read = {c.lower() for c in [*cols, "seq", "start_date"]}
+            fetched = spooled(windowed.select(*[F.col(c) for c in windowed.columns if c.lower() in read]), f"{scratch}/fetched")
+            remove(spark, f"{scratch}/windows")
+            counts = materialise(rep.fetched_counts(fetched, by))
+
+        def result(version):
+            if mode == "backfill":
+                report = rep.fill_outcome(plan, counts, resolved)
+                totals = rep.fill_totals(report)
+            else:
+                report = rep.update_outcome(plan, counts, resolved)
+                totals = rep.outcome_totals(report)
+
+            def summary():
+                held = ticker_stats(spark, store_root, snapshot(spark, store_root, version)) if version is not None else None
+                if held is None:  # no table, or one of a layout without statistics
+                    held = work.last_dates(stored)
+                return rep.run_summary(report, plan, held, resolved)
+
+            return RunResult(version, plan, report, totals, summary)
+
+        touched = touched_partitions(fetched) if v0 is not None else set()
+        if v0 is not None and not touched:
+            return result(v0)
+
+        batch = (v0 or 0) + 1
+        new_rows = fetched.drop("start_date").withColumn("batch_id", F.lit(batch).cast(T.LongType()))
+        if "seq" not in new_rows.columns:
+            new_rows = new_rows.withColumn("seq", F.lit(0).cast(T.LongType()))
+        incremental = by_year and v0 is not None
+        if incremental:
+            # every other partition stays with the write it came from
+            base_part = read_table(spark, store_root, PRICES_STORED, at=now, only=touched.__contains__)
+        else:
+            base_part = stored if v0 is not None else None
+        n_fetched = 0 if v0 is None else counts.agg(F.sum("rows_fetched")).first()[0]
+        few = n_fetched <= BROADCAST_PLAN_ROWS
+        # a feed's own order may tie; the row hash makes a recomputed task pick the same row
+        merged = merge_latest(
+            base_part,
+            new_rows.select(*cols, "batch_id", "seq", *dealt_by),
+            BAR_KEYS,
+            ("batch_id", "seq"),
+            deterministic_ties=True,
+            broadcast_keys=few,
+            no_null_keys=True,  # rows of request windows
+            dealt_by=dealt_by,
+        ).select(*cols)
+        if not few:
+            # the shuffles of the merge go before the one of the publish is written
+            merged = spooled(merged, f"{scratch}/merged")
+            remove(spark, f"{scratch}/fetched")
+        version = publish(
+            merged.withColumn("year", F.year("Date")),
+            store_root,
+            partition_by=BAR_PARTITIONS,
+            sort_within=[F.col("Ticker"), F.asc_nulls_last("Date")],  # O1: missing dates last
+            only_partitions=incremental,
+            sides={"stats": bar_stats},
+            at=now,
+            commit_nothing=False,
+        )
+        return result(version)
+    finally:
+        if scratch:
+            remove(spark, scratch)
 
 
 def maintain_free_float(

@@ -73,7 +73,8 @@ def merge_latest(
     new = resolve_latest(landed, keys, order, deterministic_ties=deterministic_ties, dealt_by=dealt_by)
     if stored is None:
         return new
-    new_keys = new.select(*[F.col(k).alias("__k_" + k) for k in keys])
+    # the keys of all landed rows are those of the newest: no second window for them
+    new_keys = landed.select(*[F.col(k).alias("__k_" + k) for k in keys]).distinct()
     if broadcast_keys:
         new_keys = F.broadcast(new_keys)
     pairs = [(stored[k], new_keys["__k_" + k]) for k in keys]

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickvault.session import shuffles_dropped
 from tickvault.sinks.files import rename_new
 
 LOG = "w string, whole boolean, note long, by array<string>, part array<string>, v int"
@@ -163,12 +164,14 @@ def publish(
         out = out.withColumns({c: F.when(F.spark_partition_id() >= 0, F.col(c)) for c in by})
     if sort_within:
         out = out.sortWithinPartitions(*by, *sort_within)
-    out.write.partitionBy(*by).option("compression", "zstd").parquet(f"{root}/data/w={w}")
+    with shuffles_dropped(spark):
+        out.write.partitionBy(*by).option("compression", "zstd").parquet(f"{root}/data/w={w}")
 
     written = spark.read.schema(df.schema).parquet(f"{root}/data/w={w}")
     for name, build in (sides or {}).items():
         side = build(written).withColumns({c: F.col(c).cast("string") for c in by})
-        side.write.option("compression", "zstd").parquet(f"{root}/{name}/w={w}")
+        with shuffles_dropped(spark):
+            side.write.option("compression", "zstd").parquet(f"{root}/{name}/w={w}")
     if beside:
         beside(w)
     head = F.lit(w).alias("w"), F.lit(not (only_partitions and now)).alias("whole"), F.lit(note).cast("long").alias("note")
